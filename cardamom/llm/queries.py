@@ -3,17 +3,71 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cardamom.llm import minhash
+from cardamom.llm import chat, minhash, mixing, packing, pii, quality, tokens, vectors, warc
 from cardamom.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counted(table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = quality.ledger(table(spark, sf_dir, "documents"))
+    base, prose = quality.passes(quality.BASE), quality.passes(quality.PROSE)
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), prose.alias("kept"), "fail_bits")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detected(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.planned(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def queries():
-    return {"op1_minhash": op1_minhash}
+    return {
+        "op1_minhash": op1_minhash,
+        "op2_vectors": op2_vectors,
+        "op3_tokens": op3_tokens,
+        "op4_warc": op4_warc,
+        "op5_packing": op5_packing,
+        "op7_quality": op7_quality,
+        "op8_pii": op8_pii,
+        "op9_mixing": op9_mixing,
+        "op10_chat": op10_chat,
+    }
 
 
 def oracle_sql():
