@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardamom.llm import chat, minhash, mixing, packing, pii, quality, tokens, vectors, warc
+from cardamom.llm import chat, minhash, mixing, packing, pii, quality, suffix, tokens, vectors, warc
 from cardamom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents"), size=200)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.ledger(table(spark, sf_dir, "documents"))
     base, prose = quality.passes(quality.BASE), quality.passes(quality.PROSE)
@@ -63,6 +67,7 @@ def queries():
         "op3_tokens": op3_tokens,
         "op4_warc": op4_warc,
         "op5_packing": op5_packing,
+        "op6_suffix": op6_suffix,
         "op7_quality": op7_quality,
         "op8_pii": op8_pii,
         "op9_mixing": op9_mixing,
