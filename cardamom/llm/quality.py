@@ -133,4 +133,6 @@ def ablation(led: DataFrame, policy: Policy) -> DataFrame:
 def kept_documents(docs: DataFrame, policy: Policy = PROSE) -> DataFrame:
     """The rows of docs that pass the policy, columns unchanged."""
     whole = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
-    return with_ledger(whole).where(passes(policy, "fail_bits_")).select("row_.*")
+    # a column that is not deterministic keeps the optimizer from copying the measurements into a filter below them
+    led = with_ledger(whole).withColumn("here_", F.spark_partition_id())
+    return led.where(passes(policy, "fail_bits_") & (F.col("here_") >= 0)).select("row_.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardamom.llm import chat, minhash, mixing, packing, pii, quality, suffix, tokens, vectors, warc
+from cardamom.llm import chat, minhash, mixing, oracles, packing, pii, quality, suffix, tokens, vectors, warc
 from cardamom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,8 +60,15 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
+        "pipeline": pipeline,
         "op1_minhash": op1_minhash,
         "op2_vectors": op2_vectors,
         "op3_tokens": op3_tokens,
@@ -76,4 +83,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(oracles.SQL)
