@@ -16,7 +16,7 @@ for candidates comes first, and only what it cannot decide is sorted.
    3 by the names of their triples, recursively; the others from these; both are
    merged; neighbours are compared over ``size`` bytes. Anchors are dealt out to
    tasks in bins of bounded size. An anchor with very many different contexts is
-   not sorted in one task: its strings are compared by hash, in one aggregation.
+   not sorted in one task: they are split by hashes of halved blocks instead.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from cardamom.llm.common import written
 from cardamom.llm.wordhash import _powers, mix
 
 SIZE, GRAM = 200, 24
-#: Bytes whose strings are placed at a time, bytes sorted in one task's bin, contexts of an anchor that are sorted in one bin.
-TILE, BIN_BYTES, MOST_CONTEXTS = 1 << 20, 1 << 20, 1024
+#: Bytes whose strings are placed at a time, bytes sorted in one task's bin, contexts of an anchor that are sorted in one bin, places in the first blocks of others.
+TILE, BIN_BYTES, MOST_CONTEXTS, WIDEST = 1 << 20, 1 << 20, 2048, 64
 _POSITION = np.uint64((1 << 24) - 1)
 _BYTE = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -230,22 +230,60 @@ def _cut_contexts(size: int):
     return run
 
 
-def _strings(size: int):
-    """Every string of the contexts, by its distance before the anchor and two hashes."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("d", pa.int32()), ("g1", pa.int64()), ("g2", pa.int64())])
+def _blocks(size: int, width: int):
+    """Of contexts, the blocks of ``width`` distances before the anchor that are asked for.
+
+    Each with the hash of the bytes that all strings of the block have in common
+    and that of all bytes of its strings.
+    """
+    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("block", pa.int32()), ("common", pa.int64()), ("whole", pa.int64()), ("high", pa.int32()), ("low", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, context, before, after, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "before", "after", "bytes")), strict=True):
-                n = before + after + 1
-                sums, inverse = _sums(np.frombuffer(raw, np.uint8))
-                h = (sums[size : size + n] - sums[:n]) * inverse[:n]
-                d = before - np.arange(n, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(np.full(n, context)), pa.array(d.astype(np.int32)), pa.array(mix(h).view(np.int64)), pa.array(mix(h * np.uint64(0xCF1BBCDCBFA56301)).view(np.int64))], schema=schema)
+            rows: list[tuple] = []
+            for anchor, context, before, after, raw, asked in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "before", "after", "bytes", "asked")), strict=True):
+                for block in range(-after // width, before // width + 1) if asked is None else asked:
+                    low, high = max(block * width, -after), min(block * width + width - 1, before)
+                    if low > high:
+                        continue
+                    common = hashlib.blake2b(raw[before - block * width : before - (block * width + width - 1) + size], digest_size=8).digest()
+                    whole = hashlib.blake2b(raw[before - high : before - low + size] + bytes([low & 255, high & 255]), digest_size=8).digest()
+                    rows.append((anchor, context, block, int.from_bytes(common, "little", signed=True), int.from_bytes(whole, "little", signed=True), high, low))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+def _by_halves(contexts: DataFrame, size: int) -> DataFrame:
+    """(anchor, context, high, low) as the sorted bins give it, for anchors with too many contexts for one of them.
+
+    Contexts that share what all strings of a block have in common are told
+    apart in blocks of half the width, until they are equal or differ; a context
+    has a few open blocks in each round, however many others the anchor has.
+    """
+    found, asked, width = [], contexts.withColumn("asked", F.lit(None).cast("array<int>")), WIDEST
+    kind = "anchor long, context long, block int, common long, whole long, high int, low int"
+    while True:
+        rows = written(asked.mapInArrow(_blocks(size, width), kind), "blocks")
+        key = ["anchor", "block", "common"]
+        met = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1")
+        met = written(met.select(*key, (F.col("w0") == F.col("w1")).alias("alike")), "blocks")
+        rows = rows.join(met, key)
+        found.append(rows.where("alike").select("anchor", "context", "high", "low"))
+        open_ = rows.where("not alike")
+        if width == 1:
+            break
+        width //= 2
+        halves = open_.select("anchor", "context", F.explode(F.array(F.col("block") * 2, F.col("block") * 2 + 1)).alias("b"))
+        halves = written(halves.groupBy("anchor", "context").agg(F.collect_set("b").alias("asked")), "asked")  # size at most
+        asked = contexts.join(halves, ["anchor", "context"])
+    out = found[0]
+    for df in found[1:]:
+        out = out.union(df)
+    return out
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -278,12 +316,9 @@ def repeated(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[DataF
     few = contexts.join(crowded, "anchor", "left_anti").dropDuplicates(["anchor", "context"])
     by_order = few.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(bins)).alias("bin")).applyInArrow(_sorted(size), "anchor long, context long, high int, low int")
 
-    strings = contexts.join(crowded, "anchor", "left_semi").mapInArrow(_strings(size), "anchor long, context long, d int, g1 long, g2 long")
-    twice = strings.groupBy("anchor", "d", "g1", "g2").agg(F.min("context").alias("x"), F.max("context").alias("y")).where("x < y")
-    twice = written(twice.select("anchor", "d", "g1", "g2"), "twice")
-    by_hash = strings.join(twice, ["anchor", "d", "g1", "g2"]).select("anchor", "context", F.col("d").alias("high"), F.col("d").alias("low"))
-
-    found = by_order.union(by_hash).groupBy("anchor", "context").agg(F.collect_set(F.struct("high", "low")).alias("parts"))  # size at most
+    if not crowded.isEmpty():
+        by_order = by_order.union(_by_halves(written(contexts.join(crowded, "anchor", "left_semi").dropDuplicates(["anchor", "context"]), "crowded_contexts"), size))
+    found = by_order.groupBy("anchor", "context").agg(F.collect_set(F.struct("high", "low")).alias("parts"))  # size at most
     found = written(found, "found")
     sure = F.array(F.struct(F.col("before").alias("high"), (-F.col("after")).alias("low")))
     own = met.where("alike").select("row_id", "place", sure.alias("parts"))
