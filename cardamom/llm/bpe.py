@@ -23,7 +23,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Characters of text cut at a time, and words remembered by a worker, at most.
-SLICE_CHARS, REMEMBERED = 1 << 20, 400_000
+SLICE_CHARS, REMEMBERED = 1 << 20, 250_000
 _QUOTE = ord("'")
 _LOADED: dict[str, WordPieces] = {}
 
