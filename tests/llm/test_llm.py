@@ -1,0 +1,445 @@
+"""The numbered operators against brute force, round trips and the tokenizer library."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cardamom.llm import bpe, chat, minhash, mixing, packing, pii, quality, suffix, tokens, vectors, warc, wordhash
+from cardamom.llm.common import linked_groups
+from cardamom.llm.queries import tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Nulls in every column, an empty and a long text, ties, repeated rows and ids.
+ODD = [
+    (1, "a b c d e f g", "en", "s1", 13), (2, "A B C D E F G", None, "s1", 13), (2, "A B C D E F G", None, "s1", 13), (3, None, "en", None, None), (4, "", "en", "s2", 0),
+    (None, "a b c d e f g", "en", "s2", 13), (5, "x " * 30000, "en", "s3", 60000), (6, "  \n\t ", "en", "s3", 5), (7, "one two", None, None, 7), (8, "One two", "de", "s9", 7), (9, "one two three", "de", "s9", 13),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, data):
+    return spark.read.parquet(f"{data}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """The odd rows with columns whose names the operators use themselves."""
+    return spark.createDataFrame(ODD, DOCS).withColumns({c: F.lit(0) for c in ("rep", "component", "n", "size", "target", "length", "spans", "rank", "part", "k1", "id", "n_tokens", "row_id")})
+
+
+def words(text):
+    lower = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+    return re.findall(rb"[^\x20\x09-\x0d]+", lower)
+
+
+def shingles(text, k=5):
+    w = words(text)
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def components(ids, links):
+    of = {i: i for i in ids}
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        of[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def brute_components(rows, percent):
+    sets = {i: shingles(t) for i, t in rows}
+    ids = [i for i in sets if sets[i]]
+    by = {}
+    for i in ids:
+        for s in sets[i]:
+            by.setdefault(s, []).append(i)
+    pairs = Counter((a, b) for own in by.values() for a in own for b in own if a < b)
+    links = [(a, b) for (a, b), n in pairs.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
+    return components(sets, links), {i: len(s) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_minhash_against_brute_force(spark, docs, percent):
+    rng = random.Random(4)
+    base = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    more = []
+    for i, (_, t) in enumerate(base[:40]):
+        w = t.split(" ")
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = "changed"
+        more.append((10000 + i, " ".join(w)))
+    rows = base + more
+    want, n = brute_components(rows, percent)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == n
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_minhash_large_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[(7 * i) % 100] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    want, _ = brute_components(rows, 85)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_minhash_odd_rows(spark, odd):
+    got = sorted(((r["doc_id"], r["component_id"], r["n_shingles"], r["kept"]) for r in minhash.near_duplicates(odd, 85).collect()), key=str)
+    want = [(1, 1, 3, True), (2, 1, 3, False), (2, 1, 3, False), (3, 3, 0, True), (4, 4, 0, True), (5, 5, 1, True), (6, 6, 0, True), (7, 7, 1, True), (8, 7, 1, False), (9, 9, 1, True), (None, None, 3, True)]
+    assert got == sorted(want, key=str)
+    assert minhash.near_duplicates(odd.limit(0)).count() == 0
+    assert minhash.deduplicated(odd, 85).count() == len(ODD) - 3 and minhash.deduplicated(odd).columns == odd.columns
+
+
+def test_parts_meet_the_miss_rate():
+    for s in (0.8, 0.85, 0.93):
+        p = minhash.parts_for(s)
+        assert 1 - (1 - (1 - s**minhash.ROWS) ** p) ** 2 <= minhash.MISS
+
+
+def test_linked_groups(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)]
+    got = {r["node"]: r["component"] for r in linked_groups(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = components({x for e in edges for x in e}, edges)
+    assert all(want[k] == v for k, v in got.items()) and {k for e in edges if e[0] != e[1] for k in e} <= set(got)
+
+
+def vector_rows(n=300, dim=16):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(n):
+        x = rng.standard_normal(dim) if i % 3 == 0 else np.array(rows[-1][1]) + rng.standard_normal(dim) * rng.choice([0, 0.05, 0.2, 0.35])
+        rows.append((i, [float(v) for v in x.astype(np.float32)], int(i % 9 // 3)))
+    return rows
+
+
+def test_vectors_against_brute_force(spark):
+    rows = vector_rows() + [(900, None, 1), (901, [0.0] * 16, 1), (902, [1.0, None], 1), (903, [float("nan")] * 16, 1), (904, [1.0] * 16, None), (905, [1.0, 2.0], 1), (906, [2.0, 4.0], 1), (907, [float("inf")] * 16, 0), (908, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1))
+    links = []
+    ok = [r for r in rows if r[1] and r[2] is not None and all(v is not None and math.isfinite(v) for v in r[1]) and any(r[1])]
+    for i, a in enumerate(ok):
+        for b in ok[i + 1 :]:
+            if a[2] == b[2] and len(a[1]) == len(b[1]):
+                x, y = np.float64(a[1]), np.float64(b[1])
+                if x @ y / math.sqrt(x @ x) / math.sqrt(y @ y) >= 0.93:
+                    links.append((a[0], b[0]))
+    want, n = components([r[0] for r in rows], links), Counter(i for e in links for i in e)
+    got = vectors.near_vectors(df).collect()
+    assert {r["vec_id"]: r["component_id"] for r in got} == want and len(links) > 20
+    assert {r["vec_id"]: r["n_links"] for r in got} == {r[0]: n[r[0]] for r in rows}
+    assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_copies_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(16)
+    rows = [(i, [float(v) for v in (base + rng.standard_normal(16) * 0.01)], 1) for i in range(60)] + [(100 + i, [1.0] * 16, 2) for i in range(5)] + [(None, [1.0] * 16, 2)]
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i]["n_links"] == 59 and got[i]["component_id"] == 0 for i in range(60))
+    assert all(got[100 + i]["n_links"] == 4 for i in range(5)) and got[None]["n_links"] == 0
+
+
+def test_bounds_hold_and_estimates_are_unbiased():
+    rng = np.random.default_rng(9)
+    x = vectors._normed(rng.standard_normal((400, 64)))
+    y, o, c = vectors.codes(x)
+    true = x @ x.T
+    estimate = (o @ y.T) / 8 / c[:, None]
+    assert abs((estimate - true)[~np.eye(400, dtype=bool)].mean()) < 0.002
+    assert (vectors.upper_bounds(o, c, y) >= true - 1e-9).all()
+
+
+SPECIAL = ["", " ", "it's we'll 'sabc ''s 5's", "a<|endoftext|>B <|startoftext|>", "ΑΣ ΣΑΣ İstanbul é Å", "a" * 900, "日本語 12345 ١٢٣", "'re've'll'd'm're", "\u0085a b\x1cc\x1fd_e", "!!!'s 'Tis 'RE", "<|endoftext|><|endoftext|>", "İıſK", "ꟋꟌ", "a <|endoftext b"]
+
+
+def test_tokens_are_the_library_s(spark, docs, odd):
+    path = tokenizer_path()
+    lib = bpe.loaded(path).library()
+    texts = SPECIAL + [r["text"] for r in docs.collect()]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokens.count_texts(path, texts).tolist() == [len(w) for w in want]
+    assert [ids.tolist() for ids in packing.token_ids(path, texts)] == want
+    every = [chr(c) for c in [*range(1, 0x3000), *range(0xA000, 0xB000), *range(0x10000, 0x10E00)]]
+    want = [lib.encode(f"a{c}b1{c}{c}", add_special_tokens=False).ids for c in every]
+    assert [ids.tolist() for ids in packing.token_ids(path, [f"a{c}b1{c}{c}" for c in every])] == want
+    got = {r["doc_id"]: r for r in tokens.counted(odd, path).collect()}
+    assert (got[3]["n_bytes"], got[3]["n_tokens"], got[5]["n_tokens"], got[5]["over_limit"], got[8]["n_tokens"]) == (0, 0, 30000, True, 2)
+    assert tokens.counted(odd.limit(0), path).count() == 0
+
+
+def test_heap_merges_match_rounds():
+    pieces = bpe.loaded(tokenizer_path())
+    rng = random.Random(2)
+    some = ["".join(rng.choice("aabcdeinthé") for _ in range(rng.randrange(1, 40))) for _ in range(300)] + ["a" * n for n in range(1, 40)]
+    ids, n = pieces.merged_ids(some)
+    assert n.tolist() == [pieces.heap_merges(w) for w in some] and len(ids) == n.sum()
+
+
+def check_packing(rows, capacity=4096):
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by)
+
+
+def test_packing(spark, docs, odd):
+    import zlib
+
+    path = tokenizer_path()
+    lib = bpe.loaded(path).library()
+    rows = packing.packed(docs, path).collect()
+    n = check_packing(rows)
+    total = sum(r["length"] for r in rows)
+    assert n <= math.ceil(total / 4096) * 1.02 + 1
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], {})[r["piece"]] = r
+    for d in docs.limit(30).collect():
+        ids = [*lib.encode(d["text"], add_special_tokens=False).ids, 1]
+        for p, r in by[d["doc_id"]].items():
+            own = ids[p * 4096 : (p + 1) * 4096]
+            assert (r["start"], r["length"], r["ids_crc32"]) == (p * 4096, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+    rows = packing.packed(odd, path).collect()
+    check_packing(rows)
+    assert Counter(r["doc_id"] for r in rows) == Counter({**{i: 1 for i in (1, 3, 4, None, 6, 7, 8, 9)}, 2: 2, 5: 8})
+    assert packing.packed(odd.limit(0), path).count() == 0
+
+
+def test_plan_holds_all_and_pairs_large():
+    rng = random.Random(6)
+    for _ in range(200):
+        capacity = rng.choice([10, 50, 4096])
+        counts = Counter(rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 400)))
+        held = Counter()
+        for bins, items in packing.plan(counts, capacity):
+            assert bins > 0 and sum(x * n for x, n in items) <= capacity
+            assert sum(n for x, n in items if 3 * x > capacity) <= 2
+            for x, n in items:
+                held[x] += n * bins
+        assert held == counts
+
+
+def brute_removal(texts, size):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + size] for b in raw for i in range(len(b) - size + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - size + 1):
+            if seen[b[i : i + size]] > 1:
+                gone[i : i + size] = True
+        out.append((len(b), int(gone.sum()), int((gone[:-1] & ~np.concatenate([[False], gone[:-2]])).sum()) if b else 0, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone[:-1]].tobytes()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [2, 2048])
+def test_suffix_against_brute_force(spark, docs, monkeypatch, crowd):
+    monkeypatch.setattr(suffix, "MOST_CONTEXTS", crowd)
+    rng = random.Random(8)
+    texts = [r["text"] for r in docs.limit(60).collect()]
+    passage = texts[5][:230]
+    texts += [rng.choice(texts)[: rng.randrange(50, 400)] + passage[rng.randrange(20) :] + str(i) + rng.choice(texts)[:80] for i in range(40)]
+    texts += ["é" * 300, "ab" * 400, "ab" * 150, "", None, texts[3], "x" * 199, "x" * 200]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("k1", F.lit(0))
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.without_repeats(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removal(texts, 200)
+
+
+def test_suffix_odd_rows_and_tiles(spark, odd, monkeypatch):
+    got = suffix.without_repeats(odd).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == sorted((str(r[0]), 60000 if r[0] == 5 else 0) for r in ODD)
+    assert suffix.without_repeats(odd.limit(0)).count() == 0
+    monkeypatch.setattr(suffix, "TILE", 300)
+    rng = random.Random(3)
+    long = "".join(rng.choice("abc ") for _ in range(3000))
+    raw = [t.encode() for t in (long, long[700:1500])]
+    runs = []
+    for own, offs, b in suffix._tiles(raw, 200):
+        text, _, first, last, _, _ = suffix.runs(offs, b, 200, suffix.GRAM)
+        runs += [(own[t][0], own[t][1] + s - offs[t]) for t, f, e in zip(text, first, last, strict=True) for s in range(f, e + 1)]
+    assert sorted(runs) == [(0, i) for i in range(2801)] + [(1, i) for i in range(601)]
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        s = rng.integers(0, rng.integers(1, 5) + 1, rng.integers(0, 60))
+        assert suffix.suffix_order(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def brute_quality(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    wins = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    rep = {i + j for i in range(len(w) - 4) if wins[tuple(w[i : i + 5])] > 1 for j in range(5)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(rep)
+
+
+def test_quality_against_brute_force(spark, docs, odd):
+    for df in (docs, odd):
+        got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.ledger(df).collect())
+        assert got == Counter((r["doc_id"], *brute_quality(r["text"])) for r in df.select("doc_id", "text").collect())
+    led = quality.ledger(docs)
+    kept = {r["doc_id"] for r in quality.apply_policy(led, quality.PROSE).where("kept").collect()}
+    assert {r["doc_id"] for r in quality.kept_documents(docs).collect()} == kept
+    bits = [r["fail_bits"] for r in led.collect()]
+    for r in quality.ablation(led, quality.PROSE).collect():
+        bit = 1 << [n for n, _ in quality.RULES].index(r["rule"])
+        assert (r["failed"], r["failed_alone"]) == (sum(b & bit > 0 for b in bits), bits.count(bit))
+    assert quality.kept_documents(odd).columns == odd.columns and quality.kept_documents(odd.limit(0)).count() == 0
+
+
+def brute_spans(text):
+    found = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 14 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0:
+            found.append(("card", m))
+    found += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(((k, m.start(), m.end()) for k, m in found), key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_pii_against_brute_force(spark, docs, odd):
+    rng = random.Random(7)
+    pieces = ["a.b@c.de", "@", "x@y", "x@y..z", "1.2.3.4", "1.2.3.4.5.6.7.8.9", "0300.1.2.3", "000255.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (650) 555-0100", "+49 30 1", " ", "é", ".", "-", "+", "a%", "12345678901234", "日"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    for t in texts + [r["text"] for r in docs.collect()]:
+        assert pii.base_spans(t) == brute_spans(t)
+    got = {r["doc_id"]: r for r in pii.detected(odd).collect()}
+    assert got[3]["spans"] == "" and got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert pii.detected(odd.limit(0)).count() == 0 and pii.redacted(odd).columns == odd.columns
+
+
+def test_pii_scores():
+    kinds = lambda t: [k for k, _, _ in pii.spans(t)[1]]
+    assert kinds("IBAN DE89 3702 0044 0532 0130 00.") and "iban" in kinds("iban DE89370400440532013000")
+    assert "iban" not in kinds("iban DE89370400440532013001")
+    assert "national_id" in kinds("SSN 123-45-6789") and "national_id" not in kinds("part 123-45-6789")
+    token = "token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\""
+    assert kinds(token) == ["secret"] and kinds("commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff") == []
+    assert pii.redact("mail a@b.cd now") == "mail <EMAIL> now" and pii.redact(None) is None
+    assert pii.redact("x" * 100000 + "@") == "x" * 100000 + "@"
+
+
+def test_mixing(spark, docs, odd):
+    rows = mixing.planned(docs).collect()
+    sources = sorted({r["source"] for r in rows})
+    size = {s: sum(r["size"] for r in rows if r["source"] == s) for s in sources}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * size[s], mid * weight[s]) for s in sources) < 1.5 * sum(size.values()) else (low, mid)
+    for r in rows:
+        assert r["target"] == pytest.approx(min(2 * size[r["source"]], low * weight[r["source"]])) and r["copies"] <= 2
+    again = {(r["doc_id"], r["copies"]) for r in mixing.planned(docs.repartition(7)).collect()}
+    assert again == {(r["doc_id"], r["copies"]) for r in rows}
+    assert mixing.mixed(docs).count() == sum(r["copies"] for r in rows) and mixing.mixed(docs).columns == docs.columns
+    got = mixing.planned(odd).collect()
+    assert len(got) == len(ODD) and mixing.planned(odd.limit(0)).count() == 0 and mixing.mixed(odd).columns == odd.columns
+
+
+def test_mixing_is_near_its_targets(spark):
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 40).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source"))
+    for r in mixing.total_by_source(mixing.planned(df)).collect():
+        assert r["taken"] == pytest.approx(r["target"], rel=0.03)
+
+
+def test_warc_round_trip(spark, data):
+    rows = [(5, "http://www.A.com:80/x", "same"), (3, "https://a.com/x", "same"), (9, "http://b.org/y?q=1", None), (4, "//b.org", ""), (7, None, "é\r\n\r\nWARC/1.1\r\n"), (8, "http://u@h.net:8080/p#f", "x" * 70000), (None, "http://n.com", "null")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit(1))
+    got = {r["page_id"]: r for r in warc.round_trip(df).collect()}
+    for i, _, html in rows:
+        b = (html or "").encode()
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(b), warc.base32_sha1(b))
+    assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items()} == {5: ("revisit", 3), 3: ("response", None), 9: ("revisit", 4), 4: ("response", None), 7: ("response", None), 8: ("response", None), None: ("response", None)}
+    got = {r["page_id"]: r["record_type"] for r in warc.round_trip(df, least=1).collect()}
+    assert got[9] == got[4] == "response" and got[5] == "revisit"
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_lookup(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    folder = warc.write(pages)
+    warc.build_index(warc.read(folder, spark), folder + "-index", block_lines=7)
+    index = warc.Index(spark, folder + "-index")
+    for r in pages.limit(6).collect():
+        hits = [h for h in index.lookup(r["url"]) if h[0] == r["page_id"]]
+        assert len(hits) == 1
+        fields, block = index.fetch(*hits[0][1:])
+        assert fields["WARC-Target-URI"] == r["url"] and (fields["WARC-Type"] == "revisit" or block.endswith(r["html"].encode()))
+    assert index.lookup("http://nowhere.invalid/") == []
+    assert warc.surt("HTTP://www.Example.COM:8080/A?b#c") == "com,example:8080)/A?b"
+
+
+def test_chat(spark, data):
+    said = {1: "ab", 2: "abc", 3: "abc", 4: "abd", 5: "a", 6: "xyz", 7: "xy", 8: "b"}
+    rows = [(c, i, "user" if i % 2 == 0 else "assistant", t) for c, s in said.items() for i, t in enumerate(s)]
+    rows += [(9, 0, None, None), (10, 0, None, None), (10, 1, "user", None), (None, 0, "user", "x"), (6, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(0))
+    got = {r["conv_id"]: (r["n_turns"], r["kept"]) for r in chat.rendered(df).collect()}
+    assert {k for k, (_, kept) in got.items() if kept} == {2, 4, 6, 8, 10}
+    assert got[6][0] == 3 and got[10][0] == 2 and None not in got
+    shown = {r["conv_id"]: r["chat"] for r in chat.rendered(df).collect()}
+    assert shown[8] == "<|im_start|>user\nb<|im_end|>\n" and shown[1] is None
+    assert chat.rendered(df.limit(0)).count() == 0
+    long = spark.range(3000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    both = long.union(long.where("turn < 2999").withColumn("conv_id", F.lit(2)))
+    assert {r["conv_id"]: (r["n_turns"], r["kept"]) for r in chat.collapsed(both).collect()} == {1: (3000, True), 2: (2999, False)}
+
+
+def test_word_hashes_keep_words_apart():
+    import pyarrow as pa
+
+    texts = ["a b", "ab", "", None, "  A  b ", "b a"]
+    got = [s.tolist() for _, s in wordhash.sets(pa.array(texts), 5)]
+    assert got[0] == got[4] != got[1] and got[2] == got[3] == [] and got[0] != got[5]
+
+
+def test_pipeline(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = corpus_pipeline.run(spark, data).collect()
+    check_packing(rows)
+    good = [r for r in docs.collect() if brute_passes(r["text"])]
+    of, _ = brute_components([(r["doc_id"], r["text"]) for r in good], 80)
+    first = [r for r in good if of[r["doc_id"]] == r["doc_id"]]
+    masked = spark.createDataFrame([(r["doc_id"], pii.redact(r["text"]), r["lang"], r["source"], 0) for r in first], DOCS)
+    copies = {r["doc_id"]: r["copies"] for r in mixing.planned(masked).collect()}
+    lib = bpe.loaded(tokenizer_path()).library()
+    length = {r["doc_id"]: len(lib.encode(r["text"], add_special_tokens=False).ids) + 1 for r in masked.collect()}
+    want = Counter({(i, p): n for i, n in copies.items() if n for p in range(-(-length[i] // 4096))})
+    assert Counter((r["doc_id"], r["piece"]) for r in rows) == want
+
+
+def brute_passes(text):
+    n, chars, symbols, dup, rep = brute_quality(text)
+    lines = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+    return not (n < 10 or 100 * rep > 20 * n or 10 * symbols > 3 * n or (lines >= 4 and 100 * dup > 30 * lines) or (n >= 10 and chars < 2 * n) or chars > 40 * n)
