@@ -15,7 +15,6 @@ from cardamom.llm.common import written
 
 #: Turns summed in one window; offsets of chunks are summed apart.
 CHUNK = 256
-_BITS = 1 << 31
 
 
 def _lanes(place: Column) -> list[Column]:
@@ -80,5 +79,3 @@ def rendered(conversations: DataFrame, begin: str = "<|im_start|>", end: str = "
     text = text.select("conv_id", F.array_join(F.transform("all", lambda x: x["said"]), "").alias("chat"))
     return states.join(text, "conv_id", "left").select("conv_id", "n_turns", "kept", "chat")
 
-
-del _BITS
