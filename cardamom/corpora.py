@@ -97,7 +97,7 @@ def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(cards.card(F.lit("PI"), F.col("p_brand"))),
         F.when(k % 17 == 0, F.array().cast("array<binary>")).otherwise(F.array(cards.card(F.lit("CY"), F.concat(F.lit("TOWN "), (k % 10).cast("string"))))),
         F.array(cards.card(F.lit("ST"), F.substring("p_type", 1, 20))),
-        _many("SF", [F.lit("CRIS"), F.when(k % 3 == 0, F.lit("CSRS")).otherwise(none)]),
+        _many("SF", [F.lit("MAIN"), F.when(k % 3 == 0, F.lit("CSRS")).otherwise(none)]),
         _many("IN", [F.concat(F.lit("SMITH "), k.cast("string"))] + [F.when(k % 9 >= i, F.lit(f"JONES {i}")).otherwise(none) for i in range(1, 9)]),
         column("RP", "R101", "R999"), column("AC", "A0100", "A0200"), column("CM", "C0100", "C0200"), column("FS", "F0100", "F0200"),
         _many("CT", [F.when(two, F.lit("050%")).otherwise(F.lit("100%")), F.when(two & (k % 11 == 0), F.lit("040%")).when(two, F.lit("050%")).otherwise(none)]),

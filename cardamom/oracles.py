@@ -68,7 +68,7 @@ SQL = {
     "i7_merged_terms": f"{CHAT} SELECT term, count(DISTINCT ord) AS items FROM c GROUP BY term",
     "i8_occurrences": f"{CHAT} SELECT code, count(*) AS n FROM c GROUP BY code",
     "i9_mismatches": """WITH n AS (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a, count(*) FILTER (role = 'system') AS s, count(*) AS r FROM conversations GROUP BY 1)
-SELECT 'dialog' AS set_name, conv_id AS ord FROM n WHERE u <> a UNION ALL SELECT 'system', conv_id FROM n WHERE s <> r""",
+SELECT 'talk' AS set_name, conv_id AS ord FROM n WHERE u <> a UNION ALL SELECT 'system', conv_id FROM n WHERE s <> r""",
     "i10_shards": f"{DOC}, w AS (SELECT DISTINCT term, ord FROM d) SELECT '/TX' AS code, CASE WHEN regexp_matches(term, '^[A-Z0-9]') THEN substr(term, 1, 1) ELSE '_' END AS shard, count(*) AS postings, count(DISTINCT term) AS terms FROM w GROUP BY ALL",
     "i11_alias": f"{PART} SELECT DISTINCT ord FROM w WHERE term LIKE 'S%'",
     "k1_index_files": f"{DOC}, w AS (SELECT DISTINCT term, ord FROM d) SELECT '/TX' AS code, CASE WHEN regexp_matches(term, '^[A-Z0-9]') THEN substr(term, 1, 1) ELSE '_' END AS shard, count(*) AS n FROM w GROUP BY ALL",
@@ -160,12 +160,12 @@ SELECT c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS alnum,
  UNION ALL SELECT 'CY', 1 FROM n WHERE k % 17 <> 0 UNION ALL SELECT 'ZZ', 1 FROM n WHERE k % 23 = 0 UNION ALL SELECT unnest(['SN', 'SC']), 1 FROM n WHERE k % 29 = 0) SELECT tag, count(*) AS n, sum(c)::BIGINT AS lines FROM k GROUP BY tag""",
     "a14_orphans": f"{_CARD} SELECT an FROM p WHERE k % 13 = 0",
     "a15_values": f"""{_CARD} SELECT an, 'IN' AS tag, i AS value_seq, CASE WHEN i = 0 THEN 'SMITH ' || k ELSE 'JONES ' || i END AS raw, i > 0 AS continuation FROM p, range(0, 9) r(i) WHERE i <= k % 9
- UNION ALL SELECT an, 'SF', i, CASE WHEN i = 0 THEN 'CRIS' ELSE 'CSRS' END, i > 0 FROM p, range(0, 2) r(i) WHERE i = 0 OR k % 3 = 0
+ UNION ALL SELECT an, 'SF', i, CASE WHEN i = 0 THEN 'MAIN' ELSE 'CSRS' END, i > 0 FROM p, range(0, 2) r(i) WHERE i = 0 OR k % 3 = 0
  UNION ALL SELECT an, 'CT', i, CASE WHEN k % 2 = 0 THEN '100%' WHEN i = 1 AND k % 11 = 0 THEN '040%' ELSE '050%' END, i > 0 FROM p, range(0, 2) r(i) WHERE i <= k % 2""",
     "a16_titles": f"{_CARD} SELECT an, t AS raw FROM p",
     "a18_headings": f"{_CARD} SELECT an, 'R101' AS code, 'SOILS ' || k % 5 AS label, 2 AS parts FROM p",
     "a20_geometry": f"{_CARD} SELECT an, 1 + k % 9 AS lines, 0::BIGINT AS drift FROM p",
-    "a23_json": "SELECT p_partkey AS ord, '{\"ord\":' || p_partkey || ',\"fields\":[{\"tag\":\"BR\",\"values\":[\"' || p_brand || '\"]},{\"tag\":\"SZ\",\"values\":[\"' || p_size || '\"]}]}' AS json FROM part WHERE p_partkey % 10 = 0",
+    "a23_json": "SELECT p_partkey AS ord, '{\"ord\":' || p_partkey || ',\"fields\":[{\"tag\":\"BR\",\"values\":[\"' || p_brand || '\"]},{\"tag\":\"SZ\",\"values\":[\"' || p_size || '\"]}]}' AS json FROM part",
     "a25_fixity": "SELECT true AS ok, true AS some FROM region LIMIT 1",
     "a26_provenance": "SELECT c_custkey, 'RG' || lpad((c_custkey % 200)::VARCHAR, 3, '0') AS record_group, CASE WHEN c_custkey % 300 + 10 < 100 THEN (c_custkey % 300 + 10)::INT END AS fiscal_year FROM customer",
     "a27_prefix": "SELECT true AS within FROM region LIMIT 1",
@@ -178,7 +178,7 @@ SELECT an, an AS accession, CASE WHEN len(t) <= 100 THEN t END AS title, CASE WH
  CASE WHEN k % 2 = 0 THEN 1 END::INT AS rp_codes, tier LIKE 'certified%' AS certified, coalesce(problems, 0) AS problems FROM tier LEFT JOIN c USING (an)""",
     "d1_accession_lines": f"{_CARD} SELECT an, ' 0' || an AS line FROM p",
     "d2_brief": f"{_CARD} SELECT ' 0' || an AS accession, 'P-' || k AS project, 'SMITH ' || k AS investigator, p_brand AS location, t AS title FROM p",
-    "d3_chosen_fields": f"{_CARD} SELECT an, 'CRIS|' || CASE WHEN k % 3 = 0 THEN 'CSRS|' ELSE '' END || CASE WHEN k % 2 = 0 THEN 'R101|A0100|C0100|F0100|100%' ELSE 'R101|R999|A0100|A0200|C0100|C0200|F0100|F0200|050%|' || CASE WHEN k % 11 = 0 THEN '040%' ELSE '050%' END END AS values FROM p",
+    "d3_chosen_fields": f"{_CARD} SELECT an, 'MAIN|' || CASE WHEN k % 3 = 0 THEN 'CSRS|' ELSE '' END || CASE WHEN k % 2 = 0 THEN 'R101|A0100|C0100|F0100|100%' ELSE 'R101|R999|A0100|A0200|C0100|C0200|F0100|F0200|050%|' || CASE WHEN k % 11 = 0 THEN '040%' ELSE '050%' END END AS values FROM p",
     "d4_full_record": """WITH n AS (SELECT conv_id AS ord, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a, count(*) FILTER (role = 'system') AS s, coalesce(len(arg_min(text, turn) FILTER (role = 'user')), 0) AS f FROM conversations GROUP BY 1)
 SELECT ord, f::INT AS first_user, a::INT AS answers, nullif(greatest(u, a), 0)::INT AS rows, nullif(greatest(u, s), 0)::INT AS pairs FROM n""",
 }

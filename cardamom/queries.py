@@ -77,7 +77,7 @@ def i8_occurrences(spark, d):
 
 @query
 def i9_mismatches(spark, d):
-    return index.count_mismatches(C.chat(spark, d), {"dialog": ("US", "AS"), "system": ("RO", "SY")})
+    return index.count_mismatches(C.chat(spark, d), {"talk": ("US", "AS"), "system": ("RO", "SY")})
 
 
 @query
@@ -622,7 +622,7 @@ def a20_geometry(spark, d):
 @query
 def a23_json(spark, d):
     v = C.parts(spark, d)
-    return display.record_json(v.where("tag in ('BR', 'SZ')").withColumn("field_seq", F.when(F.col("tag") == "BR", 1).otherwise(2)), C.table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("ord")))
+    return display.record_json(v.where("tag in ('BR', 'SZ')").withColumn("field_seq", F.when(F.col("tag") == "BR", 1).otherwise(2)), C.table(spark, d, "part").select(F.col("p_partkey").alias("ord")))
 
 
 @query
@@ -643,7 +643,7 @@ def a25_fixity(spark, d):
 
 @query
 def a26_provenance(spark, d):
-    names = C.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("/a/RG"), F.lpad((F.col("c_custkey") % 200).cast("string"), 3, "0"), F.lit(".CRIS.FY"), (F.col("c_custkey") % 300 + 10).cast("string"), F.lit(".txt")).alias("f"))
+    names = C.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("/a/RG"), F.lpad((F.col("c_custkey") % 200).cast("string"), 3, "0"), F.lit(".CARDS.FY"), (F.col("c_custkey") % 300 + 10).cast("string"), F.lit(".txt")).alias("f"))
     return names.select("c_custkey", cards.provenance(F.col("f")).alias("p")).select("c_custkey", "p.record_group", "p.fiscal_year")
 
 

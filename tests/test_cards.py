@@ -15,7 +15,7 @@ def line(tag, data=b"", end=b"\r\n"):
 def folder(*files):
     d = tempfile.mkdtemp(prefix="spark-")
     for i, content in enumerate(files):
-        with open(os.path.join(d, f"RG{i}64.CRIS.FY9{i}.txt"), "wb") as f:
+        with open(os.path.join(d, f"RG{i}64.CARDS.FY9{i}.txt"), "wb") as f:
             f.write(b"".join(content))
     return "file://" + d
 
@@ -56,7 +56,7 @@ def test_two_files_and_provenance(spark):
     path = folder([line(b"$$"), line(b"AN", b"1")], [line(b"$$"), line(b"AN", b"2"), line(b"$$"), line(b"AN", b"3")])
     recs = cards.records(cards.lines(spark, path))
     assert [r["an"] for r in cards.spans(recs).orderBy("ord").collect()] == ["1", "2", "3"]
-    p = spark.createDataFrame([("/x/RG164.CRIS.FY94.txt",), ("/FY88/y.txt",), ("/RG1.FY1994.txt",)], "f string").select(cards.provenance(F.col("f")).alias("p")).collect()
+    p = spark.createDataFrame([("/x/RG164.CARDS.FY94.txt",), ("/FY88/y.txt",), ("/RG1.FY1994.txt",)], "f string").select(cards.provenance(F.col("f")).alias("p")).collect()
     assert [(r["p"]["record_group"], r["p"]["fiscal_year"]) for r in p] == [("RG164", 94), (None, None), (None, None)]
 
 
@@ -73,7 +73,7 @@ def vals_of(spark, rows):
     return df.withColumn("raw_bytes", F.encode("raw", "ISO-8859-1"))
 
 
-GOOD = [("AN", "1234567"), ("PN", "P"), ("TI", "T"), ("PI", "I"), ("CY", "C"), ("ST", "S"), ("IN", "N"), ("SF", "CRIS")]
+GOOD = [("AN", "1234567"), ("PN", "P"), ("TI", "T"), ("PI", "I"), ("CY", "C"), ("ST", "S"), ("IN", "N"), ("SF", "MAIN")]
 
 
 def kinds(spark, extra, drop=()):
