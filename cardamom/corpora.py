@@ -80,6 +80,9 @@ def _many(label: str, items: list):
     return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
 
+_VALUE = "array<struct<tag:string,field_seq:int,value_seq:int,raw:string>>"
+
+
 def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, cards): a record per part, with faults by its key; the file's first and last line at either end."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), "p_name", "p_brand", "p_type")
@@ -111,6 +114,33 @@ def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(k.alias("ord"), all_.alias("cards")).union(first).union(last)
 
 
+def faulty_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, tag, field_seq, value_seq, raw, raw_bytes): a record per part, sound but for one fault that its key chooses."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("ord"), "p_name", "p_brand", "p_type")
+    k, sep = F.col("ord"), cards.SEPARATOR
+    fault = k % 12
+    one = lambda tag, raw, field=1, seq=0: F.struct(F.lit(tag).alias("tag"), F.lit(field).alias("field_seq"), F.lit(seq).alias("value_seq"), raw.alias("raw"))
+    when = lambda n, *items: F.when(fault == n, F.array(*items)).otherwise(F.array().cast(_VALUE))
+    five = [one(t, F.lit(x), seq=i) for t, xs in (("AC", ("A0100", "A0200")), ("CM", ("C0100", "C0200")), ("FS", ("F0100", "F0200")), ("RP", ("R101", "R102")), ("CT", ("060%", "040%")), ("PA", ("P0100", "P0200"))) for i, x in enumerate(xs)]
+    every = F.concat(
+        F.array(
+            one("AN", F.when(fault == 2, "12345X7").otherwise(F.lpad(k.cast("string"), 7, "0"))), one("PN", F.lit("P")), one("TI", F.when(fault == 3, "T\u00c9").otherwise(F.col("p_name"))),
+            one("PI", F.col("p_brand")), one("CY", F.lit("TOWN")), one("ST", F.lit("ST")), one("IN", F.lit("SMITH")), one("SF", F.lit("MAIN")), one("PH", F.when(fault == 4, "R101").otherwise(f"R101{sep}SOILS")),
+        ),
+        F.when(k % 5 == 0, F.array(one("OB", F.col("p_type")))).otherwise(F.array().cast(_VALUE)),
+        when(0, *five, one("SC", F.lit(f"C1{sep}WHEAT"))),
+        when(1, one("PN", F.lit("Q"), field=2)),
+        when(5, one("DE", F.lit("K" * 61))),
+        when(6, one("\u00c91", F.lit("x"))),
+        when(7, one("AC", F.lit("A0100"))),
+        when(8, one("SN", F.lit("1")), one("SN", F.lit("2"), seq=1), one("SC", F.lit(f"C1{sep}WHEAT"))),
+        when(9, *[one(t, F.lit(x)) for t, x in (("AC", "A0100"), ("CM", "C0100"), ("FS", "F0100"), ("RP", "R101"), ("CT", "5X0%"))]),
+        when(10, one("FY", F.lit("199"))),
+        when(11, one("HP", F.lit("x"))),
+    )
+    return p.select("ord", F.inline(every)).withColumn("raw_bytes", F.encode("raw", "ISO-8859-1"))
+
+
 class CardFiles:
     """Card files made of the part table in the shared folder, and what is read from them."""
 

@@ -65,6 +65,8 @@ UNMODELED = ("HP",)
 YEARS = ("FY", "GY")
 HEADING_PARTS = {"PH": 2, "GH": 2, "SC": 3}
 FIVE = ("AC", "CM", "FS", "RP", "CT")
+COLUMNS = (*FIVE, "PA", "JC")
+NARRATIVES = ("OB", "AP", "DE", "PR", "PB")
 KEYWORD_BYTES = 60
 #: Kinds of problems that do not show a record to differ from its documentation.
 MISS, NOT_MODELED = "rpa_not_attested", "not_modeled"
@@ -197,3 +199,28 @@ def census(vals: DataFrame, total: int | Column) -> DataFrame:
     size = F.octet_length("raw_bytes")
     return vals.groupBy("tag").agg(F.countDistinct("ord").alias("records"), (F.countDistinct("ord") / total).alias("presence"), F.count("*").alias("n"), F.min(size).alias("least"), F.max(size).alias("most"), bad.alias("not_utf8"))
 
+
+
+def _sound(ids: DataFrame, found: DataFrame, *groups: str) -> DataFrame:
+    """(ord, and a boolean per group: no problem in it)."""
+    of = found.groupBy("ord").agg(*[F.bool_or(F.col("grp") == g).alias(g) for g in groups])
+    return ids.select("ord").join(of, "ord", "left").select("ord", *[(~F.coalesce(F.col(g), F.lit(False))).alias(g) for g in groups])
+
+
+def summary(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """(records, identified, with_problems): records in all, with a sound identity, and the others."""
+    ok = _sound(ids, found, "identity")
+    return ok.agg(F.count("*").alias("records"), F.count_if("identity").alias("identified"), F.count_if(~F.col("identity")).alias("with_problems"))
+
+
+def overview(ids: DataFrame, vals: DataFrame, found: DataFrame) -> DataFrame:
+    """(ord, column_codes, SC, PH, GH, and whether each narrative is there); null for a group with a problem."""
+    n = lambda *tags: F.count_if(F.col("tag").isin(*tags))
+    counts = {"column_codes": n(*COLUMNS), **{t: n(t) for t in HEADING_PARTS}}
+    per = vals.groupBy("ord").agg(*[c.alias(name) for name, c in counts.items()], *[F.bool_or((F.col("tag") == t) & (F.octet_length("raw_bytes") > 0)).alias(t) for t in NARRATIVES])
+    df = _sound(ids, found, "classification", "narrative").join(per, "ord", "left")
+    return df.select(
+        "ord",
+        *[F.when(F.col("classification"), F.coalesce(name, F.lit(0))).alias(name) for name in counts],
+        *[F.when(F.col("narrative"), F.coalesce(t, F.lit(False))).alias(t) for t in NARRATIVES],
+    )

@@ -170,6 +170,14 @@ SELECT c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS alnum,
     "a26_provenance": "SELECT c_custkey, 'RG' || lpad((c_custkey % 200)::VARCHAR, 3, '0') AS record_group, CASE WHEN c_custkey % 300 + 10 < 100 THEN (c_custkey % 300 + 10)::INT END AS fiscal_year FROM customer",
     "a27_prefix": "SELECT true AS within FROM region LIMIT 1",
     "v_problems": f"{_PROBLEMS} SELECT * FROM q",
+    "v_fault_kinds": """SELECT p_partkey AS ord, (['repeated', 'accession', 'not_utf8', 'heading_parts', 'long_keyword', 'tag_not_ascii', 'column_counts', 'pair_counts', 'percent_number', 'length', 'not_modeled'])[p_partkey % 12] AS kind,
+ (['PN', 'AN', 'TI', 'PH', 'DE', 'É1', 'RP', 'SN', 'CT', 'FY', 'HP'])[p_partkey % 12] AS tag FROM part WHERE p_partkey % 12 <> 0""",
+    "g9_summary": "SELECT count(*) AS records, count(*) FILTER (p_partkey % 12 NOT IN (1, 2)) AS identified, count(*) FILTER (p_partkey % 12 IN (1, 2)) AS with_problems FROM part",
+    "g9_overview": """WITH p AS (SELECT p_partkey AS ord, p_partkey % 12 AS f, p_partkey % 12 NOT IN (4, 7, 8, 9) AS ok FROM part)
+SELECT ord, CASE WHEN ok THEN CASE WHEN f = 0 THEN 12 ELSE 0 END END::BIGINT AS column_codes, CASE WHEN ok THEN CASE WHEN f = 0 THEN 1 ELSE 0 END END::BIGINT AS subcommodities, CASE WHEN ok THEN 1 END::BIGINT AS headings,
+ CASE WHEN f <> 5 THEN ord % 5 = 0 END AS objectives, CASE WHEN f <> 5 THEN false END AS descriptors FROM p""",
+    "f17_excerpts": """WITH h AS (SELECT doc_id, text, hex(encode(text)) AS x FROM documents)
+SELECT doc_id, CASE WHEN substr(x, 49, 1) IN ('8', '9', 'A', 'B') THEN substr(x, 1, 48) ELSE decode(unhex(substr(x, 1, 48))) END AS excerpt FROM h""",
     "g6_tiers": f"{_TIERS} SELECT an, tier FROM tier",
     "g7_tally": f"{_TIERS} SELECT count(*) AS total, count(*) FILTER (tier LIKE 'certified%') AS certified, count(*) FILTER (tier = 'certified_undocumented') AS certified_undocumented, count(*) FILTER (tier = 'certified_rpa_absence') AS certified_rpa_absence, count(*) FILTER (tier = 'failed') AS failed, 0::BIGINT AS unreadable, count(*) FILTER (tier = 'unmodeled_only') AS unmodeled_only FROM tier",
     "g8_histogram": f"{_PROBLEMS} SELECT tag || ' ' || kind AS bucket, count(*) AS n FROM q GROUP BY 1",

@@ -534,6 +534,11 @@ def a21_offsets(spark, d):
     return o.select("o_orderkey", text.line_offset(F.col("o_orderkey")).alias("offset"), text.offset_line(text.line_offset(F.col("o_orderkey")) + 81).alias("line"))
 
 
+@query
+def f17_excerpts(spark, d):
+    return C.table(spark, d, "documents").select("doc_id", text.excerpt(F.encode("text", "UTF-8")).alias("excerpt"))
+
+
 # card files
 
 
@@ -669,6 +674,29 @@ def v_problems(spark, d):
     return p.join(f.spans, "ord").select("an", "kind", "tag")
 
 
+def _faulty(spark, d):
+    vals = C.faulty_parts(spark, d)
+    ids = C.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("ord"))
+    return ids, vals, rules.problems(vals, ids)
+
+
+@query
+def v_fault_kinds(spark, d):
+    return _faulty(spark, d)[2].select("ord", "kind", "tag")
+
+
+@query
+def g9_summary(spark, d):
+    ids, _, p = _faulty(spark, d)
+    return rules.summary(ids, p)
+
+
+@query
+def g9_overview(spark, d):
+    r = rules.overview(*_faulty(spark, d))
+    return r.select("ord", "column_codes", F.col("SC").alias("subcommodities"), F.col("PH").alias("headings"), F.col("OB").alias("objectives"), F.col("DE").alias("descriptors"))
+
+
 @query
 def g6_tiers(spark, d):
     f, ids, p = _audit(spark, d)
