@@ -166,6 +166,9 @@ SELECT c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS alnum,
     "a18_headings": f"{_CARD} SELECT an, 'R101' AS code, 'SOILS ' || k % 5 AS label, 2 AS parts FROM p",
     "a20_geometry": f"{_CARD} SELECT an, 1 + k % 9 AS lines, 0::BIGINT AS drift FROM p",
     "a23_json": "SELECT p_partkey AS ord, '{\"ord\":' || p_partkey || ',\"fields\":[{\"tag\":\"BR\",\"values\":[\"' || p_brand || '\"]},{\"tag\":\"SZ\",\"values\":[\"' || p_size || '\"]}]}' AS json FROM part",
+    "a24_range_faults": """WITH o AS (SELECT l_orderkey AS ord, max(l_linenumber)::BIGINT AS b FROM lineitem GROUP BY 1),
+s AS (SELECT ord, ord // 1000 AS file, ord * 7 + CASE WHEN ord % 40 = 0 THEN 9 ELSE 0 END AS a, ord * 7 + b - 1 AS z FROM o), n AS (SELECT *, lead(a) OVER (PARTITION BY file ORDER BY a, ord) AS later FROM s),
+f AS (SELECT ord, CASE WHEN z < a THEN 'inverted' WHEN ord % 64 = 3 THEN 'short' WHEN later <= z THEN 'overlap' END AS fault FROM n) SELECT * FROM f WHERE fault IS NOT NULL""",
     "a25_fixity": "SELECT true AS ok, true AS some FROM region LIMIT 1",
     "a26_provenance": "SELECT c_custkey, 'RG' || lpad((c_custkey % 200)::VARCHAR, 3, '0') AS record_group, CASE WHEN c_custkey % 300 + 10 < 100 THEN (c_custkey % 300 + 10)::INT END AS fiscal_year FROM customer",
     "a27_prefix": "SELECT true AS within FROM region LIMIT 1",
