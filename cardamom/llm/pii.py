@@ -3,7 +3,8 @@
 Base kinds (email, ip, card, phone) are decided by pattern and checksum alone.
 Further kinds are proposed loosely and scored: a start score for the pattern,
 more for a confirmed checksum, more or less for words within CONTEXT characters
-before or after. A span is kept from THRESHOLD on.
+before or after. A span is kept from THRESHOLD on. Words nearby never bring an
+account number with a right checksum or a key with a known prefix below it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an account number by country, as registered under ISO 13616.
+_IBAN_LENGTH = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+        "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+        "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,64})(?![A-Za-z0-9_])")
 _NEAR = {
@@ -36,7 +46,7 @@ _NEAR = {
     "secret": re.compile(r"token|secret|password|passwd|api[_ -]?key|access[_ -]?key|credential", re.I),
     "number": re.compile(r"card|visa|credit|karte|carte|tarjeta|account|konto", re.I),
 }
-_AGAINST = re.compile(r"isbn|issn|version|commit|sha-?1|sha-?256|md5|checksum|order|invoice", re.I)
+_AGAINST = re.compile(r"(?<![^\W\d_])(?:isbn|issn|version|commit|sha-?1|sha-?256|md5|checksum|order(?!\s+to\b)|invoice)s?(?![^\W\d_])", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -71,6 +81,25 @@ def _small(part: str) -> bool:
     return len(part) < 4 and int(part or 0) <= 255
 
 
+def ibans(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, confirmed) of what may be account numbers.
+
+    What follows an account number may look like more of it, so the end is the
+    one at its country's length. Of other countries, the last end of a group at
+    which the checksum holds. The next is sought behind a confirmed one, and
+    behind the start of any other.
+    """
+    m = _IBAN.search(text)
+    while m:
+        ends = [i for i, c in enumerate(m[0]) if c == " "] + [len(m[0])]
+        size = _IBAN_LENGTH.get(m[0][:2])
+        bare = {i: m[0][:i].replace(" ", "") for i in ends}
+        tried = [i for i in ends if len(bare[i]) == size] + ends[-1:] if size else [i for i in reversed(ends) if len(bare[i]) >= 15]
+        end = next((i for i in tried if mod97(bare[i])), None)
+        yield m.start(), m.start() + (end or len(m[0])), end is not None
+        m = _IBAN.search(text, m.start() + (end or 1))
+
+
 def _context(text: str, a: int, b: int, kind: str) -> float:
     near = text[max(0, a - CONTEXT) : a] + " " + text[b : b + CONTEXT]
     return 0.6 * bool(_NEAR[kind].search(near)) - 0.5 * bool(_AGAINST.search(near))
@@ -91,17 +120,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def scored_spans(text: str) -> list[tuple[str, int, int, float]]:
     """Spans of the further kinds with their scores, those under the threshold included."""
     found = []
-    for m in _IBAN.finditer(text):
-        bare = m[0].replace(" ", "")
-        ok = 15 <= len(bare) <= 34 and mod97(bare)
-        found.append(("iban", m.start(), m.end(), 0.3 + 0.7 * ok + _context(text, *m.span(), "iban")))
+    for a, b, ok in ibans(text):
+        found.append(("iban", a, b, max(THRESHOLD * ok, 0.3 + 0.7 * ok + _context(text, a, b, "iban"))))
     for m in _NATIONAL.finditer(text):
         area, group, serial = m[0].split("-")
         ok = area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
         found.append(("national_id", m.start(), m.end(), 0.4 + 0.3 * ok - 0.7 * (not ok) + _context(text, *m.span(), "national_id")))
     for m in _SECRET.finditer(text):
         known = not re.fullmatch("[0-9a-f]+", m[0])
-        found.append(("secret", m.start(), m.end(), 0.5 + 0.5 * known + _context(text, *m.span(), "secret")))
+        found.append(("secret", m.start(), m.end(), max(THRESHOLD * known, 0.5 + 0.5 * known + _context(text, *m.span(), "secret"))))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 13 and luhn(digits):
