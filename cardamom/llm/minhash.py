@@ -134,10 +134,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, miss: float
     kind = "_doc_id long, n long, f1 long, f2 long, left array<long>, right array<long>"
     sig = written(base.mapInArrow(_signatures(k, parts, ROWS), kind), "signatures")
     real = sig.where("_doc_id is not null and n > 0")
+    repeated = written(real.groupBy("_doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("_doc_id"), "repeated")
+    repeats = not repeated.isEmpty()
     same = written(real.groupBy("f1", "f2", "n").agg(F.min("_doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "same")
-    of = written(real.select("_doc_id", "f1", "f2", "n").join(same, ["f1", "f2", "n"], "left").select("_doc_id", "n", F.coalesce("rep", "_doc_id").alias("rep")), "of")
+    of = written(real.select("_doc_id", "f1", "f2", "n").join(same, ["f1", "f2", "n"], "left").select("_doc_id", "f1", "f2", "n", F.coalesce("rep", "_doc_id").alias("rep")), "of")
 
-    reps = real.join(of.where("_doc_id <> rep").select("_doc_id").distinct(), "_doc_id", "left_anti")
+    # a representative is a set of a document: another set of the same doc_id may be a copy
+    copies = of.where("_doc_id <> rep").select("_doc_id", "f1", "f2", "n").distinct()
+    reps = real.join(copies, ["_doc_id", "f1", "f2", "n"], "left_anti")
+    reps = reps.dropDuplicates(["_doc_id", "f1", "f2", "n"]) if repeats else reps
     reps = written(reps.select("_doc_id", "n", "left", "right").repartition(_tasks(spark)), "reps")
     # every pair of keys, with the two places, names a table and a bucket in it
     keys = reps.select("_doc_id", F.posexplode("left").alias("i", "x"), "right").select("_doc_id", "i", "x", F.posexplode("right").alias("j", "y"))
@@ -147,7 +152,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, miss: float
     star = keys.join(buckets, "key").where("_doc_id <> first").select(F.col("_doc_id").alias("a"), F.col("first").alias("b"))
     near = written(linked_groups(star), "near")
 
-    members = near.join(reps.select(F.col("_doc_id").alias("node"), "n"), "node")
+    nodes = reps.select(F.col("_doc_id").alias("node"), "n")
+    members = near.join(nodes.groupBy("node").agg(F.sum("n").alias("n")) if repeats else nodes, "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     sizes = written(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")), "sizes")
     total = sizes.agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
@@ -165,25 +171,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, miss: float
         F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "other")).alias("g2"),
     )
     forest = task.groupBy("g", "g1", "g2").applyInArrow(_forest(k, percent), "a long, b long")
+    if repeats:  # a document of several sets links their representatives
+        forest = forest.union(of.where("_doc_id <> rep").join(repeated, "_doc_id", "left_semi").select("rep", "_doc_id").distinct())
     groups = written(linked_groups(forest).select(F.col("node").alias("rep"), "component"), "groups")
     ids = of.join(groups, "rep", "left").select("_doc_id", F.coalesce("component", "rep").alias("c"))
-    ids = written(ids.groupBy("_doc_id").agg(F.min("c").alias("c")), "ids") if _repeats(sig) else ids
+    ids = written(ids.groupBy("_doc_id").agg(F.min("c").alias("c")), "ids") if repeats else ids
     out = sig.select("_doc_id", F.col("n").alias("n_shingles")).join(ids.withColumnRenamed("_doc_id", "id"), F.col("_doc_id") == F.col("id"), "left")
     component = F.coalesce("c", "_doc_id")
     return out.select(F.col("_doc_id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """The rows of docs whose document is the one kept of its component, all columns unchanged."""
-    gone = near_duplicates(docs, percent, k).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(written(gone.distinct(), "gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of docs whose document is the one kept of its component, all columns unchanged.
+
+    Of the rows of one doc_id with equal texts one stays, the least by the other
+    columns. Rows without a doc_id all stay.
+    """
+    found = written(near_duplicates(docs, percent, k).select(F.col("doc_id").alias("_gone"), "kept"), "states")
+    kept = docs.join(written(found.where("not kept").select("_gone").distinct(), "gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    again = found.where("kept and _gone is not null").groupBy("_gone").agg(F.count("*").alias("rows")).where("rows > 1").select("_gone")
+    again = written(again, "again")
+    if again.isEmpty():
+        return kept
+    # only what stands in several rows is grouped
+    once = kept.join(again, kept["doc_id"] == F.col("_gone"), "left_anti")
+    several = kept.join(again, kept["doc_id"] == F.col("_gone"), "left_semi")
+    least = several.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_rest"))
+    return once.union(least.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns]))
 
 
 def _tasks(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _repeats(sig: DataFrame) -> bool:
-    """Whether some doc_id stands in several rows."""
-    ids = sig.where("_doc_id is not null").select("_doc_id")
-    return not ids.groupBy("_doc_id").count().where("count > 1").isEmpty()

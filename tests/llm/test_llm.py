@@ -109,6 +109,22 @@ def test_minhash_odd_rows(spark, odd):
     assert minhash.deduplicated(odd, 85).count() == len(ODD) - 3 and minhash.deduplicated(odd).columns == odd.columns
 
 
+def test_minhash_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    near_b, far = b.replace("b50", "z"), " ".join(f"c{i}" for i in range(20))
+    rows = [(3, a), (7, a), (7, b), (10, near_b), (12, b), (20, far), (20, far), (20, near_b.upper()), (30, far + " x"), (30, "one"), (40, "two"), (40, "three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df, 85).collect()}
+    assert got == {(3, 3), (7, 3), (10, 3), (12, 3), (20, 3), (30, 3), (40, 40)}
+
+
+def test_deduplicated_rows_of_one_document(spark):
+    rows = [(3, "a b c d e f", "s2", "en"), (3, "a b c d e f", "s1", "en"), (3, "other words", None, None), (4, "A b c d e f", "s1", "en"), (5, None, "s1", None), (5, None, "s1", None), (6, "x", "s1", None), (None, "n", "s", "en"), (None, "n", "s", "en")]
+    got = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 85)
+    assert got.columns == ["doc_id", "text", "source", "lang"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[6], *rows[7:]], key=str)
+
+
 def test_parts_meet_the_miss_rate():
     for s in (0.8, 0.85, 0.93):
         p = minhash.parts_for(s)
