@@ -31,13 +31,21 @@ DATE = "2000-01-01T00:00:00Z"
 
 
 def surt(url: str | None) -> str:
-    """The URL with its host reversed, lower-case, without scheme, www and default port: com,example)/path?query."""
-    m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#]*)([^#]*)", url or "")
+    """The URL with its host reversed, lower-case, without scheme, www and default port: com,example)/path?query.
+
+    Line ends count as the blank that archives hold for them; other control characters are percent-encoded.
+    """
+    m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#]*)([^#]*)", _line(url))
     host, rest = m[1].lower(), m[2]
     host, _, port = host.partition(":")
     host = re.sub(r"^www\d*\.", "", host)
     key = ",".join(reversed(host.split(".")))
-    return f"{key}{'' if port in ('', '80', '443') else ':' + port}){rest if rest.startswith('/') else '/' + rest}"
+    return _escaped(f"{key}{'' if port in ('', '80', '443') else ':' + port}){rest if rest.startswith('/') else '/' + rest}")
+
+
+def _escaped(key: str) -> str:
+    """The key with control characters percent-encoded: they separate the fields and lines of the index."""
+    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", key)
 
 
 def _line(value: str | None) -> str:

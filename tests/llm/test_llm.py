@@ -437,6 +437,18 @@ def test_warc_lookup(spark, data):
     assert warc.surt("HTTP://www.Example.COM:8080/A?b#c") == "com,example:8080)/A?b"
 
 
+def test_warc_control_characters_in_urls(spark):
+    rows = [(1, "http://a.org/x\ty", "one"), (2, "http://a\t.org/\x0b\x00z", "two"), (3, "\t", "three"), (4, "http://a.org/l\r\nm", "four"), (5, "http://a.org/x", "one")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect()}
+    assert got == {1: (3, "response", None), 2: (3, "response", None), 3: (5, "response", None), 4: (4, "response", None), 5: (3, "revisit", 1)}
+    folder = warc.write(df)
+    warc.build_index(warc.read(folder, spark), folder + "-index", block_lines=2)
+    index = warc.Index(spark, folder + "-index")
+    for page, url, _ in rows:
+        assert [h[0] for h in index.lookup(url)] == [page]
+
+
 def test_chat(spark, data):
     said = {1: "ab", 2: "abc", 3: "abc", 4: "abd", 5: "a", 6: "xyz", 7: "xy", 8: "b"}
     rows = [(c, i, "user" if i % 2 == 0 else "assistant", t) for c, s in said.items() for i, t in enumerate(s)]
