@@ -465,6 +465,27 @@ def test_chat(spark, data):
     assert {r["conv_id"]: (r["n_turns"], r["kept"]) for r in chat.collapsed(both).collect()} == {1: (3000, True), 2: (2999, False)}
 
 
+def test_chat_turns_that_are_null_or_equal(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 4000
+        row = lambda c, turn: spark.range(n).select(F.lit(c).alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit("user").alias("role"), F.format_string("%05d", "id").alias("text"))
+        df = row(1, None).union(row(2, 5).where(f"text < '{n - 1:05d}'")).union(row(3, 7).withColumn("text", F.concat(F.lit("x"), "text")))
+        assert all(r["place"] == int(r["text"].lstrip("x")) for r in chat.turns(df).collect())
+        assert {r["conv_id"]: (r["n_turns"], r["kept"]) for r in chat.collapsed(df).collect()} == {1: (n, True), 2: (n - 1, False), 3: (n, True)}
+        # the rows of one conversation lie in several ranges
+        seen = []
+        keep = chat.written
+        chat.written = lambda d, name: seen.append((name, keep(d, name))) or seen[-1][1]
+        try:
+            chat.turns(row(1, None)).count()
+        finally:
+            chat.written = keep
+        assert dict(seen)["ordered"].select("part").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_word_hashes_keep_words_apart():
     import pyarrow as pa
 
