@@ -70,6 +70,7 @@ def linked_groups(edges: DataFrame) -> DataFrame:
 
 
 def unique_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as keep it from clashing with a column."""
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
         name = f"_{name}"

@@ -2,25 +2,30 @@
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D; A-Z are lower-cased, all
 other bytes stay. Words and shingles are identified by 64-bit hashes with fixed
-parameters, so that every executor and every rerun gives the same values.
+parameters, so that every executor and every rerun gives the same values. A word
+is chained eight bytes at a time through a scramble that is not linear in them,
+a long one is a keyed BLAKE2b digest: no sum over places in which the
+contributions of a regular pattern could cancel.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_RNG = np.random.Generator(np.random.PCG64(20240917))
-_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The first n bytes of eight, as they lie in a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are digested one by one.
+CHAINED_BYTES = 64
 
 #: Bytes of text hashed at a time; a longer single text is one slice of its own.
 SLICE_BYTES = 1 << 20
@@ -33,20 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << (n - 1).bit_length()) if n else 1 << 16
-    if size not in _POWERS:
-        made = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        if size <= 2 * SLICE_BYTES:
-            _POWERS[size] = tuple(made)
-        return tuple(made)
-    return _POWERS[size]
-
-
 def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, offsets from 0, bytes) of runs of rows of about SLICE_BYTES; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -63,6 +54,24 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         a = b
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span raw[start:stop]."""
+    size = stop - start
+    h = mix(size.astype(np.uint64) * _ODD)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), np.uint64, padded, strides=(1,))  # the eight bytes from each place on
+    at = np.flatnonzero((size > 0) & (size <= CHAINED_BYTES))
+    done = 0
+    while len(at):
+        part = eight[start[at] + done] & _FIRST[np.minimum(size[at] - done, 8)]
+        h[at] = mix((h[at] ^ part) * _STEP + _ODD)
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > CHAINED_BYTES).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : stop[i]].tobytes(), digest_size=8, key=b"words").digest(), "little")
+    return h
+
+
 def word_hashes(offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words in order, and for each row where its words begin (one more at the end)."""
     if not len(raw):
@@ -76,11 +85,7 @@ def word_hashes(offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after = np.empty_like(space)
     after[-1], after[:-1] = True, before[1:] & ~space[1:] | space[1:]
     end = np.flatnonzero(after & ~space)
-    powers, inverse = _powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUE[raw] * powers[: len(raw)], out=sums[1:])
-    words = mix((sums[end + 1] - sums[start]) * inverse[start])
-    return words, np.searchsorted(start, offs)
+    return span_hashes(_LOWER[raw], start, end + 1), np.searchsorted(start, offs)
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +102,14 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     full = first[~short]
     h = np.zeros(len(full), np.uint64)
     for j in range(k):
-        h = h * _STEP + words[full + j]
+        h = (h ^ (h >> np.uint64(29))) * _STEP + words[full + j]
     out[~short] = h
     for row in np.flatnonzero((n > 0) & (n < k)):
         h = np.uint64(0)
         with np.errstate(over="ignore"):
             for w in words[at[row] : at[row + 1]]:
-                h = h * _STEP + w
-            out[bounds[row]] = h + np.uint64(k) * _BASE + np.uint64(n[row])
+                h = (h ^ (h >> np.uint64(29))) * _STEP + w
+            out[bounds[row]] = h + np.uint64(k) * _ODD + np.uint64(n[row])
     return mix(out), bounds
 
 

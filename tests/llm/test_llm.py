@@ -31,7 +31,7 @@ def docs(spark, data):
 @pytest.fixture(scope="module")
 def odd(spark):
     """The odd rows with columns whose names the operators use themselves."""
-    return spark.createDataFrame(ODD, DOCS).withColumns({c: F.lit(0) for c in ("rep", "component", "n", "size", "target", "length", "spans", "rank", "part", "k1", "id", "n_tokens", "row_id")})
+    return spark.createDataFrame(ODD, DOCS).withColumns({c: F.lit(0) for c in ("rep", "component", "n", "size", "target", "length", "spans", "rank", "part", "k1", "id", "n_tokens", "row_id", "z_", "t_", "s_", "copy_", "gone", "_gone", "rest", "row_", "text_", "m_", "key", "g", "side")})
 
 
 def words(text):
@@ -90,6 +90,7 @@ def test_minhash_against_brute_force(spark, docs, percent):
 
 def test_minhash_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(minhash, "BUCKET_DOCS", 5)
     base = [f"w{i}" for i in range(100)]
     rows = []
     for i in range(60):
@@ -101,6 +102,38 @@ def test_minhash_large_group_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def thue_morse(k):
+    """Two words of 2**k letters whose sums over places cancel for any even modulus."""
+    w = "a"
+    for _ in range(k):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_are_told_apart_by_content(spark):
+    pairs = [x for k in (4, 6, 10, 11) for x in thue_morse(k)]
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string"), 85).collect()
+    assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_minhash_common_passages_do_not_chain(spark, monkeypatch):
+    """Texts that share a third of their words are no candidates of each other, whatever buckets they meet in."""
+    rng = random.Random(3)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, common + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(200)]
+    rows += [(1000 + i, t.replace("c7 ", "x ", 1)) for i, t in rows[:20]]
+    sizes, keep = [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: sizes.append((name, keep(df, name))) or sizes[-1][1])
+    want, _ = brute_components(rows, 85)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert max(r["docs"] for r in dict(sizes)["sizes"].collect()) < 10
+
+
+def test_least_agreement():
+    assert minhash.least_agreement(0.85, 66) < 0.85 * 66 and minhash.least_agreement(0.5, 1, 0.6) == 1 and minhash.least_agreement(0.5, 1, 0.4) == 0
+
+
 def test_minhash_odd_rows(spark, odd):
     got = sorted(((r["doc_id"], r["component_id"], r["n_shingles"], r["kept"]) for r in minhash.near_duplicates(odd, 85).collect()), key=str)
     want = [(1, 1, 3, True), (2, 1, 3, False), (2, 1, 3, False), (3, 3, 0, True), (4, 4, 0, True), (5, 5, 1, True), (6, 6, 0, True), (7, 7, 1, True), (8, 7, 1, False), (9, 9, 1, True), (None, None, 3, True)]
@@ -282,6 +315,8 @@ def test_suffix_against_brute_force(spark, docs, monkeypatch, crowd):
     texts = [r["text"] for r in docs.limit(60).collect()]
     passage = texts[5][:230]
     texts += [rng.choice(texts)[: rng.randrange(50, 400)] + passage[rng.randrange(20) :] + str(i) + rng.choice(texts)[:80] for i in range(40)]
+    x, y = thue_morse(11)  # their blocks of 256 letters and more differ although sums over places are equal
+    texts += [texts[0][:40] + x[:256] + texts[1][:200], texts[0][:40] + y[:256] + texts[1][:200], x[:1024], y]
     texts += ["é" * 300, "ab" * 400, "ab" * 150, "", None, texts[3], "x" * 199, "x" * 200]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("k1", F.lit(0))
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix.without_repeats(df).collect()}
@@ -298,7 +333,7 @@ def test_suffix_odd_rows_and_tiles(spark, odd, monkeypatch):
     raw = [t.encode() for t in (long, long[700:1500])]
     runs = []
     for own, offs, b in suffix._tiles(raw, 200):
-        text, _, first, last, _, _ = suffix.runs(offs, b, 200, suffix.GRAM)
+        text, _, first, last, *_ = suffix.runs(offs, b, 200, suffix.GRAM)
         runs += [(own[t][0], own[t][1] + s - offs[t]) for t, f, e in zip(text, first, last, strict=True) for s in range(f, e + 1)]
     assert sorted(runs) == [(0, i) for i in range(2801)] + [(1, i) for i in range(601)]
 
