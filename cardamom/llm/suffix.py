@@ -10,8 +10,9 @@ for candidates comes first, and only what it cannot decide is sorted.
    strings of one anchor form a run, the bytes they cover its context.
 2. An anchor that occurs once in the corpus has no repeated string. If all
    contexts of an anchor are equal, all of its strings are repeated; so are those
-   of a context that occurs twice. What remains is one context of each kind,
-   mostly at the borders of what is repeated.
+   of a context that occurs twice. Contexts are equal if their bytes have one
+   keyed BLAKE2b digest of 128 bits (context and proof). What remains is one
+   context of each kind, mostly at the borders of what is repeated.
 3. The remaining contexts of an anchor are sorted: suffixes at places 1 and 2 mod
    3 by the names of their triples, recursively; the others from these; both are
    merged; neighbours are compared over ``size`` bytes. Anchors are dealt out to
@@ -31,20 +32,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardamom.llm.common import written
-from cardamom.llm.wordhash import _powers, mix
+from cardamom.llm.wordhash import mix
 
 SIZE, GRAM = 200, 24
 #: Bytes whose strings are placed at a time, bytes sorted in one task's bin, contexts of an anchor that are sorted in one bin, places in the first blocks of others.
 TILE, BIN_BYTES, MOST_CONTEXTS, WIDEST = 1 << 20, 1 << 20, 2048, 64
 _POSITION = np.uint64((1 << 24) - 1)
-_BYTE = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: What tells one context from another.
+_KIND = ["anchor", "context", "proof"]
 
 
-def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    power, inverse = _powers(len(raw))
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * power[: len(raw)], out=out[1:])
-    return out, inverse
+def _digest(data) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, key=b"contexts").digest()
+
+
+def _grams(raw: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes (8 at least) from each place on."""
+    eight = np.ndarray((len(raw) - 7,), np.uint64, np.ascontiguousarray(raw), strides=(1,))
+    n = len(raw) - gram + 1
+    h = eight[:n].copy()
+    for o in [*range(8, gram - 7, 8), *([gram - 8] if gram % 8 else [])]:
+        h = (h ^ (h >> np.uint64(32))) * _STEP + eight[o : o + n]
+    return mix(h)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -58,12 +68,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(offs: np.ndarray, raw: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: text, place of the anchor, first and last start of each run, hashes of anchor and context."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    """Of texts laid end to end: text, place of the anchor, first and last start of each run, hash of the anchor, and both halves of the context's digest."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.int64, np.int64))
     if len(raw) < size:
         return none
-    sums, inverse = _sums(raw)
-    grams = mix((sums[gram:] - sums[:-gram]) * inverse[: len(raw) - gram + 1])
+    grams = _grams(raw, gram)
     order = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
     anchor = (_least(order, size - gram + 1) & _POSITION).astype(np.int64)  # of the string at each start
     text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(anchor)]
@@ -78,9 +87,12 @@ def runs(offs: np.ndarray, raw: np.ndarray, size: int, gram: int) -> tuple[np.nd
     # a run ends where its text has no more strings
     last = np.minimum(last, offs[text[first] + 1] - size)
     place = anchor[first]
-    context = mix((sums[last + size] - sums[first]) * inverse[first])
-    context = mix(context ^ ((place - first).astype(np.uint64) << np.uint64(32)) ^ (last - first).astype(np.uint64))
-    return text[first], place, first, last, grams[place], context
+    view = memoryview(np.ascontiguousarray(raw))
+    digests = b"".join([_digest(view[a:b]) for a, b in zip(first.tolist(), (last + size).tolist(), strict=True)])
+    context, proof = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+    # the same bytes at another distance from the anchor are another context
+    context = mix(context ^ (place - first).astype(np.uint64)).view(np.int64)
+    return text[first], place, first, last, grams[place], context, np.ascontiguousarray(proof).view(np.int64)
 
 
 def _tiles(texts: list[bytes], size: int) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
@@ -103,29 +115,28 @@ def _joined(held):
     return [(r, a) for r, a, _ in held], offs, np.frombuffer(b"".join(p for _, _, p in held), np.uint8)
 
 
-_MARKS = "row_id long, doc_id long, k1 long, k2 long, n_bytes long, anchor array<long>, context array<long>, place array<long>, before array<int>, after array<int>"
+_MARKS = "row_id long, doc_id long, digest string, anchor array<long>, context array<long>, proof array<long>, place array<long>, before array<int>, after array<int>"
 
 
 def _mark(size: int, gram: int):
-    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), *((c, pa.list_(t)) for c, t in (("anchor", pa.int64()), ("context", pa.int64()), ("place", pa.int64()), ("before", pa.int32()), ("after", pa.int32())))])
+    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.string()), *((c, pa.list_(t)) for c, t in (("anchor", pa.int64()), ("context", pa.int64()), ("proof", pa.int64()), ("place", pa.int64()), ("before", pa.int32()), ("after", pa.int32())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 texts = [t.as_buffer().to_pybytes() for t in part.column("text").cast(pa.binary())]
-                cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+                cols: list[list[np.ndarray]] = [[] for _ in range(7)]
                 for own, offs, raw in _tiles(texts, size):
-                    text, place, first, last, g, c = runs(offs, raw, size, gram)
+                    text, place, first, last, g, c, d = runs(offs, raw, size, gram)
                     row = np.array([r for r, _ in own])[text] if len(text) else text
                     shift = (np.array([x for _, x in own])[text] if len(text) else text) - offs[text]
-                    for held, x in zip(cols, (row, g.view(np.int64), c.view(np.int64), place + shift, place - first, last - place), strict=True):
+                    for held, x in zip(cols, (row, g.view(np.int64), c, d, place + shift, place - first, last - place), strict=True):
                         held.append(x)
-                row, g, c, place, before, after = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in cols)
+                row, g, c, d, place, before, after = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in cols)
                 cuts = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(x, t)) for x, t in ((g, pa.int64()), (c, pa.int64()), (place, pa.int64()), (before.astype(np.int32), pa.int32()), (after.astype(np.int32), pa.int32()))]
-                n = pa.array([len(t) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("row_id", "doc_id", "k1", "k2")), n, *lists], schema=schema)
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x, t)) for x, t in ((g, pa.int64()), (c, pa.int64()), (d, pa.int64()), (place, pa.int64()), (before.astype(np.int32), pa.int32()), (after.astype(np.int32), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("row_id", "doc_id", "digest")), *lists], schema=schema)
 
     return run
 
@@ -183,7 +194,7 @@ def _same(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarra
 
 def _sorted(size: int):
     """Of a bin of contexts: the runs of starts (as distance before the anchor) whose strings another context has too."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("high", pa.int32()), ("low", pa.int32())])
+    schema = pa.schema([*((c, pa.int64()) for c in _KIND), ("high", pa.int32()), ("low", pa.int32())])
 
     def run(t: pa.Table) -> pa.Table:
         texts = [x.as_buffer().to_pybytes() for x in t.column("bytes").combine_chunks()]
@@ -206,14 +217,14 @@ def _sorted(size: int):
         high = before[rows] - (edge - begin[rows])
         low = before[rows] - (stop - begin[rows])
         pick = pa.array(rows)
-        return pa.table([t.column("anchor").take(pick).combine_chunks(), t.column("context").take(pick).combine_chunks(), pa.array(high, pa.int32()), pa.array(low, pa.int32())], schema=schema)
+        return pa.table([*(t.column(c).take(pick).combine_chunks() for c in _KIND), pa.array(high, pa.int32()), pa.array(low, pa.int32())], schema=schema)
 
     return run
 
 
 def _cut_contexts(size: int):
     """The bytes of the contexts asked of each text."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([*((c, pa.int64()) for c in _KIND), ("before", pa.int32()), ("after", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +233,7 @@ def _cut_contexts(size: int):
                 raw = text.as_buffer().to_pybytes()
                 for w in wanted:
                     a = w["place"] - w["before"]
-                    rows.append((w["anchor"], w["context"], w["before"], w["after"], raw[a : w["place"] + w["after"] + size]))
+                    rows.append((w["anchor"], w["context"], w["proof"], w["before"], w["after"], raw[a : w["place"] + w["after"] + size]))
                 if len(rows) > 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
@@ -235,22 +246,22 @@ def _cut_contexts(size: int):
 def _blocks(size: int, width: int):
     """Of contexts, the blocks of ``width`` distances before the anchor that are asked for.
 
-    Each with the hash of the bytes that all strings of the block have in common
+    Each with the digest of the bytes that all strings of the block have in common
     and that of all bytes of its strings.
     """
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("block", pa.int32()), ("common", pa.int64()), ("whole", pa.int64()), ("high", pa.int32()), ("low", pa.int32())])
+    schema = pa.schema([*((c, pa.int64()) for c in _KIND), ("block", pa.int32()), ("common", pa.binary()), ("whole", pa.binary()), ("high", pa.int32()), ("low", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for anchor, context, before, after, raw, asked in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "before", "after", "bytes", "asked")), strict=True):
+            for anchor, context, proof, before, after, raw, asked in zip(*(batch.column(c).to_pylist() for c in (*_KIND, "before", "after", "bytes", "asked")), strict=True):
                 for block in range(-after // width, before // width + 1) if asked is None else asked:
                     low, high = max(block * width, -after), min(block * width + width - 1, before)
                     if low > high:
                         continue
-                    common = hashlib.blake2b(raw[before - block * width : before - (block * width + width - 1) + size], digest_size=8).digest()
-                    whole = hashlib.blake2b(raw[before - high : before - low + size] + bytes([low & 255, high & 255]), digest_size=8).digest()
-                    rows.append((anchor, context, block, int.from_bytes(common, "little", signed=True), int.from_bytes(whole, "little", signed=True), high, low))
+                    common = _digest(raw[before - block * width : before - (block * width + width - 1) + size])
+                    whole = _digest(raw[before - high : before - low + size] + bytes([low & 255, high & 255]))
+                    rows.append((anchor, context, proof, block, common, whole, high, low))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -258,28 +269,28 @@ def _blocks(size: int, width: int):
 
 
 def _by_halves(contexts: DataFrame, size: int) -> DataFrame:
-    """(anchor, context, high, low) as the sorted bins give it, for anchors with too many contexts for one of them.
+    """(anchor, context, proof, high, low) as the sorted bins give it, for anchors with too many contexts for one of them.
 
     Contexts that share what all strings of a block have in common are told
     apart in blocks of half the width, until they are equal or differ; a context
     has a few open blocks in each round, however many others the anchor has.
     """
     found, asked, width = [], contexts.withColumn("asked", F.lit(None).cast("array<int>")), WIDEST
-    kind = "anchor long, context long, block int, common long, whole long, high int, low int"
+    kind = "anchor long, context long, proof long, block int, common binary, whole binary, high int, low int"
     while True:
         rows = written(asked.mapInArrow(_blocks(size, width), kind), "blocks")
         key = ["anchor", "block", "common"]
         met = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1")
         met = written(met.select(*key, (F.col("w0") == F.col("w1")).alias("alike")), "blocks")
         rows = rows.join(met, key)
-        found.append(rows.where("alike").select("anchor", "context", "high", "low"))
+        found.append(rows.where("alike").select(*_KIND, "high", "low"))
         open_ = rows.where("not alike")
         if width == 1:
             break
         width //= 2
-        halves = open_.select("anchor", "context", F.explode(F.array(F.col("block") * 2, F.col("block") * 2 + 1)).alias("b"))
-        halves = written(halves.groupBy("anchor", "context").agg(F.collect_set("b").alias("asked")), "asked")  # size at most
-        asked = contexts.join(halves, ["anchor", "context"])
+        halves = open_.select(*_KIND, F.explode(F.array(F.col("block") * 2, F.col("block") * 2 + 1)).alias("b"))
+        halves = written(halves.groupBy(*_KIND).agg(F.collect_set("b").alias("asked")), "asked")  # size at most
+        asked = contexts.join(halves, _KIND)
     out = found[0]
     for df in found[1:]:
         out = out.union(df)
@@ -287,46 +298,47 @@ def _by_halves(contexts: DataFrame, size: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest): rows of one doc_id and digest have equal texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(1))})
+    return rows.withColumn("digest", F.sha2("text", 256))
 
 
 def repeated(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(marks, spans): a row per document, and (row_id, start, stop) of all bytes in repeated strings, overlaps included."""
     spark = docs.sparkSession
-    marks = written(_keyed(docs).withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "doc_id", "k1", "k2", "text").mapInArrow(_mark(size, gram), _MARKS), "marks")
-    zipped = F.explode(F.arrays_zip("anchor", "context", "place", "before", "after")).alias("x")
+    marks = written(_keyed(docs).withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "doc_id", "digest", "text").mapInArrow(_mark(size, gram), _MARKS), "marks")
+    zipped = F.explode(F.arrays_zip(*_KIND, "place", "before", "after")).alias("x")
     each = marks.select("row_id", zipped).select("row_id", "x.*")
-    shared = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
-    shared = written(shared.select("anchor", (F.col("c0") == F.col("c1")).alias("alike")), "shared")
+    shared = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"), F.min("proof").alias("p0"), F.max("proof").alias("p1")).where("n > 1")
+    shared = written(shared.select("anchor", F.expr("c0 = c1 and p0 = p1").alias("alike")), "shared")
     met = written(each.join(shared, "anchor"), "met")
     # one of each different context, where an anchor has several
-    kinds = met.where("not alike").groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("row_id", "place", "before", "after")).alias("x"))
-    kinds = written(kinds.select("anchor", "context", "copies", "x.*"), "kinds")
+    kinds = met.where("not alike").groupBy(*_KIND).agg(F.count("*").alias("copies"), F.min(F.struct("row_id", "place", "before", "after")).alias("x"))
+    kinds = written(kinds.select(*_KIND, "copies", "x.*"), "kinds")
 
-    wanted = kinds.groupBy("row_id").agg(F.collect_list(F.struct("anchor", "context", "place", "before", "after")).alias("wanted"))  # of one text
-    wanted = written(wanted.join(marks.select("row_id", "doc_id", "k1", "k2"), "row_id").withColumn("id", F.coalesce("doc_id", F.lit(-1))).select("id", "k1", "k2", "wanted"), "wanted")
-    texts = _keyed(docs).withColumn("id", F.coalesce("doc_id", F.lit(-1))).select("id", "k1", "k2", "text")
-    contexts = texts.join(wanted, ["id", "k1", "k2"]).select("text", "wanted").mapInArrow(_cut_contexts(size), "anchor long, context long, before int, after int, bytes binary")
+    wanted = kinds.groupBy("row_id").agg(F.collect_list(F.struct(*_KIND, "place", "before", "after")).alias("wanted"))  # of one text
+    wanted = written(wanted.join(marks.select("row_id", "doc_id", "digest"), "row_id").withColumn("id", F.coalesce("doc_id", F.lit(-1))).select("id", "digest", "wanted"), "wanted")
+    texts = _keyed(docs).withColumn("id", F.coalesce("doc_id", F.lit(-1))).select("id", "digest", "text")
+    contexts = texts.join(wanted, ["id", "digest"]).select("text", "wanted").mapInArrow(_cut_contexts(size), "anchor long, context long, proof long, before int, after int, bytes binary")
     many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
     crowded = written(many.where(F.col("kinds") > MOST_CONTEXTS).select("anchor"), "crowded")
     contexts = written(contexts, "contexts")
 
     total = contexts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BIN_BYTES))
-    few = contexts.join(crowded, "anchor", "left_anti").dropDuplicates(["anchor", "context"])
-    by_order = few.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(bins)).alias("bin")).applyInArrow(_sorted(size), "anchor long, context long, high int, low int")
+    few = contexts.join(crowded, "anchor", "left_anti").dropDuplicates(_KIND)
+    by_order = few.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(bins)).alias("bin")).applyInArrow(_sorted(size), "anchor long, context long, proof long, high int, low int")
 
     if not crowded.isEmpty():
-        by_order = by_order.union(_by_halves(written(contexts.join(crowded, "anchor", "left_semi").dropDuplicates(["anchor", "context"]), "crowded_contexts"), size))
-    found = by_order.groupBy("anchor", "context").agg(F.collect_set(F.struct("high", "low")).alias("parts"))  # size at most
+        by_order = by_order.union(_by_halves(written(contexts.join(crowded, "anchor", "left_semi").dropDuplicates(_KIND), "crowded_contexts"), size))
+    found = by_order.groupBy(*_KIND).agg(F.collect_set(F.struct("high", "low")).alias("parts"))  # size at most
     found = written(found, "found")
     sure = F.array(F.struct(F.col("before").alias("high"), (-F.col("after")).alias("low")))
     own = met.where("alike").select("row_id", "place", sure.alias("parts"))
-    copied = kinds.where("copies > 1").select("anchor", "context", F.lit(True).alias("copied"))
-    verdict = written(found.join(copied, ["anchor", "context"], "full_outer"), "verdicts")
-    rest = met.where("not alike").join(verdict, ["anchor", "context"]).select("row_id", "place", F.when(F.col("copied"), sure).otherwise(F.col("parts")).alias("parts"))
+    copied = kinds.where("copies > 1").select(*_KIND, F.lit(True).alias("copied"))
+    verdict = written(found.join(copied, _KIND, "full_outer"), "verdicts")
+    rest = met.where("not alike").join(verdict, _KIND).select("row_id", "place", F.when(F.col("copied"), sure).otherwise(F.col("parts")).alias("parts"))
     spans = own.union(rest).select("row_id", "place", F.explode("parts").alias("p"))
     return marks, spans.select("row_id", (F.col("place") - F.col("p.high")).alias("start"), (F.col("place") - F.col("p.low") + size).alias("stop"))
 
@@ -340,11 +352,11 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
     """
     marks, spans = repeated(docs, size, gram)
     every = spans.groupBy("row_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # of one text
-    cut = every.join(marks.select("row_id", "doc_id", "k1", "k2"), "row_id")
+    cut = every.join(marks.select("row_id", "doc_id", "digest"), "row_id")
     # equal texts of one id have equal spans
-    cut = written(cut.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("k1").alias("j1"), F.col("k2").alias("j2")).agg(F.first("spans").alias("spans")), "cuts")
+    cut = written(cut.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("digest").alias("of")).agg(F.first("spans").alias("spans")), "cuts")
     rows = _keyed(docs)
-    rows = rows.join(cut, (F.coalesce("doc_id", F.lit(-1)) == F.col("id")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")), "left")
+    rows = rows.join(cut, (F.coalesce("doc_id", F.lit(-1)) == F.col("id")) & (F.col("digest") == F.col("of")), "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
