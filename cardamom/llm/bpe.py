@@ -1,8 +1,8 @@
 """Word-piece boundaries and byte-pair merges of a tokenizer file (.json, byte-level, with word ends).
 
 Texts are cut into words by table look-ups over their code points, many texts at
-a time; words are told apart by a 64-bit hash, and each different word is merged
-once per worker. ``heap_merges`` counts merges with a heap and a linked list;
+a time. A hash only finds longer words that may be equal; their characters are
+compared. Each different word is merged once per worker. ``heap_merges`` counts merges with a heap and a linked list;
 ``merged_ids`` gives the ids of many words at once. A text that contains a
 special token's string goes to the tokenizer library itself.
 """
@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 import regex
 
+from cardamom.llm import wordhash
+
 _LETTER, _NUMBER, _OTHER = 1, 2, 3
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+_HASHED = np.uint64(1 << 63)
 #: Characters of text cut at a time, and words remembered by a worker, at most.
 SLICE_CHARS, REMEMBERED = 1 << 20, 250_000
 _QUOTE = ord("'")
@@ -110,8 +110,8 @@ class WordPieces:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
         return text.lower()
 
-    def words(self, texts: list[str]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Slices of texts: first text, the normalised slice, starts, ends and hashes of its words, and where each text's words begin."""
+    def words(self, texts: list[str]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Slices of texts: first text, the normalised slice and its code points, starts, ends and hashes of its words, and where each text's words begin."""
         a = 0
         while a < len(texts):
             part, n = [], 0
@@ -140,13 +140,9 @@ class WordPieces:
         bounds = np.flatnonzero(start | (kind == 0))
         is_word = start[bounds]
         begin, end = bounds[is_word], bounds[1:][is_word[:-1]]  # the last bound is the closing line end
-        power = _powers(len(code))
-        sums = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum((code * _SPREAD ^ (code.astype(np.uint64) << np.uint64(17)) + _BASE) * power[0][: len(code)], out=sums[1:])
-        h = (sums[end] - sums[begin]) * power[1][begin]
-        h = (h ^ (h >> np.uint64(32))) * _SPREAD + (end - begin).astype(np.uint64)
+        h = _word_keys(text, code, begin, end)
         rows = np.concatenate([[0], np.cumsum([len(p) + 1 for p in part])])
-        return text, begin, end, h, np.searchsorted(begin, rows)
+        return text, code, begin, end, h, np.searchsorted(begin, rows)
 
     def symbols(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
@@ -221,51 +217,78 @@ class WordPieces:
         return ids[order], np.bincount(of, minlength=len(words))
 
 
-def _powers(n: int, made: dict[int, tuple[np.ndarray, np.ndarray]] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    size = max(1 << 16, 1 << n.bit_length())
-    if size in made:
-        return made[size]
-    both = []
-    for base in (_BASE, _INVERSE):
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        both.append(np.multiply.accumulate(p))
-    if size <= 4 * SLICE_CHARS:
-        made[size] = tuple(both)
-    return tuple(both)
+def _word_keys(text: str, code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word: its own eight bytes if it is ASCII and that short, else a hash with the first bit set."""
+    size = end - begin
+    short = size <= 8
+    odd = (code == 0) | (code > 127)
+    if odd.any():
+        before = np.concatenate([[0], np.cumsum(odd)])
+        short &= before[end] == before[begin]
+    eight = np.ndarray((len(code) + 1,), np.uint64, np.concatenate([code.astype(np.uint8), np.zeros(8, np.uint8)]), strides=(1,))
+    keys = eight[begin] & wordhash.FIRST[np.minimum(size, 8)]
+    rest = np.flatnonzero(~short)
+    keys[rest] = wordhash.span_hashes(code.view(np.uint8), 4 * begin[rest], 4 * end[rest]) | _HASHED
+    return keys
+
+
+def _equal_words(code: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the characters of each word are those from ``other`` on; both have one length."""
+    size = end - begin
+    same = np.ones(len(begin), bool)
+    at = np.flatnonzero(other != begin)
+    done = 0
+    while len(at) and done < 16:  # most words are short
+        same[at] = code[begin[at] + done] == code[other[at] + done]
+        done += 1
+        at = at[same[at] & (size[at] > done)]
+    for i in at.tolist():
+        same[i] = np.array_equal(code[begin[i] + done : end[i]], code[other[i] + done : other[i] + size[i]])
+    return same
 
 
 class Remembered:
-    """Rows of values by word hash, made for words not met before; emptied when it holds too many."""
+    """Rows of values by word, made for words not met before; emptied when it holds too many."""
 
     def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.make = make
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
+        self.row: dict[str, int] = {}
         self.begin, self.count, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int64), 0
 
-    def rows(self, text: str, begin: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def rows(self, text: str, code: np.ndarray, begin: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
         """For each word its row: begin and count point into flat."""
         codes, unique = pd.factorize(h)
-        if len(self.row) + len(unique) > REMEMBERED:
-            self.clear()
         first = np.empty(len(unique), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        row, known = self.row, unique.tolist()
-        new = [i for i, x in enumerate(known) if x not in row]
+        of = first[codes]
+        same = end - begin == end[of] - begin[of]
+        hashed = np.flatnonzero(same & (h >= _HASHED))
+        same[hashed] = _equal_words(code, begin[hashed], end[hashed], begin[of[hashed]])
+        words = [text[i:j] for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+        # words whose hash is that of another one in this slice
+        odd = np.flatnonzero(~same)
+        if len(odd):
+            number = {w: i for i, w in enumerate(dict.fromkeys(text[begin[i] : end[i]] for i in odd))}
+            codes = codes.copy()
+            codes[odd] = [len(words) + number[text[begin[i] : end[i]]] for i in odd]
+            words += number
+        if len(self.row) + len(words) > REMEMBERED:
+            self.clear()
+        row = self.row
+        new = [w for w in words if w not in row]  # no word is there twice
         if new:
-            a, b = begin[first[new]].tolist(), end[first[new]].tolist()
-            flat, count = self.make([text[i:j] for i, j in zip(a, b, strict=True)])
+            flat, count = self.make(new)
             size = len(row)
             self._fit(size + len(new), self.used + len(flat))
             self.count[size : size + len(new)] = count
             self.begin[size : size + len(new)] = self.used + np.cumsum(count) - count
             self.flat[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-            row.update((known[i], size + k) for k, i in enumerate(new))
-        return np.array([row[x] for x in known], np.int64)[codes]
+            row.update(zip(new, range(size, size + len(new)), strict=True))
+        return np.fromiter(map(row.__getitem__, words), np.int64, len(words))[codes]
 
     def _fit(self, rows: int, values: int) -> None:
         while rows > len(self.begin):

@@ -31,9 +31,9 @@ def token_ids(path: str, texts: list[str]) -> Iterator[np.ndarray]:
     pieces = bpe.loaded(path)
     seen = _IDS.setdefault(path, bpe.Remembered(pieces.merged_ids))
     special = {i for i, t in enumerate(texts) if "<" in t and pieces.special.search(t)}
-    for first, text, begin, end, h, at in pieces.words(["" if i in special else t for i, t in enumerate(texts)]):
+    for first, text, code, begin, end, h, at in pieces.words(["" if i in special else t for i, t in enumerate(texts)]):
         if len(h):
-            row = seen.rows(text, begin, end, h)
+            row = seen.rows(text, code, begin, end, h)
             count = seen.count[row]
             sums = np.concatenate([[0], np.cumsum(count)])
             ids = seen.flat[np.repeat(seen.begin[row] - sums[:-1], count) + np.arange(sums[-1])]

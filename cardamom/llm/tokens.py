@@ -39,10 +39,10 @@ def count_texts(path: str, texts: list[str]) -> np.ndarray:
     plain = list(texts)
     for i in special:
         plain[i] = ""
-    for first, text, begin, end, h, at in pieces.words(plain):
+    for first, text, code, begin, end, h, at in pieces.words(plain):
         sums = np.zeros(len(h) + 1, np.int64)
         if len(h):
-            row = seen.rows(text, begin, end, h)
+            row = seen.rows(text, code, begin, end, h)
             np.cumsum(seen.flat[seen.begin[row]], out=sums[1:])
         out[first : first + len(at) - 1] = np.diff(sums[at])
     for i in special:

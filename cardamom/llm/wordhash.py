@@ -23,7 +23,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: The first n bytes of eight, as they lie in a little-endian number.
-_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Words of more bytes are digested one by one.
 CHAINED_BYTES = 64
 
@@ -63,7 +63,7 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
     at = np.flatnonzero((size > 0) & (size <= CHAINED_BYTES))
     done = 0
     while len(at):
-        part = eight[start[at] + done] & _FIRST[np.minimum(size[at] - done, 8)]
+        part = eight[start[at] + done] & FIRST[np.minimum(size[at] - done, 8)]
         h[at] = mix((h[at] ^ part) * _STEP + _ODD)
         done += 8
         at = at[size[at] > done]

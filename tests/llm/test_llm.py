@@ -237,6 +237,25 @@ def test_tokens_are_the_library_s(spark, docs, odd):
     assert tokens.counted(odd.limit(0), path).count() == 0
 
 
+def test_words_with_one_hash_have_their_own_tokens():
+    import zlib
+
+    path, (x, y) = tokenizer_path(), thue_morse(10)
+    lib = bpe.loaded(path).library()
+    texts = [x, y, f"{x} {y} a {x}", y + "b", x[:64], y[:64]]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert zlib.crc32(np.array(want[0], "<u4").tobytes()) != zlib.crc32(np.array(want[1], "<u4").tobytes())
+    for _ in range(2):  # within a slice, and against what is remembered
+        assert [ids.tolist() for ids in packing.token_ids(path, texts)] == want
+        assert tokens.count_texts(path, texts).tolist() == [len(w) for w in want]
+    # all words under one hash
+    pieces, seen = bpe.loaded(path), bpe.Remembered(bpe.loaded(path).merged_ids)
+    for _, text, code, begin, end, h, _ in pieces.words(["one two one three six", "ten two"]):
+        row = seen.rows(text, code, begin, end, np.full_like(h, 1 << 63))
+        got = [seen.flat[seen.begin[r] : seen.begin[r] + seen.count[r]].tolist() for r in row]
+        assert got == [lib.encode(w, add_special_tokens=False).ids for w in "one two one three six ten two".split()]
+
+
 def test_heap_merges_match_rounds():
     pieces = bpe.loaded(tokenizer_path())
     rng = random.Random(2)
