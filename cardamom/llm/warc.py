@@ -1,12 +1,13 @@
 """Web archives: records written by tasks, read back, and found through a two-level index.
 
-Archives are files of uncompressed WARC records, one per partition, of bounded
-size. The capture index has one line per record: the URL with its host
-reversed, the page, the file, the offset and the length. Lines are sorted
-and cut into blocks; each block is compressed and kept as one row of a Parquet
-table, and a sparse directory holds each block's first key. A lookup searches
-the directory by bisection, opens one block or a few, searches in it, and reads
-only the byte ranges of the records.
+Archives are files of uncompressed WARC records of bounded size. The capture
+index has one line per record: the URL with its host reversed, the page, the
+file, the offset and the length. Lines are sorted and cut into blocks; each
+block is compressed and kept as one row of a Parquet table, and a sparse
+directory holds each block's first line. Lookups are dealt to the parts of the
+index by their bounds (a row per part); a task searches its part of the
+directory by bisection, another opens the blocks so found and searches in them,
+and the byte ranges of the records are read file by file.
 """
 
 from __future__ import annotations
@@ -20,47 +21,49 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardamom.llm.common import shared_folder, written
 
-#: Records in an archive file, and lines in a block of the index, at most.
-FILE_RECORDS, BLOCK_LINES = 1000, 512
+#: Bytes after which an archive file is closed, and lines in a block of the index, at most.
+FILE_BYTES, BLOCK_LINES = 64 << 20, 512
 DATE = "2000-01-01T00:00:00Z"
+_LOW = -(1 << 63)  # sorts where a null page does
 
 
-def surt(url: str | None) -> str:
+def surt(url: Column) -> Column:
     """The URL with its host reversed, lower-case, without scheme, www and default port: com,example)/path?query.
 
-    Line ends count as the blank that archives hold for them; other control characters are percent-encoded.
+    Line ends count as the blank that archives hold for them; other control
+    characters, which separate the fields and lines of the index, are percent-encoded.
     """
-    m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#]*)([^#]*)", _line(url))
-    host, rest = m[1].lower(), m[2]
-    host, _, port = host.partition(":")
-    host = re.sub(r"^www\d*\.", "", host)
-    key = ",".join(reversed(host.split(".")))
-    return _escaped(f"{key}{'' if port in ('', '80', '443') else ':' + port}){rest if rest.startswith('/') else '/' + rest}")
+    pattern = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#]*)([^#]*)"
+    line = _line(url)
+    parts = F.split(F.lower(F.regexp_extract(line, pattern, 1)), ":", 2)
+    host, port, rest = F.regexp_replace(parts[0], r"^www\d*\.", ""), F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.regexp_extract(line, pattern, 2)
+    port = F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port))
+    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), port, F.lit(")"), F.when(F.startswith(rest, F.lit("/")), "").otherwise("/"), rest)
+    escaped = key
+    for c in (*range(0x20), 0x7F):
+        escaped = F.replace(escaped, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return F.when(key.rlike(r"[\x00-\x1f\x7f]"), escaped).otherwise(key)
 
 
-def _escaped(key: str) -> str:
-    """The key with control characters percent-encoded: they separate the fields and lines of the index."""
-    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", key)
+def _line(value: Column) -> Column:
+    return F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\r\n]+", " ")
 
 
-def _line(value: str | None) -> str:
-    return re.sub(r"[\r\n]+", " ", value or "")
-
-
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record without the two closing line ends' last: the sink adds it."""
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """One WARC record (url: one line) without the two closing line ends' last: the sink adds it."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", _line(url)),
+        ("WARC-Target-URI", url),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
     ]
     if refers_to is not None:
@@ -106,7 +109,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> str:
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/cardamom/warc-{uuid.uuid4().hex}"
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _payload(F.col("html")).alias("html"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), _line(F.col("url")).alias("url"), _payload(F.col("html")).alias("html"))
     keyed = p.select("page_id", F.sha2("html", 256).alias("sha"), F.octet_length("html").cast("long").alias("n"))
     groups = keyed.where(F.col("n") >= least).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     # only what has copies is joined, and a payload of very many copies may be split
@@ -115,137 +118,193 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> str:
     p = p.withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        volume = held = 0  # a task's archives
         for batch in batches:
-            out = []
+            out, volumes = [], []
             for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 payload = html.encode()
                 out.append(record(page_id, url, payload, base32_sha1(payload), refers_to))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                volumes.append(volume)
+                held += len(out[-1])
+                if held >= FILE_BYTES:
+                    volume, held = volume + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(volumes, pa.int32())], names=["record", "volume"])
 
-    records = p.select("page_id", "url", "html", "refers_to").mapInArrow(run, "record binary")
+    records = p.select("page_id", "url", "html", "refers_to").mapInArrow(run, "record binary, volume int")
     # a record's last line end is the sink's separator; casting bytes to a string keeps them
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    records.select(F.col("record").cast("string").alias("value"), "volume").write.partitionBy("volume").option("lineSep", "\r\n").text(folder)
     return folder
 
 
-def read(folder: str, spark) -> DataFrame:
+_ROW = [("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
+_KIND = "file string, offset long, length long, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+
+
+def _row(file: str, at: int, size: int, f: dict[str, str], block: bytes, payloads: bool) -> tuple:
+    """The columns of one record; a payload that is not the one written is refused."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    n = int(re.search(rb"Content-Length: (\d+)", head)[1])
+    revisit = f["WARC-Type"] == "revisit"
+    if not revisit and (len(payload) != n or f["WARC-Payload-Digest"] != "sha1:" + base32_sha1(payload)):
+        raise ValueError(f"{file}, byte {at}: the payload is not the one written")
+    return file, at, size, _page(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["WARC-Type"], _page(f.get("WARC-Refers-To")), f["WARC-Payload-Digest"].removeprefix("sha1:"), n, None if revisit or not payloads else payload
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"")
+        if len(held) == 256 or size > FILE_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), _ROW, strict=True)], names=[c for c, _ in _ROW])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), _ROW, strict=True)], names=[c for c, _ in _ROW])
+
+
+def read(folder: str, spark: SparkSession, payloads: bool = True) -> DataFrame:
     """(file, offset, length, page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload) of all records.
 
-    payload_bytes is the full payload's, payload what the record itself holds (null for revisits).
+    payload_bytes is the full payload's, payload what the record itself holds (null for revisits). An archive is read at once: it has FILE_BYTES and one record at most.
     """
-    files = spark.read.format("binaryFile").load(folder).select(F.col("path").alias("file"), "content")
-    kind = "file string, offset long, length long, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split(" ")[0] for x in kind.split(", ")]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                rows = []
-                for at, size, f, block in parsed(content.as_buffer().to_pybytes()):
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    n = int(re.search(rb"Content-Length: (\d+)", head)[1])
-                    revisit = f["WARC-Type"] == "revisit"
-                    if not revisit and (len(payload) != n or f["WARC-Payload-Digest"] != "sha1:" + base32_sha1(payload)):
-                        raise ValueError(f"{file}, byte {at}: the payload is not the one written")
-                    rows.append((file, at, size, _page(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["WARC-Type"], _page(f.get("WARC-Refers-To")), f["WARC-Payload-Digest"].removeprefix("sha1:"), n, None if revisit else payload))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    return files.mapInArrow(run, kind)
+                yield from _batches(_row(file, *r, payloads) for r in parsed(content.as_buffer().to_pybytes()))
+
+    return files.mapInArrow(run, _KIND)
+
+
+def _entry(key: str, page: int | None) -> tuple[str, int]:
+    return key, _LOW if page is None else page
 
 
 def build_index(records: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> None:
-    """Writes the two levels under folder: blocks (compressed sorted lines) and directory (first key of each block).
+    """Writes the two levels under folder: blocks (compressed sorted lines) and directory (first line of each block).
 
-    Lines are range-partitioned by key, so blocks of different partitions do not overlap but at equal keys.
+    Lines are range-partitioned by key, page and place, so a URL of very many captures lies in several parts.
     """
-    schema = pa.schema([("first", pa.string()), ("lines", pa.int64()), ("block", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("key", pa.string()), ("page_id", pa.int64()), ("lines", pa.int32()), ("block", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[str] = []
+        held: list[tuple] = []
+        part, seq = 0, 0
 
-        def block(lines: list[str]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([lines[0].split("\t")[0]]), pa.array([len(lines)], pa.int64()), pa.array([zlib.compress("\n".join(lines).encode())], pa.binary())], schema=schema)
+        def block(lines: list[tuple]) -> pa.RecordBatch:
+            raw = "\n".join("\t".join("" if x is None else str(x) for x in line) for line in lines).encode()
+            row = [part, seq, lines[0][0], lines[0][1], len(lines), zlib.compress(raw)]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            held += batch.column("line").to_pylist()
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            held += zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "file", "offset", "length")), strict=True)
             while len(held) >= block_lines:
                 yield block(held[:block_lines])
-                held = held[block_lines:]
+                held, seq = held[block_lines:], seq + 1
         if held:
             yield block(held)
 
-    key = F.udf(surt, "string", useArrow=False)  # one short string per record
-    lines = records.select(key("url").alias("key"), "page_id", "file", "offset", "length")
-    lines = lines.withColumn("line", F.concat_ws("\t", "key", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "file", F.col("offset").cast("string"), F.col("length").cast("string")))
-    # page_id in the range key: one host or URL may hold very many lines
-    ordered = lines.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").select("line")
-    ordered.mapInArrow(run, "first string, lines long, block binary").write.parquet(f"{folder}/blocks")
-    blocks = records.sparkSession.read.parquet(f"{folder}/blocks")
-    blocks.select("first", "lines").repartitionByRange("first").sortWithinPartitions("first").write.parquet(f"{folder}/directory")
+    order = ["key", "page_id", "file", "offset"]
+    lines = records.select(surt(F.col("url")).alias("key"), "page_id", "file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
+    kind = "part int, seq int, key string, page_id long, lines int, block binary"
+    lines.withColumn("part", F.spark_partition_id()).mapInArrow(run, kind).write.parquet(f"{folder}/blocks")
+    blocks = records.sparkSession.read.schema(kind).parquet(f"{folder}/blocks")
+    blocks.drop("block").repartitionByRange("part", "seq").sortWithinPartitions("part", "seq").write.parquet(f"{folder}/directory")
 
 
-def indexed(spark, folder: str) -> DataFrame:
-    """(key, page_id, file, offset, length): the lines of all blocks."""
+def _wanted(key: str, page: int | None, any_page: bool) -> tuple[tuple[str, int], tuple[str, int]]:
+    """The least and greatest entries asked for."""
+    return ((key, _LOW), (key, -_LOW)) if any_page else (_entry(key, page),) * 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _spread(first: list[tuple[str, int]], low: tuple[str, int], high: tuple[str, int]) -> range:
+    """Of sorted runs that begin with these entries, those that may hold any from low to high."""
+    return range(max(0, bisect.bisect_left(first, low) - 1), bisect.bisect_right(first, high))
+
+
+def located(spark: SparkSession, folder: str, asked: DataFrame, any_page: bool = False) -> DataFrame:
+    """(key, page_id, file, offset, length) of the captures of asked (key, page_id), found by directory and blocks.
+
+    Each capture comes once, however often it is asked for. A null page_id is a
+    page of its own. any_page: all captures of asked (key), whatever their page.
+    """
+    directory = spark.read.parquet(f"{folder}/directory")
+    bounds = directory.groupBy("part").agg(F.min_by(F.struct("key", "page_id"), "seq").alias("first"))
+    bounds = sorted((*_entry(*r["first"]), r["part"]) for r in bounds.collect())  # a row per part
+    firsts, parts = [(k, p) for k, p, _ in bounds], [x for _, _, x in bounds]
+    own = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("part", pa.int32())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in batch.column("block").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(zlib.decompress(block).decode().split("\n"))], names=["line"])
-
-    part = F.split("line", "\t")
-    lines = spark.read.parquet(f"{folder}/blocks").select("block").mapInArrow(run, "line string")
-    return lines.select(part[0].alias("key"), F.nullif(part[1], F.lit("")).cast("long").alias("page_id"), part[2].alias("file"), part[3].cast("long").alias("offset"), part[4].cast("long").alias("length"))
-
-
-class Index:
-    """The directory in the driver's memory (one key per BLOCK_LINES records), blocks read as needed."""
-
-    def __init__(self, spark, folder: str):
-        self.spark, self.folder = spark, folder
-        self.first = [r["first"] for r in spark.read.parquet(f"{folder}/directory").select("first").orderBy("first").toLocalIterator()]
-
-    def lookup(self, url: str) -> list[tuple[int | None, str, int, int]]:
-        """(page_id, file, offset, length) of the captures of a URL."""
-        key = surt(url)
-        low, high = max(0, bisect.bisect_left(self.first, key) - 1), bisect.bisect_right(self.first, key)
-        wanted = sorted(set(self.first[low:high]))
-        found = []
-        for row in self.spark.read.parquet(f"{self.folder}/blocks").where(F.col("first").isin(wanted)).select("block").toLocalIterator() if wanted else ():
-            lines = zlib.decompress(bytes(row["block"])).decode().split("\n")
-            for line in lines[bisect.bisect_left(lines, key + "\t") :]:
-                own, page, file, offset, length = line.split("\t")
-                if own != key:
-                    break
-                found.append((int(page) if page else None, file, int(offset), int(length)))
-        return sorted(found, key=lambda x: (x[0] is not None, x[0] or 0))
-
-    def fetch(self, file: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
-        """The record at this place: only its bytes are read, through Spark's own file systems."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        stream = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(path)
-        try:
-            stream.seek(offset)
-            data = bytes(stream.readNBytes(length))
-        finally:
-            stream.close()
-        return next((f, b) for _, _, f, b in parsed(data))
+            keys, pages = batch.column("key").to_pylist(), batch.column("page_id").to_pylist()
+            rows = [(k, p, parts[i]) for k, p in zip(keys, pages, strict=True) for i in _spread(firsts, *_wanted(k, p, any_page))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(own)], schema=own)
+
+    def search(asked: pa.Table, runs: pa.Table) -> pa.Table:
+        entries = sorted((*_entry(k, p), s) for k, p, s in zip(*(runs.column(c).to_pylist() for c in ("key", "page_id", "seq")), strict=True))
+        first, seqs = [(k, p) for k, p, _ in entries], [s for _, _, s in entries]
+        rows = [(k, p, part, seqs[i]) for k, p, part in zip(*(asked.column(c).to_pylist() for c in ("key", "page_id", "part")), strict=True) for i in _spread(first, *_wanted(k, p, any_page))]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "page_id", "part", "seq"])
+
+    def open_blocks(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        rows = []
+        if asked.num_rows:
+            for block in blocks.column("block").to_pylist():
+                lines = [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
+                order = [_entry(x[0], int(x[1]) if x[1] else None) for x in lines]
+                for k, p in zip(asked.column("key").to_pylist(), asked.column("page_id").to_pylist(), strict=True):
+                    low, high = _wanted(k, p, any_page)
+                    for at in range(bisect.bisect_left(order, low), bisect.bisect_right(order, high)):
+                        rows.append((k, int(lines[at][1]) if lines[at][1] else None, lines[at][2], int(lines[at][3]), int(lines[at][4])))
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["key", "page_id", "file", "offset", "length"])
+
+    asked = asked.select("key", F.lit(None).cast("long").alias("page_id") if any_page else F.col("page_id"))
+    dealt = asked.distinct().mapInArrow(deal, "key string, page_id long, part int")
+    found = dealt.groupBy("part").cogroup(directory.groupBy("part")).applyInArrow(search, "key string, page_id long, part int, seq int")
+    blocks = spark.read.parquet(f"{folder}/blocks").select("part", "seq", "block")
+    return found.groupBy("part", "seq").cogroup(blocks.groupBy("part", "seq")).applyInArrow(open_blocks, "key string, page_id long, file string, offset long, length long")
+
+
+def lookup(spark: SparkSession, folder: str, urls: DataFrame) -> DataFrame:
+    """(key, page_id, file, offset, length) of all captures of urls (url)."""
+    return located(spark, folder, urls.select(surt(F.col("url")).alias("key")), any_page=True)
+
+
+def fetched(places: DataFrame, payloads: bool = True) -> DataFrame:
+    """The rows of ``read`` for records at places (file, offset, length): only their bytes are read, a file's in one task.
+
+    Tasks open the archives with pyarrow's file systems (local or mounted, hdfs, s3, gcs).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            name, source = None, None
+            for batch in batches:
+                for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
+                    if file != name:
+                        store, path = fs.FileSystem.from_uri(file)
+                        name, source = file, store.open_input_file(path)
+                    source.seek(offset)
+                    _, _, f, block = next(parsed(source.read(length)))
+                    yield _row(file, offset, length, f, block, payloads)
+
+        yield from _batches(rows())
+
+    dealt = places.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(run, _KIND)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) per page, from archives and index read back.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) per page, from archives written and read back.
 
-    Every line of the index is resolved to the record at its file and offset.
+    Every page is looked up by its URL and id in the directory, its block is
+    opened, and the row is made of the bytes at the place found there.
     """
     spark = pages.sparkSession
     folder = write(pages, least=least)
-    found = written(read(folder, spark).drop("payload"), "records")
-    build_index(found, f"{folder}-index")
-    lines = indexed(spark, f"{folder}-index").select(F.col("file").alias("f"), F.col("offset").alias("o"), F.col("length").alias("n"))
-    out = lines.join(found, (F.col("f") == F.col("file")) & (F.col("o") == F.col("offset")) & (F.col("n") == F.col("length")))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lines = written(read(folder, spark, payloads=False).select("url", "page_id", "file", "offset", "length"), "captures")
+    build_index(lines, f"{folder}-index")
+    asked = pages.select(surt(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"))
+    return fetched(located(spark, f"{folder}-index", asked), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

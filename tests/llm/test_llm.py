@@ -481,26 +481,39 @@ def test_warc_lookup(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     folder = warc.write(pages)
     warc.build_index(warc.read(folder, spark), folder + "-index", block_lines=7)
-    index = warc.Index(spark, folder + "-index")
-    for r in pages.limit(6).collect():
-        hits = [h for h in index.lookup(r["url"]) if h[0] == r["page_id"]]
-        assert len(hits) == 1
-        fields, block = index.fetch(*hits[0][1:])
-        assert fields["WARC-Target-URI"] == r["url"] and (fields["WARC-Type"] == "revisit" or block.endswith(r["html"].encode()))
-    assert index.lookup("http://nowhere.invalid/") == []
-    assert warc.surt("HTTP://www.Example.COM:8080/A?b#c") == "com,example:8080)/A?b"
+    asked = pages.limit(6).select("url").union(spark.createDataFrame([("http://nowhere.invalid/",)], "url string"))
+    hits = warc.lookup(spark, folder + "-index", asked)
+    got = {r["page_id"]: r for r in warc.fetched(hits).collect()}
+    want = {r["page_id"]: r for r in pages.join(asked.distinct(), "url", "left_semi").collect()}
+    assert set(got) == set(want) and len(got) >= 6
+    for i, r in got.items():
+        assert r["url"] == want[i]["url"] and (r["record_type"] == "revisit" or bytes(r["payload"]).decode() == want[i]["html"])
+    key = lambda url: spark.range(1).select(warc.surt(F.lit(url))).first()[0]
+    assert key("HTTP://www.Example.COM:8080/A?b#c") == "com,example:8080)/A?b" and key(None) == ")/" and key("//u:p@WWW2.a.org:80") == "org,a)/"
+
+
+def test_warc_archives_and_index_parts_are_bounded(spark, data, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 5000)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    rows = [(i % 7 or None, "http://a.org/same" if i % 2 else f"http://b{i}.org/", "x" * (50 * i)) for i in range(60)]  # one URL has half of all captures
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = Counter((p, len(h)) for p, _, h in rows)
+    assert Counter((r["page_id"], r["payload_bytes"]) for r in warc.round_trip(df).collect()) == want
+    folder = warc.write(df)
+    sizes = [r["length"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("length").collect()]
+    assert len(sizes) > 10 and max(sizes) < 5000 + 4000
 
 
 def test_warc_control_characters_in_urls(spark):
-    rows = [(1, "http://a.org/x\ty", "one"), (2, "http://a\t.org/\x0b\x00z", "two"), (3, "\t", "three"), (4, "http://a.org/l\r\nm", "four"), (5, "http://a.org/x", "one")]
+    rows = [(1, "http://a.org/x\ty", "one"), (2, "http://a\t.org/\x0b\x00z", "two"), (3, "\t", "three"), (4, "http://a.org/l\r\nm", "four"), (5, "http://a.org/x", "one"), (6, "http://a.org/x", "six"), (6, "http://a.org/x", "six")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect()}
-    assert got == {1: (3, "response", None), 2: (3, "response", None), 3: (5, "response", None), 4: (4, "response", None), 5: (3, "revisit", 1)}
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect())
+    assert got == Counter([(1, 3, "response", None), (2, 3, "response", None), (3, 5, "response", None), (4, 4, "response", None), (5, 3, "revisit", 1), (6, 3, "response", None), (6, 3, "response", None)])
     folder = warc.write(df)
     warc.build_index(warc.read(folder, spark), folder + "-index", block_lines=2)
-    index = warc.Index(spark, folder + "-index")
-    for page, url, _ in rows:
-        assert [h[0] for h in index.lookup(url)] == [page]
+    for page, url, _ in rows[:4]:
+        assert [r["page_id"] for r in warc.lookup(spark, folder + "-index", df.where(F.col("page_id") == page)).collect()] == [page]
+    assert Counter(r["page_id"] for r in warc.lookup(spark, folder + "-index", df.where("page_id = 5")).collect()) == Counter({5: 1, 6: 2})
 
 
 def test_chat(spark, data):
