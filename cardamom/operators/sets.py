@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardamom.plans.numbering import ranked, sorted_ranks
+from cardamom.plans.numbering import sorted_ranks
 from cardamom.schema import SORTABLE
 
 RANK_PAGE = 8
@@ -15,7 +15,7 @@ RANK_PAGE = 8
 
 def result(ids: DataFrame) -> DataFrame:
     """(ord, rank): ascending by ordinal."""
-    return ranked(ids.select("ord"))
+    return sorted_ranks(ids.select("ord"), F.col("ord"))
 
 
 def combine(sets: DataFrame, first: int, last: int, op: str) -> DataFrame:

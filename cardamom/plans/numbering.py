@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,31 +12,33 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (a temporary one where that is unset)."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a new temporary one, which only a local master can use."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cardamom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder.rstrip("/")
 
 
-def ranked(ids: DataFrame, key: str = "ord", name: str = "rank", chunk: int = CHUNK) -> DataFrame:
-    """ids with their places from 1 in ascending order of a long key.
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new table of this application."""
+    return f"{shared_folder(spark)}/cardamom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
-    Rows are numbered within chunks of the key; chunk sizes (a row per chunk) are
-    summed apart and joined back.
-    """
-    part = F.floor(F.col(key) / chunk).alias("_chunk")
-    sizes = ids.groupBy(part).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select(F.col("_chunk").alias("_c"), F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_chunk").orderBy(key))
-    out = ids.withColumn("_chunk", F.floor(F.col(key) / chunk)).withColumn("_own", own)
-    return out.join(sizes, F.col("_chunk") == F.col("_c")).withColumn(name, F.col("_before") + F.col("_own")).drop("_chunk", "_own", "_c", "_before")
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that this application has written there. Results that still read them are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cardamom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor loses none of it."""
+    path = own_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sorted_ranks(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
