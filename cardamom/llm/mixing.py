@@ -2,12 +2,13 @@
 
 Sizes are summed per source; targets share a total by weight, none above
 ``most`` times its source; a document then appears floor(rate) times, and once
-more with probability frac(rate), drawn from a hash of seed and doc_id.
+more with probability frac(rate), drawn from a hash of seed and doc_id (of the
+text where there is no doc_id).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardamom.llm.common import word_count, written
@@ -55,38 +56,44 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return weighed.withColumn("target", target).withColumn("rate", rate)
 
 
-def draw(seed: str = SEED):
-    """A number in [0, 1) that follows from seed and doc_id alone."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+def draw(seed: str = SEED) -> Column:
+    """A number in [0, 1) that follows from seed and doc_id alone, or from the text where doc_id is null."""
+    null = F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), null)))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+def copies(rate: Column, drawn: Column) -> Column:
+    return F.floor(rate) + (drawn < rate - F.floor(rate)).cast("long")
+
+
+def _goals(sized: DataFrame, **options) -> DataFrame:
+    """(s, source_size, target, rate), written first, so that a join with it may split a hot source."""
+    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **options)
+    return written(goal.select(F.col("source").alias("s"), "source_size", "target", "rate"), "targets")
+
+
 def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every row of docs.
 
     size: words of the text, null has none. A null source is one source. Rows
-    with equal or null doc_id draw the same number. Reruns give the same rows.
+    with equal doc_id, or with null doc_id and equal texts, draw the same
+    number. Reruns give the same rows. An empty table has no rows. Other columns
+    are ignored.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), draw(seed).alias("drawn"))
     sized = written(sized, "sized")
-    # written first, so that the join may split a hot source
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goal = written(goal.select(F.col("source").alias("s"), "source_size", "target", "rate"), "targets")
-    out = sized.join(goal, F.col("source").eqNullSafe(F.col("s")))
-    copies = F.floor("rate") + (draw(seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    out = sized.join(_goals(sized, weights=weights, share=share, most=most), F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies(F.col("rate"), F.col("drawn")).cast("long").alias("copies"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as many times as the mix takes it, columns unchanged."""
-    plan = planned(docs, **options)
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """The rows of docs, each as many times as the mix takes it, columns (of any names) unchanged; see ``planned``."""
+    sized = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     # rates per source, then each row repeats itself: the texts are not shuffled by document
-    rates = written(plan.groupBy("source").agg(F.first("source_size").alias("z_"), F.first("target").alias("t_")).withColumnRenamed("source", "s_"), "rates")
-    rate = F.when(F.col("z_") > 0, F.col("t_") / F.col("z_")).otherwise(0.0)
-    seed = options.get("seed", SEED)
-    out = docs.join(rates, docs["source"].cast("string").eqNullSafe(F.col("s_")))
-    copies = (F.floor(rate) + (draw(seed) < rate - F.floor(rate)).cast("long")).cast("int")
-    return out.withColumn("copy_", F.explode(F.array_repeat(F.lit(0), copies))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("of"), draw(seed).alias("drawn"))
+    out = rows.join(_goals(sized, weights=weights, share=share, most=most), F.col("of").eqNullSafe(F.col("s")))
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), copies(F.col("rate"), F.col("drawn")).cast("int")))).select("row.*")
 
 
 def total_by_source(plan: DataFrame) -> DataFrame:

@@ -56,8 +56,11 @@ f AS (SELECT *, (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words):
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS fail_bits FROM f
 """
 
+_RULES = "VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32)"
+ABLATION = f"SELECT r.rule, count(*) FILTER (l.fail_bits & r.bit <> 0) AS failed, count(*) FILTER (l.fail_bits = r.bit) AS failed_alone FROM ({OP7}) l, ({_RULES}) r(rule, bit) GROUP BY r.rule"
+
 OP9 = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size, md5(coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS z, ([3.0, 1.0, 2.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
 o AS (SELECT *, 2.0 * z / w AS t FROM s),
 q AS (SELECT t, 1.5 * (SELECT sum(z) FROM s) AS total, coalesce(sum(2.0 * z) OVER (ORDER BY t, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
@@ -65,7 +68,7 @@ q AS (SELECT t, 1.5 * (SELECT sum(z) FROM s) AS total, coalesce(sum(2.0 * z) OVE
 level AS (SELECT arg_min((total - held) / free, t) AS x FROM q WHERE (total - held) / free <= t),
 g AS (SELECT source, z, CASE WHEN z = 0 THEN 0.0 ELSE least(2.0 * z, w * x) END AS target FROM s, level),
 c AS (SELECT d.doc_id, d.size, g.z, g.target, CASE WHEN g.z > 0 THEN g.target / g.z ELSE 0 END AS rate,
-  ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+  ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null:' || d.h)), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, z AS source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM c
 """
 
@@ -80,4 +83,4 @@ SELECT conv_id, n AS n_turns, coalesce(f.first = conv_id AND p.k IS NULL, false)
 FROM h JOIN f USING (n, h) LEFT JOIN p ON p.k = h.n AND p.h = h.h
 """
 
-SQL = {"op2_vectors": OP2, "op4_warc": OP4, "op6_suffix": OP6, "op7_quality": OP7, "op9_mixing": OP9, "op10_chat": OP10}
+SQL = {"op2_vectors": OP2, "op4_warc": OP4, "op6_suffix": OP6, "op7_quality": OP7, "quality_ablation": ABLATION, "op9_mixing": OP9, "op10_chat": OP10}

@@ -40,6 +40,8 @@ _IBAN_LENGTH = {
 }
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,64})(?![A-Za-z0-9_])")
+#: The head of a private key, with the key if it is whole.
+_KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*+[A-Za-z0-9+/=\s]*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?")
 _NEAR = {
     "iban": re.compile(r"iban|account|konto|compte|cuenta|bank", re.I),
     "national_id": re.compile(r"ssn|social\s+security|national\s+id|tax\s+id", re.I),
@@ -129,6 +131,7 @@ def scored_spans(text: str) -> list[tuple[str, int, int, float]]:
     for m in _SECRET.finditer(text):
         known = not re.fullmatch("[0-9a-f]+", m[0])
         found.append(("secret", m.start(), m.end(), max(THRESHOLD * known, 0.5 + 0.5 * known + _context(text, *m.span(), "secret"))))
+    found += [("secret", m.start(), m.end(), THRESHOLD) for m in _KEY_BLOCK.finditer(text)]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 13 and luhn(digits):
@@ -187,7 +190,11 @@ def detected(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced; all rows and other columns stay."""
+    """docs with every span in text replaced; all rows and other columns stay.
+
+    Null and empty texts stay as they are, repeated rows are treated alike, an
+    empty table stays empty.
+    """
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

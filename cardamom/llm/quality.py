@@ -136,6 +136,10 @@ def ablation(led: DataFrame, policy: Policy) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, policy: Policy = PROSE) -> DataFrame:
-    """The rows of docs that pass the policy, columns unchanged."""
+    """The rows of docs that pass the policy, columns (of any names) unchanged.
+
+    Null and empty texts fail few_words. Repeated rows are judged alike, rows
+    without a doc_id like any other; an empty table stays empty.
+    """
     whole = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
     return with_ledger(whole).where(passes(policy, "fail_bits_")).select("row_.*")

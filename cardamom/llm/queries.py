@@ -47,6 +47,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), prose.alias("kept"), "fail_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")), quality.PROSE)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detected(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def queries():
         "op5_packing": op5_packing,
         "op6_suffix": op6_suffix,
         "op7_quality": op7_quality,
+        "quality_ablation": quality_ablation,
         "op8_pii": op8_pii,
         "op9_mixing": op9_mixing,
         "op10_chat": op10_chat,

@@ -16,7 +16,6 @@ import base64
 import bisect
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardamom.llm.common import shared_folder, written
+from cardamom.llm.common import own_folder, written
 
 #: Bytes after which an archive file is closed, and lines in a block of the index, at most.
 FILE_BYTES, BLOCK_LINES = 64 << 20, 512
@@ -108,7 +107,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> str:
     unless another page has the payload.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/cardamom/warc-{uuid.uuid4().hex}"
+    folder = folder or own_folder(spark, "warc")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), _line(F.col("url")).alias("url"), _payload(F.col("html")).alias("html"))
     keyed = p.select("page_id", F.sha2("html", 256).alias("sha"), F.octet_length("html").cast("long").alias("n"))
     groups = keyed.where(F.col("n") >= least).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
@@ -292,7 +291,7 @@ def fetched(places: DataFrame, payloads: bool = True) -> DataFrame:
 
         yield from _batches(rows())
 
-    dealt = places.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    dealt = places.select("file", "offset", "length").repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, _KIND)
 
 

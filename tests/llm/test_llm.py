@@ -431,6 +431,13 @@ def test_pii_ends_of_account_numbers():
     assert found("iban DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX") == []
 
 
+def test_pii_key_blocks():
+    block = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nMIIEow+/IBAAK\nabc==\n-----END RSA PRIVATE KEY-----"
+    assert pii.redact(f"a {block} b") == "a <SECRET> b" and pii.redact("-----BEGIN PRIVATE KEY----- and prose.") == "<SECRET> and prose."
+    assert pii.redact("-----BEGIN PUBLIC KEY-----") == "-----BEGIN PUBLIC KEY-----"
+    assert pii.redact("-----BEGIN PRIVATE KEY-----" * 20000 + "x" * 10**6)[-10:] == "x" * 10
+
+
 def test_pii_context_does_not_undo_what_is_confirmed():
     kinds = lambda t: [k for k, _, _ in pii.spans(t)[1]]
     assert "iban" in kinds("invoice DE89370400440532013000") and "iban" in kinds("order 7, invoice 8: DE89 3704 0044 0532 0130 00")
@@ -464,6 +471,12 @@ def test_mixing_is_near_its_targets(spark):
         assert r["taken"] == pytest.approx(r["target"], rel=0.03)
 
 
+def test_mixing_rows_without_id_draw_by_text(spark):
+    df = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    for r in mixing.total_by_source(mixing.planned(df)).collect():
+        assert r["taken"] == pytest.approx(r["target"], rel=0.05)
+
+
 def test_warc_round_trip(spark, data):
     rows = [(5, "http://www.A.com:80/x", "same"), (3, "https://a.com/x", "same"), (9, "http://b.org/y?q=1", None), (4, "//b.org", ""), (7, None, "é\r\n\r\nWARC/1.1\r\n"), (8, "http://u@h.net:8080/p#f", "x" * 70000), (None, "http://n.com", "null")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit(1))
@@ -576,6 +589,19 @@ def test_pipeline(spark, data):
     assert Counter((r["doc_id"], r["piece"]) for r in rows) == want
 
 
+def test_stages_keep_odd_rows_and_columns(spark, data, odd):
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            columns = docs.columns
+            docs = corpus_pipeline.written(stage(spark, docs, data), name)
+            assert docs.columns == columns
+        got = corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()
+        check_packing(got)
+    for _, stage in corpus_pipeline.STAGES[1:-1]:  # also on rows that the first stage rejects
+        out = stage(spark, odd, data)
+        assert out.columns == odd.columns and out.count() > 0
+
+
 def brute_passes(text):
     n, chars, symbols, dup, rep = brute_quality(text)
     lines = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
