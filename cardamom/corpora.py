@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardamom.operators import index, search
-from cardamom.plans.numbering import scratch
+from cardamom.operators import search
+from cardamom.plans.numbering import own_folder, scratch
 from cardamom.sources import cards
 
 DOC_PHRASES = {"LA": ("LA",), "SO": ("SO",)}
@@ -53,19 +51,29 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.union(_tall(line, "l_orderkey", {"RF": "l_returnflag", "LS": "l_linestatus"}, "l_linenumber"))
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, vals, phrases: dict, words: dict) -> search.Index:
+    """The index of a corpus, written once by an application."""
+    key, merged = (spark.sparkContext.applicationId, sf_dir, name), tuple(words)
+    if key not in _WRITTEN:
+        folder = own_folder(spark, name)
+        search.write(search.built(vals(spark, sf_dir), phrases, words, merged), folder)
+        _WRITTEN[key] = folder
+    return search.opened(spark, _WRITTEN[key], tuple(phrases), tuple(words), merged)
+
+
 def doc_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    v = docs(spark, sf_dir)
-    return search.Index(index.phrase_postings(v, DOC_PHRASES), index.word_postings(v, DOC_WORDS), index.positions(v, DOC_WORDS), ("/TX",))
+    return _stored(spark, sf_dir, "docs", docs, DOC_PHRASES, DOC_WORDS)
 
 
 def chat_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    v = chat(spark, sf_dir)
-    return search.Index(index.phrase_postings(v, CHAT_PHRASES), index.word_postings(v, CHAT_WORDS), index.positions(v, CHAT_WORDS), tuple(CHAT_WORDS))
+    return _stored(spark, sf_dir, "chat", chat, CHAT_PHRASES, CHAT_WORDS)
 
 
 def part_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    v = parts(spark, sf_dir)
-    return search.Index(index.phrase_postings(v, PART_PHRASES), index.word_postings(v, PART_WORDS), index.positions(v, PART_WORDS), ("/TI",))
+    return _stored(spark, sf_dir, "parts", parts, PART_PHRASES, PART_WORDS)
 
 
 def _wrapped(label: str, data, most: int):
@@ -145,8 +153,7 @@ class CardFiles:
     """Card files made of the part table in the shared folder, and what is read from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        marker = scratch(spark.range(1), "cards")  # a folder of its own beside this table
-        self.path = marker.inputFiles()[0].rsplit("/", 1)[0] + f"-{uuid.uuid4().hex}"
+        self.path = own_folder(spark, "cards")
         self.spark = spark
         cards.write(card_records(spark, sf_dir), self.path)
         self.lines = scratch(cards.lines(spark, self.path), "lines")

@@ -56,6 +56,11 @@ def shard(term: Column) -> Column:
     return F.when(term.rlike("^[A-Z0-9]"), F.substring(term, 1, 1)).otherwise("_")
 
 
+def shard_of(term: str) -> str:
+    """``shard`` of a term at hand."""
+    return term[:1] if term[:1].isascii() and term[:1].isalnum() and not term[:1].islower() else "_"
+
+
 def alnum(word: Column) -> Column:
     return F.regexp_replace(F.upper(word), "[^A-Z0-9]", "")
 
@@ -75,8 +80,9 @@ def canonical_code(c: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    """A whole number with one % or none; null otherwise."""
-    return F.regexp_replace(c, r"%\z", "").try_cast("int")
+    """A whole number (a sign and digits, nothing else) with one % or none; null otherwise."""
+    digits = F.regexp_replace(c, r"%\z", "")
+    return F.when(digits.rlike(r"\A[-+]?[0-9]+\z"), digits.try_cast("decimal(38,0)"))
 
 
 def long_words(c: Column, most: int = 60) -> Column:
@@ -103,7 +109,8 @@ def excerpt(b: Column, n: int = 24) -> Column:
 
 
 def stamp(ts: Column) -> Column:
-    """01jan24 00:00:00, in the session's time zone."""
+    """01jan24 00:00:00 in UTC, whatever the session's time zone."""
+    ts = F.to_utc_timestamp(ts, F.current_timezone())
     return F.concat_ws(" ", F.lower(F.date_format(ts, "ddMMMyy")), F.date_format(ts, "HH:mm:ss"))
 
 

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_ROWS, MAX_REF = 12, 50
 
 
-def wrapped(ref: int) -> int:
+def wrapped(ref: int | Column) -> int | Column:
     """Row numbers go from 1 to 50 and begin again."""
-    return (ref - 1) % MAX_REF + 1
+    return F.pmod(ref - 1, F.lit(MAX_REF)) + 1 if isinstance(ref, Column) else (ref - 1) % MAX_REF + 1
 
 
 def _page(rows: DataFrame, first_ref: int, entered: str | None) -> DataFrame:
     place = F.row_number().over(Window.orderBy("term")) - 1  # of a page
     starred = F.lit(False) if entered is None else F.col("term") == entered
-    return rows.select((F.pmod(F.lit(first_ref - 1) + place, F.lit(MAX_REF)) + 1).cast("int").alias("ref"), "items", "term", starred.alias("starred"))
+    return rows.select(wrapped(F.lit(first_ref) + place).cast("int").alias("ref"), "items", "term", starred.alias("starred"))
 
 
 def window(terms: DataFrame, entered: str) -> tuple[int, int, bool]:
@@ -52,8 +52,7 @@ def next_page(terms: DataFrame, last: str, first_ref: int, entered: str | None =
     return _page(view(terms, entered, absent).where(F.col("term") > last).orderBy("term").limit(PAGE_ROWS), first_ref, None)
 
 
-def previous_page(terms: DataFrame, after: int, next_ref: int, entered: str | None = None, absent: bool = False) -> DataFrame:
-    """The page that begins 24 rows before ``after``, the place after the last row shown."""
-    start = max(0, after - 2 * PAGE_ROWS)
-    rows = view(terms, entered, absent).orderBy("term").offset(start).limit(PAGE_ROWS)
-    return _page(rows, wrapped(next_ref - 2 * PAGE_ROWS), None)
+def previous_page(terms: DataFrame, last: str, next_ref: int, entered: str | None = None, absent: bool = False) -> DataFrame:
+    """The page that begins 24 rows before the row after ``last``, the last one shown (at the head, if there are fewer)."""
+    back = view(terms, entered, absent).where(F.col("term") <= last).orderBy(F.col("term").desc()).limit(2 * PAGE_ROWS)
+    return _page(back.orderBy("term").limit(PAGE_ROWS), wrapped(next_ref - 2 * PAGE_ROWS), None)

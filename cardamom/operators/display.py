@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
+from cardamom.plans.numbering import sorted_ranks
 from cardamom.schema import display_tags
 
 #: From weakest to strongest.
@@ -79,7 +80,7 @@ def lineage(shown: DataFrame, vals: DataFrame, records: DataFrame, evidence: Dat
     src = shown.select("line_id", "ord", "keys", F.explode("sources").alias("s")).select("line_id", "ord", "keys", F.col("s.tag").alias("tag"), F.col("s.value_index").alias("value_index"))
     hit = src.join(vals.select("ord", "tag", "value_seq", "raw", "line", "offset"), ["ord", "tag"]).where("value_index is null or value_index = value_seq")
     hit = hit.join(records.select("ord", "first_line", "last_line"), "ord")
-    cited = hit.withColumn("key", F.explode("keys")).join(F.broadcast(evidence), "key", "left")
+    cited = hit.withColumn("key", F.explode("keys")).join(evidence, "key", "left")
     return cited.select("line_id", "ord", "tag", "value_seq", "raw", "line", "offset", "first_line", "last_line", "key", "status")
 
 
@@ -90,8 +91,10 @@ def weakest(cited: DataFrame, by: str) -> DataFrame:
 
 
 def by_status(evidence: DataFrame) -> DataFrame:
-    """(status, keys): the keys of each status, sorted."""
-    return evidence.groupBy("status").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    """(status, place, key): the keys of each status in their order, from 1; no status is gathered in one row."""
+    own = sorted_ranks(evidence.select("status", "key"), F.col("status"), F.col("key"), name="rank")
+    firsts = own.groupBy(F.col("status").alias("of")).agg(F.min("rank").alias("first"))
+    return own.join(firsts, own["status"].eqNullSafe(F.col("of"))).select("status", (F.col("rank") - F.col("first") + 1).alias("place"), "key")
 
 
 def record_json(vals: DataFrame, ids: DataFrame) -> DataFrame:

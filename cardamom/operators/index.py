@@ -2,6 +2,8 @@
 
 Values are rows (ord, tag, field_seq, value_seq, raw). A code map says which
 tags make up a code, in order; it is a constant of the schema, so it is broadcast.
+A written index has a folder per code and first character of the term (its
+shard), so that a search reads only the folders that it names.
 """
 
 from __future__ import annotations
@@ -58,8 +60,14 @@ def sharded(postings: DataFrame) -> DataFrame:
 
 
 def write_index(postings: DataFrame, path: str) -> None:
-    """One folder per code and first character, sorted by term within its files."""
-    sharded(postings).repartition("code", "shard", F.substring("term", 1, 2)).sortWithinPartitions("code", "shard", "term").write.partitionBy("code", "shard").parquet(path)
+    """A folder per code and shard, sorted by term within its files; a prefix or term of very many postings takes several files."""
+    order = [c for c in ("code", "shard", "term", "ord") if c == "shard" or c in postings.columns]
+    sharded(postings).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("code", "shard").parquet(path)
+
+
+def open_index(spark, path: str, columns: str = "term string, ord long") -> DataFrame:
+    """The rows of a written index with code and shard; filters on these two decide which folders are read."""
+    return spark.read.schema(f"{columns}, code string, shard string").parquet(path)
 
 
 def write_terms(terms: DataFrame, path: str) -> None:

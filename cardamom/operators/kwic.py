@@ -16,14 +16,11 @@ FIELDS = ("TI", "AP", "OB", "PR", "DE", "PB")
 
 
 def terms_of(e) -> tuple[list[str], list[str]]:
-    """(words, stems) of an expression; those of proximity operands are left out."""
-    words, stems = [], []
-    for leaf in search.leaves(e) if not isinstance(e, search.Near) else []:
-        if isinstance(leaf, search.Word):
-            words.append(leaf.value.upper())
-        elif isinstance(leaf, search.Prefix):
-            stems.append(leaf.stem.upper())
-    return words, stems
+    """(words, stems) of an expression; phrases, sets and proximity operands, at any depth, have none."""
+    if isinstance(e, search.And | search.Or | search.Not):
+        (w1, s1), (w2, s2) = terms_of(e.a), terms_of(e.b)
+        return w1 + w2, s1 + s2
+    return [e.value.upper()] if isinstance(e, search.Word) else [], [e.stem.upper()] if isinstance(e, search.Prefix) else []
 
 
 def windows(vals: DataFrame, words: list[str], stems: list[str] = (), size: int = SIZE) -> DataFrame:
@@ -31,6 +28,7 @@ def windows(vals: DataFrame, words: list[str], stems: list[str] = (), size: int
 
     One word more before the match than after it where size is even; windows are
     shifted at the ends of the value and merged where they overlap or touch.
+    Without words and stems there are no windows.
     """
     if not LEAST <= size <= MOST:
         raise ValueError(f"a window has {LEAST} to {MOST} words")
@@ -39,7 +37,7 @@ def windows(vals: DataFrame, words: list[str], stems: list[str] = (), size: int
     v = vals.withColumn("words", F.filter(F.split("raw", text.SPACE + "+"), lambda w: w != "")).withColumn("n", F.size("words"))
     hits = [F.col("k").isin(*words)] if words else []
     hits += [F.col("k").startswith(s) for s in stems]
-    m = v.select(*key, "n", F.posexplode("words").alias("i", "w")).withColumn("k", text.alnum(F.col("w"))).where("k <> ''").where(reduce(lambda a, b: a | b, hits))
+    m = v.select(*key, "n", F.posexplode("words").alias("i", "w")).withColumn("k", text.alnum(F.col("w"))).where("k <> ''").where(reduce(lambda a, b: a | b, hits, F.lit(False)))
     low, high, end_of = F.col("i") - before, F.col("i") + after, F.col("n") - 1
     # moved back past the front, then forward past the end
     high = high + F.greatest(F.lit(0), -low)

@@ -1,8 +1,9 @@
 """Search expressions over the indexes; each gives the set of matching ordinals.
 
-An expression is nested explicitly: And(Not_(a, b), c). Nothing is evaluated
-until ``found`` turns it into a DataFrame; a prefix search also states the shard,
-which partition pruning cannot derive from the term.
+An expression is nested explicitly: And(Not(a, b), c). Nothing is evaluated
+until ``found`` turns it into a DataFrame. Besides the term, searches state its
+code and shard, so that only those folders of a written index are read. A code
+that the index does not have is an error, not an empty set.
 """
 
 from __future__ import annotations
@@ -10,22 +11,63 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
+from cardamom.operators import index
 from cardamom.schema import WORD_ALIASES
 
 
 @dataclass(frozen=True)
 class Index:
+    """Postings with code and shard, occurrences, the lists of terms, and the codes that there are."""
+
     phrases: DataFrame
     words: DataFrame
-    places: DataFrame | None = None
+    places: DataFrame | None
+    phrase_codes: tuple[str, ...]
+    word_codes: tuple[str, ...]
     merged: tuple[str, ...] = ()
+    phrase_terms: DataFrame | None = None
+    word_terms: DataFrame | None = None
+
+    def codes(self, asked: tuple[str, ...], phrase: bool = False) -> tuple[str, ...]:
+        """The word codes (or phrase codes) meant; an unknown one is refused."""
+        known = self.phrase_codes if phrase else self.word_codes
+        own = asked if phrase else tuple(WORD_ALIASES.get(c, c) for c in asked)
+        for code, was in zip(own, asked, strict=True):
+            if code not in known:
+                raise ValueError(f"unknown {'field' if phrase else 'suffix'}: {was}")
+        return own or self.merged
+
+
+_PLACES = "term string, ord long, field_ord int, pos int"
+
+
+def built(vals: DataFrame, phrases: dict[str, tuple[str, ...]], words: dict[str, tuple[str, ...]], merged: tuple[str, ...]) -> Index:
+    """The index of a table of values, made anew by each search."""
+    p, w = index.phrase_postings(vals, phrases), index.word_postings(vals, words)
+    return Index(index.sharded(p), index.sharded(w), index.sharded(index.positions(vals, words)), tuple(phrases), tuple(words), merged, index.term_list(p), index.term_list(w))
 
-    def codes(self, asked: tuple[str, ...]) -> tuple[str, ...]:
-        return tuple(WORD_ALIASES.get(c, c) for c in asked) or self.merged
+
+def write(made: Index, folder: str) -> None:
+    """Writes all parts of an index under folder."""
+    for name in ("phrases", "words", "places"):
+        index.write_index(getattr(made, name).drop("shard"), f"{folder}/{name}")
+    for name in ("phrase", "word"):
+        source = opened_part(made.phrases.sparkSession, folder, f"{name}s")
+        index.write_terms(index.term_list(source), f"{folder}/{name}_terms")
+
+
+def opened_part(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return index.open_index(spark, f"{folder}/{name}", _PLACES if name == "places" else "term string, ord long")
+
+
+def opened(spark: SparkSession, folder: str, phrase_codes: tuple[str, ...], word_codes: tuple[str, ...], merged: tuple[str, ...]) -> Index:
+    """A written index: searches read the folders of the codes and shards that they name."""
+    terms = [spark.read.schema("code string, term string, items long").parquet(f"{folder}/{name}_terms") for name in ("phrase", "word")]
+    return Index(*(opened_part(spark, folder, n) for n in ("phrases", "words", "places")), phrase_codes, word_codes, merged, *terms)
 
 
 @dataclass(frozen=True)
@@ -104,51 +146,59 @@ class Not:
     b: object
 
 
-def _matches(e: Word | Prefix):
+def _matches(e: Word | Prefix | PhrasePrefix):
     if isinstance(e, Word):
-        return F.col("term") == e.value.upper()
-    return F.col("term").startswith(e.stem.upper())
+        word = e.value.upper()
+        return (F.col("shard") == text.shard_of(word)) & (F.col("term") == word)
+    stem = e.stem.upper()
+    begins = F.col("term").startswith(stem)
+    return (F.col("shard") == text.shard_of(stem)) & begins if stem else begins
+
 
+def _leaf_places(e: Word | Prefix, own: Index) -> DataFrame:
+    return own.places.where(F.col("code").isin(*own.codes(e.codes)) & _matches(e)).select("code", "ord", "field_ord", "pos")
 
-def _leaf_places(e: Word | Prefix, index: Index) -> DataFrame:
-    return index.places.where(F.col("code").isin(*index.codes(e.codes)) & _matches(e)).select("code", "ord", "field_ord", "pos")
 
+def near_pairs(e: Near, own: Index) -> DataFrame:
+    """(ord) of records with both operands near each other.
 
-def near_pairs(e: Near, index: Index) -> DataFrame:
-    a, b = _leaf_places(e.left, index), _leaf_places(e.right, index)
+    Each place of the left operand is spread over the places that count as near,
+    so that all kinds are equality joins: no pairs of occurrences within a value
+    are formed, and a long value may be dealt over tasks.
+    """
+    a, b = _leaf_places(e.left, own), _leaf_places(e.right, own)
     keys = ["code", "ord", "field_ord"]
     if e.kind == "F":
         return a.join(b, keys, "left_semi").select("ord").distinct()
-    if e.kind == "W" and e.within == 1:  # next to each other: an equality, not a range
-        return a.withColumn("pos", F.col("pos") + 1).join(b, [*keys, "pos"], "left_semi").select("ord").distinct()
-    b = b.withColumnRenamed("pos", "other")
-    gap = F.col("other") - F.col("pos")
-    near = gap.between(1, e.within) if e.kind == "W" else F.abs(gap).between(1, e.within)
-    return a.join(b, keys).where(near).select("ord").distinct()
+    away = [*range(1, e.within + 1), *(range(-e.within, 0) if e.kind == "N" else ())]
+    spread = F.explode(F.array(*[F.col("pos") + i for i in away]))
+    return a.select(*keys, spread.alias("pos")).join(b, [*keys, "pos"], "left_semi").select("ord").distinct()
 
 
-def found(e, index: Index) -> DataFrame:
+def found(e, own: Index) -> DataFrame:
     """(ord) of the records that match, each once."""
     if isinstance(e, Term):
         key = text.phrase_key(F.lit(e.value))
-        return index.phrases.where((F.col("code") == e.code) & (F.col("term") == key)).select("ord")
+        own.codes((e.code,), phrase=True)
+        return own.phrases.where((F.col("code") == e.code) & (F.col("shard") == text.shard(key)) & (F.col("term") == key)).select("ord")
     if isinstance(e, Word | Prefix):
-        return index.words.where(F.col("code").isin(*index.codes(e.codes)) & _matches(e)).select("ord").distinct()
+        return own.words.where(F.col("code").isin(*own.codes(e.codes)) & _matches(e)).select("ord").distinct()
     if isinstance(e, PhrasePrefix):
-        return index.phrases.where((F.col("code") == e.code) & F.col("term").startswith(e.stem.upper())).select("ord").distinct()
+        own.codes((e.code,), phrase=True)
+        return own.phrases.where((F.col("code") == e.code) & _matches(e)).select("ord").distinct()
     if isinstance(e, Near):
-        return near_pairs(e, index)
+        return near_pairs(e, own)
     if isinstance(e, SetOf):
         return e.ids.select("ord").distinct()
     if isinstance(e, Refs):
-        table = index.phrases if e.phrase else index.words
-        return table.where(F.col("code").isin(*index.codes(e.codes))).join(e.rows.select("term"), "term", "left_semi").select("ord").distinct()
+        table = own.phrases if e.phrase else own.words
+        return table.where(F.col("code").isin(*own.codes(e.codes, e.phrase))).join(e.rows.select("term"), "term", "left_semi").select("ord").distinct()
     if isinstance(e, And):
-        return found(e.a, index).join(found(e.b, index), "ord", "left_semi")
+        return found(e.a, own).join(found(e.b, own), "ord", "left_semi")
     if isinstance(e, Or):
-        return found(e.a, index).union(found(e.b, index)).distinct()
+        return found(e.a, own).union(found(e.b, own)).distinct()
     if isinstance(e, Not):
-        return found(e.a, index).join(found(e.b, index), "ord", "left_anti")
+        return found(e.a, own).join(found(e.b, own), "ord", "left_anti")
     raise ValueError(f"not a search expression: {e!r}")
 
 
@@ -175,17 +225,17 @@ def shown(e) -> str:
     return "rows"
 
 
-def operand_counts(e, index: Index) -> DataFrame:
+def operand_counts(e, own: Index) -> DataFrame:
     """(seq, operand, items): the records that each operand finds by itself."""
     parts = []
     for i, leaf in enumerate(leaves(e)):
-        n = found(leaf, index).agg(F.count("*").alias("items"))
+        n = found(leaf, own).agg(F.count("*").alias("items"))
         parts.append(n.select(F.lit(i + 1).alias("seq"), F.lit(shown(leaf)).alias("operand"), "items"))
     return reduce(DataFrame.union, parts)
 
 
-def steps(e, index: Index) -> DataFrame:
+def steps(e, own: Index) -> DataFrame:
     """(step, ord): a set for each operand and, if there are several, one for the whole."""
-    own = leaves(e)
-    every = own if len(own) == 1 else [*own, e]
-    return reduce(DataFrame.union, [found(x, index).select(F.lit(i + 1).alias("step"), "ord") for i, x in enumerate(every)])
+    each = leaves(e)
+    every = each if len(each) == 1 else [*each, e]
+    return reduce(DataFrame.union, [found(x, own).select(F.lit(i + 1).alias("step"), "ord") for i, x in enumerate(every)])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def costs(events: DataFrame, per_minute: str, rates: DataFrame) -> DataFrame:
     """(session, minutes, connect_cost, show_cost, total) from (session, ts, format) and (format, rate), rate null where none is charged."""
     per = events.groupBy("session", "format").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    priced = per.join(F.broadcast(rates), "format", "left").withColumn("cost", F.col("n") * F.coalesce(F.col("rate").cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)")))
+    priced = per.join(rates, "format", "left").withColumn("cost", F.col("n") * F.coalesce(F.col("rate").cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)")))
     s = priced.groupBy("session").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("cost").alias("show_cost"))
     seconds = F.unix_micros("b") - F.unix_micros("a")
     minutes = F.ceil(seconds / F.lit(60_000_000)).cast("long")
@@ -21,4 +21,4 @@ def costs(events: DataFrame, per_minute: str, rates: DataFrame) -> DataFrame:
 def by_format(events: DataFrame, rates: DataFrame) -> DataFrame:
     """(format, n, cost): one line per format that has a rate."""
     n = events.groupBy("format").agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(rates), "format").where("rate is not null").select("format", "n", (F.col("n") * F.col("rate").cast("decimal(10,2)")).cast("decimal(20,2)").alias("cost"))
+    return n.join(rates, "format").where("rate is not null").select("format", "n", (F.col("n") * F.col("rate").cast("decimal(10,2)")).cast("decimal(20,2)").alias("cost"))

@@ -47,13 +47,29 @@ _PROBLEMS = f"""{_CARD}, q AS (SELECT an, 'missing' AS kind, 'CY' AS tag FROM p
 _TIERS = f"""{_PROBLEMS}, z AS (SELECT an, bool_and(kind = 'rpa_not_attested') AS miss, bool_and(kind = 'not_modeled') AS open FROM q GROUP BY an),
 tier AS (SELECT p.*, CASE WHEN miss IS NULL THEN CASE WHEN k % 29 = 0 THEN 'certified_undocumented' ELSE 'certified' END WHEN miss THEN 'certified_rpa_absence' WHEN open THEN 'unmodeled_only' ELSE 'failed' END AS tier
  FROM p LEFT JOIN z USING (an))"""
+_BLANK = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+def _kwic(source: str, hit: str, size: int) -> str:
+    """CTEs that end in z(ord, start, window): the merged windows of ``size`` words of source(ord, raw)."""
+    return rf"""
+kv AS (SELECT ord, list_filter(string_split_regex(raw, '{_BLANK}'), lambda x: x <> '') AS w FROM {source}),
+kh AS (SELECT ord, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS x FROM kv),
+km AS (SELECT ord, n, i - {size // 2} AS low, i + {(size - 1) // 2} + greatest(0, {size // 2} - i) AS high FROM (SELECT *, regexp_replace(upper(replace(x, 'ß', 'SS')), '[^A-Z0-9]', '', 'g') AS k FROM kh) WHERE {hit}),
+ks AS (SELECT ord, greatest(0, greatest(0, low) - greatest(0, high - (n - 1))) AS a, least(high, n - 1) AS b FROM km),
+ki AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY ord ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM ks),
+kj AS (SELECT *, sum(fresh) OVER (PARTITION BY ord ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM ki),
+kk AS (SELECT ord, min(a) AS a, max(b) AS b FROM kj GROUP BY ord, island),
+z AS (SELECT ord, a::INT AS start, CASE WHEN a > 0 THEN '... ' ELSE '' END || array_to_string(w[a + 1:b + 1], ' ') || CASE WHEN b < len(w) - 1 THEN ' ...' ELSE '' END AS "window" FROM kk JOIN kv USING (ord))"""
+
+
 _SETS = f"{PART}, s AS (SELECT 1 AS set_id, ord FROM p WHERE sz = '7' UNION ALL SELECT 2, ord FROM p WHERE ty LIKE 'PROMO%' UNION ALL SELECT 3, ord FROM p WHERE sz IN ('7', '8'))"
 _WORDS_IN_CHAT = "SELECT DISTINCT ord FROM c WHERE code IN ('/US', '/AS') AND term = '{}'"
 _PAIRS = """WITH v AS (SELECT conv_id AS ord, upper(substr(role, 1, 2)) AS tag, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS pos FROM conversations),
 a AS (SELECT ord, pos, max(CASE WHEN tag = 'US' THEN text END) AS "US", max(CASE WHEN tag = 'AS' THEN text END) AS "AS", max(CASE WHEN tag = 'SY' THEN text END) AS "SY" FROM v GROUP BY ord, pos)"""
 _LINES = """WITH l AS (SELECT conv_id AS line_id, min(turn) + 1 AS first_line, max(turn) + 1 AS last_line FROM conversations GROUP BY conv_id),
 x AS (SELECT conv_id, 'US' AS tag, turn FROM conversations WHERE role = 'user' AND turn = 0 UNION ALL SELECT conv_id, 'RO', turn FROM conversations),
-j AS (SELECT conv_id AS line_id, tag, turn AS value_seq, turn + 1 AS line, turn * 82 AS offset, first_line, last_line, key, status FROM x JOIN l ON l.line_id = conv_id, (VALUES ('k1', 'documented'), ('k2', 'chosen')) e(key, status))"""
+j AS (SELECT conv_id AS line_id, tag, turn AS value_seq, turn + 1 AS line, turn * 82 AS offset, first_line, last_line, key, status FROM x JOIN l ON l.line_id = conv_id, (VALUES ('k1', 'documented'), ('k2', 'chosen')) e(key, status) WHERE key = 'k1' OR conv_id % 3 <> 0)"""
 _RATES = "(VALUES ('purchase', 0.60::DECIMAL(10,2)), ('view', 0.05), ('signup', NULL)) r(format, rate)"
 
 SQL = {
@@ -127,8 +143,8 @@ SELECT ord, CASE WHEN odd THEN 'percent_number' ELSE 'percent_sum' END AS kind,
     "g11_costs": f"""WITH s AS (SELECT user_id AS session, ceil((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0)::BIGINT AS minutes, sum(coalesce(rate, 0)) AS shown FROM events LEFT JOIN {_RATES} ON format = event_type GROUP BY 1)
 SELECT session, minutes, minutes * 0.25::DOUBLE AS connect_cost, shown::DOUBLE AS show_cost, (minutes * 0.25::DECIMAL(10,2) + shown)::DOUBLE AS total FROM s""",
     "g11_by_format": f"SELECT format, count(*) AS n, (count(*) * rate)::DOUBLE AS cost FROM events JOIN {_RATES} ON format = event_type WHERE rate IS NOT NULL GROUP BY format, rate",
-    "g12_by_status": "SELECT (['chosen', 'inferred', 'documented'])[n_regionkey % 3 + 1] AS status, string_agg(n_name, ',' ORDER BY n_name) AS keys FROM nation GROUP BY 1",
-    "g13_weakest": f"{_LINES} SELECT DISTINCT line_id, 'chosen' AS status FROM j",
+    "g12_by_status": "SELECT (['chosen', 'inferred', 'documented'])[c_custkey % 3 + 1] AS status, row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_name) AS place, c_name AS key FROM customer",
+    "g13_weakest": f"{_LINES} SELECT DISTINCT line_id, CASE WHEN line_id % 3 = 0 THEN 'documented' ELSE 'chosen' END AS status FROM j",
     "g14_repeated_keys": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
     "g14_uncovered": "SELECT conv_id AS ord FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'system') = 0",
     "g14_repeated_postings": f"{PART} SELECT DISTINCT '/TI' AS code, term FROM w WHERE term LIKE 'A%'",
@@ -137,18 +153,21 @@ SELECT session, minutes, minutes * 0.25::DOUBLE AS connect_cost, shown::DOUBLE A
     "x1_browse_end": _window("ZZZZZZ"),
     "x2_browse_head": f"{DOC_TERMS} SELECT row_number() OVER (ORDER BY term)::INT AS ref, items, term, false AS starred FROM l ORDER BY term LIMIT 12",
     "x3_next_page": f"{DOC_TERMS} SELECT ((47 + row_number() OVER (ORDER BY term)) % 50 + 1)::INT AS ref, items, term, false AS starred FROM l WHERE term > 'TION' ORDER BY term LIMIT 12",
-    "x4_previous_page": f"{DOC_TERMS}, n AS (SELECT row_number() OVER (ORDER BY term) - 1 AS i, * FROM l) SELECT ((38 + i - 16) % 50 + 1)::INT AS ref, items, term, false AS starred FROM n WHERE i BETWEEN 16 AND 27",
-    "x5_wrapped": "SELECT n_nationkey, (44 + n_nationkey) % 50 + 1 AS ref FROM nation",
+    "x4_previous_page": f"{DOC_TERMS}, n AS (SELECT row_number() OVER (ORDER BY term) - 1 AS i, * FROM l), s AS (SELECT greatest(0, count(*) - 24) AS a FROM l WHERE term <= 'TION') SELECT ((38 + i - a) % 50 + 1)::INT AS ref, items, term, false AS starred FROM n, s WHERE i BETWEEN a AND a + 11",
+    "x5_wrapped": "SELECT o_orderkey, (44 + o_orderkey) % 50 + 1 AS ref FROM orders",
     "x6_sorted_set": f"""{ORDERS}, k AS (SELECT ord, coalesce((SELECT min(term) FROM ph p WHERE p.ord = s.ord AND code = 'OP' AND ord % 5 <> 0), '') AS a, coalesce((SELECT min(term) FROM ph p WHERE p.ord = s.ord AND code = 'RF'), '') AS b FROM ph s WHERE code = 'OS' AND term = 'O')
 SELECT ord, row_number() OVER (ORDER BY a DESC, b, ord) AS rank FROM k""",
     "x8_slice": "SELECT * FROM (SELECT doc_id AS ord, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE upper(lang) = 'ES') WHERE rank = 1 OR rank BETWEEN 3 AND 5 OR rank >= 90",
     "x8_order_count": "SELECT least(count(*), 4) AS ordered FROM documents WHERE upper(lang) = 'ES'",
     "x9_collation": "SELECT 'LA' AS code, min(upper(lang)) AS low, max(upper(lang)) AS high FROM documents UNION ALL SELECT 'SO', min(upper(source)), max(upper(source)) FROM documents",
+    "x10_kwic": f"WITH {_kwic('(SELECT doc_id AS ord, text AS raw FROM documents)', "k = 'THAT' OR k LIKE 'CIUD%'", 7)} SELECT ord, start, \"window\" FROM z",
+    "x12_kwic_set": f"""{DOC}, s AS (SELECT DISTINCT ord FROM d JOIN documents ON doc_id = ord WHERE term = 'THAT' AND upper(lang) = 'EN'), r AS (SELECT ord, row_number() OVER (ORDER BY ord) AS rank FROM s),
+{_kwic('(SELECT doc_id AS ord, text AS raw FROM documents JOIN s ON ord = doc_id)', "k = 'THAT'", 30)} SELECT rank, ord, start, "window" FROM z JOIN r USING (ord)""",
     "f18_stamp": "SELECT event_id, lower(strftime(ts, '%d%b%y')) || ' ' || strftime(ts, '%H:%M:%S') AS stamp FROM events",
-    "f14_headings": "SELECT n_regionkey, string_agg(n_nationkey || ' ' || n_name, '; ' ORDER BY n_nationkey::VARCHAR) AS headings FROM nation GROUP BY 1",
+    "f14_headings": "SELECT l_orderkey, string_agg(l_linenumber || ' ' || l_returnflag, '; ' ORDER BY l_linenumber::VARCHAR, l_returnflag) AS headings FROM lineitem GROUP BY 1",
     "f_text": r"""WITH c AS (SELECT *, (CASE WHEN c_custkey % 2 = 0 THEN 'R' ELSE '' END) || c_custkey % 1500 AS code, '9' || repeat('1', (c_custkey % 10)::INT) AS a FROM customer)
 SELECT c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS alnum, ' ' || CASE WHEN len(a) >= 8 THEN a ELSE lpad(a, 8, '0') END AS shown, c_custkey % 3 <> 0 AS is_an, nullif(regexp_extract(code, '^R?([0-9]{3})$', 1), '') AS code,
- CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 200 END::INT AS percent, true AS year, len(c_name) = 18 AS fits, (c_custkey % 70 > 60)::INT AS long_words, base64(encode(c_mktsegment)) AS b64, c_mktsegment AS trimmed, substr(c_name || c_mktsegment, 1, 24) AS excerpt FROM c""",
+ CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 9 <> 0 THEN c_custkey % 200 END::INT AS percent, true AS year, len(c_name) = 18 AS fits, (c_custkey % 70 > 60)::INT AS long_words, base64(encode(c_mktsegment)) AS b64, c_mktsegment AS trimmed, substr(c_name || c_mktsegment, 1, 24) AS excerpt FROM c""",
     "a21_offsets": "SELECT o_orderkey, (o_orderkey - 1) * 82 AS offset, o_orderkey AS line FROM orders",
     "a1_lines": f"{_CARD} SELECT sum(n)::BIGINT + 2 AS lines, 0::BIGINT AS bad_lines FROM n",
     "a2_alignment": f"{_CARD} SELECT 82 * (sum(n)::BIGINT + 2) AS bytes, 0::BIGINT AS misaligned FROM n",
@@ -188,8 +207,10 @@ SELECT doc_id, CASE WHEN substr(x, 49, 1) IN ('8', '9', 'A', 'B') THEN substr(x,
 SELECT an, an AS accession, CASE WHEN len(t) <= 100 THEN t END AS title, CASE WHEN k % 17 <> 0 THEN 'TOWN ' || k % 10 END AS city, CASE WHEN k % 9 <= 5 THEN 1 + k % 9 END::INT AS investigators,
  CASE WHEN k % 2 = 0 THEN 1 END::INT AS rp_codes, tier LIKE 'certified%' AS certified, coalesce(problems, 0) AS problems FROM tier LEFT JOIN c USING (an)""",
     "d1_accession_lines": f"{_CARD} SELECT an, ' 0' || an AS line FROM p",
-    "d2_brief": f"{_CARD} SELECT ' 0' || an AS accession, 'P-' || k AS project, 'SMITH ' || k AS investigator, p_brand AS location, t AS title FROM p",
+    "d2_brief": f"{_CARD} SELECT ' 0' || an AS accession, '' AS agency, 'P-' || k AS project, ' TO ' AS period, 'SMITH ' || k AS investigator, '' AS organization, p_brand AS location, t AS title FROM p",
     "d3_chosen_fields": f"{_CARD} SELECT an, 'MAIN|' || CASE WHEN k % 3 = 0 THEN 'CSRS|' ELSE '' END || CASE WHEN k % 2 = 0 THEN 'R101|A0100|C0100|F0100|100%' ELSE 'R101|R999|A0100|A0200|C0100|C0200|F0100|F0200|050%|' || CASE WHEN k % 11 = 0 THEN '040%' ELSE '050%' END END AS values FROM p",
-    "d4_full_record": """WITH n AS (SELECT conv_id AS ord, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a, count(*) FILTER (role = 'system') AS s, coalesce(len(arg_min(text, turn) FILTER (role = 'user')), 0) AS f FROM conversations GROUP BY 1)
-SELECT ord, f::INT AS first_user, a::INT AS answers, nullif(greatest(u, a), 0)::INT AS rows, nullif(greatest(u, s), 0)::INT AS pairs FROM n""",
+    "d4_full_record": rf"""{_PAIRS}, f AS (SELECT ord, coalesce(arg_min(text, pos) FILTER (tag = 'US'), '') AS first_user, coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (tag = 'AS'), '') AS answers FROM v GROUP BY 1),
+g AS (SELECT ord, string_agg(pos || '|' || coalesce("US", '-') || '|' || coalesce("AS", '-') || '|' || ("US" IS NOT NULL AND "AS" IS NOT NULL), chr(10) ORDER BY pos) AS rows FROM a WHERE coalesce("US", "AS") IS NOT NULL GROUP BY 1),
+q AS (SELECT ord, string_agg(pos || '|' || coalesce("US", '-') || '|' || coalesce("SY", '-') || '|' || ("US" IS NOT NULL AND "SY" IS NOT NULL), chr(10) ORDER BY pos) AS pairs FROM a WHERE coalesce("US", "SY") IS NOT NULL GROUP BY 1)
+SELECT ord, first_user, answers, rows, pairs FROM f LEFT JOIN g USING (ord) LEFT JOIN q USING (ord)""",
 }

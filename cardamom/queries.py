@@ -11,6 +11,7 @@ from cardamom import corpora as C
 from cardamom.functions import text
 from cardamom.operators import browse, checks, display, index, kwic, rules, search, sets, usage
 from cardamom.operators.search import And, Near, Not, Or, PhrasePrefix, Prefix, Refs, SetOf, Term, Word
+from cardamom.plans.numbering import own_folder
 from cardamom.sources import cards
 
 QUERIES = {}
@@ -31,7 +32,7 @@ def i1_phrase_keys(spark, d):
 
 @query
 def i2_phrase_postings_docs(spark, d):
-    return C.doc_index(spark, d).phrases
+    return index.phrase_postings(C.docs(spark, d), C.DOC_PHRASES)
 
 
 @query
@@ -46,18 +47,18 @@ def i3_tokens(spark, d):
 
 @query
 def i4_word_postings(spark, d):
-    return C.doc_index(spark, d).words
+    return index.word_postings(C.docs(spark, d), C.DOC_WORDS)
 
 
 @query
 def i5_positions_docs(spark, d):
-    p = C.doc_index(spark, d).places
+    p = index.positions(C.docs(spark, d), C.DOC_WORDS)
     return p.groupBy("term").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.sum("ord").alias("ords"))
 
 
 @query
 def i5_positions_chat(spark, d):
-    return C.chat_index(spark, d).places
+    return index.positions(C.chat(spark, d), C.CHAT_WORDS)
 
 
 @query
@@ -82,28 +83,26 @@ def i9_mismatches(spark, d):
 
 @query
 def i10_shards(spark, d):
-    t = C.doc_index(spark, d).words
-    return index.sharded(t).groupBy("code", "shard").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"))
+    return C.doc_index(spark, d).words.groupBy("code", "shard").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"))
 
 
 @query
 def i11_alias(spark, d):
     v = C.parts(spark, d).withColumn("tag", F.when(F.col("tag") == "TI", "DE").otherwise(F.col("tag")))
-    i = search.Index(index.phrase_postings(v, C.PART_PHRASES), index.word_postings(v, {"/DE": ("DE",)}), None, ("/DE",))
-    return search.found(Prefix("S", ("/DF",)), i)
+    return search.found(Prefix("S", ("/DF",)), search.built(v, C.PART_PHRASES, {"/DE": ("DE",)}, ("/DE",)))
 
 
 @query
 def k1_index_files(spark, d):
     folder = _folder(spark, "index")
-    index.write_index(C.doc_index(spark, d).words, folder)
-    return spark.read.parquet(folder).groupBy("code", "shard").agg(F.count("*").alias("n"))
+    index.write_index(index.word_postings(C.docs(spark, d), C.DOC_WORDS), folder)
+    return index.open_index(spark, folder).groupBy("code", "shard").agg(F.count("*").alias("n"))
 
 
 @query
 def k2_term_files(spark, d):
     folder = _folder(spark, "terms")
-    index.write_terms(index.term_list(C.doc_index(spark, d).words), folder)
+    index.write_terms(C.doc_index(spark, d).word_terms, folder)
     return spark.read.parquet(folder)
 
 
@@ -115,15 +114,15 @@ def k4_report(spark, d):
 
 @query
 def k6_manifest(spark, d):
-    counts = index.term_list(C.part_index(spark, d).phrases).groupBy("code").agg(F.count("*").alias("terms"))
+    counts = C.part_index(spark, d).phrase_terms.groupBy("code").agg(F.count("*").alias("terms"))
     manifest = C.table(spark, d, "part").agg(F.countDistinct("p_brand").alias("expected")).select(F.lit("BR").alias("code"), "expected").union(C.table(spark, d, "part").agg((F.countDistinct("p_type") + 1).alias("expected")).select(F.lit("TY"), "expected"))
     return checks.manifest_faults(counts, manifest)
 
 
 @query
 def k7_drift(spark, d):
-    w = C.doc_index(spark, d).words
-    return checks.drifted(index.term_list(w), w.where(~F.col("term").startswith("Q")))
+    i = C.doc_index(spark, d)
+    return checks.drifted(i.word_terms, i.words.where(~F.col("term").startswith("Q")))
 
 
 @query
@@ -137,7 +136,7 @@ def k8_parity(spark, d):
 def k9_presence(spark, d):
     i = C.chat_index(spark, d)
     codes = spark.createDataFrame([("/US",), ("/AS",), ("/SY",), ("/ZZ",)], "code string")
-    return checks.missing_artifacts(codes, terms=index.term_list(i.words), postings=i.words, places=i.places)
+    return checks.missing_artifacts(codes, terms=i.word_terms, postings=i.words, places=i.places)
 
 
 # operands and sets
@@ -207,7 +206,7 @@ def s9_set(spark, d):
 @query
 def s10_rows(spark, d):
     i = C.part_index(spark, d)
-    rows = browse.browse(index.term_list(i.phrases).where("code = 'TY'"), "PROMO")
+    rows = browse.browse(i.phrase_terms.where("code = 'TY'"), "PROMO")
     return search.found(Refs(rows.where(F.col("ref").between(3, 5)), ("TY",), phrase=True), i)
 
 
@@ -331,7 +330,7 @@ def j9_code_tags(spark, d):
 def _lineage(spark, d):
     v = C.chat(spark, d).withColumn("line", F.col("value_seq") + 1).withColumn("offset", text.line_offset(F.col("value_seq") + 1))
     recs = v.groupBy("ord").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"))
-    shown = C.table(spark, d, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("line_id"), F.col("conv_id").alias("ord"), F.array(F.struct(F.lit("US").alias("tag"), F.when(F.col("conv_id").isNotNull(), F.lit(0).cast("long")).alias("value_index")), F.struct(F.lit("RO").alias("tag"), F.lit(None).cast("long").alias("value_index"))).alias("sources"), F.array(F.lit("k1"), F.lit("k2")).alias("keys"))
+    shown = C.table(spark, d, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("line_id"), F.col("conv_id").alias("ord"), F.array(F.struct(F.lit("US").alias("tag"), F.when(F.col("conv_id").isNotNull(), F.lit(0).cast("long")).alias("value_index")), F.struct(F.lit("RO").alias("tag"), F.lit(None).cast("long").alias("value_index"))).alias("sources"), F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("k1"))).otherwise(F.array(F.lit("k1"), F.lit("k2"))).alias("keys"))
     n = C.table(spark, d, "nation").where("n_nationkey < 2")
     return display.lineage(shown, v, recs, n.select(F.concat(F.lit("k"), (F.col("n_nationkey") + 1).cast("string")).alias("key"), F.when(F.col("n_nationkey") == 0, "documented").otherwise("chosen").alias("status")))
 
@@ -346,7 +345,7 @@ def j10_lineage(spark, d):
 
 @query
 def g1_term_list(spark, d):
-    return index.term_list(C.doc_index(spark, d).words)
+    return C.doc_index(spark, d).word_terms
 
 
 @query
@@ -358,8 +357,8 @@ def g2_values(spark, d):
 @query
 def g3_top(spark, d):
     v = C.orders(spark, d)
-    p = index.phrase_postings(v, C.ORDER_PHRASES)
-    return sets.top_values(sets.value_counts(p, "OP", search.found(Term("OS", "O"), search.Index(p, p))))
+    i = search.built(v, C.ORDER_PHRASES, {}, ())
+    return sets.top_values(sets.value_counts(i.phrases, "OP", search.found(Term("OS", "O"), i)))
 
 
 @query
@@ -395,8 +394,8 @@ def g11_by_format(spark, d):
 
 @query
 def g12_by_status(spark, d):
-    n = C.table(spark, d, "nation").select(F.col("n_name").alias("key"), F.element_at(F.array(*map(F.lit, display.STATUSES)), (F.col("n_regionkey") % 3 + 1).cast("int")).alias("status"))
-    return display.by_status(n).select("status", F.array_join("keys", ",").alias("keys"))
+    c = C.table(spark, d, "customer").select(F.col("c_name").alias("key"), F.element_at(F.array(*map(F.lit, display.STATUSES)), (F.col("c_custkey") % 3 + 1).cast("int")).alias("status"))
+    return display.by_status(c)
 
 
 @query
@@ -417,7 +416,7 @@ def g14_uncovered(spark, d):
 
 @query
 def g14_repeated_postings(spark, d):
-    w = C.part_index(spark, d).words
+    w = C.part_index(spark, d).words.drop("shard")
     return checks.repeated_postings(w.union(w.where("term like 'A%'")))
 
 
@@ -425,7 +424,7 @@ def g14_repeated_postings(spark, d):
 
 
 def _doc_terms(spark, d):
-    return index.term_list(C.doc_index(spark, d).words).select("term", "items")
+    return C.doc_index(spark, d).word_terms.where("code = '/TX'").select("term", "items")
 
 
 @query
@@ -455,12 +454,12 @@ def x3_next_page(spark, d):
 
 @query
 def x4_previous_page(spark, d):
-    return browse.previous_page(_doc_terms(spark, d), 40, 13)
+    return browse.previous_page(_doc_terms(spark, d), "TION", 13)
 
 
 @query
 def x5_wrapped(spark, d):
-    return C.table(spark, d, "nation").select("n_nationkey", (F.pmod(F.lit(44) + F.col("n_nationkey"), F.lit(50)) + 1).alias("ref"))
+    return C.table(spark, d, "orders").select("o_orderkey", browse.wrapped(F.col("o_orderkey") + 45).alias("ref"))
 
 
 @query
@@ -482,7 +481,7 @@ def x8_order_count(spark, d):
 
 @query
 def x9_collation(spark, d):
-    return index.term_list(C.doc_index(spark, d).phrases).groupBy("code").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    return C.doc_index(spark, d).phrase_terms.groupBy("code").agg(F.min("term").alias("low"), F.max("term").alias("high"))
 
 
 @query
@@ -493,9 +492,9 @@ def x10_kwic(spark, d):
 @query
 def x12_kwic_set(spark, d):
     v = C.docs(spark, d).withColumn("tag", F.when(F.col("tag") == "TX", "TI").otherwise(F.col("tag")))
-    i = search.Index(index.phrase_postings(v, C.DOC_PHRASES), index.word_postings(v, {"/TI": ("TI",)}), None, ("/TI",))
     e = And(Word("THAT"), Term("LA", "EN"))
-    return kwic.of_set(v, sets.sliced(sets.result(search.found(e, i)), "1-3"), e, 30).select("rank", "ord", "start", "window")
+    current = sets.result(search.found(e, search.built(v, C.DOC_PHRASES, {"/TI": ("TI",)}, ("/TI",))))
+    return kwic.of_set(v, current, e, 30).select("rank", "ord", "start", "window")
 
 
 # functions
@@ -509,7 +508,7 @@ def f_text(spark, d):
     return p.select(
         "c_custkey", text.alnum(F.col("c_name")).alias("alnum"), text.shown_accession(F.concat(F.lit("9"), F.repeat(F.lit("1"), (F.col("c_custkey") % 10).cast("int")))).alias("shown"),
         text.is_accession(F.when(F.col("c_custkey") % 3 == 0, F.concat(an, F.lit("x"))).otherwise(an)).alias("is_an"), text.canonical_code(code).alias("code"),
-        text.percent(F.concat((F.col("c_custkey") % 200).cast("string"), F.when(F.col("c_custkey") % 4 == 0, "%%").otherwise("%"))).alias("percent"),
+        text.percent(F.concat(F.when(F.col("c_custkey") % 5 == 0, " ").when(F.col("c_custkey") % 7 == 0, "+").otherwise(""), (F.col("c_custkey") % 200).cast("string"), F.when(F.col("c_custkey") % 4 == 0, "%%").when(F.col("c_custkey") % 9 == 0, " %").otherwise("%"))).cast("int").alias("percent"),
         text.is_year(F.substring("c_name", 1, 1 + 1)).alias("year"), text.has_length(F.col("c_name"), 18, 18).alias("fits"),
         F.size(text.long_words(F.concat(F.repeat(F.lit("a"), (F.col("c_custkey") % 70).cast("int")), F.lit(" b")))).alias("long_words"),
         F.base64(F.encode("c_mktsegment", "UTF-8")).alias("b64"), text.trim(F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" \n"))).alias("trimmed"),
@@ -524,8 +523,8 @@ def f18_stamp(spark, d):
 
 @query
 def f14_headings(spark, d):
-    h = F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("label"))))
-    return C.table(spark, d, "nation").groupBy("n_regionkey").agg(text.headings(h).alias("headings"))
+    h = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("code"), F.col("l_returnflag").alias("label"))))  # of one order
+    return C.table(spark, d, "lineitem").groupBy("l_orderkey").agg(text.headings(h).alias("headings"))
 
 
 @query
@@ -543,12 +542,7 @@ def f17_excerpts(spark, d):
 
 
 def _folder(spark, name):
-    import uuid
-
-    from cardamom.plans.numbering import scratch
-
-    base = scratch(spark.range(1), name).inputFiles()[0].rsplit("/", 2)[0]
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return own_folder(spark, name)
 
 
 @query
@@ -739,7 +733,7 @@ def d1_accession_lines(spark, d):
 
 @query
 def d2_brief(spark, d):
-    return display.brief(C.CardFiles(spark, d).values).select("accession", "project", "investigator", "location", "title")
+    return display.brief(C.CardFiles(spark, d).values).drop("ord")
 
 
 @query
@@ -752,4 +746,5 @@ def d3_chosen_fields(spark, d):
 @query
 def d4_full_record(spark, d):
     r = display.full_record(C.chat(spark, d), ("US", "AS"), ("US", "SY"), ("US",), ("AS",))
-    return r.select("ord", F.length("US").alias("first_user"), F.size("AS_all").alias("answers"), F.size("grid").alias("rows"), F.size("pairs").alias("pairs"))
+    rows = lambda c, tags: F.array_join(F.transform(c, lambda x: F.concat_ws("|", x["pos"].cast("string"), *[F.coalesce(x[t], F.lit("-")) for t in tags], x["complete"].cast("string"))), "\n")
+    return r.select("ord", F.col("US").alias("first_user"), F.array_join("as_all", "\n").alias("answers"), rows("grid", ("US", "AS")).alias("rows"), rows("pairs", ("US", "SY")).alias("pairs"))

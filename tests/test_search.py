@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardamom.operators import browse, checks, index, kwic, search, sets
-from cardamom.operators.search import And, Index, Near, Not, Or, Prefix, Refs, SetOf, Term, Word
-from cardamom.plans.numbering import carried, ranked, sorted_ranks
+from cardamom.operators.search import And, Near, Not, Or, Prefix, Refs, SetOf, Term, Word
+from cardamom import corpora
+from cardamom.operators.search import PhrasePrefix
+from cardamom.plans.numbering import carried, own_folder, sorted_ranks
 
 VALS = [
     (1, "TI", 1, 0, "Fresh water fish"), (1, "OB", 1, 0, "Water, the fresh kind"), (2, "TI", 1, 0, "Fresh the water"), (2, "TI", 2, 0, "fish"),
@@ -19,7 +21,7 @@ def vals(spark):
 
 @pytest.fixture(scope="module")
 def idx(vals):
-    return Index(index.phrase_postings(vals, {"CY": ("CY",)}), index.word_postings(vals, WORDS), index.positions(vals, WORDS), ("/TI", "/OB"))
+    return search.built(vals, {"CY": ("CY",)}, WORDS, ("/TI", "/OB"))
 
 
 def ords(e, idx):
@@ -49,6 +51,54 @@ def test_proximity(idx):
     assert [(r["seq"], r["items"]) for r in got] == [(1, 3), (2, 3), (3, 1)]
 
 
+def test_unknown_codes_are_refused(idx):
+    for e in (Term("QQ", "X"), PhrasePrefix("QQ", "X"), Word("X", ("/QQ",)), And(Word("FISH"), Prefix("X", ("/QQ",))), Near("W", Word("X", ("/QQ",)), Word("FISH")), Refs(idx.word_terms, ("/QQ",))):
+        with pytest.raises(ValueError, match="unknown"):
+            search.found(e, idx)
+    assert ords(PhrasePrefix("CY", "bel"), idx) == [3, 4] and ords(Prefix("", ("/OB",)), idx) == [1, 5]
+
+
+def test_written_index_gives_the_same_sets_from_few_folders(spark, idx, data):
+    folder = own_folder(spark, "test")
+    search.write(idx, folder)
+    own = search.opened(spark, folder, ("CY",), tuple(WORDS), ("/TI", "/OB"))
+    fresh, water = Word("FRESH", ("/TI",)), Word("WATER", ("/TI",))
+    for e in (Term("CY", "beltsville"), water, Prefix("FR"), Near("N", water, fresh, 2), Near("F", water, fresh), Not(fresh, Term("CY", "BELTSVILLE")), Prefix("")):
+        assert ords(e, own) == ords(e, idx)
+    assert sorted(map(tuple, own.word_terms.collect())) == sorted(map(tuple, idx.word_terms.collect()))
+    docs = corpora.doc_index(spark, data)
+    assert corpora.doc_index(spark, data).words.inputFiles() == docs.words.inputFiles()  # written once
+    for e, shard in ((And(Word("THIS", ("/TX",)), Term("LA", "EN")), "T"), (Prefix("TION", ("/TX",)), "T"), (Near("W", Word("ON"), Word("IN"), 3), "I"), (PhrasePrefix("SO", "SRC"), "S")):
+        plan = search.found(e, docs)._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan and plan.count("Scan parquet") == plan.count("PartitionFilters: [isnotnull(code") + plan.count("PartitionFilters: [isnotnull(shard")
+        assert f"(shard#" in plan and f"= {shard})" in plan
+    page = browse.browse(docs.word_terms.where("code = '/TX'").select("term", "items"), "TION")
+    assert "documents.parquet" not in page._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_proximity_in_long_values(spark):
+    rows = [(1, "TI", 1, 0, "a " * 3000 + "b " * 3000), (2, "TI", 1, 0, "b x a"), (3, "TI", 1, 0, "a x x x x b")]
+    own = search.built(spark.createDataFrame(rows, "ord long, tag string, field_seq int, value_seq int, raw string"), {}, {"/TI": ("TI",)}, ("/TI",))
+    for kind, within, want in (("W", 3, [1]), ("N", 2, [1, 2]), ("W", 5, [1, 3]), ("N", 1, [1])):
+        assert ords(Near(kind, Word("A"), Word("B"), within), own) == want
+
+
+def test_previous_page(spark):
+    terms = spark.createDataFrame([(f"T{i:02}", i) for i in range(60)], "term string, items long")
+    got = lambda last: [(r["ref"], r["term"]) for r in browse.previous_page(terms, last, 37).orderBy("term").collect()]
+    assert got("T35")[0] == (13, "T12") and got("T35")[-1] == (24, "T23") and got("T17")[0][1] == "T00" and len(got("T05")) == 6
+
+
+def test_kwic_terms():
+    a, b, c = Word("a"), Prefix("b"), Word("c")
+    assert kwic.terms_of(And(Near("W", a, b), c)) == (["C"], []) and kwic.terms_of(Near("W", a, b)) == ([], [])
+    assert kwic.terms_of(Or(And(a, Term("CY", "x")), b)) == (["A"], ["B"])
+
+
+def test_kwic_without_words_shows_nothing(vals, idx):
+    assert kwic.of_set(vals, sets.result(search.found(Term("CY", "BELTSVILLE"), idx)), Term("CY", "BELTSVILLE")).count() == 0
+
+
 def test_steps_and_counts(idx):
     e = And(Word("FISH"), Term("CY", "BELTSVILLE"))
     assert {r["step"]: r["n"] for r in search.steps(e, idx).groupBy("step").agg(F.count("*").alias("n")).collect()} == {1: 3, 2: 2, 3: 1}
@@ -124,7 +174,7 @@ def test_kwic_against_brute_force(spark, data, size):
 
 def test_numbering(spark):
     ids = spark.range(0, 5000, 7).withColumnRenamed("id", "ord")
-    got = [r["rank"] for r in ranked(ids, chunk=100).orderBy("ord").collect()]
+    got = [r["rank"] for r in sets.result(ids).orderBy("ord").collect()]
     assert got == list(range(1, len(got) + 1))
     got = [(r["rank"], r["k"]) for r in sorted_ranks(ids.withColumn("k", -F.col("ord")), F.col("k")).orderBy("rank").collect()]
     assert [r for r, _ in got] == list(range(1, len(got) + 1)) and [k for _, k in got] == sorted(k for _, k in got)
