@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardamom.operators import search
+from cardamom.operators import rules, search
 from cardamom.plans.numbering import own_folder, scratch
 from cardamom.sources import cards
 
@@ -91,8 +91,11 @@ def _many(label: str, items: list):
 _VALUE = "array<struct<tag:string,field_seq:int,value_seq:int,raw:string>>"
 
 
-def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ord, cards): a record per part, with faults by its key; the file's first and last line at either end."""
+def card_records(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+    """(ord, cards): a record per part, with faults by its key; the file's first and last line at either end.
+
+    broken: every 31st record has a line more, which does not end in CR LF.
+    """
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), "p_name", "p_brand", "p_type")
     k, none = F.col("k"), F.lit(None).cast("string")
     on = lambda n, c: F.when(k % n == 0, c).otherwise(F.array().cast("array<binary>"))
@@ -116,9 +119,11 @@ def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         on(23, F.array(cards.card(F.lit("ZZ"), F.lit("ODD")))),
         on(29, F.array(cards.card(F.lit("SN"), F.lit("1")), cards.card(F.lit("SC"), F.lit("C1" + cards.SEPARATOR + "WHEAT")))),
     )
-    ends = p.agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n"))
+    if broken:  # 82 bytes with blanks where CR LF would be, and the next line behind them
+        all_ = F.concat(all_, on(31, F.array(F.concat(cards.card(F.lit("ZY"), F.lit("")), F.lit(b"  "), cards.card(F.lit("ZY"), F.lit(""))))))
+    ends = p.agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n"), F.sum(F.size(all_)).alias("lines"))
     first = ends.select((F.col("low") - 1).alias("ord"), F.array(cards.card(F.lit("<<"), F.lit("FIRST LINE"))).alias("cards"))
-    last = ends.select((F.col("high") + 1).alias("ord"), F.array(F.encode(F.rpad(F.concat(F.lit(">> "), F.lpad(F.lit("0"), 9, "0"), F.lpad(F.col("n").cast("string"), 9, "0")), 80, " "), "ISO-8859-1")).alias("cards"))
+    last = ends.select((F.col("high") + 1).alias("ord"), F.array(F.encode(F.rpad(F.concat(F.lit(">> "), F.lpad(F.col("lines").cast("string"), 9, "0"), F.lpad(F.col("n").cast("string"), 9, "0")), 80, " "), "ISO-8859-1")).alias("cards"))
     return p.select(k.alias("ord"), all_.alias("cards")).union(first).union(last)
 
 
@@ -149,13 +154,36 @@ def faulty_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("ord", F.inline(every)).withColumn("raw_bytes", F.encode("raw", "ISO-8859-1"))
 
 
+def edge_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, tag, field_seq, value_seq, raw, raw_bytes): of a rule that the part's key chooses, a value at an edge of its bounds, or as many values as it allows, or one more."""
+    k = F.col("p_partkey").cast("long")
+    pick = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(n).alias("most"), F.lit(a).alias("a"), F.lit(b).alias("b")) for t, _, _, n, a, b, _ in rules.RULES])
+    e = table(spark, sf_dir, "part").select(k.alias("ord"), F.element_at(pick, (k % len(rules.RULES) + 1).cast("int")).alias("r"), (F.floor(k / len(rules.RULES)) % 6).alias("edge"))
+    size = F.when(F.col("edge") == 0, F.greatest(F.col("r.a") - 1, F.lit(0))).when(F.col("edge") == 2, F.col("r.b")).when(F.col("edge") == 3, F.col("r.b") + 1).otherwise(F.greatest(F.col("r.a"), F.lit(1)))
+    n = F.when(F.col("edge") < 4, 1).otherwise(F.when(F.col("r.most") == 9999, 3).otherwise(F.col("r.most")) + F.col("edge") - 4)
+    v = e.select("ord", "r.tag", "r.most", F.repeat(F.lit("7"), size).alias("raw"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    v = v.select("ord", "tag", F.when(F.col("most") == 1, F.col("i") + 1).otherwise(1).alias("field_seq"), F.when(F.col("most") == 1, 0).otherwise(F.col("i")).alias("value_seq"), "raw")
+    return v.withColumn("raw_bytes", F.encode("raw", "ISO-8859-1"))
+
+
+def mixed_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, tag, field_seq, value_seq, raw, raw_bytes): fields with a fault of their own and, in the same record, one that only comparing them would show."""
+    k = F.col("p_partkey").cast("long")
+    rows = [  # fault of the key, tag, value
+        (0, "AC", "A"), (0, "CT", "9%"), (0, "CT", "050%"), (1, "AC", "A0100"), (1, "CT", "050%"), (2, "SC", "X"), (2, "SN", "1"), (2, "SN", "2"), (3, "CT", " 50%"), (3, "CT", "50 %"), (3, "CT", "+050%"), (4, "CT", "0100"), (4, "RP", "R1"),
+    ]
+    all_ = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(t).alias("tag"), F.lit(i).alias("value_seq"), F.lit(v).alias("raw")) for i, (f, t, v) in enumerate(rows)])
+    p = table(spark, sf_dir, "part").select(k.alias("ord"), F.filter(all_, lambda x: x["f"] == k % 6).alias("x"))
+    return p.select("ord", F.inline("x")).select("ord", "tag", F.lit(1).alias("field_seq"), "value_seq", "raw").withColumn("raw_bytes", F.encode("raw", "ISO-8859-1"))
+
+
 class CardFiles:
     """Card files made of the part table in the shared folder, and what is read from them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, broken: bool = False):
         self.path = own_folder(spark, "cards")
         self.spark = spark
-        cards.write(card_records(spark, sf_dir), self.path)
+        cards.write(card_records(spark, sf_dir, broken), self.path)
         self.lines = scratch(cards.lines(spark, self.path), "lines")
         self._memo: dict[str, DataFrame] = {}
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
+from cardamom.plans.numbering import scratch
+from cardamom.sources import cards
 
 # Tag, group, required, values at most, least and most bytes, bytes only (not decoded).
 _ROWS = """
@@ -84,7 +88,7 @@ def attested(codes: DataFrame, vocabulary: DataFrame, year: Column) -> DataFrame
     """
     warrant = F.when(year.isin(88, 89), "rev_iv").when(year == 94, "fy94")
     df = codes.withColumns({"warrant_set": warrant, "code": text.canonical_code(F.col("value"))})
-    df = df.join(F.broadcast(vocabulary.withColumn("known", F.lit(True))), ["warrant_set", "code"], "left")
+    df = df.join(vocabulary.withColumn("known", F.lit(True)), ["warrant_set", "code"], "left")
     state = F.when(F.col("warrant_set").isNull(), "no_warrant_set").when(F.col("code").isNull(), "not_applicable").when(F.col("known"), "attested").otherwise("not_attested")
     return df.withColumn("state", state).drop("known")
 
@@ -119,43 +123,52 @@ def problems(vals: DataFrame, ids: DataFrame, orphans: DataFrame | None = None,
     heads_end = F.forall(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.endswith(p, F.lit("\u00a0")))
     out.append(v.where(F.col("tag").isin(*HEADING_PARTS) & ~(F.size(parts).between(F.lit(2), most) & heads_end)).select("ord", F.lit("heading_parts"), "tag", "grp", F.concat(F.lit("parts: "), F.size(parts).cast("string"))))
     out.append(v.where("tag = 'DE'").select("ord", "tag", "grp", F.explode(text.long_words(F.col("raw"), KEYWORD_BYTES)).alias("w")).select("ord", F.lit("long_keyword"), "tag", "grp", F.col("w")))
+    # rules that compare fields hold only for records in which each of these fields is sound by itself
+    alone = scratch(reduce(DataFrame.union, out), "problems")
+    out = [alone, cross_counts(vals, alone), percent_sums(vals, alone)]
     other = vals.join(rules, "tag", "left_anti").where(~F.col("tag").isin(*UNCHECKED)).select("ord", "tag", "field_seq").distinct()
     out.append(other.select("ord", F.when(text.not_ascii(F.col("tag")), "tag_not_ascii").otherwise(NOT_MODELED), "tag", F.lit("none"), F.lit("")))
-    out.append(cross_counts(vals))
-    out.append(percent_sums(vals))
     if orphans is not None:
         out.append(orphans.select("ord", F.lit(NOT_MODELED), F.lit("<unassigned>"), F.lit("none"), F.concat(F.lit("line "), F.col("line_no").cast("string"))))
     if vocabulary is not None and year is not None:
         rp = vals.where("tag = 'RP' and octet_length(raw_bytes) >= 4").select("ord", F.col("raw").alias("value"))
         miss = attested(rp, vocabulary, F.lit(year)).where("state = 'not_attested'")
         out.append(miss.select("ord", F.lit(MISS), F.lit("RP"), F.lit("classification"), F.col("code")))
-    found = out[0]
-    for df in out[1:]:
-        found = found.union(df)
-    return found
+    return reduce(DataFrame.union, out)
 
 
 def _counts(vals: DataFrame, tags: tuple[str, ...]) -> DataFrame:
     return vals.where(F.col("tag").isin(*tags)).groupBy("ord").agg(*[F.count(F.when(F.col("tag") == t, 1)).alias(t) for t in tags])
 
 
-def cross_counts(vals: DataFrame) -> DataFrame:
-    """The five columns must be of one length; SN, if there, as long as SC."""
+def _sound_in(df: DataFrame, alone: DataFrame | None, *tags: str) -> DataFrame:
+    """The rows of df (ord, ...) whose record has no problem of its own in the tags."""
+    return df if alone is None else df.join(alone.where(F.col("tag").isin(*tags)).select("ord").distinct(), "ord", "left_anti")
+
+
+def cross_counts(vals: DataFrame, alone: DataFrame | None = None) -> DataFrame:
+    """The five columns must be of one length; SN, if there, as long as SC. alone: problems of single fields, which come first."""
     c = _counts(vals, (*FIVE, "SC", "SN"))
-    five = c.where(F.greatest(*FIVE) != F.least(*FIVE)).select("ord", F.lit("column_counts").alias("kind"), F.lit("RP").alias("tag"), F.lit("classification").alias("grp"), F.array_join(F.array(*[F.col(t).cast("string") for t in FIVE]), ",").alias("message"))
-    return five.union(c.where((F.col("SN") > 0) & (F.col("SN") != F.col("SC"))).select("ord", F.lit("pair_counts"), F.lit("SN"), F.lit("classification"), F.concat_ws(",", F.col("SC").cast("string"), F.col("SN").cast("string"))))
+    five = _sound_in(c.where(F.greatest(*FIVE) != F.least(*FIVE)), alone, *FIVE).select("ord", F.lit("column_counts").alias("kind"), F.lit("RP").alias("tag"), F.lit("classification").alias("grp"), F.array_join(F.array(*[F.col(t).cast("string") for t in FIVE]), ",").alias("message"))
+    pair = _sound_in(c.where((F.col("SN") > 0) & (F.col("SN") != F.col("SC"))), alone, "SC")
+    return five.union(pair.select("ord", F.lit("pair_counts"), F.lit("SN"), F.lit("classification"), F.concat_ws(",", F.col("SC").cast("string"), F.col("SN").cast("string"))))
 
 
-def percent_sums(vals: DataFrame) -> DataFrame:
+def percent_sums(vals: DataFrame, alone: DataFrame | None = None) -> DataFrame:
     """CT must add up to 100; a value that is no whole number is named instead."""
     p = text.percent(F.col("raw"))
     c = vals.where("tag = 'CT'").groupBy("ord").agg(F.sum(p).alias("total"), F.min(F.when(p.isNull(), F.col("raw"))).alias("odd"))
-    bad = c.where("odd is not null or total <> 100")
+    bad = _sound_in(c.where("odd is not null or total <> 100"), alone, "CT")
     return bad.select("ord", F.when(F.col("odd").isNotNull(), "percent_number").otherwise("percent_sum").alias("kind"), F.lit("CT").alias("tag"), F.lit("classification").alias("grp"), F.coalesce("odd", F.col("total").cast("string")).alias("message"))
 
 
+def unreadable(spans: DataFrame) -> DataFrame:
+    """(ord, error) of records whose bytes are no whole number of lines: they cannot be read into fields."""
+    return spans.where(F.col("length") % cards.WIDTH != 0).select("ord", F.concat(F.lit("bytes: "), F.col("length").cast("string")).alias("error"))
+
+
 def tiers(ids: DataFrame, found: DataFrame, vals: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
-    """(ord, tier) of every record."""
+    """(ord, tier) of every record; an unreadable one has that tier whatever else is known of it."""
     per = found.groupBy("ord").agg(F.bool_and(F.col("kind") == MISS).alias("misses"), F.bool_and(F.col("kind") == NOT_MODELED).alias("unmodeled"))
     extra = vals.where(F.col("tag").isin(*UNCHECKED)).select("ord").distinct().withColumn("extra", F.lit(True))
     df = ids.select("ord").join(per, "ord", "left").join(extra, "ord", "left")
@@ -178,7 +191,7 @@ def histogram(found: DataFrame) -> DataFrame:
 
 
 def wide(spans: DataFrame, vals: DataFrame, found: DataFrame, tier: DataFrame) -> DataFrame:
-    """One row per record with nested columns; a group with a problem is null in all of its columns."""
+    """One row per record with nested columns; a group with a problem is null in all of its columns, an unreadable record in all groups."""
     one = lambda t: F.min_by(F.when(F.col("tag") == t, F.col("raw")), F.when(F.col("tag") == t, F.col("value_seq")))
     many = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == t, F.struct("field_seq", "value_seq", "raw")))), lambda x: x["raw"])
     single = {"accession": ("AN", "identity"), "project_number": ("PN", "identity"), "title": ("TI", "title"), "institution": ("PI", "institution"), "city": ("CY", "institution"), "state": ("ST", "institution")}
@@ -187,10 +200,16 @@ def wide(spans: DataFrame, vals: DataFrame, found: DataFrame, tier: DataFrame) -
     failed = found.groupBy("ord").agg(F.collect_set("grp").alias("bad"), F.array_sort(F.collect_list(F.struct("kind", "tag", "message"))).alias("problems"))
     df = spans.join(per, "ord", "left").join(failed, "ord", "left").join(tier, "ord")
     for c, (_, g) in {**single, **lists}.items():
-        df = df.withColumn(c, F.when(~F.coalesce(F.array_contains("bad", g), F.lit(False)), F.col(c)))
+        df = df.withColumn(c, F.when(~F.coalesce(F.array_contains("bad", g), F.lit(False)) & (F.col("tier") != TIERS[5]), F.col(c)))
     empty = F.array().cast("array<struct<kind:string,tag:string,message:string>>")
-    validation = F.struct(F.col("tier").startswith("certified").alias("certified"), "tier", F.coalesce("problems", empty).alias("problems"))
-    return df.select("ord", "an", "first_line", "offset", "length", *single, *lists, validation.alias("validation"))
+    validation = F.struct(F.col("tier").startswith("certified").alias("certified"), "tier", F.when(F.col("tier") == TIERS[5], empty).otherwise(F.coalesce("problems", empty)).alias("problems"))
+    an = F.when(F.col("tier") != TIERS[5], F.col("an")).alias("an")
+    return df.withColumn("from", cards.provenance(F.col("file"))).select("ord", "from.*", an, "first_line", "offset", "length", *single, *lists, validation.alias("validation"))
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """The wide rows as lines of JSON in order of their records; nulls are written."""
+    rows.repartitionByRange("ord").sortWithinPartitions("ord").write.option("ignoreNullFields", "false").json(path)
 
 
 def census(vals: DataFrame, total: int | Column) -> DataFrame:

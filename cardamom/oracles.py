@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cardamom.operators import rules
+
 _STOPS = "['AN','BY','FROM','THE','WITH','AND','FOR','OF','TO']"
 
 
@@ -63,6 +65,14 @@ kk AS (SELECT ord, min(a) AS a, max(b) AS b FROM kj GROUP BY ord, island),
 z AS (SELECT ord, a::INT AS start, CASE WHEN a > 0 THEN '... ' ELSE '' END || array_to_string(w[a + 1:b + 1], ' ') || CASE WHEN b < len(w) - 1 THEN ' ...' ELSE '' END AS "window" FROM kk JOIN kv USING (ord))"""
 
 
+_BROKEN = f"{_CARD}, b AS (SELECT n + 2 * (k % 31 = 0)::INT AS n, (k % 31 = 0)::INT AS bad FROM n)"
+_RULES = ", ".join(f"({i}, '{t}', {n}, {a}, {b}, {need})" for i, (t, _, need, n, a, b, _) in enumerate(rules.RULES))
+_EDGES = f"""WITH r(i, tag, most, a, b, need) AS (VALUES {_RULES}),
+e AS (SELECT p_partkey AS ord, p_partkey // {len(rules.RULES)} % 6 AS edge, r.* FROM part JOIN r ON i = p_partkey % {len(rules.RULES)}),
+z AS (SELECT *, CASE edge WHEN 0 THEN greatest(a - 1, 0) WHEN 2 THEN b WHEN 3 THEN b + 1 ELSE greatest(a, 1) END AS size FROM e)
+SELECT ord, 'length' AS kind, tag FROM z WHERE tag <> 'AN' AND (CASE WHEN tag IN ('FY', 'GY') THEN size NOT IN (2, 4) ELSE size NOT BETWEEN a AND b END) AND NOT (size = 0 AND most = 1 AND NOT need AND tag NOT IN ('FY', 'GY'))
+UNION ALL SELECT ord, 'accession', tag FROM z WHERE tag = 'AN' AND size <> 7
+UNION ALL SELECT ord, 'repeated', tag FROM z WHERE edge = 5 AND most = 1 UNION ALL SELECT ord, 'too_many', tag FROM z WHERE edge = 5 AND most BETWEEN 2 AND 9998"""
 _SETS = f"{PART}, s AS (SELECT 1 AS set_id, ord FROM p WHERE sz = '7' UNION ALL SELECT 2, ord FROM p WHERE ty LIKE 'PROMO%' UNION ALL SELECT 3, ord FROM p WHERE sz IN ('7', '8'))"
 _WORDS_IN_CHAT = "SELECT DISTINCT ord FROM c WHERE code IN ('/US', '/AS') AND term = '{}'"
 _PAIRS = """WITH v AS (SELECT conv_id AS ord, upper(substr(role, 1, 2)) AS tag, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS pos FROM conversations),
@@ -169,10 +179,10 @@ SELECT ord, row_number() OVER (ORDER BY a DESC, b, ord) AS rank FROM k""",
 SELECT c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS alnum, ' ' || CASE WHEN len(a) >= 8 THEN a ELSE lpad(a, 8, '0') END AS shown, c_custkey % 3 <> 0 AS is_an, nullif(regexp_extract(code, '^R?([0-9]{3})$', 1), '') AS code,
  CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 9 <> 0 THEN c_custkey % 200 END::INT AS percent, true AS year, len(c_name) = 18 AS fits, (c_custkey % 70 > 60)::INT AS long_words, base64(encode(c_mktsegment)) AS b64, c_mktsegment AS trimmed, substr(c_name || c_mktsegment, 1, 24) AS excerpt FROM c""",
     "a21_offsets": "SELECT o_orderkey, (o_orderkey - 1) * 82 AS offset, o_orderkey AS line FROM orders",
-    "a1_lines": f"{_CARD} SELECT sum(n)::BIGINT + 2 AS lines, 0::BIGINT AS bad_lines FROM n",
-    "a2_alignment": f"{_CARD} SELECT 82 * (sum(n)::BIGINT + 2) AS bytes, 0::BIGINT AS misaligned FROM n",
-    "a4_structure": "SELECT '<< FIRST LINE' AS header, '>> 000000000' || lpad(count(*)::VARCHAR, 9, '0') AS trailer FROM part",
-    "a5_trailer": "SELECT count(*) AS declared_records, count(*) AS records FROM part",
+    "a1_lines": f"{_BROKEN} SELECT sum(n)::BIGINT + 2 AS lines, sum(bad)::BIGINT AS bad_lines FROM b",
+    "a2_alignment": "SELECT p_size, sum(len(p_name) + 1)::BIGINT AS length, sum(len(p_name) + 1) % 82 <> 0 AS misaligned FROM part GROUP BY 1",
+    "a4_structure": f"{_CARD} SELECT '<< FIRST LINE' AS header, '>> ' || lpad(sum(n)::BIGINT::VARCHAR, 9, '0') || lpad(count(*)::VARCHAR, 9, '0') AS trailer FROM n",
+    "a5_trailer": f"{_CARD} SELECT sum(n)::BIGINT AS declared_lines, sum(n)::BIGINT AS lines, count(*) AS declared_records, count(*) AS records FROM n",
     "a6_records": f"{_CARD} SELECT ord, an, n::BIGINT AS n_lines, 82 * n::BIGINT AS length FROM n",
     "a9_kinds": f"{_CARD}, k AS (SELECT *, (k % 13 = 0)::INT + ceil(len(t) / 69.0)::INT - 1 + (k % 3 = 0)::INT + k % 9 + 5 * (k % 2) AS c FROM n) SELECT 'separator' AS kind, count(*) AS n FROM k UNION ALL SELECT 'continuation', sum(c)::BIGINT FROM k UNION ALL SELECT 'tag', sum(n - c - 1)::BIGINT FROM k",
     "a13_fields": f"""{_CARD}, k AS (SELECT unnest(['AN', 'PN', 'TI', 'PI', 'ST', 'SF', 'IN', 'RP', 'AC', 'CM', 'FS', 'CT', 'PH']) AS tag, unnest([1, 1, ceil(len(t) / 69.0), 1, 1, 1 + (k % 3 = 0)::INT, 1 + k % 9, 1 + k % 2, 1 + k % 2, 1 + k % 2, 1 + k % 2, 1 + k % 2, 1]) AS c FROM n
@@ -188,12 +198,21 @@ SELECT c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS alnum,
     "a24_range_faults": """WITH o AS (SELECT l_orderkey AS ord, max(l_linenumber)::BIGINT AS b FROM lineitem GROUP BY 1),
 s AS (SELECT ord, ord // 1000 AS file, ord * 7 + CASE WHEN ord % 40 = 0 THEN 9 ELSE 0 END AS a, ord * 7 + b - 1 AS z FROM o), n AS (SELECT *, lead(a) OVER (PARTITION BY file ORDER BY a, ord) AS later FROM s),
 f AS (SELECT ord, CASE WHEN z < a THEN 'inverted' WHEN ord % 64 = 3 THEN 'short' WHEN later <= z THEN 'overlap' END AS fault FROM n) SELECT * FROM f WHERE fault IS NOT NULL""",
-    "a25_fixity": "SELECT true AS ok, true AS some FROM region LIMIT 1",
+    "a24_unknown": "SELECT DISTINCT l_orderkey AS ord FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0)",
+    "a25_fixity": "SELECT DISTINCT p_size, p_size % 7 <> 0 AND p_size % 5 <> 0 AS ok FROM part UNION ALL SELECT NULL, false",
     "a26_provenance": "SELECT c_custkey, 'RG' || lpad((c_custkey % 200)::VARCHAR, 3, '0') AS record_group, CASE WHEN c_custkey % 300 + 10 < 100 THEN (c_custkey % 300 + 10)::INT END AS fiscal_year FROM customer",
-    "a27_prefix": "SELECT true AS within FROM region LIMIT 1",
+    "a27_prefix": f"{_CARD} SELECT * FROM (SELECT 1 AS line_no, '<< FIRST LINE' AS line UNION ALL SELECT 2, '$$' UNION ALL SELECT 3, CASE WHEN k % 13 = 0 THEN '   LOST' ELSE 'AN ' || an END FROM p WHERE ord = 0)",
     "v_problems": f"{_PROBLEMS} SELECT * FROM q",
     "v_fault_kinds": """SELECT p_partkey AS ord, (['repeated', 'accession', 'not_utf8', 'heading_parts', 'long_keyword', 'tag_not_ascii', 'column_counts', 'pair_counts', 'percent_number', 'length', 'not_modeled'])[p_partkey % 12] AS kind,
  (['PN', 'AN', 'TI', 'PH', 'DE', 'É1', 'RP', 'SN', 'CT', 'FY', 'HP'])[p_partkey % 12] AS tag FROM part WHERE p_partkey % 12 <> 0""",
+    "v_bounds": _EDGES,
+    "v_gates": """SELECT p_partkey AS ord, unnest(CASE p_partkey % 6
+ WHEN 0 THEN [{'kind': 'length', 'tag': 'AC', 'message': 'bytes: 1, allowed 5-89'}, {'kind': 'length', 'tag': 'CT', 'message': 'bytes: 2, allowed 4-74'}]
+ WHEN 1 THEN [{'kind': 'column_counts', 'tag': 'RP', 'message': '1,0,0,0,1'}, {'kind': 'percent_sum', 'tag': 'CT', 'message': '50'}]
+ WHEN 2 THEN [{'kind': 'heading_parts', 'tag': 'SC', 'message': 'parts: 1'}]
+ WHEN 3 THEN [{'kind': 'column_counts', 'tag': 'RP', 'message': '0,0,0,0,3'}, {'kind': 'percent_number', 'tag': 'CT', 'message': ' 50%'}]
+ WHEN 4 THEN [{'kind': 'length', 'tag': 'RP', 'message': 'bytes: 2, allowed 4-74'}] END, recursive := true) FROM part WHERE p_partkey % 6 < 5""",
+    "v25_unreadable": f"{_TIERS}, u AS (SELECT CASE WHEN k % 31 = 0 THEN 'unreadable' ELSE tier END AS tier FROM tier) SELECT count(*) AS total, count(*) FILTER (tier LIKE 'certified%') AS certified, count(*) FILTER (tier = 'certified_undocumented') AS certified_undocumented, count(*) FILTER (tier = 'certified_rpa_absence') AS certified_rpa_absence, count(*) FILTER (tier = 'failed') AS failed, count(*) FILTER (tier = 'unreadable') AS unreadable, count(*) FILTER (tier = 'unmodeled_only') AS unmodeled_only FROM u",
     "g9_summary": "SELECT count(*) AS records, count(*) FILTER (p_partkey % 12 NOT IN (1, 2)) AS identified, count(*) FILTER (p_partkey % 12 IN (1, 2)) AS with_problems FROM part",
     "g9_overview": """WITH p AS (SELECT p_partkey AS ord, p_partkey % 12 AS f, p_partkey % 12 NOT IN (4, 7, 8, 9) AS ok FROM part)
 SELECT ord, CASE WHEN ok THEN CASE WHEN f = 0 THEN 12 ELSE 0 END END::BIGINT AS column_codes, CASE WHEN ok THEN CASE WHEN f = 0 THEN 1 ELSE 0 END END::BIGINT AS subcommodities, CASE WHEN ok THEN 1 END::BIGINT AS headings,
@@ -206,6 +225,15 @@ SELECT doc_id, CASE WHEN substr(x, 49, 1) IN ('8', '9', 'A', 'B') THEN substr(x,
     "k3_wide_rows": f"""{_TIERS}, c AS (SELECT an, count(*) AS problems FROM q GROUP BY an)
 SELECT an, an AS accession, CASE WHEN len(t) <= 100 THEN t END AS title, CASE WHEN k % 17 <> 0 THEN 'TOWN ' || k % 10 END AS city, CASE WHEN k % 9 <= 5 THEN 1 + k % 9 END::INT AS investigators,
  CASE WHEN k % 2 = 0 THEN 1 END::INT AS rp_codes, tier LIKE 'certified%' AS certified, coalesce(problems, 0) AS problems FROM tier LEFT JOIN c USING (an)""",
+    "k3_row_files": f"""{_TIERS}, c AS (SELECT an, count(*) AS problems FROM q GROUP BY an), u AS (SELECT tier.*, n.n, k % 31 = 0 AS lost FROM tier JOIN (SELECT k, n FROM n) n USING (k))
+SELECT ord, CASE WHEN NOT lost THEN an END AS an, CASE WHEN len(t) <= 100 AND NOT lost THEN t END AS title, 82 * n::BIGINT - lost::INT AS length, CASE WHEN k % 9 <= 5 AND NOT lost THEN 1 + k % 9 END::INT AS investigators,
+ tier LIKE 'certified%' AND NOT lost AS certified, CASE WHEN lost THEN 'unreadable' ELSE tier END AS tier, CASE WHEN lost THEN 0 ELSE coalesce(problems, 0) END::INT AS problems FROM u LEFT JOIN c USING (an)""",
+    "g15_census": f"""{_CARD}, v(tag, an, n, odd) AS (SELECT 'AN', an, 7, 0 FROM p UNION ALL SELECT 'PN', an, len('P-' || k), 0 FROM p UNION ALL SELECT 'TI', an, len(t), 0 FROM p UNION ALL SELECT 'PI', an, len(rtrim(p_brand)), 0 FROM p
+ UNION ALL SELECT 'CY', an, 6, 0 FROM p WHERE k % 17 <> 0 UNION ALL SELECT 'ST', an, len(rtrim(substr(p_type, 1, 20))), 0 FROM p UNION ALL SELECT 'SF', an, 4, 0 FROM p UNION ALL SELECT 'SF', an, 4, 0 FROM p WHERE k % 3 = 0
+ UNION ALL SELECT 'IN', an, CASE WHEN i = 0 THEN len('SMITH ' || k) ELSE 7 END, 0 FROM p, range(0, 9) r(i) WHERE i <= k % 9
+ UNION ALL SELECT tag, an, size, 0 FROM p, (VALUES ('RP', 4), ('AC', 5), ('CM', 5), ('FS', 5), ('CT', 4)) x(tag, size), range(0, 2) r(i) WHERE i <= k % 2
+ UNION ALL SELECT 'PH', an, 13, 1 FROM p UNION ALL SELECT 'ZZ', an, 3, 0 FROM p WHERE k % 23 = 0 UNION ALL SELECT 'SN', an, 1, 0 FROM p WHERE k % 29 = 0 UNION ALL SELECT 'SC', an, 9, 1 FROM p WHERE k % 29 = 0)
+SELECT tag, count(DISTINCT an) AS records, count(*) AS n, min(n)::INT AS least, max(n)::INT AS most, sum(odd)::BIGINT AS not_utf8 FROM v GROUP BY tag""",
     "d1_accession_lines": f"{_CARD} SELECT an, ' 0' || an AS line FROM p",
     "d2_brief": f"{_CARD} SELECT ' 0' || an AS accession, '' AS agency, 'P-' || k AS project, ' TO ' AS period, 'SMITH ' || k AS investigator, '' AS organization, p_brand AS location, t AS title FROM p",
     "d3_chosen_fields": f"{_CARD} SELECT an, 'MAIN|' || CASE WHEN k % 3 = 0 THEN 'CSRS|' ELSE '' END || CASE WHEN k % 2 = 0 THEN 'R101|A0100|C0100|F0100|100%' ELSE 'R101|R999|A0100|A0200|C0100|C0200|F0100|F0200|050%|' || CASE WHEN k % 11 = 0 THEN '040%' ELSE '050%' END END AS values FROM p",

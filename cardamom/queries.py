@@ -547,14 +547,24 @@ def _folder(spark, name):
 
 @query
 def a1_lines(spark, d):
-    f = C.CardFiles(spark, d)
+    f = C.CardFiles(spark, d, broken=True)
     return f.lines.agg(F.count("*").alias("lines")).join(cards.bad_lines(f.lines))
 
 
+def _name_files(spark, d):
+    """A file of part names for each size, as (path, p_size, file)."""
+    path = _folder(spark, "names")
+    p = C.table(spark, d, "part").select("p_size", "p_partkey", F.col("p_name").alias("value"))
+    p.repartition("p_size").sortWithinPartitions("p_size", "p_partkey").select("p_size", "value").write.partitionBy("p_size").text(path)
+    f = cards.files(spark, path).select(F.regexp_extract("file", "p_size=([0-9]+)", 1).cast("int").alias("p_size"), cards.name_in(path, F.col("file")).alias("file"), "length")
+    return path, f
+
+
 @query
 def a2_alignment(spark, d):
-    f = C.CardFiles(spark, d)
-    return cards.files(spark, f.path).agg(F.sum("length").alias("bytes"), F.count(F.when(F.col("length") % 82 != 0, 1)).alias("misaligned"))
+    """Of card files and others, how many are no whole number of lines."""
+    path, f = _name_files(spark, d)
+    return f.withColumn("misaligned", F.col("length") % 82 != 0).select("p_size", "length", "misaligned")
 
 
 @query
@@ -566,7 +576,7 @@ def a4_structure(spark, d):
 @query
 def a5_trailer(spark, d):
     f = C.CardFiles(spark, d)
-    return cards.trailer_check(f.lines, f.records).select("declared_records", "records")
+    return cards.trailer_check(f.lines, f.records)
 
 
 @query
@@ -635,9 +645,16 @@ def a24_range_faults(spark, d):
 
 @query
 def a25_fixity(spark, d):
-    f = C.CardFiles(spark, d)
-    m = spark.read.format("binaryFile").load(f.path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
-    return cards.fixity(spark, f.path, m).groupBy("ok").agg((F.count("*") > 0).alias("some"))
+    """A manifest made of the table, with a wrong digest for every 7th size, a wrong length for every 5th, and a file that is not there."""
+    path, f = _name_files(spark, d)
+    names = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), "\n"), F.lit("\n"))
+    want = C.table(spark, d, "part").groupBy("p_size").agg(names.alias("t"))  # of one size
+    digest = F.sha2(F.concat("t", F.when(F.col("p_size") % 7 == 0, "x").otherwise("")), 256)
+    want = want.select("p_size", (F.octet_length("t") + F.when(F.col("p_size") % 5 == 0, 1).otherwise(0)).cast("long").alias("length"), digest.alias("sha256"))
+    manifest = want.join(f.select("p_size", "file"), "p_size").select("file", "length", "sha256")
+    gone = C.table(spark, d, "part").agg(F.count("*").alias("length")).select(F.lit("gone").alias("file"), "length", F.lit("").alias("sha256"))
+    ok = cards.fixity(spark, path, manifest.union(gone))
+    return ok.join(f.select("p_size", "file"), "file", "left").select("p_size", "ok")
 
 
 @query
@@ -648,8 +665,16 @@ def a26_provenance(spark, d):
 
 @query
 def a27_prefix(spark, d):
-    f = C.CardFiles(spark, d)
-    return cards.lines(spark, f.path, most=3).groupBy("file").count().agg((F.max("count") <= 3).alias("within"))
+    """The first three lines of every file; of the first file what they are."""
+    top = cards.lines(spark, C.CardFiles(spark, d).path, most=3)
+    first = top.agg(F.min("file").alias("first"))
+    return top.join(first, F.col("file") == F.col("first")).select("line_no", F.rtrim(text.latin1(F.substring("bytes", 1, 80))).alias("line"))
+
+
+@query
+def a24_unknown(spark, d):
+    asked = C.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ord"))
+    return cards.unknown(asked, C.table(spark, d, "orders").where("o_orderkey % 10 <> 0").select(F.col("o_orderkey").alias("ord")))
 
 
 def _audit(spark, d):
@@ -679,6 +704,43 @@ def v_fault_kinds(spark, d):
     return _faulty(spark, d)[2].select("ord", "kind", "tag")
 
 
+@query
+def v_bounds(spark, d):
+    """What the rules find at the edges of their bounds, in one field of each record."""
+    ids = C.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("ord"))
+    p = rules.problems(C.edge_parts(spark, d), ids)
+    return p.where(F.col("kind").isin("length", "repeated", "too_many", "accession")).select("ord", "kind", "tag").distinct()
+
+
+@query
+def v_gates(spark, d):
+    """Fields with faults of their own are not compared with others."""
+    ids = C.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("ord"))
+    return rules.problems(C.mixed_faults(spark, d), ids).where("kind <> 'missing'").select("ord", "kind", "tag", "message")
+
+
+def _cut(spark, d):
+    """The audit with every 31st record cut off inside a line."""
+    f, ids, p = _audit(spark, d)
+    spans = f.spans.withColumn("length", F.col("length") - F.when(F.col("an").cast("long") % 31 == 0, 1).otherwise(0))
+    return spans, f, p, rules.tiers(ids, p, f.values, rules.unreadable(spans))
+
+
+@query
+def v25_unreadable(spark, d):
+    return rules.tally(_cut(spark, d)[3])
+
+
+@query
+def k3_row_files(spark, d):
+    """The wide rows written as JSON lines and read again."""
+    spans, f, p, t = _cut(spark, d)
+    path = _folder(spark, "rows")
+    rules.write_rows(rules.wide(spans, f.values, p, t), path)
+    r = spark.read.schema("ord long, an string, title string, length long, investigators array<string>, validation struct<certified:boolean,tier:string,problems:array<struct<kind:string>>>").json(path)
+    return r.select("ord", "an", "title", "length", F.size("investigators").alias("investigators"), "validation.certified", "validation.tier", F.size("validation.problems").alias("problems"))
+
+
 @query
 def g9_summary(spark, d):
     ids, _, p = _faulty(spark, d)

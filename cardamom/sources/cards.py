@@ -7,13 +7,18 @@ continuation whose column 4 is MARKER begins a new value in fields that repeat.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
-from cardamom.plans.numbering import carried
+from cardamom.plans.numbering import carried, sorted_ranks
 from cardamom.schema import SINGLE_TAGS
 
 WIDTH, DATA_AT, DATA_WIDTH = 82, 4, 69
@@ -25,7 +30,7 @@ SEPARATOR = "\u00a0\u0002"
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(file, length) without reading any content."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length")
 
 
 def misaligned(spark: SparkSession, path: str) -> DataFrame:
@@ -93,10 +98,20 @@ def spans(recs: DataFrame) -> DataFrame:
 
 
 def range_faults(s: DataFrame) -> DataFrame:
-    """(ord, fault) of records whose lines are inverted, whose length is not whole, or that overlap the next."""
-    later = F.lead("first_line").over(Window.partitionBy("file").orderBy("first_line", "ord"))
+    """(ord, fault) of records whose lines are inverted, whose length is not whole, or that overlap the next of their file.
+
+    Records are numbered in ranges of file and line, and each meets the next by its number.
+    """
+    n = sorted_ranks(s.select("ord", "file", "first_line", "last_line", "length"), F.col("file"), F.col("first_line"), F.col("ord"))
+    after = n.select((F.col("rank") - 1).alias("before"), F.col("file").alias("own"), F.col("first_line").alias("later"))
+    n = n.join(after, (F.col("rank") == F.col("before")) & (F.col("file") == F.col("own")), "left")
     fault = F.when(F.col("last_line") < F.col("first_line"), "inverted").when(F.col("length") % WIDTH != 0, "short").when(F.col("later") <= F.col("last_line"), "overlap")
-    return s.withColumn("later", later).select("ord", fault.alias("fault")).where("fault is not null")
+    return n.select("ord", fault.alias("fault")).where("fault is not null")
+
+
+def unknown(ordinals: DataFrame, s: DataFrame) -> DataFrame:
+    """(ord) of ordinals asked for that no record has."""
+    return ordinals.select("ord").distinct().join(s.select("ord"), "ord", "left_anti")
 
 
 def classified(recs: DataFrame) -> DataFrame:
@@ -168,10 +183,40 @@ def provenance(file: Column) -> Column:
     return F.struct(F.nullif(F.regexp_extract(base, r"^(RG\d{3})", 1), F.lit("")).alias("record_group"), F.nullif(F.regexp_extract(base, r"FY(\d{2})(?!\d)", 1), F.lit("")).try_cast("int").alias("fiscal_year"))
 
 
+def name_in(path: str, file: Column) -> Column:
+    """The part of a file's path below the folder."""
+    return F.element_at(F.split(file, "/" + re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/", 2), -1)
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length, sha256) of the files of a folder and those below it, by their path in it.
+
+    The digest of a file follows from its bytes in order, so a task streams each
+    file, whatever its size, through pyarrow's file systems (local or mounted, hdfs, s3, gcs).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uri in batch.column("file").to_pylist():
+                store, name = fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as stream:
+                    while block := stream.read(1 << 22):
+                        digest.update(block)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("length"), pa.array(found, pa.string())], names=["file", "length", "sha256"])
+
+    every = files(spark, path)
+    out = every.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(run, "file string, length long, sha256 string")
+    return out.withColumn("file", name_in(path, F.col("file")))
+
+
 def fixity(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """(file, ok): length and SHA-256 of each file against a manifest (file, length, sha256). Files of 2 GB or more: length alone."""
-    own = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("n"), F.when(F.col("length") < (1 << 31) - 1, F.sha2("content", 256)).alias("sha"))
-    return manifest.join(own, "file", "left").select("file", (F.coalesce(F.col("n") == F.col("length"), F.lit(False)) & F.coalesce(F.col("sha") == F.col("sha256"), F.col("n").isNotNull())).alias("ok"))
+    """(file, ok): length and SHA-256 of each file against a manifest (file, length, sha256); a file that is not there is not ok."""
+    own = digests(spark, path).select("file", F.col("length").alias("n"), F.col("sha256").alias("sha"))
+    same = (F.col("n") == F.col("length")) & (F.col("sha") == F.col("sha256"))
+    return manifest.join(own, "file", "left").select("file", F.coalesce(same, F.lit(False)).alias("ok"))
 
 
 def card(label: Column, data: Column) -> Column:
@@ -180,6 +225,6 @@ def card(label: Column, data: Column) -> Column:
 
 
 def write(cards: DataFrame, path: str) -> None:
-    """Writes (ord, cards array of binary) as files in order of ord; casting bytes to a string keeps them."""
+    """Writes (ord, cards array of binary) of the records as files in order of ord; casting bytes to a string keeps them."""
     rows = cards.repartitionByRange("ord").sortWithinPartitions("ord").select(F.explode("cards").alias("c"))
     rows.select(F.col("c").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)

@@ -97,4 +97,44 @@ def test_rules(spark):
     assert kinds(spark, [("éQ", 90, 0, "1")]) == [("tag_not_ascii", "éQ")]
     assert kinds(spark, [("PT", 90, 0, "ÿ")]) == [("not_utf8", "PT")]
     assert kinds(spark, [("DE", 90, 0, "x" * 61 + " y")]) == [("long_keyword", "DE")]
+    assert kinds(spark, [("AC", 90, 0, "A"), ("CT", 91, 0, "9%"), ("CT", 91, 1, "050%")]) == [("length", "AC"), ("length", "CT")]  # not compared
+    assert kinds(spark, [("SC", 90, 0, "x"), ("SN", 91, 0, "1"), ("SN", 91, 1, "2")]) == [("heading_parts", "SC")]
+    for value in (" 50%", "50 %", "+-5%", "5%%%"):
+        assert ("percent_number", "CT") in kinds(spark, [("CT", 90, 0, value)])
+    assert ("percent_sum", "CT") in kinds(spark, [("CT", 90, 0, "9" * 20 + "%")]) and ("percent_sum", "CT") not in kinds(spark, [("CT", 90, 0, "+100%")])
     assert kinds(spark, [("PH", 90, 0, "noparts")]) == [("heading_parts", "PH")]
+
+
+def test_unreadable_records(spark):
+    spans = spark.createDataFrame([(1, "RG164.FY94.txt", "a", 1, 2, 0, 164), (2, "RG164.FY94.txt", "b", 3, 4, 164, 163)], "ord long, file string, an string, first_line long, last_line long, offset long, length long")
+    vals = vals_of(spark, [(o, t, i, 0, v) for o in (1, 2) for i, (t, v) in enumerate(GOOD)])
+    ids = spans.select("ord")
+    found = rules.problems(vals, ids)
+    tiers = rules.tiers(ids, found, vals, rules.unreadable(spans))
+    assert {r["ord"]: r["tier"] for r in tiers.collect()} == {1: "certified", 2: "unreadable"}
+    rows = {r["ord"]: r for r in rules.wide(spans, vals, found, tiers).collect()}
+    assert rows[1]["title"] == "T" and rows[1]["fiscal_year"] == 94 and rows[2]["record_group"] == "RG164"
+    assert rows[2]["an"] is None and rows[2]["title"] is None and rows[2]["subfiles"] is None and rows[2]["length"] == 163
+    assert rows[2]["validation"].asDict() == {"certified": False, "tier": "unreadable", "problems": []}
+
+
+def test_fixity(spark):
+    import hashlib
+
+    path = folder([b"abc"], [b"x" * 10_000_000], [b""])
+    right = [("RG064.CARDS.FY90.txt", 3, hashlib.sha256(b"abc").hexdigest()), ("RG164.CARDS.FY91.txt", 10_000_000, hashlib.sha256(b"x" * 10_000_000).hexdigest())]
+    wrong = [("RG264.CARDS.FY92.txt", 1, hashlib.sha256(b"").hexdigest()), ("gone.txt", 0, "")]
+    manifest = spark.createDataFrame(right + wrong, "file string, length long, sha256 string")
+    assert {r["file"]: r["ok"] for r in cards.fixity(spark, path, manifest).collect()} == {**{f: True for f, _, _ in right}, **{f: False for f, _, _ in wrong}}
+
+
+def test_stamp_is_utc_whatever_the_session_says(spark):
+    from cardamom.functions import text
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("select timestamp_micros(0) as ts").select(text.stamp(F.col("ts")).alias("s"))
+        assert df.first()["s"] == "01jan70 00:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
