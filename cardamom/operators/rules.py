@@ -12,58 +12,57 @@ from cardamom.plans.numbering import scratch
 from cardamom.sources import cards
 
 # Tag, group, required, values at most, least and most bytes, bytes only (not decoded).
-_ROWS = """
-AN identity 1 1 7 7 0
-PN identity 1 1 1 20 0
-TI title 1 1 1 100 0
-PI institution 1 1 1 40 0
-CY institution 1 1 1 20 0
-ST institution 1 1 1 20 0
-AS institution 0 1 0 4 0
-DS institution 0 1 0 4 0
-ZP institution 0 1 0 10 0
-CG institution 0 1 0 20 0
-RG institution 0 1 0 2 0
-PT title 0 1 0 20 0
-RE institution 0 1 1 1 0
-RN institution 0 1 5 5 0
-PD chronology 0 1 6 6 0
-SD chronology 0 1 6 6 0
-SX chronology 0 1 9 9 0
-TD chronology 0 1 6 6 0
-TX chronology 0 1 9 9 0
-UP chronology 0 1 6 6 0
-PP chronology 0 1 4 4 0
-PX chronology 0 1 12 12 0
-BP classification 0 1 12 12 0
-BT classification 0 1 4 4 0
-AT classification 0 1 4 4 0
-DT classification 0 1 4 4 0
-IC institution 0 1 4 6 0
-OC institution 0 1 4 6 0
-FY chronology 0 1 2 4 0
-GY chronology 0 1 2 4 0
-PF institution 0 9999 0 80 0
-IN investigators 1 6 0 30 1
-SF title 1 9999 4 11 0
-AC classification 0 15 5 89 0
-CM classification 0 15 5 89 0
-FS classification 0 15 5 89 0
-PA classification 0 15 5 89 0
-RP classification 0 15 4 74 0
-CT classification 0 15 4 74 0
-JC classification 0 15 3 59 0
-PH classification 0 60 0 9999 1
-GH classification 0 60 0 9999 1
-SC classification 0 50 0 9999 1
-OB narrative 0 1 0 1600 1
-AP narrative 0 1 0 1600 1
-PR narrative 0 1 0 3200 1
-PB narrative 0 1 0 3200 1
-DE narrative 0 1 0 2400 1
-PS title 0 1 0 9999 0
-"""
-RULES = [(t, g, bool(int(r)), int(n), int(a), int(b), bool(int(raw))) for t, g, r, n, a, b, raw in (line.split() for line in _ROWS.split("\n") if line)]
+RULES = (
+    ("AN", "identity", True, 1, 7, 7, False),
+    ("PN", "identity", True, 1, 1, 20, False),
+    ("TI", "title", True, 1, 1, 100, False),
+    ("PI", "institution", True, 1, 1, 40, False),
+    ("CY", "institution", True, 1, 1, 20, False),
+    ("ST", "institution", True, 1, 1, 20, False),
+    ("AS", "institution", False, 1, 0, 4, False),
+    ("DS", "institution", False, 1, 0, 4, False),
+    ("ZP", "institution", False, 1, 0, 10, False),
+    ("CG", "institution", False, 1, 0, 20, False),
+    ("RG", "institution", False, 1, 0, 2, False),
+    ("PT", "title", False, 1, 0, 20, False),
+    ("RE", "institution", False, 1, 1, 1, False),
+    ("RN", "institution", False, 1, 5, 5, False),
+    ("PD", "chronology", False, 1, 6, 6, False),
+    ("SD", "chronology", False, 1, 6, 6, False),
+    ("SX", "chronology", False, 1, 9, 9, False),
+    ("TD", "chronology", False, 1, 6, 6, False),
+    ("TX", "chronology", False, 1, 9, 9, False),
+    ("UP", "chronology", False, 1, 6, 6, False),
+    ("PP", "chronology", False, 1, 4, 4, False),
+    ("PX", "chronology", False, 1, 12, 12, False),
+    ("BP", "classification", False, 1, 12, 12, False),
+    ("BT", "classification", False, 1, 4, 4, False),
+    ("AT", "classification", False, 1, 4, 4, False),
+    ("DT", "classification", False, 1, 4, 4, False),
+    ("IC", "institution", False, 1, 4, 6, False),
+    ("OC", "institution", False, 1, 4, 6, False),
+    ("FY", "chronology", False, 1, 2, 4, False),
+    ("GY", "chronology", False, 1, 2, 4, False),
+    ("PF", "institution", False, 9999, 0, 80, False),
+    ("IN", "investigators", True, 6, 0, 30, True),
+    ("SF", "title", True, 9999, 4, 11, False),
+    ("AC", "classification", False, 15, 5, 89, False),
+    ("CM", "classification", False, 15, 5, 89, False),
+    ("FS", "classification", False, 15, 5, 89, False),
+    ("PA", "classification", False, 15, 5, 89, False),
+    ("RP", "classification", False, 15, 4, 74, False),
+    ("CT", "classification", False, 15, 4, 74, False),
+    ("JC", "classification", False, 15, 3, 59, False),
+    ("PH", "classification", False, 60, 0, 9999, True),
+    ("GH", "classification", False, 60, 0, 9999, True),
+    ("SC", "classification", False, 50, 0, 9999, True),
+    ("OB", "narrative", False, 1, 0, 1600, True),
+    ("AP", "narrative", False, 1, 0, 1600, True),
+    ("PR", "narrative", False, 1, 0, 3200, True),
+    ("PB", "narrative", False, 1, 0, 3200, True),
+    ("DE", "narrative", False, 1, 0, 2400, True),
+    ("PS", "title", False, 1, 0, 9999, False),
+)
 UNCHECKED = ("SN",)  # kept, never checked
 UNMODELED = ("HP",)
 YEARS = ("FY", "GY")

@@ -45,7 +45,7 @@ def first_keys(phrases: DataFrame, code: str) -> DataFrame:
     return phrases.where(F.col("code") == code).groupBy("ord").agg(F.min("term").alias("key"))
 
 
-def sorted_set(current: DataFrame, phrases: DataFrame, keys: list[tuple[str, bool]], sortable: list[str] = SORTABLE) -> DataFrame:
+def sorted_set(current: DataFrame, phrases: DataFrame, keys: list[tuple[str, bool]], sortable: tuple[str, ...] = SORTABLE) -> DataFrame:
     """(ord, rank) of (ord, rank) by [(code, descending), ...]; a record without a key sorts as empty, ties keep their order."""
     for code, _ in keys:
         if code not in sortable:
