@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardamom.operators import rules, search
-from cardamom.plans.numbering import own_folder, scratch
+from cardamom.plans.numbering import generation, own_folder, scratch
 from cardamom.sources import cards
 
 DOC_PHRASES = {"LA": ("LA",), "SO": ("SO",)}
@@ -51,17 +51,27 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.union(_tall(line, "l_orderkey", {"RF": "l_returnflag", "LS": "l_linestatus"}, "l_linenumber"))
 
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_KEPT: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, make, *what):
+    """What make() gives, made once by an application for equal ``what``."""
+    key = (*generation(spark), *what)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, vals, phrases: dict, words: dict) -> search.Index:
-    """The index of a corpus, written once by an application."""
-    key, merged = (spark.sparkContext.applicationId, sf_dir, name), tuple(words)
-    if key not in _WRITTEN:
+    """The index of a corpus, written and opened once by an application."""
+    merged = tuple(words)
+
+    def make() -> search.Index:
         folder = own_folder(spark, name)
         search.write(search.built(vals(spark, sf_dir), phrases, words, merged), folder)
-        _WRITTEN[key] = folder
-    return search.opened(spark, _WRITTEN[key], tuple(phrases), tuple(words), merged)
+        return search.opened(spark, folder, tuple(phrases), tuple(words), merged)
+
+    return _once(spark, make, sf_dir, name)
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> search.Index:
@@ -207,3 +217,8 @@ class CardFiles:
     @property
     def spans(self) -> DataFrame:
         return self._kept("spans", lambda: cards.spans(self.records))
+
+
+def card_files(spark: SparkSession, sf_dir: str, broken: bool = False) -> CardFiles:
+    """The card files of the part table, written and read once by an application."""
+    return _once(spark, lambda: CardFiles(spark, sf_dir, broken), sf_dir, "cards", broken)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def manifest_faults(counts: DataFrame, manifest: DataFrame, strict: bool = False) -> DataFrame:
@@ -38,6 +40,21 @@ def schema_faults(df: DataFrame, expected: dict[str, str]) -> list[str]:
     return [f"{c}: {own.get(c)} instead of {t}" for c, t in expected.items() if own.get(c) != t] + [f"{c}: unexpected" for c in own if c not in expected]
 
 
+def loaded(spark: SparkSession, path: str, columns: str, folders: str = "") -> DataFrame:
+    """A stored Parquet table with the columns and folders (as DDL) that it has to have; another shape is refused. A table without files is empty."""
+    expected = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(columns)}
+    parts = [f.name for f in StructType.fromDDL(folders)] if folders else []
+    try:
+        wrong = schema_faults(spark.read.parquet(path).drop(*parts), expected)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        wrong = []
+    if wrong:
+        raise ValueError(f"{path}: {'; '.join(wrong)}")
+    return spark.read.schema(f"{columns}, {folders}" if folders else columns).parquet(path)
+
+
 def repeated_keys(records: DataFrame, key: str) -> DataFrame:
     return records.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 

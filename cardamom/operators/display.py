@@ -66,22 +66,39 @@ def decoded(codes: DataFrame, headings: DataFrame) -> DataFrame:
     return codes.join(own, ["ord", "code"], "left")
 
 
-def full_record(vals: DataFrame, grid: tuple[str, ...], pair: tuple[str, ...], scalars: tuple[str, ...], lists: tuple[str, ...]) -> DataFrame:
-    """One nested row per record: scalars, lists, the grid with its surplus, the pairs."""
+def full_record(vals: DataFrame, grid: tuple[str, ...], pair: tuple[str, ...], scalars: tuple[str, ...], lists: tuple[str, ...], headings: tuple[str, ...] = (), parts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """One nested row per record: scalars, lists, the grid with its surplus, the pairs.
+
+    headings: tags whose values (with code and label) are joined, in order, as
+    code and label; null where there are none. parts: named groups of tags, such
+    as narratives or supplementary data, each a map of the first values that the
+    record has of them.
+    """
     own = vals.groupBy("ord").agg(*[first_value(t).alias(t) for t in scalars], *[F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == t, F.struct("field_seq", "value_seq", "raw")))), lambda x: x["raw"]).alias(t.lower() + "_all") for t in lists])
     for name, tags in (("grid", grid), ("pairs", pair)):
         rows = zipped(vals, tags).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("pos", *tags, "complete"))).alias(name))
         own = own.join(rows, "ord", "left")
+    for t in headings:
+        heads = F.array_sort(F.collect_list(F.struct("field_seq", "value_seq", F.concat_ws(" ", "code", "label").alias("head"))))
+        rows = vals.where(F.col("tag") == t).groupBy("ord").agg(F.array_join(F.transform(heads, lambda x: x["head"]), "; ").alias(t.lower() + "_headings"))
+        own = own.join(rows, "ord", "left")
+    for name, tags in (parts or {}).items():
+        firsts = vals.where(F.col("tag").isin(*tags)).groupBy("ord", "tag").agg(F.min_by("raw", F.struct("field_seq", "value_seq")).alias("raw"))
+        own = own.join(firsts.groupBy("ord").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "raw")))).alias(name)), "ord", "left")
     return own
 
 
 def lineage(shown: DataFrame, vals: DataFrame, records: DataFrame, evidence: DataFrame) -> DataFrame:
-    """For shown (line_id, ord, sources array of (tag, value_index or null), keys array): each source value, its place and the cited evidence."""
+    """For shown (line_id, ord, sources array of (tag, value_index or null), keys array): each source value, its place and the cited evidence.
+
+    evidence has key and status, and what else is known of a key, such as its
+    name and gloss, which is carried along. A key that it lacks has nulls.
+    """
     src = shown.select("line_id", "ord", "keys", F.explode("sources").alias("s")).select("line_id", "ord", "keys", F.col("s.tag").alias("tag"), F.col("s.value_index").alias("value_index"))
     hit = src.join(vals.select("ord", "tag", "value_seq", "raw", "line", "offset"), ["ord", "tag"]).where("value_index is null or value_index = value_seq")
     hit = hit.join(records.select("ord", "first_line", "last_line"), "ord")
     cited = hit.withColumn("key", F.explode("keys")).join(evidence, "key", "left")
-    return cited.select("line_id", "ord", "tag", "value_seq", "raw", "line", "offset", "first_line", "last_line", "key", "status")
+    return cited.select("line_id", "ord", "tag", "value_seq", "raw", "line", "offset", "first_line", "last_line", "key", *[c for c in evidence.columns if c != "key"])
 
 
 def weakest(cited: DataFrame, by: str) -> DataFrame:

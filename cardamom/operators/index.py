@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
+from cardamom.operators import checks
 
 
 def code_map(spark, codes: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -19,9 +20,14 @@ def code_map(spark, codes: dict[str, tuple[str, ...]]) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "code string, tag string, tag_seq int"))
 
 
+def _coded(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The values of the codes' tags with code and tag_seq; other columns of vals, such as a heading's own code, are ignored."""
+    return vals.select("ord", "tag", "field_seq", "value_seq", "raw").join(code_map(vals.sparkSession, codes), "tag")
+
+
 def phrase_postings(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
     """(code, term, ord), one row per record that has the term under any tag of the code; empty keys are left out."""
-    keyed = vals.join(code_map(vals.sparkSession, codes), "tag").select("code", text.phrase_key(F.col("raw")).alias("term"), "ord")
+    keyed = _coded(vals, codes).select("code", text.phrase_key(F.col("raw")).alias("term"), "ord")
     return keyed.where("term <> ''").distinct()
 
 
@@ -32,7 +38,7 @@ def positions(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
     a field; words are numbered within a value, stop words included; the parts of
     a hyphenated word have its place.
     """
-    v = vals.join(code_map(vals.sparkSession, codes), "tag")
+    v = _coded(vals, codes)
     number = F.row_number().over(Window.partitionBy("code", "ord").orderBy("tag_seq", "field_seq", "value_seq")) - 1
     v = v.withColumn("field_ord", number)
     words = v.select("code", "ord", "field_ord", F.posexplode(text.split_words(F.col("raw"))).alias("pos", "word"))
@@ -41,7 +47,7 @@ def positions(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
 
 def word_postings(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
     """(code, term, ord), one row per record and term."""
-    v = vals.join(code_map(vals.sparkSession, codes), "tag")
+    v = _coded(vals, codes)
     return v.select("code", F.explode(text.tokens(F.col("raw"))).alias("term"), "ord").distinct()
 
 
@@ -66,8 +72,8 @@ def write_index(postings: DataFrame, path: str) -> None:
 
 
 def open_index(spark, path: str, columns: str = "term string, ord long") -> DataFrame:
-    """The rows of a written index with code and shard; filters on these two decide which folders are read."""
-    return spark.read.schema(f"{columns}, code string, shard string").parquet(path)
+    """The rows of a written index with code and shard; filters on these two decide which folders are read. Another shape is refused."""
+    return checks.loaded(spark, path, columns, "code string, shard string")
 
 
 def write_terms(terms: DataFrame, path: str) -> None:
@@ -80,6 +86,22 @@ def report(words: DataFrame, places: DataFrame) -> DataFrame:
     return a.join(places.groupBy("code").agg(F.count("*").alias("occurrences")), "code", "left")
 
 
+def load_report(postings: DataFrame, places: DataFrame, vals: DataFrame, sets: dict[str, tuple[str, ...]], orphans: DataFrame, bad_lines: DataFrame) -> DataFrame:
+    """(part, name, ord, n): all that a load has to say, a row per fact.
+
+    terms, postings and occurrences: n of each code (name); mismatch: a record in
+    which the tags of a set (name) have different numbers of values; orphan: n
+    continuations of a record that continue nothing; bad_lines: their number.
+    """
+    r = report(postings, places)
+    facts = F.stack(F.lit(3), *[x for c in ("terms", "postings", "occurrences") for x in (F.lit(c), F.coalesce(F.col(c), F.lit(0)).cast("long"))]).alias("part", "n")
+    none = F.lit(None)
+    counts = r.select(F.col("code").alias("name"), facts).select("part", "name", none.cast("long").alias("ord"), "n")
+    uneven = count_mismatches(vals, sets).select(F.lit("mismatch"), "set_name", "ord", none.cast("long"))
+    lost = orphans.groupBy("ord").agg(F.count("*").alias("n")).select(F.lit("orphan"), none.cast("string"), "ord", "n")
+    return counts.union(uneven).union(lost).union(bad_lines.select(F.lit("bad_lines"), none.cast("string"), none.cast("long"), "bad_lines"))
+
+
 def count_mismatches(vals: DataFrame, sets: dict[str, tuple[str, ...]]) -> DataFrame:
     """(set_name, ord): records in which the tags of a set have different numbers of values; a missing tag has none."""
     pairs = [(name, tag) for name, tags in sets.items() for tag in tags]

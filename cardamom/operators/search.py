@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
-from cardamom.operators import index
+from cardamom.operators import checks, index
 from cardamom.schema import WORD_ALIASES
 
 
@@ -66,7 +66,7 @@ def opened_part(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def opened(spark: SparkSession, folder: str, phrase_codes: tuple[str, ...], word_codes: tuple[str, ...], merged: tuple[str, ...]) -> Index:
     """A written index: searches read the folders of the codes and shards that they name."""
-    terms = [spark.read.schema("code string, term string, items long").parquet(f"{folder}/{name}_terms") for name in ("phrase", "word")]
+    terms = [checks.loaded(spark, f"{folder}/{name}_terms", "code string, term string, items long") for name in ("phrase", "word")]
     return Index(*(opened_part(spark, folder, n) for n in ("phrases", "words", "places")), phrase_codes, word_codes, merged, *terms)
 
 

@@ -79,7 +79,7 @@ _PAIRS = """WITH v AS (SELECT conv_id AS ord, upper(substr(role, 1, 2)) AS tag,
 a AS (SELECT ord, pos, max(CASE WHEN tag = 'US' THEN text END) AS "US", max(CASE WHEN tag = 'AS' THEN text END) AS "AS", max(CASE WHEN tag = 'SY' THEN text END) AS "SY" FROM v GROUP BY ord, pos)"""
 _LINES = """WITH l AS (SELECT conv_id AS line_id, min(turn) + 1 AS first_line, max(turn) + 1 AS last_line FROM conversations GROUP BY conv_id),
 x AS (SELECT conv_id, 'US' AS tag, turn FROM conversations WHERE role = 'user' AND turn = 0 UNION ALL SELECT conv_id, 'RO', turn FROM conversations),
-j AS (SELECT conv_id AS line_id, tag, turn AS value_seq, turn + 1 AS line, turn * 82 AS offset, first_line, last_line, key, status FROM x JOIN l ON l.line_id = conv_id, (VALUES ('k1', 'documented'), ('k2', 'chosen')) e(key, status) WHERE key = 'k1' OR conv_id % 3 <> 0)"""
+j AS (SELECT conv_id AS line_id, tag, turn AS value_seq, turn + 1 AS line, turn * 82 AS offset, first_line, last_line, key, status, n_name AS gloss FROM x JOIN l ON l.line_id = conv_id, (VALUES ('k1', 'documented', 0), ('k2', 'chosen', 1)) e(key, status, nk) JOIN nation ON n_nationkey = nk WHERE key = 'k1' OR conv_id % 3 <> 0)"""
 _RATES = "(VALUES ('purchase', 0.60::DECIMAL(10,2)), ('view', 0.05), ('signup', NULL)) r(format, rate)"
 
 SQL = {
@@ -100,6 +100,11 @@ SELECT 'talk' AS set_name, conv_id AS ord FROM n WHERE u <> a UNION ALL SELECT '
     "k1_index_files": f"{DOC}, w AS (SELECT DISTINCT term, ord FROM d) SELECT '/TX' AS code, CASE WHEN regexp_matches(term, '^[A-Z0-9]') THEN substr(term, 1, 1) ELSE '_' END AS shard, count(*) AS n FROM w GROUP BY ALL",
     "k2_term_files": f"{DOC} SELECT '/TX' AS code, term, count(DISTINCT ord) AS items FROM d GROUP BY term",
     "k4_report": f"{CHAT}, w AS (SELECT code, term, count(DISTINCT ord) AS n FROM c GROUP BY ALL) SELECT code, count(*) AS terms, sum(n)::BIGINT AS postings, (SELECT count(*) FROM c WHERE c.code = w.code) AS occurrences FROM w GROUP BY code",
+    "k4_load": f"""{_BROKEN}, w AS (SELECT k, '/SF' AS code, unnest(CASE WHEN k % 3 = 0 THEN ['MAIN', 'CSRS'] ELSE ['MAIN'] END) AS term FROM p
+ UNION ALL SELECT k, '/IN', unnest(['SMITH', k::VARCHAR]) FROM p UNION ALL SELECT k, '/IN', unnest(['JONES', i::VARCHAR]) FROM p, range(1, 9) r(i) WHERE i <= k % 9),
+f AS (SELECT code AS name, unnest(['terms', 'postings', 'occurrences']) AS part, unnest([count(DISTINCT term), count(DISTINCT (k, term)), count(*)]) AS n FROM w GROUP BY code)
+SELECT part, name, NULL AS an, n FROM f UNION ALL SELECT 'mismatch', 'subfiles', an, NULL FROM p WHERE (k % 3 = 0) <> (k % 2 = 1)
+ UNION ALL SELECT 'orphan', NULL, an, 1 FROM p WHERE k % 13 = 0 UNION ALL SELECT 'bad_lines', NULL, NULL, sum(bad)::BIGINT FROM b""",
     "k6_manifest": "SELECT 'TY' AS code, count(DISTINCT upper(p_type)) AS terms, count(DISTINCT p_type) + 1 AS expected FROM part",
     "k7_drift": f"{DOC} SELECT DISTINCT '/TX' AS code, term FROM d WHERE term LIKE 'Q%'",
     "k8_parity": "SELECT c_custkey, c_mktsegment, 'first' AS side FROM customer WHERE c_custkey % 50 = 0 AND c_custkey % 100 <> 0 UNION ALL SELECT c_custkey, lower(c_mktsegment), 'second' FROM customer WHERE c_custkey % 50 = 0 AND c_custkey % 100 <> 0",
@@ -241,4 +246,8 @@ SELECT tag, count(DISTINCT an) AS records, count(*) AS n, min(n)::INT AS least,
 g AS (SELECT ord, string_agg(pos || '|' || coalesce("US", '-') || '|' || coalesce("AS", '-') || '|' || ("US" IS NOT NULL AND "AS" IS NOT NULL), chr(10) ORDER BY pos) AS rows FROM a WHERE coalesce("US", "AS") IS NOT NULL GROUP BY 1),
 q AS (SELECT ord, string_agg(pos || '|' || coalesce("US", '-') || '|' || coalesce("SY", '-') || '|' || ("US" IS NOT NULL AND "SY" IS NOT NULL), chr(10) ORDER BY pos) AS pairs FROM a WHERE coalesce("US", "SY") IS NOT NULL GROUP BY 1)
 SELECT ord, first_user, answers, rows, pairs FROM f LEFT JOIN g USING (ord) LEFT JOIN q USING (ord)""",
+    "d4_full_card": f"""{_CARD} SELECT an, 'P-' || k AS "PN", t AS "TI", (1 + k % 9)::INT AS investigators,
+ CASE WHEN k % 2 = 0 THEN '0|R101|A0100|C0100|F0100|100%' ELSE '0|R101|A0100|C0100|F0100|050%;1|R999|A0200|C0200|F0200|' || CASE WHEN k % 11 = 0 THEN '040%' ELSE '050%' END END AS grid,
+ CASE WHEN k % 29 = 0 THEN '0|C1' || chr(160) || chr(2) || 'WHEAT|1' END AS pairs, 'R101 SOILS ' || k % 5 AS ph_headings, NULL::VARCHAR AS gh_headings, NULL::INT AS narratives,
+ CASE WHEN k % 17 <> 0 THEN 'CY=TOWN ' || k % 10 || ';' ELSE '' END || 'PI=' || p_brand || ';SF=MAIN;ST=' || rtrim(p_type[:20]) AS supplement FROM p""",
 }

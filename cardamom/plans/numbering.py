@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
+_CLEARED = 0
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,8 +29,15 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/cardamom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def generation(spark: SparkSession) -> tuple[str, int]:
+    """What tables kept for later are kept for: this application, until it clears its folder."""
+    return spark.sparkContext.applicationId, _CLEARED
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all tables that this application has written there. Results that still read them are lost."""
+    global _CLEARED
+    _CLEARED += 1
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cardamom/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

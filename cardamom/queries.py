@@ -112,6 +112,14 @@ def k4_report(spark, d):
     return index.report(i.words, i.places)
 
 
+@query
+def k4_load(spark, d):
+    """The load of card files with faults in them: counts by code, records with unlike numbers of values, lost and bad lines."""
+    f, words = C.card_files(spark, d, broken=True), {"/SF": ("SF",), "/IN": ("IN",)}
+    r = index.load_report(index.word_postings(f.values, words), index.positions(f.values, words), f.values, {"subfiles": ("SF", "CT"), "columns": ("AC", "CM")}, cards.orphans(f.classified), cards.bad_lines(f.lines))
+    return r.join(f.spans.select("ord", "an"), "ord", "left").select("part", "name", "an", "n")
+
+
 @query
 def k6_manifest(spark, d):
     counts = C.part_index(spark, d).phrase_terms.groupBy("code").agg(F.count("*").alias("terms"))
@@ -332,12 +340,12 @@ def _lineage(spark, d):
     recs = v.groupBy("ord").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"))
     shown = C.table(spark, d, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("line_id"), F.col("conv_id").alias("ord"), F.array(F.struct(F.lit("US").alias("tag"), F.when(F.col("conv_id").isNotNull(), F.lit(0).cast("long")).alias("value_index")), F.struct(F.lit("RO").alias("tag"), F.lit(None).cast("long").alias("value_index"))).alias("sources"), F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("k1"))).otherwise(F.array(F.lit("k1"), F.lit("k2"))).alias("keys"))
     n = C.table(spark, d, "nation").where("n_nationkey < 2")
-    return display.lineage(shown, v, recs, n.select(F.concat(F.lit("k"), (F.col("n_nationkey") + 1).cast("string")).alias("key"), F.when(F.col("n_nationkey") == 0, "documented").otherwise("chosen").alias("status")))
+    return display.lineage(shown, v, recs, n.select(F.concat(F.lit("k"), (F.col("n_nationkey") + 1).cast("string")).alias("key"), F.when(F.col("n_nationkey") == 0, "documented").otherwise("chosen").alias("status"), F.col("n_name").alias("gloss")))
 
 
 @query
 def j10_lineage(spark, d):
-    return _lineage(spark, d).select("line_id", "tag", "value_seq", "line", "offset", "first_line", "last_line", "key", "status")
+    return _lineage(spark, d).select("line_id", "tag", "value_seq", "line", "offset", "first_line", "last_line", "key", "status", "gloss")
 
 
 # aggregates
@@ -547,7 +555,7 @@ def _folder(spark, name):
 
 @query
 def a1_lines(spark, d):
-    f = C.CardFiles(spark, d, broken=True)
+    f = C.card_files(spark, d, broken=True)
     return f.lines.agg(F.count("*").alias("lines")).join(cards.bad_lines(f.lines))
 
 
@@ -569,61 +577,61 @@ def a2_alignment(spark, d):
 
 @query
 def a4_structure(spark, d):
-    s = cards.structure(C.CardFiles(spark, d).lines)
+    s = cards.structure(C.card_files(spark, d).lines)
     return s.agg(F.max("header").alias("header"), F.max("trailer").alias("trailer"))
 
 
 @query
 def a5_trailer(spark, d):
-    f = C.CardFiles(spark, d)
+    f = C.card_files(spark, d)
     return cards.trailer_check(f.lines, f.records)
 
 
 @query
 def a6_records(spark, d):
-    return C.CardFiles(spark, d).spans.select("ord", "an", (F.col("last_line") - F.col("first_line") + 1).alias("n_lines"), "length")
+    return C.card_files(spark, d).spans.select("ord", "an", (F.col("last_line") - F.col("first_line") + 1).alias("n_lines"), "length")
 
 
 @query
 def a9_kinds(spark, d):
-    return C.CardFiles(spark, d).classified.groupBy("kind").agg(F.count("*").alias("n"))
+    return C.card_files(spark, d).classified.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query
 def a13_fields(spark, d):
-    f = cards.fields(C.CardFiles(spark, d).classified)
+    f = cards.fields(C.card_files(spark, d).classified)
     return f.groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.col("line_end") - F.col("line_start") + 1).alias("lines"))
 
 
 @query
 def a14_orphans(spark, d):
-    f = C.CardFiles(spark, d)
+    f = C.card_files(spark, d)
     return cards.orphans(f.classified).join(f.spans, "ord").select("an")
 
 
 @query
 def a15_values(spark, d):
-    f = C.CardFiles(spark, d)
+    f = C.card_files(spark, d)
     v = f.values.where("tag in ('IN', 'SF', 'CT')").join(f.spans, "ord")
     return v.select("an", "tag", "value_seq", "raw", "continuation")
 
 
 @query
 def a16_titles(spark, d):
-    f = C.CardFiles(spark, d)
+    f = C.card_files(spark, d)
     return f.values.where("tag = 'TI'").join(f.spans, "ord").select("an", "raw")
 
 
 @query
 def a18_headings(spark, d):
-    f = C.CardFiles(spark, d)
+    f = C.card_files(spark, d)
     v = f.values.where("tag = 'PH'").join(f.spans, "ord")
     return v.select("an", "code", "label", F.size(cards.strict_heading(F.col("raw"))["parts"]).alias("parts"))
 
 
 @query
 def a20_geometry(spark, d):
-    f = C.CardFiles(spark, d)
+    f = C.card_files(spark, d)
     v = f.values.where("tag = 'IN'").join(f.spans.select("ord", "an", "first_line"), "ord")
     return v.groupBy("an").agg((F.max("line") - F.min("line") + 1).alias("lines"), F.max(F.col("offset") - text.line_offset(F.col("line"))).alias("drift"))
 
@@ -666,7 +674,7 @@ def a26_provenance(spark, d):
 @query
 def a27_prefix(spark, d):
     """The first three lines of every file; of the first file what they are."""
-    top = cards.lines(spark, C.CardFiles(spark, d).path, most=3)
+    top = cards.lines(spark, C.card_files(spark, d).path, most=3)
     first = top.agg(F.min("file").alias("first"))
     return top.join(first, F.col("file") == F.col("first")).select("line_no", F.rtrim(text.latin1(F.substring("bytes", 1, 80))).alias("line"))
 
@@ -678,7 +686,7 @@ def a24_unknown(spark, d):
 
 
 def _audit(spark, d):
-    f = C.CardFiles(spark, d)
+    f = C.card_files(spark, d)
     ids = f.spans.select("ord")
     return f, ids, rules.problems(f.values, ids, cards.orphans(f.classified), _rp_vocabulary(spark, d), 94)
 
@@ -779,7 +787,7 @@ def k3_wide_rows(spark, d):
 
 @query
 def g15_census(spark, d):
-    f = C.CardFiles(spark, d)
+    f = C.card_files(spark, d)
     n = f.spans.count()
     return rules.census(f.values, F.lit(n)).select("tag", "records", "n", "least", "most", "not_utf8")
 
@@ -789,18 +797,18 @@ def g15_census(spark, d):
 
 @query
 def d1_accession_lines(spark, d):
-    f = C.CardFiles(spark, d)
+    f = C.card_files(spark, d)
     return display.accession_lines(f.values).join(f.spans, "ord").select("an", "line")
 
 
 @query
 def d2_brief(spark, d):
-    return display.brief(C.CardFiles(spark, d).values).drop("ord")
+    return display.brief(C.card_files(spark, d).values).drop("ord")
 
 
 @query
 def d3_chosen_fields(spark, d):
-    f = C.CardFiles(spark, d)
+    f = C.card_files(spark, d)
     v = display.chosen_fields(f.values, ["SF", "PC"]).join(f.spans, "ord")
     return v.groupBy("an").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code_seq", "tag_seq", "field_seq", "value_seq", "raw"))), lambda x: x["raw"]), "|").alias("values"))
 
@@ -810,3 +818,13 @@ def d4_full_record(spark, d):
     r = display.full_record(C.chat(spark, d), ("US", "AS"), ("US", "SY"), ("US",), ("AS",))
     rows = lambda c, tags: F.array_join(F.transform(c, lambda x: F.concat_ws("|", x["pos"].cast("string"), *[F.coalesce(x[t], F.lit("-")) for t in tags], x["complete"].cast("string"))), "\n")
     return r.select("ord", F.col("US").alias("first_user"), F.array_join("as_all", "\n").alias("answers"), rows("grid", ("US", "AS")).alias("rows"), rows("pairs", ("US", "SY")).alias("pairs"))
+
+
+@query
+def d4_full_card(spark, d):
+    """The full record of a card: its grid of five columns, headings, narratives and supplementary data."""
+    f, grid = C.card_files(spark, d), ("RP", "AC", "CM", "FS", "CT")
+    r = display.full_record(f.values, grid, ("SC", "SN"), ("PN", "TI"), ("IN",), ("PH", "GH"), {"narratives": ("OB", "AP", "DE"), "supplement": ("PI", "CY", "SF", "ST")})
+    rows = lambda c, tags: F.array_join(F.transform(c, lambda x: F.concat_ws("|", x["pos"].cast("string"), *[F.coalesce(x[t], F.lit("-")) for t in tags])), ";")
+    more = F.array_join(F.transform(F.map_entries("supplement"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+    return r.join(f.spans.select("ord", "an"), "ord").select("an", "PN", "TI", F.size("in_all").alias("investigators"), rows("grid", grid).alias("grid"), rows("pairs", ("SC", "SN")).alias("pairs"), "ph_headings", "gh_headings", F.size("narratives").alias("narratives"), more.alias("supplement"))

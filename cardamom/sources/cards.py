@@ -10,8 +10,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,7 +23,8 @@ from cardamom.schema import SINGLE_TAGS
 
 WIDTH, DATA_AT, DATA_WIDTH = 82, 4, 69
 MARKER = 0xAC
-_INPUT = "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat"
+#: Lines of a range, which is read and handed on as one batch, and bytes that a task reads.
+RANGE, TASK_BYTES = 1 << 15, 128 << 20
 #: A heading's code and label are parted by these two characters; a further part may follow.
 SEPARATOR = "\u00a0\u0002"
 
@@ -40,19 +41,36 @@ def misaligned(spark: SparkSession, path: str) -> DataFrame:
 def lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """(file, line_no, bytes) of the files of a folder; a file whose length is no multiple of 82 is refused.
 
-    The fixed-length input format gives each record with its place in the file,
-    so splits are read independently and no pass only counts lines.
+    A line's number follows from its place, so ranges of whole lines are read
+    independently, each at once through pyarrow's file systems (local or
+    mounted, hdfs, s3, gcs), and no pass only counts lines. most: of each file
+    only so many lines, and no more is read.
     """
-    bad = misaligned(spark, path).limit(1).collect()
-    if bad:
-        raise ValueError(f"{bad[0]['file']}: {bad[0]['length']} bytes are no multiple of {WIDTH}")
-    parts = []
-    for row in files(spark, path).where("length > 0").orderBy("file").toLocalIterator():  # a row per file
-        rdd = spark.sparkContext.newAPIHadoopFile(row["file"], _INPUT, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(WIDTH)})
-        df = spark.createDataFrame(rdd.map(lambda kv: (kv[0] // WIDTH + 1, kv[1])), "line_no long, bytes binary")
-        parts.append(df.select(F.lit(row["file"]).alias("file"), "line_no", "bytes"))
-    out = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "file string, line_no long, bytes binary")
-    return out.where(F.col("line_no") <= most) if most is not None else out
+    every = files(spark, path)
+    off = F.col("length") % WIDTH != 0
+    size = every.agg(F.min(F.when(off, F.struct("file", "length"))).alias("bad"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    if size["bad"]:
+        raise ValueError(f"{size['bad']['file']}: {size['bad']['length']} bytes are no multiple of {WIDTH}")
+    n = (F.col("length") / WIDTH).cast("long")
+    cut = every.withColumn("n", n if most is None else F.least(n, F.lit(most).cast("long"))).where("n > 0")
+    cut = cut.select("file", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE).cast("long"))).alias("after"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // TASK_BYTES))
+    ranges = cut.select("file", "after", F.least(F.lit(RANGE), F.col("n") - F.col("after")).alias("lines"))
+    return ranges.repartition(tasks).mapInArrow(_read, "file string, line_no long, bytes binary")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of lines for each range (file, lines after which it begins, lines); bytes are cut by width, not line by line."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            store, name = fs.FileSystem.from_uri(row["file"])
+            with store.open_input_file(name) as source:
+                raw = source.read_at(row["lines"] * WIDTH, row["after"] * WIDTH)
+            if len(raw) != row["lines"] * WIDTH:
+                raise OSError(f"{row['file']}: ends before line {row['after'] + row['lines']}")
+            cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), row["lines"], [None, pa.py_buffer(raw)]).cast(pa.binary())
+            numbers = pa.array(np.arange(row["after"] + 1, row["after"] + row["lines"] + 1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(row["file"], pa.string()), row["lines"]), numbers, cells], names=["file", "line_no", "bytes"])
 
 
 def tag(b: str = "bytes") -> Column:

@@ -47,6 +47,16 @@ def test_card_reading(spark):
     assert cards.lines(spark, path, most=3).count() == 3
 
 
+def test_ranges_give_all_lines_of_all_files(spark, monkeypatch):
+    path = folder(FILE, FILE[:7], [])
+    monkeypatch.setattr(cards, "RANGE", 3)
+    for most in (None, 4, 100):
+        rows = cards.lines(spark, path, most).collect()
+        got = [[bytes(r["bytes"]) for r in sorted(rows, key=lambda r: r["line_no"]) if r["file"] == f] for f in sorted({r["file"] for r in rows})]
+        assert got == [FILE[:most], FILE[:7][:most]]
+    assert cards.lines(spark, folder([])).count() == 0
+
+
 def test_misaligned_is_refused(spark):
     with pytest.raises(ValueError):
         cards.lines(spark, folder([b"short"]))

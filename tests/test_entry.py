@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SMALL = ["s1_phrase_and_word", "s8_proximity_counts", "x1_browse_absent", "x6_sorted_set", "j7_zip_surplus", "k8_parity", "v_problems", "v_fault_kinds", "g9_overview", "f17_excerpts", "g6_tiers", "k3_wide_rows", "a15_values", "b7_combine_not"]
+SMALL = ["s1_phrase_and_word", "s8_proximity_counts", "x1_browse_absent", "x6_sorted_set", "j7_zip_surplus", "k8_parity", "v_problems", "v_fault_kinds", "g9_overview", "f17_excerpts", "g6_tiers", "k3_wide_rows", "k4_load", "d4_full_card", "a15_values", "b7_combine_not"]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -66,6 +66,11 @@ def test_written_index_gives_the_same_sets_from_few_folders(spark, idx, data):
     for e in (Term("CY", "beltsville"), water, Prefix("FR"), Near("N", water, fresh, 2), Near("F", water, fresh), Not(fresh, Term("CY", "BELTSVILLE")), Prefix("")):
         assert ords(e, own) == ords(e, idx)
     assert sorted(map(tuple, own.word_terms.collect())) == sorted(map(tuple, idx.word_terms.collect()))
+    own.word_terms.withColumnRenamed("items", "n").write.parquet(f"{folder}/other")
+    with pytest.raises(ValueError, match="items: None instead of bigint"):
+        checks.loaded(spark, f"{folder}/other", "code string, term string, items long")
+    index.write_index(idx.words.where("false").drop("shard"), f"{folder}/none")
+    assert index.open_index(spark, f"{folder}/none").count() == 0
     docs = corpora.doc_index(spark, data)
     assert corpora.doc_index(spark, data).words.inputFiles() == docs.words.inputFiles()  # written once
     for e, shard in ((And(Word("THIS", ("/TX",)), Term("LA", "EN")), "T"), (Prefix("TION", ("/TX",)), "T"), (Near("W", Word("ON"), Word("IN"), 3), "I"), (PhrasePrefix("SO", "SRC"), "S")):
