@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _tall(df: DataFrame, key: str, tags: dict[str, str], seq: str | None = None) -> DataFrame:
-    """(ord, tag, field_seq, value_seq, raw) with a row per tag and row of df."""
-    pairs = F.array(*[F.struct(F.lit(t).alias("tag"), F.col(c).cast("string").alias("raw")) for t, c in tags.items()])
+    """(ord, tag, field_seq, value_seq, raw) with a row per tag and row of df.
+
+    A branch per tag: one that a filter on the tag excludes is not scanned, and the others read their own column.
+    """
     own = F.col(seq).cast("long") if seq else F.lit(0).cast("long")
-    out = df.select(F.col(key).cast("long").alias("ord"), own.alias("value_seq"), F.explode(pairs).alias("x"))
-    return out.select("ord", "x.tag", F.lit(1).alias("field_seq"), "value_seq", "x.raw").where("raw is not null")
+    branch = lambda t, c: df.select(F.col(key).cast("long").alias("ord"), F.lit(t).alias("tag"), F.lit(1).alias("field_seq"), own.alias("value_seq"), F.col(c).cast("string").alias("raw"))
+    return reduce(DataFrame.union, [branch(t, c) for t, c in tags.items()]).where("raw is not null")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,26 +30,31 @@ def phrase_key(c: Column) -> Column:
 
 def split_words(c: Column) -> Column:
     """All words in order, stop words included: places are counted over these."""
-    return F.filter(F.split(F.upper(c), "[^A-Z0-9-]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.upper(c), "[^A-Z0-9-]+"), "")
 
 
 def bare(word: Column) -> Column:
-    return F.regexp_replace(word, "^-+|-+$", "")
+    return F.btrim(word, F.lit("-"))
 
 
-def _indexed(word: Column) -> Column:
-    return (word != "") & ~word.isin(*STOP_WORDS)
+def indexed(term: Column) -> Column:
+    """Whether a spelling is a term; stop words and what is left of bare hyphens are none."""
+    return (term != "") & ~term.isin(*STOP_WORDS)
 
 
-def forms(word: Column) -> Column:
-    """The terms of one word: itself without outer hyphens, and the parts of a hyphenated one."""
+def spellings(word: Column) -> Column:
+    """One word without outer hyphens, and the parts of a hyphenated one, whether ``indexed`` or not.
+
+    Where rows are exploded from it, filter them afterwards: a filter inside the
+    array would take the operator out of generated code.
+    """
     t = bare(word)
-    parts = F.filter(F.split(t, "-"), _indexed)
-    return F.when(_indexed(t), F.when(F.contains(t, F.lit("-")), F.concat(F.array(t), parts)).otherwise(F.array(t))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.contains(t, F.lit("-")), F.concat(F.array(t), F.split(t, "-"))).otherwise(F.array(t))
 
 
 def tokens(c: Column) -> Column:
-    return F.flatten(F.transform(split_words(c), forms))
+    """The terms of a value as an array."""
+    return F.filter(F.flatten(F.transform(split_words(c), spellings)), indexed)
 
 
 def shard(term: Column) -> Column:

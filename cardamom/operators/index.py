@@ -22,7 +22,8 @@ def code_map(spark, codes: dict[str, tuple[str, ...]]) -> DataFrame:
 
 def _coded(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
     """The values of the codes' tags with code and tag_seq; other columns of vals, such as a heading's own code, are ignored."""
-    return vals.select("ord", "tag", "field_seq", "value_seq", "raw").join(code_map(vals.sparkSession, codes), "tag")
+    own = F.col("tag").isin(*{t: None for tags in codes.values() for t in tags})  # reaches the scan, which the join does not
+    return vals.select("ord", "tag", "field_seq", "value_seq", "raw").where(own).join(code_map(vals.sparkSession, codes), "tag")
 
 
 def phrase_postings(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -42,13 +43,13 @@ def positions(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("code", "ord").orderBy("tag_seq", "field_seq", "value_seq")) - 1
     v = v.withColumn("field_ord", number)
     words = v.select("code", "ord", "field_ord", F.posexplode(text.split_words(F.col("raw"))).alias("pos", "word"))
-    return words.select("code", F.explode(text.forms(F.col("word"))).alias("term"), "ord", "field_ord", "pos")
+    return words.select("code", F.explode(text.spellings(F.col("word"))).alias("term"), "ord", "field_ord", "pos").where(text.indexed(F.col("term")))
 
 
 def word_postings(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
     """(code, term, ord), one row per record and term."""
-    v = _coded(vals, codes)
-    return v.select("code", F.explode(text.tokens(F.col("raw"))).alias("term"), "ord").distinct()
+    words = _coded(vals, codes).select("code", "ord", F.explode(F.array_distinct(text.split_words(F.col("raw")))).alias("word"))
+    return words.select("code", F.explode(text.spellings(F.col("word"))).alias("term"), "ord").where(text.indexed(F.col("term"))).distinct()
 
 
 def term_list(postings: DataFrame) -> DataFrame:

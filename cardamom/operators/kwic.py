@@ -34,7 +34,7 @@ def windows(vals: DataFrame, words: list[str], stems: list[str] = (), size: int
         raise ValueError(f"a window has {LEAST} to {MOST} words")
     key = ["ord", "tag", "field_seq", "value_seq"]
     before, after = size // 2, (size - 1) // 2
-    v = vals.withColumn("words", F.filter(F.split("raw", text.SPACE + "+"), lambda w: w != "")).withColumn("n", F.size("words"))
+    v = vals.withColumn("words", F.array_remove(F.split("raw", text.SPACE + "+"), "")).withColumn("n", F.size("words"))
     hits = [F.col("k").isin(*words)] if words else []
     hits += [F.col("k").startswith(s) for s in stems]
     m = v.select(*key, "n", F.posexplode("words").alias("i", "w")).withColumn("k", text.alnum(F.col("w"))).where("k <> ''").where(reduce(lambda a, b: a | b, hits, F.lit(False)))
