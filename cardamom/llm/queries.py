@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardamom.llm import chat, minhash, mixing, oracles, packing, pii, quality, suffix, tokens, vectors, warc
+from cardamom.llm import chat, minhash, mixing, oracles, packing, periodic, pii, quality, suffix, tokens, vectors, warc
 from cardamom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -64,6 +64,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = found.withColumn("r", periodic.longest("runs"))
+    milli = F.floor(1000 * F.col("r.length") / F.col("r.period")).cast("long")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "r.start", "r.length", "r.period", milli.alias("exponent_milli"),
+        F.sha2(periodic.listed("runs"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +94,7 @@ def queries():
         "op8_pii": op8_pii,
         "op9_mixing": op9_mixing,
         "op10_chat": op10_chat,
+        "op11_periodic": op11_periodic,
     }
 
 
