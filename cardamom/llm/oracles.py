@@ -83,4 +83,24 @@ SELECT conv_id, n AS n_turns, coalesce(f.first = conv_id AND p.k IS NULL, false)
 FROM h JOIN f USING (n, h) LEFT JOIN p ON p.k = h.n AND p.h = h.h
 """
 
-SQL = {"op2_vectors": OP2, "op4_warc": OP4, "op6_suffix": OP6, "op7_quality": OP7, "quality_ablation": ABLATION, "op9_mixing": OP9, "op10_chat": OP10}
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(list_transform(string_split_regex(t, '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) AS w FROM d),
+g AS (SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p)),
+f1 AS (SELECT lang, a, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, a, b, count(*) AS f FROM g WHERE b IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, a, b, c, count(*) AS f FROM g WHERE c IS NOT NULL GROUP BY ALL HAVING f >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+c2 AS (SELECT p.lang, p.a || ' ' || p.b AS phrase, p.f AS a, x.f AS l, y.f AS r, 1000000::HUGEINT * p.f * p.f // (x.f::HUGEINT * y.f) AS score
+  FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.a = p.a JOIN f1 y ON y.lang = p.lang AND y.a = p.b WHERE p.f >= 10
+  AND NOT EXISTS (FROM f3 q WHERE q.lang = p.lang AND 100 * q.f >= 50 * p.f AND ((q.a = p.a AND q.b = p.b) OR (q.b = p.a AND q.c = p.b)))),
+c3 AS (SELECT q.lang, q.a || ' ' || q.b || ' ' || q.c AS phrase, q.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2,
+  1000000::HUGEINT * q.f * q.f // (x.f::HUGEINT * yz.f) AS s1, 1000000::HUGEINT * q.f * q.f // (xy.f::HUGEINT * z.f) AS s2
+  FROM f3 q JOIN f1 x ON x.lang = q.lang AND x.a = q.a JOIN f1 z ON z.lang = q.lang AND z.a = q.c
+  JOIN f2 xy ON xy.lang = q.lang AND xy.a = q.a AND xy.b = q.b JOIN f2 yz ON yz.lang = q.lang AND yz.a = q.b AND yz.b = q.c),
+every AS (SELECT lang, phrase, a, l, r, score FROM c2 UNION ALL SELECT lang, phrase, a, if(s1 <= s2, l1, l2), if(s1 <= s2, r1, r2), least(s1, s2) FROM c3),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM k JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+SQL = {"op2_vectors": OP2, "op4_warc": OP4, "op6_suffix": OP6, "op7_quality": OP7, "quality_ablation": ABLATION, "op9_mixing": OP9, "op10_chat": OP10, "op12_phrases": OP12}

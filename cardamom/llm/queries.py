@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardamom.llm import chat, minhash, mixing, oracles, packing, periodic, pii, quality, suffix, tokens, vectors, warc
+from cardamom.llm import chat, minhash, mixing, oracles, packing, periodic, phrases, pii, quality, suffix, tokens, vectors, warc
 from cardamom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,10 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), words=3, least=10, covered=50, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +99,7 @@ def queries():
         "op9_mixing": op9_mixing,
         "op10_chat": op10_chat,
         "op11_periodic": op11_periodic,
+        "op12_phrases": op12_phrases,
     }
 
 
