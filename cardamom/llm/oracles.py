@@ -103,4 +103,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM k JOIN n USING (lang) WHERE rank <= 2000
 """
 
-SQL = {"op2_vectors": OP2, "op4_warc": OP4, "op6_suffix": OP6, "op7_quality": OP7, "quality_ablation": ABLATION, "op9_mixing": OP9, "op10_chat": OP10, "op12_phrases": OP12}
+#: For pages whose article is an element of that name, as in the supplied table: what the trained field has to find there.
+OP13 = r"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS b FROM pages),
+d AS (SELECT page_id, url, list_transform(b, lambda x: replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>')) AS b FROM a),
+w AS (SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(regexp_replace(x, '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM d)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM w
+"""
+
+SQL = {"op2_vectors": OP2, "op4_warc": OP4, "op6_suffix": OP6, "op7_quality": OP7, "quality_ablation": ABLATION, "op9_mixing": OP9, "op10_chat": OP10, "op12_phrases": OP12, "op13_html": OP13}

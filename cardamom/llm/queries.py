@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardamom.llm import chat, minhash, mixing, oracles, packing, periodic, phrases, pii, quality, suffix, tokens, vectors, warc
+from cardamom.llm import chat, extract, minhash, mixing, oracles, packing, periodic, phrases, pii, quality, suffix, tokens, vectors, warc
 from cardamom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,6 +78,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), words=3, least=10, covered=50, top=2000)
 
 
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +104,7 @@ def queries():
         "op10_chat": op10_chat,
         "op11_periodic": op11_periodic,
         "op12_phrases": op12_phrases,
+        "op13_html": op13_html,
     }
 
 
