@@ -64,15 +64,15 @@ def _signatures(k: int, parts: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, offs, raw in wordhash.slices(batch.column("_text")):
-                h, at = wordhash.shingle_hashes(*wordhash.word_hashes(offs, raw), k)
+                h, at = wordhash.shingle_digests(*wordhash.word_digests(offs, raw), k)
                 rows_in = len(offs) - 1
-                sets = [np.unique(h[at[i] : at[i + 1]]) for i in range(rows_in)]
+                sets = [wordhash.distinct(h[at[i] : at[i + 1]]) for i in range(rows_in)]
                 n = np.array([len(s) for s in sets], np.int64)
                 has = np.flatnonzero(n)
                 keys = np.zeros((rows_in, 2 * parts), np.uint64)
                 sketch = np.zeros((rows_in, m), np.uint8)
                 if len(has):
-                    flat, begins = np.concatenate([sets[i] for i in has]), np.concatenate([[0], np.cumsum(n[has])[:-1]])
+                    flat, begins = np.concatenate([sets[i][:, 0] for i in has]), np.concatenate([[0], np.cumsum(n[has])[:-1]])
                     for j in range(2 * parts):
                         key = np.zeros(len(has), np.uint64)
                         for r in range(rows):
@@ -156,8 +156,7 @@ def _forest(k: int, percent: int):
             if n < 2:
                 continue
             size = np.array([len(sets[i]) for i in group], np.int64)
-            flat = np.concatenate([sets[i] for i in group])
-            _, number = np.unique(flat, return_inverse=True)
+            number = wordhash.numbered(np.concatenate([sets[i] for i in group]))
             begins = np.concatenate([[0], np.cumsum(size)])
             label, own_side = np.arange(n), side[group]
             cross = len(set(own_side)) > 1

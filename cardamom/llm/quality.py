@@ -60,14 +60,13 @@ def measured(docs: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(1), F.size("hash_") - WINDOW + 1)
     windows = F.transform(places, lambda i: F.xxhash64(F.slice(F.col("hash_"), i, WINDOW)))
     df = df.withColumn("wins_", F.when(F.size("hash_") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
-    # only a text in which some window occurs twice needs its places
+    # only a text in which some window occurs twice needs its places; of those with one hash the words are compared
     placed = F.array_sort(F.transform(wins, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     df = df.withColumn("wins_", F.when(F.size(wins) > F.size(F.array_distinct(wins)), placed))
-    h, none = F.transform(wins, lambda x: x["h"]), F.array(F.lit(None).cast("bigint"))
-    near = F.arrays_zip(wins.alias("x"), F.concat(none, F.slice(h, 1, F.size(wins) - 1)).alias("b"), F.concat(F.slice(h, 2, F.size(wins)), none).alias("a"))
-    twice = F.filter(near, lambda z: z["x"]["h"].eqNullSafe(z["b"]) | z["x"]["h"].eqNullSafe(z["a"]))
+    read = F.transform(_twice(wins, "bigint"), lambda z: F.struct(F.array_join(F.slice(words, z["i"] + 1, WINDOW), " ").alias("h"), z["i"].alias("i")))
+    df = df.withColumn("wins_", F.array_sort(read))
     covered = F.aggregate(
-        F.array_sort(F.transform(twice, lambda z: z["x"]["i"])),
+        F.array_sort(F.transform(_twice(wins, "string"), lambda z: z["i"])),
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")),
     )["n"]
@@ -84,6 +83,14 @@ def measured(docs: DataFrame) -> DataFrame:
     return df.drop("text_", "words_", "hash_", "wins_")
 
 
+def _twice(placed: Column, kind: str) -> Column:
+    """Of a sorted array of (h, i), those whose h stands before or after them too."""
+    h, none = F.transform(placed, lambda x: x["h"]), F.array(F.lit(None).cast(kind))
+    near = F.arrays_zip(placed.alias("x"), F.concat(none, F.slice(h, 1, F.size(placed) - 1)).alias("b"), F.concat(F.slice(h, 2, F.size(placed)), none).alias("a"))
+    found = F.filter(near, lambda z: z["x"]["h"].eqNullSafe(z["b"]) | z["x"]["h"].eqNullSafe(z["a"]))
+    return F.transform(F.when(F.size(placed) > 0, found).otherwise(F.slice(near, 1, 0)), lambda z: z["x"])
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """(doc_id, measurements, fail_bits long) for every row, whatever its other columns.
 

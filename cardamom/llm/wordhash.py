@@ -1,11 +1,10 @@
 """Hashes of words and word shingles, vectorised over an Arrow batch of texts.
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D; A-Z are lower-cased, all
-other bytes stay. Words and shingles are identified by 64-bit hashes with fixed
-parameters, so that every executor and every rerun gives the same values. A word
-is chained eight bytes at a time through a scramble that is not linear in them,
-a long one is a keyed BLAKE2b digest: no sum over places in which the
-contributions of a regular pattern could cancel.
+other bytes stay. Words are identified by keyed 128-bit BLAKE2b digests, shingles
+by 128 bits made of these in two lanes that share nothing, with fixed parameters,
+so that every executor and every rerun gives the same values. ``span_hashes`` is a
+quick 64-bit hash for callers that compare what it finds.
 """
 
 from __future__ import annotations
@@ -16,12 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+from cardamom.llm.words import coded
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_LANES = np.array([0xD6E8FEB86659FD93, 0xCF1BBCDCBFA56301], np.uint64)
 #: The first n bytes of eight, as they lie in a little-endian number.
 FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Words of more bytes are digested one by one.
@@ -55,7 +53,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span raw[start:stop]."""
+    """A 64-bit hash of the bytes of each span raw[start:stop]; different spans may be made to share one."""
     size = stop - start
     h = mix(size.astype(np.uint64) * _ODD)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
@@ -72,24 +70,18 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
     return h
 
 
-def word_hashes(offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words in order, and for each row where its words begin (one more at the end)."""
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    space = _SPACE[raw]
-    before = np.empty_like(space)
-    before[0], before[1:] = True, space[:-1]
-    begins = offs[:-1][offs[:-1] < offs[1:]]
-    before[begins] = True
-    start = np.flatnonzero(before & ~space)
-    after = np.empty_like(space)
-    after[-1], after[:-1] = True, before[1:] & ~space[1:] | space[1:]
-    end = np.flatnonzero(after & ~space)
-    return span_hashes(_LOWER[raw], start, end + 1), np.searchsorted(start, offs)
+def word_digests(offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit digests (two numbers each) of all lower-cased words in order, and for each row where its words begin (one more at the end).
+
+    Words are told apart by comparison within a slice; each different one is digested once.
+    """
+    words = coded(offs, raw, lower=True)
+    each = b"".join(hashlib.blake2b(w, digest_size=16, key=b"words").digest() for w in words.values.to_pylist())
+    return np.frombuffer(each, np.uint64).reshape(-1, 2)[words.ids], words.at
 
 
-def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all runs of k words within rows, and where each row's begin.
+def shingle_digests(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit digests (two numbers each) of all runs of k words within rows, and where each row's begin.
 
     A row of 1 to k-1 words has one shingle, its whole sequence; a row without words none.
     """
@@ -97,29 +89,41 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     per = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
     bounds = np.concatenate([[0], np.cumsum(per)])
     first = np.repeat(at[:-1] - bounds[:-1], per) + np.arange(bounds[-1])
-    out = np.zeros(len(first), np.uint64)
+    out = np.zeros((len(first), 2), np.uint64)
     short = np.repeat(n < k, per)
     full = first[~short]
-    h = np.zeros(len(full), np.uint64)
+    h = np.zeros((len(full), 2), np.uint64)
     for j in range(k):
-        h = (h ^ (h >> np.uint64(29))) * _STEP + words[full + j]
+        h = (h ^ (h >> np.uint64(29))) * _LANES + words[full + j]
     out[~short] = h
     for row in np.flatnonzero((n > 0) & (n < k)):
-        h = np.uint64(0)
-        with np.errstate(over="ignore"):
-            for w in words[at[row] : at[row + 1]]:
-                h = (h ^ (h >> np.uint64(29))) * _STEP + w
-            out[bounds[row]] = h + np.uint64(k) * _ODD + np.uint64(n[row])
+        whole = words[at[row] : at[row + 1]].tobytes()
+        out[bounds[row]] = np.frombuffer(hashlib.blake2b(whole, digest_size=16, key=b"short").digest(), np.uint64)
     return mix(out), bounds
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The different rows of two numbers, in ascending order."""
+    s = h[np.argsort(h[:, 0], kind="stable")]
+    new = s[1:, 0] != s[:-1, 0]
+    if (s[1:, 1] != s[:-1, 1])[~new].any():  # first numbers alone do not tell them apart
+        s = h[np.lexsort((h[:, 1], h[:, 0]))]
+        new = (s[1:] != s[:-1]).any(axis=1)
+    return s[np.concatenate([np.ones(min(1, len(s)), bool), new])]
+
+
+def numbered(h: np.ndarray) -> np.ndarray:
+    """A number from 0 for each row of two numbers, equal where both are."""
+    _, first, number = np.unique(h[:, 0], return_index=True, return_inverse=True)
+    number = number.ravel()
+    if (h[first, 1][number] != h[:, 1]).any():
+        _, number = np.unique(h, axis=0, return_inverse=True)
+    return number.ravel()
+
+
 def sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) for every row."""
+    """(row, ascending different shingle digests) for every row."""
     for first, offs, raw in slices(texts):
-        h, at = shingle_hashes(*word_hashes(offs, raw), k)
+        h, at = shingle_digests(*word_digests(offs, raw), k)
         for i in range(len(offs) - 1):
-            s = h[at[i] : at[i + 1]]
-            s = np.sort(s)
-            if len(s) > 1:
-                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-            yield first + i, s
+            yield first + i, distinct(h[at[i] : at[i + 1]])

@@ -102,6 +102,63 @@ def test_minhash_large_group_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def unmixed(x):
+    """The number that wordhash.mix makes x of."""
+    for odd in (0xCF1BBCDCBFA56301, 0xD6E8FEB86659FD93):
+        x ^= x >> 32
+        x = x * pow(odd, -1, 1 << 64) % (1 << 64)
+    return x ^ (x >> 32)
+
+
+def colliding_words(n, eights):
+    """Printable words of ``eights`` times eight bytes for which a chain of multiplications by known constants gives one number."""
+    mask, odd, step = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+    rng = np.random.Generator(np.random.PCG64(eights))
+    mix = lambda x: int(wordhash.mix(np.uint64(x)))
+    aim = mix(123456789)
+    start, found = mix(8 * eights * odd & mask), []
+    need = unmixed(aim)
+    before = (need - odd) * pow(step, -1, 1 << 64) & mask  # what the last eight bytes and the chain so far must differ by
+    while len(found) < n:
+        free = rng.integers(33, 127, (200_000, 8 * (eights - 1)), dtype=np.uint8)
+        h = np.full(len(free), start, np.uint64)
+        for k in range(eights - 1):
+            part = np.ascontiguousarray(free[:, 8 * k : 8 * k + 8]).view(np.uint64).ravel()
+            h = wordhash.mix((h ^ part) * np.uint64(step) + np.uint64(odd))
+        last = (h ^ np.uint64(before)).view(np.uint8).reshape(-1, 8)
+        fine = ((last > 32) & (last < 127) & ((last < 65) | (last > 90))).all(axis=1) & ((free < 65) | (free > 90)).all(axis=1)
+        found += [bytes(a).decode() + bytes(b).decode() for a, b in zip(free[fine], last[fine], strict=True)]
+    return found[:n]
+
+
+@pytest.mark.parametrize("eights", [2, 3])
+def test_words_built_to_share_a_chained_hash_are_different_words(spark, eights):
+    made = colliding_words(12, eights)
+    raw = np.frombuffer("".join(made).encode(), np.uint8)
+    at = np.arange(0, len(raw) + 1, 8 * eights)
+    assert len(set(wordhash.span_hashes(raw, at[:-1], at[1:]).tolist())) == 1  # the quick hash is the one they were built for
+    rows = [(i, w) for i, w in enumerate(made)] + [(100 + i, " ".join(made[i : i + 10])) for i in range(3)]
+    want, n = brute_components(rows, 50)
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
+    assert {i: (r["component_id"], r["n_shingles"]) for i, r in got.items()} == {i: (want[i], n[i]) for i in n}
+
+
+def test_digests_that_share_their_first_number_are_kept_apart():
+    h = np.array([[5, 1], [5, 2], [3, 9], [5, 1], [3, 9]], np.uint64)
+    assert wordhash.distinct(h).tolist() == [[3, 9], [5, 1], [5, 2]]
+    number = wordhash.numbered(h)
+    assert number[0] == number[3] and number[2] == number[4] and len({*number.tolist()}) == 3
+    assert wordhash.distinct(h[:0]).shape == (0, 2)
+
+
+def test_windows_are_compared_by_their_words(spark, monkeypatch):
+    """With a hash that tells next to nothing, only windows of equal words count as repeated."""
+    monkeypatch.setattr(quality.F, "xxhash64", lambda c: F.length(c.cast("string")).cast("long"))
+    texts = ["a b c d e f g h i j k l m n", "a b c d e x a b c d e", "a a a a a a a", "ab c d e f gh i j k l m"]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: brute_quality(t)[4] for i, t in enumerate(texts)}
+
+
 def thue_morse(k):
     """Two words of 2**k letters whose sums over places cancel for any even modulus."""
     w = "a"
