@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cardamom.operators import rules, search
 from cardamom.plans.numbering import generation, own_folder, scratch
-from cardamom.sources import cards
+from cardamom.sources import cards, parse
 
 DOC_PHRASES = {"LA": ("LA",), "SO": ("SO",)}
 DOC_WORDS = {"/TX": ("TX",)}
@@ -58,6 +58,19 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEPT: dict[tuple, object] = {}
 
 
+def _state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What the tables' files are: their paths, lengths and times. A table that is written again has another state."""
+    found = []
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        every = system.listFiles(path, True)
+        while every.hasNext():
+            f = every.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def _once(spark: SparkSession, make, *what):
     """What make() gives, made once by an application for equal ``what``."""
     key = (*generation(spark), *what)
@@ -66,8 +79,8 @@ def _once(spark: SparkSession, make, *what):
     return _KEPT[key]
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, vals, phrases: dict, words: dict) -> search.Index:
-    """The index of a corpus, written and opened once by an application."""
+def _stored(spark: SparkSession, sf_dir: str, name: str, source: str, vals, phrases: dict, words: dict) -> search.Index:
+    """The index of a corpus, written and opened once by an application, unless the table behind it changes."""
     merged = tuple(words)
 
     def make() -> search.Index:
@@ -75,19 +88,19 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, vals, phrases: dict, wo
         search.write(search.built(vals(spark, sf_dir), phrases, words, merged), folder)
         return search.opened(spark, folder, tuple(phrases), tuple(words), merged)
 
-    return _once(spark, make, sf_dir, name)
+    return _once(spark, make, _state(spark, sf_dir, source), name)
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return _stored(spark, sf_dir, "docs", docs, DOC_PHRASES, DOC_WORDS)
+    return _stored(spark, sf_dir, "docs", "documents", docs, DOC_PHRASES, DOC_WORDS)
 
 
 def chat_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return _stored(spark, sf_dir, "chat", chat, CHAT_PHRASES, CHAT_WORDS)
+    return _stored(spark, sf_dir, "chat", "conversations", chat, CHAT_PHRASES, CHAT_WORDS)
 
 
 def part_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return _stored(spark, sf_dir, "parts", parts, PART_PHRASES, PART_WORDS)
+    return _stored(spark, sf_dir, "parts", "part", parts, PART_PHRASES, PART_WORDS)
 
 
 def _wrapped(label: str, data, most: int):
@@ -105,10 +118,12 @@ def _many(label: str, items: list):
 _VALUE = "array<struct<tag:string,field_seq:int,value_seq:int,raw:string>>"
 
 
-def card_records(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+def card_records(spark: SparkSession, sf_dir: str, broken: bool = False, marked: bool = False, edited: bool = False) -> DataFrame:
     """(ord, cards): a record per part, with faults by its key; the file's first and last line at either end.
 
     broken: every 31st record has a line more, which does not end in CR LF.
+    marked: every 37th title goes on in a line that begins with the marker.
+    edited: every 50th record has another town, every 77th another first investigator.
     """
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), "p_name", "p_brand", "p_type")
     k, none = F.col("k"), F.lit(None).cast("string")
@@ -122,11 +137,12 @@ def card_records(spark: SparkSession, sf_dir: str, broken: bool = False) -> Data
         F.array(cards.card(F.lit("AN"), F.lpad(k.cast("string"), 7, "0"))),
         F.array(cards.card(F.lit("PN"), F.concat(F.lit("P-"), k.cast("string")))),
         _wrapped("TI", title, 12),
+        on(37, F.array(cards.card(F.lit("  "), F.lit(chr(cards.MARKER) + "ALSO")))) if marked else on(1, F.array().cast("array<binary>")),
         F.array(cards.card(F.lit("PI"), F.col("p_brand"))),
-        F.when(k % 17 == 0, F.array().cast("array<binary>")).otherwise(F.array(cards.card(F.lit("CY"), F.concat(F.lit("TOWN "), (k % 10).cast("string"))))),
+        F.when(k % 17 == 0, F.array().cast("array<binary>")).otherwise(F.array(cards.card(F.lit("CY"), F.concat(F.when(k % 50 == 0, "VILLAGE ").otherwise("TOWN ") if edited else F.lit("TOWN "), (k % 10).cast("string"))))),
         F.array(cards.card(F.lit("ST"), F.substring("p_type", 1, 20))),
         _many("SF", [F.lit("MAIN"), F.when(k % 3 == 0, F.lit("CSRS")).otherwise(none)]),
-        _many("IN", [F.concat(F.lit("SMITH "), k.cast("string"))] + [F.when(k % 9 >= i, F.lit(f"JONES {i}")).otherwise(none) for i in range(1, 9)]),
+        _many("IN", [F.concat(F.when(k % 77 == 0, "SMYTH ").otherwise("SMITH ") if edited else F.lit("SMITH "), k.cast("string"))] + [F.when(k % 9 >= i, F.lit(f"JONES {i}")).otherwise(none) for i in range(1, 9)]),
         column("RP", "R101", "R999"), column("AC", "A0100", "A0200"), column("CM", "C0100", "C0200"), column("FS", "F0100", "F0200"),
         _many("CT", [F.when(two, F.lit("050%")).otherwise(F.lit("100%")), F.when(two & (k % 11 == 0), F.lit("040%")).when(two, F.lit("050%")).otherwise(none)]),
         F.array(cards.card(F.lit("PH"), F.concat(F.lit("R101" + cards.SEPARATOR + "SOILS "), (k % 5).cast("string")))),
@@ -191,38 +207,33 @@ def mixed_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("ord", F.inline("x")).select("ord", "tag", F.lit(1).alias("field_seq"), "value_seq", "raw").withColumn("raw_bytes", F.encode("raw", "ISO-8859-1"))
 
 
+def write_cut(records: DataFrame, path: str, every: int = 31) -> None:
+    """Writes records (ord, cards) to a file for each ``every`` of them; the last one's last line is a byte short."""
+    last = F.col("ord") % every == 0
+    short = F.concat(F.slice("cards", 1, F.size("cards") - 1), F.array(F.substring(F.element_at("cards", -1), 1, cards.WIDTH - 3)))
+    rows = records.select("ord", F.lpad(F.floor((F.col("ord") - 1) / every).cast("string"), 12, "0").alias("part"), F.when(last, short).otherwise(F.col("cards")).alias("cards"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "ord").select("part", F.explode("cards").cast("string").alias("value"))
+    rows.write.partitionBy("part").option("lineSep", "\r\n").text(path)
+
+
 class CardFiles:
     """Card files made of the part table in the shared folder, and what is read from them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, broken: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, cut: bool = False, **how: bool):
         self.path = own_folder(spark, "cards")
         self.spark = spark
-        cards.write(card_records(spark, sf_dir, broken), self.path)
-        self.lines = scratch(cards.lines(spark, self.path), "lines")
-        self._memo: dict[str, DataFrame] = {}
-
-    def _kept(self, name: str, make) -> DataFrame:
-        if name not in self._memo:
-            self._memo[name] = scratch(make(), name)
-        return self._memo[name]
-
-    @property
-    def records(self) -> DataFrame:
-        return self._kept("records", lambda: cards.records(self.lines))
-
-    @property
-    def classified(self) -> DataFrame:
-        return self._kept("classified", lambda: cards.classified(self.records))
-
-    @property
-    def values(self) -> DataFrame:
-        return self._kept("values", lambda: cards.values(self.classified))
-
-    @property
-    def spans(self) -> DataFrame:
-        return self._kept("spans", lambda: cards.spans(self.records))
-
-
-def card_files(spark: SparkSession, sf_dir: str, broken: bool = False) -> CardFiles:
-    """The card files of the part table, written and read once by an application."""
-    return _once(spark, lambda: CardFiles(spark, sf_dir, broken), sf_dir, "cards", broken)
+        records = card_records(spark, sf_dir, **how)
+        if cut:  # files without a first and last line
+            write_cut(records.where(F.size("cards") > 1), self.path)
+        else:
+            cards.write(records, self.path)
+        self.ranges = parse.ranges(spark, self.path, lenient=cut)
+        self.parsed = scratch(parse.parsed(spark, self.path, found=self.ranges), "records")
+        self.spans = parse.spans(self.parsed)
+        self.values = parse.values(self.parsed)
+        self.orphans = parse.orphans(self.parsed)
+
+
+def card_files(spark: SparkSession, sf_dir: str, **how: bool) -> CardFiles:
+    """The card files of the part table, written and read once by an application, unless the table changes."""
+    return _once(spark, lambda: CardFiles(spark, sf_dir, **how), _state(spark, sf_dir, "part"), "cards", *sorted(how.items()))

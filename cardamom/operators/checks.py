@@ -26,6 +26,40 @@ def differences(a: DataFrame, b: DataFrame, permitted=None) -> DataFrame:
     return only if permitted is None else only.where(~permitted)
 
 
+def parity(spans: DataFrame, vals: DataFrame, other_spans: DataFrame, other_vals: DataFrame, singles: tuple[str, ...] = (), marker: str = "") -> DataFrame:
+    """(ord, what, field_seq, value_seq, first, second): where two readings of records differ, field by field.
+
+    spans: a row per record (ord, ...), compared column by column (what is the
+    column). vals: (ord, tag, field_seq, value_seq, raw, raw_bytes, code, label,
+    percent, line, offset, continuation); what is the tag, and first and second are
+    the texts, or all parts where only others differ. One difference is permitted:
+    the second reading may split at the marker what the first, in tags of one
+    value, keeps as one value with the marker in it, if that value begins at the
+    same line, is no continuation, and has the same characters but for blanks.
+    """
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    columns = [c for c in spans.columns if c != "ord"]
+    a, b = spans.select("ord", F.struct(*columns).alias("a")), other_spans.select("ord", F.struct(*columns).alias("b"))
+    each = F.array(*[F.struct(F.lit(c).alias("what"), shown(F.col(f"a.{c}")).alias("first"), shown(F.col(f"b.{c}")).alias("second")) for c in columns])
+    gone = F.array(F.struct(F.lit("record").alias("what"), F.when(F.col("a").isNull(), "null").otherwise("there").alias("first"), F.when(F.col("b").isNull(), "null").otherwise("there").alias("second")))
+    rows = F.when(F.col("a").isNull() | F.col("b").isNull(), gone).otherwise(F.filter(each, lambda x: x["first"] != x["second"]))
+    none = F.lit(None).cast("int")
+    records = a.join(b, "ord", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("ord", F.inline(rows)).select("ord", "what", none.alias("field_seq"), none.alias("value_seq"), "first", "second")
+
+    parts = ("tag", "raw", "raw_bytes", "code", "label", "percent", "line", "offset", "continuation")
+    of = lambda df, name: df.groupBy("ord", "field_seq").agg(F.array_sort(F.collect_list(F.struct(F.col("value_seq").cast("int").alias("value_seq"), *[F.col(c) for c in parts]))).alias(name))
+    f = of(vals, "x").join(of(other_vals, "y"), ["ord", "field_seq"], "full_outer").where(~F.col("x").eqNullSafe(F.col("y")))
+    one, first, bare = F.get("x", F.lit(0)), F.get("y", F.lit(0)), lambda c: F.translate(c, " ", "")
+    joined = F.array_join(F.transform("y", lambda v: v["raw"]), marker)
+    permitted = one["tag"].isin(*singles) & (F.size("x") == 1) & (F.size("y") > 1) & (one["tag"] == first["tag"]) & ~one["continuation"] & (one["line"] == first["line"]) & (bare(one["raw"]) == bare(joined))
+    f = f.where(~F.coalesce(permitted, F.lit(False))) if singles else f
+    pairs = F.filter(F.transform(F.arrays_zip("x", "y"), lambda z, i: F.struct(z["x"].alias("x"), z["y"].alias("y"), i.alias("i"))), lambda z: ~z["x"].eqNullSafe(z["y"]))
+    d = f.select("ord", F.col("field_seq").cast("int").alias("field_seq"), F.explode(pairs).alias("z"))
+    whole = lambda v: F.when(F.col(v).isNull(), "null").when(F.col("z.x.raw").eqNullSafe(F.col("z.y.raw")), F.to_json(v)).otherwise(F.col(f"{v}.raw"))
+    values = d.select("ord", F.coalesce("z.x.tag", "z.y.tag").alias("what"), "field_seq", F.col("z.i").alias("value_seq"), whole("z.x").alias("first"), whole("z.y").alias("second"))
+    return records.union(values)
+
+
 def missing_artifacts(codes: DataFrame, **tables: DataFrame) -> DataFrame:
     """(code, artifact) for every code that a table (with a code column) has no row of."""
     out = None

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
-from cardamom.plans.numbering import scratch
 from cardamom.sources import cards
 
 # Tag, group, required, values at most, least and most bytes, bytes only (not decoded).
@@ -92,48 +89,107 @@ def attested(codes: DataFrame, vocabulary: DataFrame, year: Column) -> DataFrame
     return df.withColumn("state", state).drop("known")
 
 
-def problems(vals: DataFrame, ids: DataFrame, orphans: DataFrame | None = None, vocabulary: DataFrame | None = None, year: int | None = None) -> DataFrame:
-    """(ord, kind, tag, grp, message) of all problems of the records ids (ord); nothing stops at the first.
+_PROBLEM = "array<struct<kind:string,tag:string,grp:string,message:string>>"
+_REQUIRED = tuple((t, g) for t, g, required, *_ in RULES if required)
 
-    vals: (ord, tag, field_seq, value_seq, raw, raw_bytes).
-    """
-    spark = vals.sparkSession
-    rules = rule_table(spark)
-    per = vals.groupBy("ord", "tag").agg(F.count("*").alias("n"), F.countDistinct("field_seq").alias("occurrences"))
-    ruled = per.join(rules, "tag")
-    single = F.col("most_values") == 1
-    out = [
-        ruled.where(single & (F.col("occurrences") > 1)).select("ord", F.lit("repeated").alias("kind"), "tag", "grp", F.concat(F.lit("occurrences: "), F.col("occurrences").cast("string")).alias("message")),
-        ruled.where(~single & (F.col("n") > F.col("most_values"))).select("ord", F.lit("too_many"), "tag", "grp", F.concat(F.lit("values: "), F.col("n").cast("string"))),
-    ]
-    needed = F.broadcast(spark.createDataFrame([(t, g) for t, g, r, *_ in RULES if r], "tag string, grp string"))
-    # a pair per record and required tag (six tags), less those that are there
-    every = ids.select("ord", F.explode(F.array(*[F.lit(t) for t, _, r, *_ in RULES if r])).alias("tag"))
-    out.append(every.join(per.select("ord", "tag"), ["ord", "tag"], "left_anti").join(needed, "tag").select("ord", F.lit("missing"), "tag", "grp", F.lit("required")))
-    v = vals.join(rules.withColumnRenamed("raw", "raw_is"), "tag").withColumn("size", F.octet_length("raw_bytes"))
-    absent = single & ~F.col("required") & (F.col("size") == 0) & ~F.col("tag").isin(*YEARS)
-    wrong = ~F.when(F.col("tag").isin(*YEARS), F.col("size").isin(2, 4)).otherwise(F.col("size").between(F.col("least"), F.col("most")))
-    bounds = F.concat(F.lit("bytes: "), F.col("size").cast("string"), F.lit(", allowed "), F.col("least").cast("string"), F.lit("-"), F.col("most").cast("string"))
-    out.append(v.where(wrong & ~absent & (F.col("tag") != "AN")).select("ord", F.lit("length"), "tag", "grp", bounds))
-    out.append(v.where((F.col("tag") == "AN") & ~text.is_accession(F.col("raw"))).select("ord", F.lit("accession"), "tag", "grp", text.excerpt(F.col("raw_bytes"))))
-    out.append(v.where(~F.is_valid_utf8(F.col("raw_bytes").cast("string")) & ~v["raw_is"]).select("ord", F.lit("not_utf8"), "tag", "grp", text.excerpt(F.col("raw_bytes"))))
+
+def _problem(kind: str | Column, message: Column, tag: str | Column = "tag", grp: str | Column = "grp") -> Column:
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), col(tag).alias("tag"), col(grp).alias("grp"), message.alias("message"))
+
+
+def _present(*problems: Column) -> Column:
+    return F.array_compact(F.array(*problems)).cast(_PROBLEM)
+
+
+def _of_value() -> Column:
+    """The problems of one value under the rule of its tag (columns of the rule, raw, raw_bytes, size)."""
+    tag, size = F.col("tag"), F.col("size")
+    absent = (F.col("most_values") == 1) & ~F.col("required") & (size == 0) & ~tag.isin(*YEARS)
+    wrong = ~F.when(tag.isin(*YEARS), size.isin(2, 4)).otherwise(size.between(F.col("least"), F.col("most")))
+    bounds = F.concat(F.lit("bytes: "), size.cast("string"), F.lit(", allowed "), F.col("least").cast("string"), F.lit("-"), F.col("most").cast("string"))
     parts = F.split("raw", "\u0002", -1)
-    most = F.when(F.col("tag") == "SC", 3).otherwise(2)
     heads_end = F.forall(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.endswith(p, F.lit("\u00a0")))
-    out.append(v.where(F.col("tag").isin(*HEADING_PARTS) & ~(F.size(parts).between(F.lit(2), most) & heads_end)).select("ord", F.lit("heading_parts"), "tag", "grp", F.concat(F.lit("parts: "), F.size(parts).cast("string"))))
-    out.append(v.where("tag = 'DE'").select("ord", "tag", "grp", F.explode(text.long_words(F.col("raw"), KEYWORD_BYTES)).alias("w")).select("ord", F.lit("long_keyword"), "tag", "grp", F.col("w")))
-    # rules that compare fields hold only for records in which each of these fields is sound by itself
-    alone = scratch(reduce(DataFrame.union, out), "problems")
-    out = [alone, cross_counts(vals, alone), percent_sums(vals, alone)]
-    other = vals.join(rules, "tag", "left_anti").where(~F.col("tag").isin(*UNCHECKED)).select("ord", "tag", "field_seq").distinct()
-    out.append(other.select("ord", F.when(text.not_ascii(F.col("tag")), "tag_not_ascii").otherwise(NOT_MODELED), "tag", F.lit("none"), F.lit("")))
-    if orphans is not None:
-        out.append(orphans.select("ord", F.lit(NOT_MODELED), F.lit("<unassigned>"), F.lit("none"), F.concat(F.lit("line "), F.col("line_no").cast("string"))))
+    heading = tag.isin(*HEADING_PARTS) & ~(F.size(parts).between(F.lit(2), F.when(tag == "SC", 3).otherwise(2)) & heads_end)
+    excerpt = text.excerpt(F.col("raw_bytes"))
+    found = _present(
+        F.when(wrong & ~absent & (tag != "AN"), _problem("length", bounds)),
+        F.when((tag == "AN") & ~text.is_accession(F.col("raw")), _problem("accession", excerpt)),
+        F.when(~F.is_valid_utf8(F.col("raw_bytes").cast("string")) & ~F.col("raw_is"), _problem("not_utf8", excerpt)),
+        F.when(heading, _problem("heading_parts", F.concat(F.lit("parts: "), F.size(parts).cast("string")))),
+    )
+    long_words = F.transform(text.long_words(F.col("raw"), KEYWORD_BYTES), lambda w: _problem("long_keyword", w)).cast(_PROBLEM)
+    return F.when(F.col("grp").isNull(), F.array().cast(_PROBLEM)).when(tag == "DE", F.concat(found, long_words)).otherwise(found)
+
+
+def audited(vals: DataFrame, ids: DataFrame, orphans: DataFrame | None = None, vocabulary: DataFrame | None = None, year: int | None = None) -> DataFrame:
+    """(ord, problems, undocumented): a row per record of ids (ord) with all of its problems (kind, tag, grp, message).
+
+    vals: (ord, tag, field_seq, value_seq, raw, raw_bytes). Values are dealt out by
+    record once; they are aggregated by tag, then by record, where they lie: how
+    many there are of each tag, what is wrong with single ones, and sums. Rules that
+    compare fields look only at records in which each of these fields is sound by
+    itself. undocumented: whether a tag is there that is never checked.
+    """
+    spark = vals.sparkSession
+    none = F.array().cast(_PROBLEM)
+    v = vals.select("ord", "tag", "field_seq", "raw", "raw_bytes").repartition("ord")
+    v = v.join(rule_table(spark).withColumnRenamed("raw", "raw_is"), "tag", "left").withColumn("size", F.octet_length("raw_bytes"))
+    missed = none
     if vocabulary is not None and year is not None:
-        rp = vals.where("tag = 'RP' and octet_length(raw_bytes) >= 4").select("ord", F.col("raw").alias("value"))
-        miss = attested(rp, vocabulary, F.lit(year)).where("state = 'not_attested'")
-        out.append(miss.select("ord", F.lit(MISS), F.lit("RP"), F.lit("classification"), F.col("code")))
-    return reduce(DataFrame.union, out)
+        v = v.withColumn("value", F.when((F.col("tag") == "RP") & (F.col("size") >= 4), F.col("raw")))
+        v = attested(v, vocabulary, F.lit(year))
+        missed = F.when(F.col("value").isNotNull() & (F.col("state") == "not_attested"), F.array(_problem(MISS, F.col("code"), F.lit("RP"), F.lit("classification")))).otherwise(none)
+    percent = F.when(F.col("tag") == "CT", text.percent(F.col("raw")))
+    v = v.select("ord", "tag", "grp", "most_values", "field_seq", _of_value().alias("own"), missed.cast(_PROBLEM).alias("missed"), percent.alias("percent"), F.when((F.col("tag") == "CT") & percent.isNull(), F.col("raw")).alias("odd"))
+    some = lambda c: F.flatten(F.collect_list(F.when(F.size(c) > 0, F.col(c))))
+    per = v.groupBy("ord", "tag").agg(
+        F.first("grp").alias("grp"), F.first("most_values").alias("most_values"), F.count("*").alias("n"), F.size(F.collect_set("field_seq")).alias("occurrences"),
+        some("own").alias("own"), some("missed").alias("missed"), F.sum("percent").alias("total"), F.min("odd").alias("odd"),
+    )
+    n, occurrences, single = F.col("n"), F.col("occurrences"), F.col("most_values") == 1
+    repeated = F.when(single & (occurrences > 1), _problem("repeated", F.concat(F.lit("occurrences: "), occurrences.cast("string"))))
+    too_many = F.when(~single & (n > F.col("most_values")), _problem("too_many", F.concat(F.lit("values: "), n.cast("string"))))
+    kind = F.when(text.not_ascii(F.col("tag")), "tag_not_ascii").otherwise(NOT_MODELED)
+    other = F.when(F.col("grp").isNull() & ~F.col("tag").isin(*UNCHECKED), F.array_repeat(_problem(kind, F.lit(""), "tag", F.lit("none")), occurrences)).otherwise(none)
+    per = per.select("ord", "tag", "n", "total", "odd", F.concat("own", _present(repeated, too_many)).alias("own"), other.cast(_PROBLEM).alias("other"), "missed")
+    count = lambda t: F.coalesce(F.max(F.when(F.col("tag") == t, F.col("n"))), F.lit(0)).alias(f"n_{t}")
+    rec = per.groupBy("ord").agg(
+        F.collect_set("tag").alias("tags"), some("own").alias("own"), some("other").alias("other"), some("missed").alias("missed"), F.max("total").alias("total"), F.min("odd").alias("odd"),
+        F.bool_or(F.col("tag").isin(*UNCHECKED)).alias("undocumented"), *[count(t) for t in (*FIVE, "SC", "SN")],
+    )
+    df = ids.select("ord").join(rec, "ord", "left")
+    if orphans is not None:
+        lost = F.collect_list(_problem(NOT_MODELED, F.concat(F.lit("line "), F.col("line_no").cast("string")), F.lit("<unassigned>"), F.lit("none")))
+        df = df.join(orphans.groupBy("ord").agg(lost.cast(_PROBLEM).alias("lost")), "ord", "left")
+    else:
+        df = df.withColumn("lost", none)
+    needed = F.array(*[_problem("missing", F.lit("required"), F.lit(t), F.lit(g)) for t, g in _REQUIRED]).cast(_PROBLEM)
+    missing = F.filter(needed, lambda x: ~F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), x["tag"]))
+    df = df.withColumn("own", F.concat(F.coalesce("own", none), missing))
+    sound = lambda *tags: ~F.exists("own", lambda x: x["tag"].isin(*tags))
+    five, counted = [F.col(f"n_{t}") for t in FIVE], lambda *c: F.array_join(F.array(*[x.cast("string") for x in c]), ",")
+    group = F.lit("classification")
+    compared = _present(
+        F.when((F.greatest(*five) != F.least(*five)) & sound(*FIVE), _problem("column_counts", counted(*five), F.lit("RP"), group)),
+        F.when((F.col("n_SN") > 0) & (F.col("n_SN") != F.col("n_SC")) & sound("SC"), _problem("pair_counts", counted(F.col("n_SC"), F.col("n_SN")), F.lit("SN"), group)),
+        F.when(
+            (F.col("odd").isNotNull() | (F.col("total") != 100)) & sound("CT"),
+            _problem(F.when(F.col("odd").isNotNull(), "percent_number").otherwise("percent_sum"), F.coalesce("odd", F.col("total").cast("string")), F.lit("CT"), group),
+        ),
+    )
+    every = F.concat("own", compared, *[F.coalesce(c, none) for c in ("other", "lost", "missed")])
+    return df.select("ord", every.alias("problems"), F.coalesce("undocumented", F.lit(False)).alias("undocumented"))
+
+
+def listed(audit: DataFrame) -> DataFrame:
+    """(ord, kind, tag, grp, message) of all problems of an audit."""
+    return audit.select("ord", F.inline("problems"))
+
+
+def problems(vals: DataFrame, ids: DataFrame, orphans: DataFrame | None = None, vocabulary: DataFrame | None = None, year: int | None = None) -> DataFrame:
+    """(ord, kind, tag, grp, message) of all problems of the records ids (ord); nothing stops at the first."""
+    return listed(audited(vals, ids, orphans, vocabulary, year))
 
 
 def _counts(vals: DataFrame, tags: tuple[str, ...]) -> DataFrame:
@@ -162,10 +218,20 @@ def percent_sums(vals: DataFrame, alone: DataFrame | None = None) -> DataFrame:
 
 
 def unreadable(spans: DataFrame) -> DataFrame:
-    """(ord, error) of records whose bytes are no whole number of lines: they cannot be read into fields."""
+    """(ord, error) of records (spans, or records as parsed) whose bytes are no whole number of lines: they cannot be read into fields."""
     return spans.where(F.col("length") % cards.WIDTH != 0).select("ord", F.concat(F.lit("bytes: "), F.col("length").cast("string")).alias("error"))
 
 
+def graded(audit: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """(ord, tier) of every record of an audit; an unreadable one has that tier whatever else is known of it."""
+    every = lambda kind: F.forall("problems", lambda x: x["kind"] == kind)
+    tier = F.when(F.size("problems") == 0, F.when(F.col("undocumented"), TIERS[1]).otherwise(TIERS[0])).when(every(MISS), TIERS[2]).when(every(NOT_MODELED), TIERS[3]).otherwise(TIERS[4])
+    if unreadable is not None:
+        audit = audit.join(unreadable.select("ord").withColumn("lost", F.lit(True)), "ord", "left")
+        tier = F.when(F.col("lost"), TIERS[5]).otherwise(tier)
+    return audit.select("ord", tier.alias("tier"))
+
+
 def tiers(ids: DataFrame, found: DataFrame, vals: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
     """(ord, tier) of every record; an unreadable one has that tier whatever else is known of it."""
     per = found.groupBy("ord").agg(F.bool_and(F.col("kind") == MISS).alias("misses"), F.bool_and(F.col("kind") == NOT_MODELED).alias("unmodeled"))

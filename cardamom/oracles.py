@@ -107,6 +107,7 @@ SELECT part, name, NULL AS an, n FROM f UNION ALL SELECT 'mismatch', 'subfiles',
  UNION ALL SELECT 'orphan', NULL, an, 1 FROM p WHERE k % 13 = 0 UNION ALL SELECT 'bad_lines', NULL, NULL, sum(bad)::BIGINT FROM b""",
     "k6_manifest": "SELECT 'TY' AS code, count(DISTINCT upper(p_type)) AS terms, count(DISTINCT p_type) + 1 AS expected FROM part",
     "k7_drift": f"{DOC} SELECT DISTINCT '/TX' AS code, term FROM d WHERE term LIKE 'Q%'",
+    "k8_readers": "WITH p AS (SELECT p_partkey AS k, lpad(p_partkey::VARCHAR, 7, '0') AS an, (p_partkey % 17 <> 0)::INT AS cy FROM part) SELECT an, 'CY' AS what, 5 AS field_seq, 0 AS value_seq, 'TOWN ' || (k % 10) AS first, 'VILLAGE ' || (k % 10) AS second FROM p WHERE k % 50 = 0 AND cy = 1 UNION ALL SELECT an, 'IN', 7 + cy, 0, 'SMITH ' || k, 'SMYTH ' || k FROM p WHERE k % 77 = 0",
     "k8_parity": "SELECT c_custkey, c_mktsegment, 'first' AS side FROM customer WHERE c_custkey % 50 = 0 AND c_custkey % 100 <> 0 UNION ALL SELECT c_custkey, lower(c_mktsegment), 'second' FROM customer WHERE c_custkey % 50 = 0 AND c_custkey % 100 <> 0",
     "k9_presence": f"{CHAT}, k AS (SELECT code FROM (VALUES ('/US'), ('/AS'), ('/SY'), ('/ZZ')) v(code) WHERE code NOT IN (SELECT code FROM c)) SELECT code, artifact FROM k, (VALUES ('terms'), ('postings'), ('places')) a(artifact)",
     "s1_phrase_and_word": f"{DOC} SELECT ord, row_number() OVER (ORDER BY ord) AS rank FROM (SELECT DISTINCT ord FROM d WHERE term = 'THIS') JOIN documents ON doc_id = ord WHERE upper(lang) = 'EN'",

@@ -73,3 +73,14 @@ def carried(df: DataFrame, group: str, order: str, value: str, name: str, chunk:
     before = F.last("_last", ignorenulls=True).over(Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     chunks = chunks.select(group, "_chunk", before.alias("_before"))
     return df.withColumn("_own", own).join(chunks, [group, "_chunk"]).withColumn(name, F.coalesce("_own", "_before")).drop("_chunk", "_own", "_before")
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with the sum of ``value`` over all rows before each in order: summed in range partitions, totals by partition before."""
+    parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    parted = scratch(parted, "totals")
+    sizes = parted.groupBy("_part").agg(F.sum(value).alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("_part").alias("_p"), F.coalesce(earlier, F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parted.withColumn(name, own).join(F.broadcast(sizes), F.col("_part") == F.col("_p")).withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_at", "_p", "_before")

@@ -11,8 +11,9 @@ from cardamom import corpora as C
 from cardamom.functions import text
 from cardamom.operators import browse, checks, display, index, kwic, rules, search, sets, usage
 from cardamom.operators.search import And, Near, Not, Or, PhrasePrefix, Prefix, Refs, SetOf, Term, Word
-from cardamom.plans.numbering import own_folder
-from cardamom.sources import cards
+from cardamom.plans.numbering import own_folder, scratch
+from cardamom.schema import SINGLE_TAGS
+from cardamom.sources import cards, parse
 
 QUERIES = {}
 
@@ -116,7 +117,7 @@ def k4_report(spark, d):
 def k4_load(spark, d):
     """The load of card files with faults in them: counts by code, records with unlike numbers of values, lost and bad lines."""
     f, words = C.card_files(spark, d, broken=True), {"/SF": ("SF",), "/IN": ("IN",)}
-    r = index.load_report(index.word_postings(f.values, words), index.positions(f.values, words), f.values, {"subfiles": ("SF", "CT"), "columns": ("AC", "CM")}, cards.orphans(f.classified), cards.bad_lines(f.lines))
+    r = index.load_report(index.word_postings(f.values, words), index.positions(f.values, words), f.values, {"subfiles": ("SF", "CT"), "columns": ("AC", "CM")}, f.orphans, f.ranges.agg(F.sum("bad_lines").alias("bad_lines")))
     return r.join(f.spans.select("ord", "an"), "ord", "left").select("part", "name", "an", "n")
 
 
@@ -133,6 +134,19 @@ def k7_drift(spark, d):
     return checks.drifted(i.word_terms, i.words.where(~F.col("term").startswith("Q")))
 
 
+@query
+def k8_readers(spark, d):
+    """Card files by the one-pass reader against an edited copy of them by the reader that works by windows and knows no tags of one value."""
+    f = C.card_files(spark, d, marked=True)
+    copy = cards.lines(spark, C.card_files(spark, d, marked=True, edited=True).path)
+    recs = scratch(cards.records(copy), "lines")
+    cl = cards.classified(recs)
+    second = cards.spans(recs).join(cards.orphans(cl).groupBy("ord").agg(F.count("*").alias("lost")), "ord", "left")
+    first = f.spans.join(f.orphans.groupBy("ord").agg(F.count("*").alias("lost")), "ord", "left")
+    p = checks.parity(first.drop("file"), f.values, second.drop("file"), cards.values(cl, singles=()), SINGLE_TAGS, chr(cards.MARKER))
+    return p.join(f.spans.select("ord", "an"), "ord").select("an", "what", "field_seq", "value_seq", "first", "second")
+
+
 @query
 def k8_parity(spark, d):
     c = C.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
@@ -556,7 +570,7 @@ def _folder(spark, name):
 @query
 def a1_lines(spark, d):
     f = C.card_files(spark, d, broken=True)
-    return f.lines.agg(F.count("*").alias("lines")).join(cards.bad_lines(f.lines))
+    return f.ranges.agg(F.sum("lines").alias("lines"), F.sum("bad_lines").alias("bad_lines"))
 
 
 def _name_files(spark, d):
@@ -577,14 +591,13 @@ def a2_alignment(spark, d):
 
 @query
 def a4_structure(spark, d):
-    s = cards.structure(C.card_files(spark, d).lines)
+    s = parse.structure(C.card_files(spark, d).ranges)
     return s.agg(F.max("header").alias("header"), F.max("trailer").alias("trailer"))
 
 
 @query
 def a5_trailer(spark, d):
-    f = C.card_files(spark, d)
-    return cards.trailer_check(f.lines, f.records)
+    return parse.trailer_check(C.card_files(spark, d).ranges)
 
 
 @query
@@ -594,19 +607,19 @@ def a6_records(spark, d):
 
 @query
 def a9_kinds(spark, d):
-    return C.card_files(spark, d).classified.groupBy("kind").agg(F.count("*").alias("n"))
+    return parse.kinds(C.card_files(spark, d).parsed)
 
 
 @query
 def a13_fields(spark, d):
-    f = cards.fields(C.card_files(spark, d).classified)
+    f = parse.fields(C.card_files(spark, d).parsed)
     return f.groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.col("line_end") - F.col("line_start") + 1).alias("lines"))
 
 
 @query
 def a14_orphans(spark, d):
     f = C.card_files(spark, d)
-    return cards.orphans(f.classified).join(f.spans, "ord").select("an")
+    return f.orphans.join(f.spans, "ord").select("an")
 
 
 @query
@@ -686,9 +699,9 @@ def a24_unknown(spark, d):
 
 
 def _audit(spark, d):
+    """The card files and their audit, a row per record."""
     f = C.card_files(spark, d)
-    ids = f.spans.select("ord")
-    return f, ids, rules.problems(f.values, ids, cards.orphans(f.classified), _rp_vocabulary(spark, d), 94)
+    return f, rules.audited(f.values, f.spans.select("ord"), f.orphans, _rp_vocabulary(spark, d), 94)
 
 
 def _rp_vocabulary(spark, d):
@@ -697,8 +710,8 @@ def _rp_vocabulary(spark, d):
 
 @query
 def v_problems(spark, d):
-    f, _, p = _audit(spark, d)
-    return p.join(f.spans, "ord").select("an", "kind", "tag")
+    f, audit = _audit(spark, d)
+    return rules.listed(audit).join(f.spans, "ord").select("an", "kind", "tag")
 
 
 def _faulty(spark, d):
@@ -728,23 +741,23 @@ def v_gates(spark, d):
 
 
 def _cut(spark, d):
-    """The audit with every 31st record cut off inside a line."""
-    f, ids, p = _audit(spark, d)
-    spans = f.spans.withColumn("length", F.col("length") - F.when(F.col("an").cast("long") % 31 == 0, 1).otherwise(0))
-    return spans, f, p, rules.tiers(ids, p, f.values, rules.unreadable(spans))
+    """Card files that each end inside a line of their last record, their audit and the tiers."""
+    f = C.card_files(spark, d, cut=True)
+    audit = rules.audited(f.values, f.spans.select("ord"), f.orphans, _rp_vocabulary(spark, d), 94)
+    return f, audit, rules.graded(audit, rules.unreadable(f.parsed))
 
 
 @query
 def v25_unreadable(spark, d):
-    return rules.tally(_cut(spark, d)[3])
+    return rules.tally(_cut(spark, d)[2])
 
 
 @query
 def k3_row_files(spark, d):
     """The wide rows written as JSON lines and read again."""
-    spans, f, p, t = _cut(spark, d)
+    f, audit, t = _cut(spark, d)
     path = _folder(spark, "rows")
-    rules.write_rows(rules.wide(spans, f.values, p, t), path)
+    rules.write_rows(rules.wide(f.spans, f.values, rules.listed(audit), t), path)
     r = spark.read.schema("ord long, an string, title string, length long, investigators array<string>, validation struct<certified:boolean,tier:string,problems:array<struct<kind:string>>>").json(path)
     return r.select("ord", "an", "title", "length", F.size("investigators").alias("investigators"), "validation.certified", "validation.tier", F.size("validation.problems").alias("problems"))
 
@@ -763,25 +776,24 @@ def g9_overview(spark, d):
 
 @query
 def g6_tiers(spark, d):
-    f, ids, p = _audit(spark, d)
-    return rules.tiers(ids, p, f.values).join(f.spans, "ord").select("an", "tier")
+    f, audit = _audit(spark, d)
+    return rules.graded(audit).join(f.spans, "ord").select("an", "tier")
 
 
 @query
 def g7_tally(spark, d):
-    f, ids, p = _audit(spark, d)
-    return rules.tally(rules.tiers(ids, p, f.values))
+    return rules.tally(rules.graded(_audit(spark, d)[1]))
 
 
 @query
 def g8_histogram(spark, d):
-    return rules.histogram(_audit(spark, d)[2])
+    return rules.histogram(rules.listed(_audit(spark, d)[1]))
 
 
 @query
 def k3_wide_rows(spark, d):
-    f, ids, p = _audit(spark, d)
-    w = rules.wide(f.spans, f.values, p, rules.tiers(ids, p, f.values))
+    f, audit = _audit(spark, d)
+    w = rules.wide(f.spans, f.values, rules.listed(audit), rules.graded(audit))
     return w.select("an", "accession", "title", "city", F.size("investigators").alias("investigators"), F.size("rp_codes").alias("rp_codes"), F.col("validation.certified").alias("certified"), F.size("validation.problems").cast("long").alias("problems"))
 
 

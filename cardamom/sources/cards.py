@@ -3,6 +3,10 @@
 Columns 1-2 are the tag, 4-72 data. ``$$`` opens a record, ``<<`` and ``>>`` are
 the file's first and last line, two blanks continue the field above. A
 continuation whose column 4 is MARKER begins a new value in fields that repeat.
+
+Records are read by ``parse.parsed``, in one pass. ``records``, ``classified``,
+``fields`` and ``values`` here are a second reader, by windows over lines, which
+shares no parsing with it and is held against it (``checks.parity``).
 """
 
 from __future__ import annotations
@@ -13,13 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
 from cardamom.plans.numbering import carried, sorted_ranks
 from cardamom.schema import SINGLE_TAGS
+from cardamom.sources import store
 
 WIDTH, DATA_AT, DATA_WIDTH = 82, 4, 69
 MARKER = 0xAC
@@ -42,8 +46,7 @@ def lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """(file, line_no, bytes) of the files of a folder; a file whose length is no multiple of 82 is refused.
 
     A line's number follows from its place, so ranges of whole lines are read
-    independently, each at once through pyarrow's file systems (local or
-    mounted, hdfs, s3, gcs), and no pass only counts lines. most: of each file
+    independently, each at once through pyarrow's file systems (sources/store.py), and no pass only counts lines. most: of each file
     only so many lines, and no more is read.
     """
     every = files(spark, path)
@@ -63,8 +66,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A batch of lines for each range (file, lines after which it begins, lines); bytes are cut by width, not line by line."""
     for batch in batches:
         for row in batch.to_pylist():
-            store, name = fs.FileSystem.from_uri(row["file"])
-            with store.open_input_file(name) as source:
+            system, name = store.opened(row["file"])
+            with system.open_input_file(name) as source:
                 raw = source.read_at(row["lines"] * WIDTH, row["after"] * WIDTH)
             if len(raw) != row["lines"] * WIDTH:
                 raise OSError(f"{row['file']}: ends before line {row['after'] + row['lines']}")
@@ -151,7 +154,7 @@ def fields(cl: DataFrame) -> DataFrame:
     return f.withColumns({"offset": text.line_offset(F.col("line_start")), "length": (F.col("line_end") - F.col("line_start") + 1) * WIDTH})
 
 
-def values(cl: DataFrame, percent_in_block: bool = False, marker: int = MARKER) -> DataFrame:
+def values(cl: DataFrame, percent_in_block: bool = False, marker: int = MARKER, singles: tuple[str, ...] = SINGLE_TAGS) -> DataFrame:
     """(ord, tag, field_seq, value_seq, raw, raw_bytes, code, label, percent, line, offset, continuation).
 
     Chunks of a value are put together with nothing between; blanks at its end
@@ -161,7 +164,7 @@ def values(cl: DataFrame, percent_in_block: bool = False, marker: int = MARKER)
     by_field = Window.partitionBy("ord", "field_seq")
     df = df.withColumn("field_tag", F.first("tag").over(by_field.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     data = text.latin1(F.substring("bytes", DATA_AT, DATA_WIDTH))
-    opens = (F.col("kind") == "continuation") & F.startswith(data, F.lit(chr(marker))) & ~F.col("field_tag").isin(*SINGLE_TAGS)
+    opens = (F.col("kind") == "continuation") & F.startswith(data, F.lit(chr(marker))) & ~F.col("field_tag").isin(*singles)
     df = df.withColumns({"opens": opens, "chunk": F.when(opens, F.substr(data, F.lit(2))).otherwise(data)})
     running = by_field.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("value_seq", F.sum(F.col("opens").cast("int")).over(running))
@@ -210,16 +213,16 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """(file, length, sha256) of the files of a folder and those below it, by their path in it.
 
     The digest of a file follows from its bytes in order, so a task streams each
-    file, whatever its size, through pyarrow's file systems (local or mounted, hdfs, s3, gcs).
+    file, whatever its size, through pyarrow's file systems (sources/store.py).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for uri in batch.column("file").to_pylist():
-                store, name = fs.FileSystem.from_uri(uri)
+                system, name = store.opened(uri)
                 digest = hashlib.sha256()
-                with store.open_input_stream(name) as stream:
+                with system.open_input_stream(name) as stream:
                     while block := stream.read(1 << 22):
                         digest.update(block)
                 found.append(digest.hexdigest())
