@@ -40,7 +40,7 @@ from cardamom.plans.numbering import sorted_ranks
 
 #: Bytes that end a piece.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-CHUNK_WORDS, BUCKET_WORDS = 1 << 21, 1 << 21
+CHUNK_WORDS, BUCKET_WORDS = 1 << 20, 1 << 21
 #: Ids on a side of a tile, and the part of its cells that must be met for it to be counted densely.
 TILE, FILLED = 1 << 10, 1 / 16
 #: Groups of candidates of a language that are cut to the number wanted one after the other.
@@ -83,7 +83,7 @@ def _chunked(buckets: int):
 
     def out(chunk: int, lang: str, parts: list) -> pa.RecordBatch:
         both = pa.concat_arrays([v for _, v in parts]).dictionary_encode()
-        to, values = both.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, both.dictionary.to_pylist()
+        to, values = both.indices.to_numpy(zero_copy_only=False) + 1, both.dictionary.to_pylist()
         seqs, before = [], 0
         for seq, v in parts:
             seqs.append(np.where(seq < 0, 0, to[before + np.maximum(seq, 0)] if len(v) else 0))
@@ -109,7 +109,7 @@ def _chunked(buckets: int):
                     if not len(words.ids):
                         continue
                     at = np.flatnonzero(words.broken)
-                    kept.setdefault(lang, []).append((np.insert(words.ids, at, -1), words.values))
+                    kept.setdefault(lang, []).append((np.insert(words.ids.astype(np.int32), at, -1), words.values))
                     sizes[lang] = sizes.get(lang, 0) + len(words.ids)
                     full = list(sizes) if sum(sizes.values()) >= 2 * CHUNK_WORDS else [lang] if sizes[lang] >= CHUNK_WORDS else []
                     for name in full:
