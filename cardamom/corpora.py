@@ -212,7 +212,8 @@ def write_cut(records: DataFrame, path: str, every: int = 31) -> None:
     last = F.col("ord") % every == 0
     short = F.concat(F.slice("cards", 1, F.size("cards") - 1), F.array(F.substring(F.element_at("cards", -1), 1, cards.WIDTH - 3)))
     rows = records.select("ord", F.lpad(F.floor((F.col("ord") - 1) / every).cast("string"), 12, "0").alias("part"), F.when(last, short).otherwise(F.col("cards")).alias("cards"))
-    rows = rows.repartition("part").sortWithinPartitions("part", "ord").select("part", F.explode("cards").cast("string").alias("value"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "ord").select("part", F.explode("cards").alias("c"))
+    rows = rows.select("part", F.col("c").cast("string").alias("value"))
     rows.write.partitionBy("part").option("lineSep", "\r\n").text(path)
 
 
