@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardamom.operators import rules, search
-from cardamom.plans.numbering import generation, own_folder, scratch
+from cardamom.operators import kwic, rules, search
+from cardamom.plans.numbering import generation, own_folder
 from cardamom.sources import cards, parse
 
 DOC_PHRASES = {"LA": ("LA",), "SO": ("SO",)}
@@ -81,14 +81,25 @@ def _once(spark: SparkSession, make, *what):
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, source: str, vals, phrases: dict, words: dict) -> search.Index:
     """The index of a corpus, written and opened once by an application, unless the table behind it changes."""
-    merged = tuple(words)
+    merged, state = tuple(words), _state(spark, sf_dir, source)
 
     def make() -> search.Index:
         folder = own_folder(spark, name)
-        search.write(search.built(vals(spark, sf_dir), phrases, words, merged), folder)
-        return search.opened(spark, folder, tuple(phrases), tuple(words), merged)
+        search.write(search.built(vals(spark, sf_dir), phrases, words, merged), folder, state)
+        return search.opened(spark, folder, tuple(phrases), tuple(words), merged, state)
 
-    return _once(spark, make, _state(spark, sf_dir, source), name)
+    return _once(spark, make, state, name)
+
+
+def doc_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the words of documents as they are shown in context, written once by an application, unless the table changes."""
+
+    def make() -> DataFrame:
+        folder = own_folder(spark, "contexts")
+        kwic.write(kwic.places(docs(spark, sf_dir).where("tag = 'TX'")), folder)
+        return kwic.opened(spark, folder)
+
+    return _once(spark, make, _state(spark, sf_dir, "documents"), "contexts")
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> search.Index:
@@ -229,7 +240,8 @@ class CardFiles:
         else:
             cards.write(records, self.path)
         self.ranges = parse.ranges(spark, self.path, lenient=cut)
-        self.parsed = scratch(parse.parsed(spark, self.path, found=self.ranges), "records")
+        self.stored = own_folder(spark, "records")
+        self.parsed = parse.write(parse.parsed(spark, self.path, found=self.ranges), self.stored)
         self.spans = parse.spans(self.parsed)
         self.values = parse.values(self.parsed)
         self.orphans = parse.orphans(self.parsed)

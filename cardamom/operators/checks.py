@@ -74,6 +74,17 @@ def schema_faults(df: DataFrame, expected: dict[str, str]) -> list[str]:
     return [f"{c}: {own.get(c)} instead of {t}" for c, t in expected.items() if own.get(c) != t] + [f"{c}: unexpected" for c in own if c not in expected]
 
 
+def shapes(spark: SparkSession, tables: dict[str, str], expected: dict[str, str]) -> DataFrame:
+    """(name, rows, faults): stored Parquet tables (paths by name) against the columns (as DDL) that each has to have."""
+    out = None
+    for name, path in tables.items():
+        df = spark.read.parquet(path)
+        faults = schema_faults(df, {f.name: f.dataType.simpleString() for f in StructType.fromDDL(expected[name])})
+        row = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit("; ".join(faults)).alias("faults"))
+        out = row if out is None else out.union(row)
+    return out
+
+
 def loaded(spark: SparkSession, path: str, columns: str, folders: str = "") -> DataFrame:
     """A stored Parquet table with the columns and folders (as DDL) that it has to have; another shape is refused. A table without files is empty."""
     expected = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(columns)}

@@ -101,6 +101,11 @@ def lineage(shown: DataFrame, vals: DataFrame, records: DataFrame, evidence: Dat
     return cited.select("line_id", "ord", "tag", "value_seq", "raw", "line", "offset", "first_line", "last_line", "key", *[c for c in evidence.columns if c != "key"])
 
 
+def with_files(lines: DataFrame, records: DataFrame, digests: DataFrame) -> DataFrame:
+    """Lineage with the file (its path) and SHA-256 of the file that each record was read from; digests: (file, sha256) of the paths of records (ord, file)."""
+    return lines.join(records.select("ord", "file"), "ord", "left").join(digests.select("file", "sha256"), "file", "left")
+
+
 def weakest(cited: DataFrame, by: str) -> DataFrame:
     """(by, status): the weakest status of what is cited; null where none is."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status"))

@@ -46,6 +46,24 @@ def positions(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
     return words.select("code", F.explode(text.spellings(F.col("word"))).alias("term"), "ord", "field_ord", "pos").where(text.indexed(F.col("term")))
 
 
+def posting_lists(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(code, term, ord, fields, places): a row per record that has the term, with all of its occurrences in order.
+
+    The two arrays go side by side: the value by its number and the word's place in
+    it. Occurrences of a record lie together already when its values are numbered,
+    so that gathering them shuffles nothing more. A row holds the occurrences of
+    one term in one record, however many.
+    """
+    at = F.array_sort(F.collect_list(F.struct("field_ord", "pos")))
+    own = positions(vals, codes).groupBy("code", "ord", "term").agg(at.alias("at"))
+    return own.select("code", "term", "ord", F.col("at.field_ord").alias("fields"), F.col("at.pos").alias("places"))
+
+
+def occurrences(lists: DataFrame) -> DataFrame:
+    """(code, term, ord, field_ord, pos) of posting lists, a row per occurrence."""
+    return lists.select("code", "term", "ord", F.inline(F.arrays_zip(F.col("fields").alias("field_ord"), F.col("places").alias("pos"))))
+
+
 def word_postings(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
     """(code, term, ord), one row per record and term."""
     words = _coded(vals, codes).select("code", "ord", F.explode(F.array_distinct(text.split_words(F.col("raw")))).alias("word"))
@@ -81,25 +99,37 @@ def write_terms(terms: DataFrame, path: str) -> None:
     terms.repartitionByRange("code", "term").sortWithinPartitions("code", "term").write.parquet(path)
 
 
-def report(words: DataFrame, places: DataFrame) -> DataFrame:
-    """(code, terms, postings, occurrences) per word code."""
-    a = words.groupBy("code", "term").agg(F.count("*").alias("n")).groupBy("code").agg(F.count("*").alias("terms"), F.sum("n").alias("postings"))
-    return a.join(places.groupBy("code").agg(F.count("*").alias("occurrences")), "code", "left")
+def report(lists: DataFrame) -> DataFrame:
+    """(code, terms, postings, occurrences) per word code of posting lists."""
+    a = lists.groupBy("code", "term").agg(F.count("*").alias("n"), F.sum(F.size("places")).alias("occurrences"))
+    return a.groupBy("code").agg(F.count("*").alias("terms"), F.sum("n").alias("postings"), F.sum("occurrences").alias("occurrences"))
+
+
+def stored_sizes(spark, path: str) -> DataFrame:
+    """(part, code, shard, files, bytes) of a written index: its folders by code and shard, from the listing of files alone."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    # folder names escape what paths cannot hold
+    name = lambda what: F.url_decode(F.replace(F.nullif(F.regexp_extract("path", rf"/{what}=([^/]*)/", 1), F.lit("")), F.lit("+"), F.lit("%2B")))
+    part = F.regexp_extract("path", r"/([^/=]+)(?:/[^/]+=[^/]*)*/[^/]+$", 1)
+    return f.groupBy(part.alias("part"), name("code").alias("code"), name("shard").alias("shard")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-def load_report(postings: DataFrame, places: DataFrame, vals: DataFrame, sets: dict[str, tuple[str, ...]], orphans: DataFrame, bad_lines: DataFrame) -> DataFrame:
+def load_report(lists: DataFrame, vals: DataFrame, sets: dict[str, tuple[str, ...]], orphans: DataFrame, bad_lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(part, name, ord, n): all that a load has to say, a row per fact.
 
-    terms, postings and occurrences: n of each code (name); mismatch: a record in
+    terms, postings and occurrences: n of each code (name); bytes: of the files of
+    each code, where sizes are given (``stored_sizes``); mismatch: a record in
     which the tags of a set (name) have different numbers of values; orphan: n
     continuations of a record that continue nothing; bad_lines: their number.
     """
-    r = report(postings, places)
+    r = report(lists)
     facts = F.stack(F.lit(3), *[x for c in ("terms", "postings", "occurrences") for x in (F.lit(c), F.coalesce(F.col(c), F.lit(0)).cast("long"))]).alias("part", "n")
     none = F.lit(None)
     counts = r.select(F.col("code").alias("name"), facts).select("part", "name", none.cast("long").alias("ord"), "n")
     uneven = count_mismatches(vals, sets).select(F.lit("mismatch"), "set_name", "ord", none.cast("long"))
     lost = orphans.groupBy("ord").agg(F.count("*").alias("n")).select(F.lit("orphan"), none.cast("string"), "ord", "n")
+    if sizes is not None:
+        counts = counts.union(sizes.where("code is not null").groupBy("code").agg(F.sum("bytes").alias("n")).select(F.lit("bytes"), "code", none.cast("long"), "n"))
     return counts.union(uneven).union(lost).union(bad_lines.select(F.lit("bad_lines"), none.cast("string"), none.cast("long"), "bad_lines"))
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
-from cardamom.operators import search
+from cardamom.operators import checks, search
+from cardamom.plans.numbering import scratch
 
 SIZE, LEAST, MOST = 30, 2, 50
 #: Fields in the order in which their windows are shown.
@@ -23,40 +24,78 @@ def terms_of(e) -> tuple[list[str], list[str]]:
     return [e.value.upper()] if isinstance(e, search.Word) else [], [e.stem.upper()] if isinstance(e, search.Prefix) else []
 
 
-def windows(vals: DataFrame, words: list[str], stems: list[str] = (), size: int = SIZE) -> DataFrame:
+_KEY = ["ord", "tag", "field_seq", "value_seq"]
+_STORED = "key string, ord long, field_seq int, value_seq long, n int, at array<int>"
+
+
+def _words(raw: str = "raw") -> Column:
+    return F.array_remove(F.split(raw, text.SPACE + "+"), "")
+
+
+def places(vals: DataFrame) -> DataFrame:
+    """(tag, key, ord, field_seq, value_seq, n, at): where the words of each value, cut at white space and reduced to letters and digits, stand in it; n: its words."""
+    v = vals.withColumn("words", _words()).withColumn("n", F.size("words"))  # before the explode: after it, each word would have it counted anew
+    v = v.select("ord", "tag", "field_seq", F.col("value_seq").cast("long").alias("value_seq"), "n", F.posexplode("words").alias("i", "w"))
+    v = v.withColumn("key", text.alnum(F.col("w"))).where("key <> ''")
+    return v.groupBy("tag", "key", "ord", "field_seq", "value_seq").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("i")).alias("at"))
+
+
+def write(found: DataFrame, path: str) -> None:
+    """A folder per tag and first character of the key, sorted by key."""
+    rows = scratch(found.withColumn("shard", text.shard(F.col("key"))), "contexts")
+    order = ["tag", "shard", "key", "ord"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("tag", "shard").parquet(path)
+
+
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    return checks.loaded(spark, path, _STORED, "tag string, shard string")
+
+
+def _meant(words: list[str], stems: list[str], sharded: bool) -> Column:
+    """Which keys are meant; of a table with shards also which shards, which are folders."""
+    hits = [F.col("key").isin(*words)] if words else []
+    hits += [F.col("key").startswith(s) for s in stems]
+    if sharded and "" not in stems and (words or stems):
+        return F.col("shard").isin(*sorted({text.shard_of(w) for w in [*words, *stems] if w})) & reduce(lambda a, b: a | b, hits)
+    return reduce(lambda a, b: a | b, hits, F.lit(False))
+
+
+def windows(vals: DataFrame, words: list[str], stems: list[str] = (), size: int = SIZE, stored: DataFrame | None = None) -> DataFrame:
     """(ord, tag, field_seq, value_seq, start, window) of values (ord, tag, field_seq, value_seq, raw).
 
     One word more before the match than after it where size is even; windows are
     shifted at the ends of the value and merged where they overlap or touch.
-    Without words and stems there are no windows.
+    Without words and stems there are no windows. stored: the places of words
+    (``opened``); the values are then opened only where something matches.
     """
     if not LEAST <= size <= MOST:
         raise ValueError(f"a window has {LEAST} to {MOST} words")
-    key = ["ord", "tag", "field_seq", "value_seq"]
     before, after = size // 2, (size - 1) // 2
-    v = vals.withColumn("words", F.array_remove(F.split("raw", text.SPACE + "+"), "")).withColumn("n", F.size("words"))
-    hits = [F.col("k").isin(*words)] if words else []
-    hits += [F.col("k").startswith(s) for s in stems]
-    m = v.select(*key, "n", F.posexplode("words").alias("i", "w")).withColumn("k", text.alnum(F.col("w"))).where("k <> ''").where(reduce(lambda a, b: a | b, hits, F.lit(False)))
+    table = places(vals) if stored is None else stored
+    m = table.where(_meant(list(words), list(stems), stored is not None)).select(*_KEY, "n", F.explode("at").alias("i"))
     low, high, end_of = F.col("i") - before, F.col("i") + after, F.col("n") - 1
     # moved back past the front, then forward past the end
     high = high + F.greatest(F.lit(0), -low)
     start = F.greatest(F.lit(0), F.greatest(F.lit(0), low) - F.greatest(F.lit(0), high - end_of))
     end = F.least(high, end_of)
-    m = m.select(*key, start.alias("start"), end.alias("stop"))
-    by = Window.partitionBy(*key).orderBy("start", "stop")
+    m = m.select(*_KEY, start.alias("start"), end.alias("stop"))
+    by = Window.partitionBy(*_KEY).orderBy("start", "stop")
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
     m = m.withColumn("island", F.when(F.col("start") <= reach + 1, 0).otherwise(1))
     m = m.withColumn("island", F.sum("island").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    m = m.groupBy(*key, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    out = m.join(v.select(*key, "words", "n"), key)
+    m = m.groupBy(*_KEY, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    m = scratch(m.drop("island"), "windows") if stored is not None else m  # so small a side is joined as it is
+    out = m.join(vals.select("ord", "tag", "field_seq", F.col("value_seq").cast("long").alias("value_seq"), "raw"), _KEY)
+    out = out.withColumn("words", _words()).withColumn("n", F.size("words"))
     shown = F.concat(F.when(F.col("start") > 0, "... ").otherwise(""), F.array_join(F.slice("words", F.col("start") + 1, F.col("stop") - F.col("start") + 1), " "), F.when(F.col("stop") < F.col("n") - 1, " ...").otherwise(""))
-    return out.select(*key, "start", shown.alias("window"))
+    return out.select(*_KEY, "start", shown.alias("window"))
 
 
-def of_set(vals: DataFrame, current: DataFrame, e, size: int = SIZE, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Windows over the records of a slice (ord, rank), with rank and place of the field."""
+def of_set(vals: DataFrame, current: DataFrame, e, size: int = SIZE, fields: tuple[str, ...] = FIELDS, stored: DataFrame | None = None) -> DataFrame:
+    """Windows over the records of a slice (ord, rank), with rank and place of the field; stored: as in ``windows``."""
     words, stems = terms_of(e)
     own = vals.where(F.col("tag").isin(*fields)).join(current.select("ord"), "ord", "left_semi")
     place = F.array_position(F.array(*[F.lit(t) for t in fields]), F.col("tag")).alias("field_place")
-    return windows(own, words, stems, size).join(current.select("ord", "rank"), "ord").select("rank", "ord", place, "tag", "value_seq", "start", "window")
+    if stored is not None:
+        stored = stored.where(F.col("tag").isin(*fields)).join(current.select("ord"), "ord", "left_semi")
+    return windows(own, words, stems, size, stored).join(current.select("ord", "rank"), "ord").select("rank", "ord", place, "tag", "value_seq", "start", "window")

@@ -8,6 +8,7 @@ that the index does not have is an error, not an empty set.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
-from cardamom.operators import checks, index
+from cardamom.operators import browse, checks, index
+from cardamom.plans.numbering import scratch
 from cardamom.schema import WORD_ALIASES
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings with code and shard, occurrences, the lists of terms, and the codes that there are."""
+    """Postings with code and shard, posting lists of words, the lists of terms, and the codes that there are."""
 
     phrases: DataFrame
     words: DataFrame
@@ -31,6 +33,7 @@ class Index:
     merged: tuple[str, ...] = ()
     phrase_terms: DataFrame | None = None
     word_terms: DataFrame | None = None
+    folder: str | None = None
 
     def codes(self, asked: tuple[str, ...], phrase: bool = False) -> tuple[str, ...]:
         """The word codes (or phrase codes) meant; an unknown one is refused."""
@@ -42,32 +45,67 @@ class Index:
         return own or self.merged
 
 
-_PLACES = "term string, ord long, field_ord int, pos int"
+_PLACES = "term string, ord long, fields array<int>, places array<int>"
 
 
 def built(vals: DataFrame, phrases: dict[str, tuple[str, ...]], words: dict[str, tuple[str, ...]], merged: tuple[str, ...]) -> Index:
     """The index of a table of values, made anew by each search."""
-    p, w = index.phrase_postings(vals, phrases), index.word_postings(vals, words)
-    return Index(index.sharded(p), index.sharded(w), index.sharded(index.positions(vals, words)), tuple(phrases), tuple(words), merged, index.term_list(p), index.term_list(w))
+    p, lists = index.phrase_postings(vals, phrases), index.posting_lists(vals, words)
+    w = lists.select("code", "term", "ord")
+    return Index(index.sharded(p), index.sharded(w), index.sharded(lists), tuple(phrases), tuple(words), merged, index.term_list(p), index.term_list(w))
 
 
-def write(made: Index, folder: str) -> None:
-    """Writes all parts of an index under folder."""
-    for name in ("phrases", "words", "places"):
-        index.write_index(getattr(made, name).drop("shard"), f"{folder}/{name}")
-    for name in ("phrase", "word"):
-        source = opened_part(made.phrases.sparkSession, folder, f"{name}s")
-        index.write_terms(index.term_list(source), f"{folder}/{name}_terms")
+#: Written last: what an index was made of. Without it, what lies in the folder is no index.
+MARKER = "made_of.json"
+
+
+def write(made: Index, folder: str, sources: tuple = ()) -> None:
+    """Writes all parts of an index under folder; texts are cut into words once. The mark of completion, with the sources, comes last.
+
+    Postings of words are the posting lists without their places, so they are not stored apart.
+    """
+    spark = made.phrases.sparkSession
+    for name in ("phrases", "places"):
+        # sorting in ranges looks at its rows twice
+        index.write_index(scratch(getattr(made, name).drop("shard"), name), f"{folder}/{name}")
+    for name, part in (("phrase", "phrases"), ("word", "places")):
+        browse.write_list(index.term_list(opened_part(spark, folder, part)), f"{folder}/{name}_terms")
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = store.Path(f"{folder}/{MARKER}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(json.dumps(sources).encode()))
+    out.close()
 
 
 def opened_part(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return index.open_index(spark, f"{folder}/{name}", _PLACES if name == "places" else "term string, ord long")
 
 
-def opened(spark: SparkSession, folder: str, phrase_codes: tuple[str, ...], word_codes: tuple[str, ...], merged: tuple[str, ...]) -> Index:
-    """A written index: searches read the folders of the codes and shards that they name."""
+def sources_of(spark: SparkSession, folder: str) -> tuple | None:
+    """What a written index was made of; None where it is not complete."""
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = store.Path(f"{folder}/{MARKER}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    (row,) = spark.read.text(str(path), wholetext=True).collect()
+    thaw = lambda x: tuple(map(thaw, x)) if isinstance(x, list) else x
+    return thaw(json.loads(row[0]))
+
+
+def opened(spark: SparkSession, folder: str, phrase_codes: tuple[str, ...], word_codes: tuple[str, ...], merged: tuple[str, ...], sources: tuple | None = None) -> Index:
+    """A written index: searches read the folders of the codes and shards that they name.
+
+    An index that was not written to its end is refused, and so is one whose
+    sources (paths, lengths and times of files) are not those given.
+    """
+    made_of = sources_of(spark, folder)
+    if made_of is None:
+        raise ValueError(f"{folder}: no complete index")
+    if sources is not None and made_of != sources:
+        raise ValueError(f"{folder}: the sources have changed since the index was written")
     terms = [checks.loaded(spark, f"{folder}/{name}_terms", "code string, term string, items long") for name in ("phrase", "word")]
-    return Index(*(opened_part(spark, folder, n) for n in ("phrases", "words", "places")), phrase_codes, word_codes, merged, *terms)
+    places = opened_part(spark, folder, "places")
+    return Index(opened_part(spark, folder, "phrases"), places.select("code", "shard", "term", "ord"), places, phrase_codes, word_codes, merged, *terms, folder)
 
 
 @dataclass(frozen=True)
@@ -156,23 +194,34 @@ def _matches(e: Word | Prefix | PhrasePrefix):
 
 
 def _leaf_places(e: Word | Prefix, own: Index) -> DataFrame:
-    return own.places.where(F.col("code").isin(*own.codes(e.codes)) & _matches(e)).select("code", "ord", "field_ord", "pos")
+    """(code, ord, fields, places): a row per record of the operand; the lists of all terms of a prefix are one."""
+    rows = own.places.where(F.col("code").isin(*own.codes(e.codes)) & _matches(e)).select("code", "ord", "fields", "places")
+    if isinstance(e, Word):
+        return rows
+    rows = rows.groupBy("code", "ord").agg(F.collect_list(F.struct("fields", "places")).alias("x"))
+    return rows.select("code", "ord", F.flatten("x.fields").alias("fields"), F.flatten("x.places").alias("places"))
+
+
+#: Numbers that a place in a value stays below: value and place are one number where lists are compared.
+_VALUE_PLACES = 1 << 32
 
 
 def near_pairs(e: Near, own: Index) -> DataFrame:
     """(ord) of records with both operands near each other.
 
-    Each place of the left operand is spread over the places that count as near,
-    so that all kinds are equality joins: no pairs of occurrences within a value
-    are formed, and a long value may be dealt over tasks.
+    Posting lists of one record meet; places of the left one, spread over those
+    that count as near, are looked up in a hash table of the right one's. So the
+    work of a record is the length of its lists, no pairs of occurrences are formed,
+    and a row is shuffled for each term and record, not for each occurrence.
     """
-    a, b = _leaf_places(e.left, own), _leaf_places(e.right, own)
-    keys = ["code", "ord", "field_ord"]
+    a, b = _leaf_places(e.left, own), _leaf_places(e.right, own).withColumnsRenamed({"fields": "fields_", "places": "places_"})
+    both = a.join(b, ["code", "ord"])
     if e.kind == "F":
-        return a.join(b, keys, "left_semi").select("ord").distinct()
+        return both.where(F.arrays_overlap("fields", "fields_")).select("ord").distinct()
     away = [*range(1, e.within + 1), *(range(-e.within, 0) if e.kind == "N" else ())]
-    spread = F.explode(F.array(*[F.col("pos") + i for i in away]))
-    return a.select(*keys, spread.alias("pos")).join(b, [*keys, "pos"], "left_semi").select("ord").distinct()
+    one = lambda f, p: F.zip_with(f, p, lambda x, y: x.cast("long") * _VALUE_PLACES + y)
+    spread = F.flatten(F.transform(one("fields", "places"), lambda x: F.array(*[x + i for i in away])))
+    return both.where(F.arrays_overlap(spread, one("fields_", "places_"))).select("ord").distinct()
 
 
 def found(e, own: Index) -> DataFrame:

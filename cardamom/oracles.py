@@ -88,6 +88,14 @@ SQL = {
     "i2_phrase_postings_orders": f"{ORDERS} SELECT * FROM ph",
     "i3_tokens": f"{DOC}, k AS (SELECT ord, count(*) AS n FROM d GROUP BY ord) SELECT doc_id, coalesce(n, 0)::INT AS n FROM documents LEFT JOIN k ON ord = doc_id",
     "i4_word_postings": f"{DOC} SELECT DISTINCT '/TX' AS code, term, ord FROM d",
+    "i0_write_index": f"{DOC}, w AS (SELECT term, count(DISTINCT ord) AS n, count(*) AS o FROM d GROUP BY term) SELECT '/TX' AS code, count(*) AS terms, sum(n)::BIGINT AS postings, sum(o)::BIGINT AS occurrences FROM w",
+    "k4_sizes": f"{CHAT} SELECT DISTINCT code, CASE WHEN regexp_matches(term, '^[A-Z0-9]') THEN term[1] ELSE '_' END AS shard, true AS stored, true AS filled FROM c",
+    "k5_shapes": """SELECT 'region' AS name, count(*) AS rows, '' AS faults FROM region UNION ALL SELECT 'nation', count(*), 'n_nationkey: int instead of bigint' FROM nation
+UNION ALL SELECT 'supplier', count(*), 's_phone: None instead of string' FROM supplier UNION ALL SELECT 'customer', count(*), 'c_mktsegment: unexpected' FROM customer""",
+    "a23_fetch": "SELECT lpad(p_partkey::VARCHAR, 7, '0') AS an, rtrim(repeat(p_name || ' ', CASE WHEN p_partkey % 19 = 0 THEN 12 ELSE 3 END)) AS raw FROM part WHERE p_partkey % 97 = 0 AND p_partkey % 194 <> 0",
+    "a23_fetch_lines": "SELECT lpad(p_partkey::VARCHAR, 7, '0') AS an, '{\"orphans\":' || (p_partkey % 13 = 0)::INT || '}' AS json FROM part WHERE p_partkey % 11 = 0",
+    "j10_card_lineage": """WITH p AS (SELECT p_partkey AS k, lpad(p_partkey::VARCHAR, 7, '0') AS an, p_name, (SELECT n_name FROM nation WHERE n_nationkey = 0) AS gloss FROM part)
+SELECT an, 'TI' AS tag, rtrim(repeat(p_name || ' ', CASE WHEN k % 19 = 0 THEN 12 ELSE 3 END)) AS raw, gloss, true AS same FROM p UNION ALL SELECT an, 'IN', 'SMITH ' || k, gloss, true FROM p""",
     "i5_positions_docs": f"{DOC} SELECT term, count(*) AS n, sum(pos)::BIGINT AS places, sum(ord)::BIGINT AS ords FROM d GROUP BY term",
     "i5_positions_chat": f"{CHAT} SELECT code, term, ord, field_ord, pos FROM c",
     "i6_positions_subset": f"{CHAT} SELECT ord, field_ord, count(*) AS n FROM c WHERE code = '/US' GROUP BY ALL",

@@ -26,6 +26,12 @@ def query(f):
 # indexes
 
 
+@query
+def i0_write_index(spark, d):
+    """The index of documents, written and opened; what it holds of each code."""
+    return index.report(C.doc_index(spark, d).places)
+
+
 @query
 def i1_phrase_keys(spark, d):
     return C.table(spark, d, "part").select("p_partkey", text.phrase_key(F.concat("p_name", F.lit("   "))).alias("term"))
@@ -74,7 +80,7 @@ def i7_merged_terms(spark, d):
 
 @query
 def i8_occurrences(spark, d):
-    return C.chat_index(spark, d).places.groupBy("code").agg(F.count("*").alias("n"))
+    return C.chat_index(spark, d).places.groupBy("code").agg(F.sum(F.size("places")).alias("n"))
 
 
 @query
@@ -110,17 +116,31 @@ def k2_term_files(spark, d):
 @query
 def k4_report(spark, d):
     i = C.chat_index(spark, d)
-    return index.report(i.words, i.places)
+    return index.report(i.places)
 
 
 @query
 def k4_load(spark, d):
     """The load of card files with faults in them: counts by code, records with unlike numbers of values, lost and bad lines."""
     f, words = C.card_files(spark, d, broken=True), {"/SF": ("SF",), "/IN": ("IN",)}
-    r = index.load_report(index.word_postings(f.values, words), index.positions(f.values, words), f.values, {"subfiles": ("SF", "CT"), "columns": ("AC", "CM")}, f.orphans, f.ranges.agg(F.sum("bad_lines").alias("bad_lines")))
+    r = index.load_report(index.posting_lists(f.values, words), f.values, {"subfiles": ("SF", "CT"), "columns": ("AC", "CM")}, f.orphans, f.ranges.agg(F.sum("bad_lines").alias("bad_lines")))
     return r.join(f.spans.select("ord", "an"), "ord", "left").select("part", "name", "an", "n")
 
 
+@query
+def k4_sizes(spark, d):
+    """Folders of the written index: each has files, and their bytes are those that the whole part has."""
+    s = index.stored_sizes(spark, C.chat_index(spark, d).folder).where("part = 'places'")
+    return s.groupBy("code", "shard").agg((F.sum("files") > 0).alias("stored"), (F.sum("bytes") > 0).alias("filled"))
+
+
+@query
+def k5_shapes(spark, d):
+    """Tables against columns that they have, have not, or have with another type."""
+    expected = {"region": "r_regionkey int, r_name string", "nation": "n_nationkey bigint, n_name string, n_regionkey int", "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double, s_phone string", "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double"}
+    return checks.shapes(spark, {n: f"{d}/{n}.parquet" for n in expected}, expected)
+
+
 @query
 def k6_manifest(spark, d):
     counts = C.part_index(spark, d).phrase_terms.groupBy("code").agg(F.count("*").alias("terms"))
@@ -362,6 +382,18 @@ def j10_lineage(spark, d):
     return _lineage(spark, d).select("line_id", "tag", "value_seq", "line", "offset", "first_line", "last_line", "key", "status", "gloss")
 
 
+@query
+def j10_card_lineage(spark, d):
+    """Titles and investigators of card records with the file that they were read from and its digest, which is held against one made by Spark."""
+    f = C.card_files(spark, d)
+    source = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(0).alias("value_index")) for t in ("TI", "IN")])
+    shown = f.spans.select(F.col("ord").alias("line_id"), "ord", source.alias("sources"), F.array(F.lit("k1")).alias("keys"))
+    n = C.table(spark, d, "nation").where("n_nationkey = 0").select(F.lit("k1").alias("key"), F.lit("documented").alias("status"), F.col("n_name").alias("gloss"))
+    lines = display.with_files(display.lineage(shown, f.values, f.spans, n), f.spans, cards.digests(spark, f.path, whole=True))
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f.path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("own"))
+    return lines.join(own, "file").join(f.spans.select("ord", "an"), "ord").select("an", "tag", "raw", "gloss", (F.col("own") == F.col("sha256")).alias("same"))
+
+
 # aggregates
 
 
@@ -446,7 +478,8 @@ def g14_repeated_postings(spark, d):
 
 
 def _doc_terms(spark, d):
-    return C.doc_index(spark, d).word_terms.where("code = '/TX'").select("term", "items")
+    """The written list of words of documents; pages read the files around their terms."""
+    return browse.Listing(spark, f"{C.doc_index(spark, d).folder}/word_terms", "/TX")
 
 
 @query
@@ -508,15 +541,14 @@ def x9_collation(spark, d):
 
 @query
 def x10_kwic(spark, d):
-    return kwic.windows(C.docs(spark, d).where("tag = 'TX'"), ["THAT"], ["CIUD"], 7).select("ord", "start", "window")
+    return kwic.windows(C.docs(spark, d).where("tag = 'TX'"), ["THAT"], ["CIUD"], 7, C.doc_contexts(spark, d)).select("ord", "start", "window")
 
 
 @query
 def x12_kwic_set(spark, d):
-    v = C.docs(spark, d).withColumn("tag", F.when(F.col("tag") == "TX", "TI").otherwise(F.col("tag")))
     e = And(Word("THAT"), Term("LA", "EN"))
-    current = sets.result(search.found(e, search.built(v, C.DOC_PHRASES, {"/TI": ("TI",)}, ("/TI",))))
-    return kwic.of_set(v, current, e, 30).select("rank", "ord", "start", "window")
+    current = sets.result(search.found(e, C.doc_index(spark, d)))
+    return kwic.of_set(C.docs(spark, d), current, e, 30, ("TX",), C.doc_contexts(spark, d)).select("rank", "ord", "start", "window")
 
 
 # functions
@@ -655,6 +687,23 @@ def a23_json(spark, d):
     return display.record_json(v.where("tag in ('BR', 'SZ')").withColumn("field_seq", F.when(F.col("tag") == "BR", 1).otherwise(2)), C.table(spark, d, "part").select(F.col("p_partkey").alias("ord")))
 
 
+@query
+def a23_fetch(spark, d):
+    """Every 97th record and some that there are not, fetched by number from the stored table."""
+    f = C.card_files(spark, d)
+    asked = C.table(spark, d, "part").select((F.col("p_partkey").cast("long") + F.when(F.col("p_partkey") % 194 == 0, 1_000_000_000).otherwise(0)).alias("ord")).where("ord % 97 = 0 or ord >= 1000000000")
+    got = parse.fetched(spark, f.stored, asked)
+    return parse.values(got).where("tag = 'TI'").join(got.select("ord", "an"), "ord").select("an", "raw")
+
+
+@query
+def a23_fetch_lines(spark, d):
+    """The records whose first lines are asked for, every 11th of each file."""
+    f = C.card_files(spark, d)
+    asked = f.spans.where("cast(an as long) % 11 = 0").select("file", "first_line")
+    return parse.fetched(spark, f.stored, asked).select("an", F.to_json(F.struct(F.size("orphans").alias("orphans"))).alias("json"))
+
+
 @query
 def a24_range_faults(spark, d):
     o = C.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("ord")).agg(F.min("l_linenumber").cast("long").alias("a"), F.max("l_linenumber").cast("long").alias("b"))

@@ -209,8 +209,8 @@ def name_in(path: str, file: Column) -> Column:
     return F.element_at(F.split(file, "/" + re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/", 2), -1)
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(file, length, sha256) of the files of a folder and those below it, by their path in it.
+def digests(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(file, length, sha256) of the files of a folder and those below it, by their path in it (whole: as Spark names it).
 
     The digest of a file follows from its bytes in order, so a task streams each
     file, whatever its size, through pyarrow's file systems (sources/store.py).
@@ -230,7 +230,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
     every = files(spark, path)
     out = every.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(run, "file string, length long, sha256 string")
-    return out.withColumn("file", name_in(path, F.col("file")))
+    return out if whole else out.withColumn("file", name_in(path, F.col("file")))
 
 
 def fixity(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
-from cardamom.plans.numbering import running_total, scratch
+from cardamom.plans.numbering import carried, running_total, scratch
 from cardamom.schema import SINGLE_TAGS
 from cardamom.sources import store
 from cardamom.sources.cards import DATA_AT, DATA_WIDTH, MARKER, RANGE, SEPARATOR, TASK_BYTES, WIDTH, files
@@ -211,6 +211,46 @@ def parsed(spark: SparkSession, path: str, lenient: bool = False, marker: int =
     return cut.repartitionByRange(_tasks(spark, size), "before").where("records > 0").sortWithinPartitions("before").mapInArrow(_parsed(marker, singles), RECORD)
 
 
+_DIRECTORY = "part string, low long, high long, file string, first_line long, last_line long"
+
+
+def write(recs: DataFrame, path: str) -> DataFrame:
+    """Writes parsed records as a table of consecutive records, with a directory of what each of its files holds; gives the table."""
+    recs.write.parquet(path)
+    stored = opened(recs.sparkSession, path)
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    held = stored.groupBy(name.alias("part"), "file").agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"))
+    held.select(*[c.split()[0] for c in _DIRECTORY.split(", ")]).coalesce(1).write.parquet(f"{path}_directory")
+    return stored
+
+
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECORD).parquet(path)
+
+
+def fetched(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """The records of a written table that asked names: by ord, or by (file, first_line).
+
+    The directory tells which files of the table hold them, and only these are
+    read; their names are what reaches the driver. What no record has is missing
+    from the result (``cards.unknown`` tells it).
+    """
+    directory = spark.read.schema(_DIRECTORY).parquet(f"{path}_directory")
+    if "ord" in asked.columns:
+        keys = asked.select("ord").distinct()
+        # files hold consecutive records: the last file that begins at or before a number is its own
+        marks = directory.groupBy("part").agg(F.min("low").alias("ord"), F.max("high").alias("high"))
+        both = marks.select("ord", "part", "high").union(keys.select("ord", F.lit(None).cast("string"), F.lit(None).cast("long")))
+        parts = carried(both.select(F.lit("").alias("all"), "ord", F.when(F.col("part").isNotNull(), F.struct("part", "high")).alias("held"), F.col("part").isNull().alias("key")), "all", "ord", "held", "into").where("key and ord <= into.high").select("into.part")
+    else:
+        keys = asked.select("file", "first_line").distinct()
+        parts = keys.withColumnRenamed("first_line", "line").join(directory, "file").where(F.col("line").between(F.col("first_line"), F.col("last_line")))
+    names = [r["part"] for r in parts.select("part").distinct().collect()]
+    table = spark.read.schema(RECORD)
+    own = table.parquet(*[f"{path}/{n}" for n in names]) if names else spark.createDataFrame([], RECORD)
+    return own.join(keys, keys.columns, "left_semi")
+
+
 def structure(found: DataFrame) -> DataFrame:
     """(file, header, trailer): the last << and >> line of each file, trimmed, from its ranges."""
     return found.groupBy("file").agg(F.max_by("header", "header_line").alias("header"), F.max_by("trailer", "trailer_line").alias("trailer"))
