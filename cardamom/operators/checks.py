@@ -49,6 +49,7 @@ def parity(spans: DataFrame, vals: DataFrame, other_spans: DataFrame, other_vals
     parts = ("tag", "raw", "raw_bytes", "code", "label", "percent", "line", "offset", "continuation")
     of = lambda df, name: df.groupBy("ord", "field_seq").agg(F.array_sort(F.collect_list(F.struct(F.col("value_seq").cast("int").alias("value_seq"), *[F.col(c) for c in parts]))).alias(name))
     f = of(vals, "x").join(of(other_vals, "y"), ["ord", "field_seq"], "full_outer").where(~F.col("x").eqNullSafe(F.col("y")))
+    f = f.withColumns({c: F.coalesce(c, F.slice(other, 1, 0)) for c, other in (("x", "y"), ("y", "x"))})  # a field that one reading lacks
     one, first, bare = F.get("x", F.lit(0)), F.get("y", F.lit(0)), lambda c: F.translate(c, " ", "")
     joined = F.array_join(F.transform("y", lambda v: v["raw"]), marker)
     permitted = one["tag"].isin(*singles) & (F.size("x") == 1) & (F.size("y") > 1) & (one["tag"] == first["tag"]) & ~one["continuation"] & (one["line"] == first["line"]) & (bare(one["raw"]) == bare(joined))
