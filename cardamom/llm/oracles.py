@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 OP2 = """
@@ -111,4 +113,27 @@ w AS (SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM w
 """
 
-SQL = {"op2_vectors": OP2, "op4_warc": OP4, "op6_suffix": OP6, "op7_quality": OP7, "quality_ablation": ABLATION, "op9_mixing": OP9, "op10_chat": OP10, "op12_phrases": OP12, "op13_html": OP13}
+
+
+def _over(sql: str, table: str, rows: str) -> str:
+    """sql over ``rows`` in place of a table; rows name the table itself as main.table."""
+    head = "WITH RECURSIVE " if sql.lstrip().startswith("WITH RECURSIVE") else "WITH "
+    body = re.sub(rf"(?<![.\w]){table}(?!\w)", f"more_{table}", sql.lstrip().removeprefix(head))
+    return f"{head}more_{table} AS ({rows}), {body}"
+
+
+OP2_COPIES = _over(
+    OP2,
+    "embeddings",
+    """SELECT vec_id, embedding, label FROM main.embeddings UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x: x * 2), label FROM main.embeddings WHERE vec_id % 3 = 0
+UNION ALL SELECT vec_id + 2000000000, list_transform(embedding, lambda x, i: (CASE WHEN (i - 1) % 8 = 0 THEN x::DOUBLE * (1 + 0.25 * (vec_id % 8)) ELSE x END)::FLOAT), label FROM main.embeddings WHERE vec_id % 3 = 0""",
+)
+OP4_COPIES = _over(OP4, "pages", "SELECT page_id, url, html FROM main.pages UNION ALL SELECT page_id + 1000000000, url || '&again', CASE WHEN page_id % 2 = 0 THEN html ELSE html || chr(10) END FROM main.pages WHERE page_id % 3 = 0")
+OP10_SNAPSHOTS = _over(
+    OP10,
+    "conversations",
+    """SELECT conv_id, turn, role, text FROM main.conversations UNION ALL SELECT conv_id + 1000000000, turn, role, text FROM main.conversations WHERE conv_id % 3 = 0 AND turn <= conv_id % 4
+UNION ALL SELECT conv_id + 2000000000, turn, role, text FROM main.conversations WHERE conv_id % 5 = 0""",
+)
+
+SQL = {"op2_vectors": OP2, "op2_copies": OP2_COPIES, "op4_copies": OP4_COPIES, "op10_snapshots": OP10_SNAPSHOTS, "op4_warc": OP4, "op6_suffix": OP6, "op7_quality": OP7, "quality_ablation": ABLATION, "op9_mixing": OP9, "op10_chat": OP10, "op12_phrases": OP12, "op13_html": OP13}

@@ -129,6 +129,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     Null and empty texts have the end id alone. Rows with a null or repeated
     doc_id are packed like any other; other columns are ignored. Ranks are
     counted in parts of each length, so that no length is numbered in one task.
+    An empty table needs no sequence.
     """
     spark = docs.sparkSession
     pieces = written(pieces_of(docs, path, capacity, end_id), "pieces")

@@ -171,7 +171,8 @@ def detected(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row.
 
     Null and empty texts have no spans. Rows with a null or repeated doc_id are
-    treated like any other; other columns are ignored. Places are code points.
+    treated like any other; other columns are ignored. Places are code points. An
+    empty table stays empty.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

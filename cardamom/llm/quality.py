@@ -130,7 +130,10 @@ def apply_policy(led: DataFrame, policy: Policy) -> DataFrame:
 
 
 def ablation(led: DataFrame, policy: Policy) -> DataFrame:
-    """For each rule of the policy: documents that fail it, and that fail it alone (kept again without it)."""
+    """For each rule of the policy: documents that fail it, and that fail it alone (kept again without it).
+
+    Rows count one by one, whatever their doc_id; for an empty ledger there are no rows.
+    """
     bits = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
     by = led.groupBy(bits.alias("bits")).agg(F.count("*").alias("n"))  # at most 2 ** rules rows
     rules = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, (name, _) in enumerate(RULES) if name in policy.rules])).alias("r")

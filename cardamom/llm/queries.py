@@ -33,6 +33,31 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
+def op2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also over copies of every third vector: one twice as long, and one with every eighth component stretched by a factor that the id chooses."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    third = e.where("vec_id % 3 = 0")
+    by = 1 + 0.25 * (F.col("vec_id") % 8)
+    twice = third.select(F.col("vec_id") + 1_000_000_000, F.transform("embedding", lambda x: x * 2), "label")
+    bent = third.select(F.col("vec_id") + 2_000_000_000, F.transform("embedding", lambda x, i: F.when(i % 8 == 0, (x * by).cast("float")).otherwise(x)), "label")
+    return vectors.near_vectors(e.union(twice).union(bent), cosine=0.93)
+
+
+def op4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also over captures of every third page under another URL, every second of them with the same bytes."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    again = p.where("page_id % 3 = 0").select(F.col("page_id") + 1_000_000_000, F.concat("url", F.lit("&again")), F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.concat("html", F.lit("\n"))))
+    return warc.round_trip(p.union(again), least=0)
+
+
+def op10_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also over what was logged of every third conversation earlier, up to some turn, and over copies of every fifth."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    early = c.where("conv_id % 3 = 0 and turn <= conv_id % 4").withColumn("conv_id", F.col("conv_id") + 1_000_000_000)
+    copies = c.where("conv_id % 5 = 0").withColumn("conv_id", F.col("conv_id") + 2_000_000_000)
+    return chat.rendered(c.union(early).union(copies))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
@@ -93,8 +118,10 @@ def queries():
         "pipeline": pipeline,
         "op1_minhash": op1_minhash,
         "op2_vectors": op2_vectors,
+        "op2_copies": op2_copies,
         "op3_tokens": op3_tokens,
         "op4_warc": op4_warc,
+        "op4_copies": op4_copies,
         "op5_packing": op5_packing,
         "op6_suffix": op6_suffix,
         "op7_quality": op7_quality,
@@ -102,6 +129,7 @@ def queries():
         "op8_pii": op8_pii,
         "op9_mixing": op9_mixing,
         "op10_chat": op10_chat,
+        "op10_snapshots": op10_snapshots,
         "op11_periodic": op11_periodic,
         "op12_phrases": op12_phrases,
         "op13_html": op13_html,

@@ -348,7 +348,8 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
 
     Texts are UTF-8 bytes, null is empty; matches do not cross documents. Rows
     that repeat a document repeat its strings. Texts under ``size`` bytes lose
-    nothing. Other columns are ignored.
+    nothing. Rows with a null doc_id are texts of their own; an empty table stays
+    empty. Other columns are ignored.
     """
     marks, spans = repeated(docs, size, gram)
     every = spans.groupBy("row_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # of one text

@@ -59,7 +59,8 @@ def counted(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row.
 
     Null counts as empty: 0 bytes, 0 tokens. Rows with a null or repeated
-    doc_id are counted like any other; other columns are ignored.
+    doc_id are counted like any other; other columns are ignored. An empty table
+    stays empty.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 

@@ -20,11 +20,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardamom.llm.common import own_folder, written
+from cardamom.sources.store import opened
 
 #: Bytes after which an archive file is closed, and lines in a block of the index, at most.
 FILE_BYTES, BLOCK_LINES = 64 << 20, 512
@@ -283,7 +283,7 @@ def fetched(places: DataFrame, payloads: bool = True) -> DataFrame:
             for batch in batches:
                 for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
                     if file != name:
-                        store, path = fs.FileSystem.from_uri(file)
+                        store, path = opened(file)
                         name, source = file, store.open_input_file(path)
                     source.seek(offset)
                     _, _, f, block = next(parsed(source.read(length)))
@@ -299,7 +299,9 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) per page, from archives written and read back.
 
     Every page is looked up by its URL and id in the directory, its block is
-    opened, and the row is made of the bytes at the place found there.
+    opened, and the row is made of the bytes at the place found there. A null html
+    is an empty payload, a null url an empty one; rows without a page_id and
+    repeated rows of one are responses; each comes back. An empty table gives no rows.
     """
     spark = pages.sparkSession
     folder = write(pages, least=least)

@@ -663,3 +663,13 @@ def brute_passes(text):
     n, chars, symbols, dup, rep = brute_quality(text)
     lines = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
     return not (n < 10 or 100 * rep > 20 * n or 10 * symbols > 3 * n or (lines >= 4 and 100 * dup > 30 * lines) or (n >= 10 and chars < 2 * n) or chars > 40 * n)
+
+
+def test_derived_tables_hold_links_revisits_and_snapshots(spark, data):
+    from cardamom.llm import queries
+
+    count = lambda df, *what: df.select(*[F.expr(f"count_if({w})") for w in what]).first()
+    assert min(count(queries.op2_copies(spark, data), "n_links > 0", "not kept", "vec_id >= 2000000000 and n_links = 0")) > 0
+    kinds = {r["record_type"]: r["count"] for r in queries.op4_copies(spark, data).groupBy("record_type").count().collect()}
+    assert kinds["revisit"] > 3 and kinds["response"] > 50
+    assert min(count(queries.op10_snapshots(spark, data), "kept", "not kept")) > 5
