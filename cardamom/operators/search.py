@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cardamom.functions import text
 from cardamom.operators import browse, checks, index
 from cardamom.plans.numbering import scratch
-from cardamom.schema import WORD_ALIASES
+from cardamom.schema import PHRASE_TAGS, WORD_ALIASES, WORD_TAGS
 
 
 @dataclass(frozen=True)
@@ -36,12 +36,14 @@ class Index:
     folder: str | None = None
 
     def codes(self, asked: tuple[str, ...], phrase: bool = False) -> tuple[str, ...]:
-        """The word codes (or phrase codes) meant; an unknown one is refused."""
+        """The word codes (or phrase codes) meant; one that the index lacks is refused, and a documented one said to be just that."""
         known = self.phrase_codes if phrase else self.word_codes
         own = asked if phrase else tuple(WORD_ALIASES.get(c, c) for c in asked)
         for code, was in zip(own, asked, strict=True):
             if code not in known:
-                raise ValueError(f"unknown {'field' if phrase else 'suffix'}: {was}")
+                what = "field" if phrase else "suffix"
+                documented = code in (PHRASE_TAGS if phrase else WORD_TAGS)
+                raise ValueError(f"{what} not in this index: {was}" if documented else f"unknown {what}: {was}")
         return own or self.merged
 
 

@@ -55,6 +55,9 @@ def test_unknown_codes_are_refused(idx):
     for e in (Term("QQ", "X"), PhrasePrefix("QQ", "X"), Word("X", ("/QQ",)), And(Word("FISH"), Prefix("X", ("/QQ",))), Near("W", Word("X", ("/QQ",)), Word("FISH")), Refs(idx.word_terms, ("/QQ",))):
         with pytest.raises(ValueError, match="unknown"):
             search.found(e, idx)
+    for e in (Term("ZP", "X"), Word("X", ("/PB",)), Word("X", ("/DF",)), Near("F", Prefix("X", ("/AP",)), Word("FISH"))):
+        with pytest.raises(ValueError, match="not in this index"):
+            search.found(e, idx)
     assert ords(PhrasePrefix("CY", "bel"), idx) == [3, 4] and ords(Prefix("", ("/OB",)), idx) == [1, 5]
 
 
