@@ -89,6 +89,7 @@ SQL = {
     "i3_tokens": f"{DOC}, k AS (SELECT ord, count(*) AS n FROM d GROUP BY ord) SELECT doc_id, coalesce(n, 0)::INT AS n FROM documents LEFT JOIN k ON ord = doc_id",
     "i4_word_postings": f"{DOC} SELECT DISTINCT '/TX' AS code, term, ord FROM d",
     "i0_write_index": f"{DOC}, w AS (SELECT term, count(DISTINCT ord) AS n, count(*) AS o FROM d GROUP BY term) SELECT '/TX' AS code, count(*) AS terms, sum(n)::BIGINT AS postings, sum(o)::BIGINT AS occurrences FROM w",
+    "a1_format": "SELECT tag, count(*) AS n FROM (SELECT unnest(CASE WHEN p_partkey % 29 = 0 THEN ['AN', 'TI', 'SN'] ELSE ['AN', 'TI'] END) AS tag FROM part) GROUP BY tag",
     "k4_sizes": f"{CHAT} SELECT DISTINCT code, CASE WHEN regexp_matches(term, '^[A-Z0-9]') THEN term[1] ELSE '_' END AS shard, true AS stored, true AS filled FROM c",
     "k5_shapes": """SELECT 'region' AS name, count(*) AS rows, '' AS faults FROM region UNION ALL SELECT 'nation', count(*), 'n_nationkey: int instead of bigint' FROM nation
 UNION ALL SELECT 'supplier', count(*), 's_phone: None instead of string' FROM supplier UNION ALL SELECT 'customer', count(*), 'c_mktsegment: unexpected' FROM customer""",

@@ -13,7 +13,7 @@ from cardamom.operators import browse, checks, display, index, kwic, rules, sear
 from cardamom.operators.search import And, Near, Not, Or, PhrasePrefix, Prefix, Refs, SetOf, Term, Word
 from cardamom.plans.numbering import own_folder, scratch
 from cardamom.schema import SINGLE_TAGS
-from cardamom.sources import cards, parse
+from cardamom.sources import cards, format, parse
 
 QUERIES = {}
 
@@ -605,6 +605,13 @@ def a1_lines(spark, d):
     return f.ranges.agg(F.sum("lines").alias("lines"), F.sum("bad_lines").alias("bad_lines"))
 
 
+@query
+def a1_format(spark, d):
+    """Lines of card files by tag, through the registered format; titles and accessions only."""
+    format.register(spark)
+    return spark.read.format("cards").load(C.card_files(spark, d).path).where("tag in ('AN', 'TI', 'SN') and line_no > 1").groupBy("tag").agg(F.count("*").alias("n"))
+
+
 def _name_files(spark, d):
     """A file of part names for each size, as (path, p_size, file)."""
     path = _folder(spark, "names")

@@ -101,7 +101,7 @@ def _tasks(spark: SparkSession, size: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
-def _names(tags: np.ndarray) -> pa.Array:
+def tag_names(tags: np.ndarray) -> pa.Array:
     kinds, at = np.unique(tags, return_inverse=True)
     return pa.array([int(k).to_bytes(2, "big").decode("latin-1") for k in kinds], pa.string()).take(pa.array(at.ravel()))
 
@@ -148,8 +148,8 @@ def records_of(m: np.ndarray, after: int, file: str, first: int, tail: int, mark
         sizes = value_seq = field_begins = field_ends = np.zeros(0, np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[keep]))])
-    values = pa.StructArray.from_arrays([_names(b_tag[begins]), pa.array(b_seq[begins].astype(np.int32)), pa.array(value_seq.astype(np.int32)), raw, pa.array(b_line[begins]), pa.array(marked[begins])], fields=list(_VALUE))
-    fields = pa.StructArray.from_arrays([pa.array(b_seq[field_begins].astype(np.int32)), _names(b_tag[field_begins]), pa.array(b_line[field_begins]), pa.array(b_line[field_ends])], fields=list(_FIELD))
+    values = pa.StructArray.from_arrays([tag_names(b_tag[begins]), pa.array(b_seq[begins].astype(np.int32)), pa.array(value_seq.astype(np.int32)), raw, pa.array(b_line[begins]), pa.array(marked[begins])], fields=list(_VALUE))
+    fields = pa.StructArray.from_arrays([pa.array(b_seq[field_begins].astype(np.int32)), tag_names(b_tag[field_begins]), pa.array(b_line[field_begins]), pa.array(b_line[field_ends])], fields=list(_FIELD))
     accession = [""] * n
     for i in np.flatnonzero(tags == _AN)[::-1].tolist():
         accession[record[i]] = m[i, 3:80].tobytes().decode("latin-1").strip(_TRIMMED) or accession[record[i]]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardamom.schema import SINGLE_TAGS
-from cardamom.sources import cards, parse, store
+from cardamom.sources import cards, format, parse, store
 from tests.test_cards import FILE, folder, line
 
 
@@ -93,3 +93,23 @@ def test_unknown_schemes_say_what_would_do():
     with pytest.raises(OSError, match="oss://x/y"):
         store.opened("oss://x/y")
     assert store.opened("file:///tmp/x")[1] == "/tmp/x"
+
+
+def test_format_reads_lines_and_takes_filters(spark, monkeypatch):
+    format.register(spark)
+    path = folder(FILE, FILE[:7], [])
+    df = spark.read.format("cards").load(path)
+    whole = {(r["file"], r["line_no"], bytes(r["bytes"])) for r in cards.lines(spark, path).collect()}
+    got = df.collect()
+    assert {(r["file"].replace("file:///", "file:/"), r["line_no"], bytes(r["bytes"])) for r in got} == {(f.replace("file:///", "file:/"), n, b) for f, n, b in whole}
+    assert all(r["tag"] == bytes(r["bytes"])[:2].decode("latin-1") for r in got)
+    one = got[0]["file"]
+    for where in ("tag = 'AN'", "tag in ('TI', '  ')", "line_no <= 3", "line_no > 4 and line_no < 9 and tag = '$$'", "line_no = 3", f"file = '{one}' and tag = 'AN'", "tag = 'long'", "tag = 'AN' and tag = 'TI'", "bytes is not null and line_no >= 6", "line_no > 900"):
+        assert {tuple(map(str, r)) for r in df.where(where).collect()} == {tuple(map(str, r)) for r in spark.createDataFrame(got, df.schema).where(where).collect()}, where
+    reader = format.CardReader(path, False)
+    left = list(reader.pushFilters([format.EqualTo(("file",), one), format.LessThanOrEqual(("line_no",), 3), format.In(("tag",), ("AN", "TI"))]))
+    (part,) = reader.partitions()
+    assert left == [] and (part.file, part.first, part.last, part.tags) == (one, 1, 3, ("AN", "TI"))
+    with pytest.raises(Exception, match="no multiple of 82"):
+        spark.read.format("cards").load(folder([b"short"])).collect()
+    assert spark.read.format("cards").option("lenient", "true").load(folder([b"short"])).collect() == []
