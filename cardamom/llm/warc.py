@@ -28,6 +28,8 @@ from cardamom.sources.store import opened
 
 #: Bytes after which an archive file is closed, and lines in a block of the index, at most.
 FILE_BYTES, BLOCK_LINES = 64 << 20, 512
+#: Bits of the table that tells payloads with copies from others, in words of 64: 2^20 rows at most.
+SUSPECT_BITS = 1 << 26
 DATE = "2000-01-01T00:00:00Z"
 _LOW = -(1 << 63)  # sorts where a null page does
 
@@ -98,6 +100,13 @@ def _payload(html: Column) -> Column:
     return F.coalesce(html.cast("string"), F.lit(""))
 
 
+def _suspects(groups: DataFrame, bits: int) -> DataFrame:
+    """(word, mask) of a table of ``bits`` bits, in which each digest s of groups sets one; at most bits / 64 rows."""
+    at = F.pmod(F.xxhash64("s"), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    return groups.select(F.floor(at / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
+
+
 def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> str:
     """Writes a record per row of pages (page_id, url, html); the folder of the archives.
 
@@ -105,16 +114,26 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> str:
     bytes, the one of the smallest page_id is a response, the others revisit it.
     Rows with a null page_id, and repeated rows of one page_id, are responses
     unless another page has the payload.
+
+    Only pages whose payload may have copies, by a broadcast table of bits of
+    bounded size, are moved to find the first of them; the others are written where
+    they are read. Where so many payloads have copies that all bits are set, all are moved.
     """
     spark = pages.sparkSession
     folder = folder or own_folder(spark, "warc")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), _line(F.col("url")).alias("url"), _payload(F.col("html")).alias("html"))
     keyed = p.select("page_id", F.sha2("html", 256).alias("sha"), F.octet_length("html").cast("long").alias("n"))
     groups = keyed.where(F.col("n") >= least).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    # only what has copies is joined, and a payload of very many copies may be split
     groups = written(groups.select(F.col("sha").alias("s"), "first"), "copied")
-    p = p.withColumn("sha", F.sha2("html", 256)).join(groups, F.col("sha") == F.col("s"), "left")
-    p = p.withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
+    at = F.pmod(F.xxhash64("sha"), F.lit(SUSPECT_BITS))
+    bits = F.broadcast(_suspects(groups, SUSPECT_BITS))
+    p = p.withColumn("sha", F.sha2("html", 256)).withColumn("at", at).join(bits, F.floor(F.col("at") / 64) == F.col("word"), "left")
+    may = F.getbit(F.coalesce("mask", F.lit(0).cast("long")), (F.col("at") % 64).cast("int")) == 1
+    alone = p.where(~may).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    # a sort-merge join, whatever the sizes: a payload of very many copies may be split, and the number of groups has no bound
+    several = p.where(may).join(groups.hint("merge"), F.col("sha") == F.col("s"), "left")
+    first = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
+    p = alone.union(several.select("page_id", "url", "html", first.alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         volume = held = 0  # a task's archives
@@ -129,7 +148,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> str:
                     volume, held = volume + 1, 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(volumes, pa.int32())], names=["record", "volume"])
 
-    records = p.select("page_id", "url", "html", "refers_to").mapInArrow(run, "record binary, volume int")
+    records = p.mapInArrow(run, "record binary, volume int")
     # a record's last line end is the sink's separator; casting bytes to a string keeps them
     records.select(F.col("record").cast("string").alias("value"), "volume").write.partitionBy("volume").option("lineSep", "\r\n").text(folder)
     return folder

@@ -547,6 +547,21 @@ def test_warc_round_trip(spark, data):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_warc_revisits_do_not_depend_on_the_table_of_bits(spark, monkeypatch, bits):
+    monkeypatch.setattr(warc, "SUSPECT_BITS", bits)
+    rows = [(i, f"http://a.b/{i}", f"text {i % 40}" if i % 3 else f"alone {i}") for i in range(300)] + [(None, "http://a.b/", "text 1"), (None, "http://a.b/", "nobody's"), (7, "http://a.b/7", "text 7"), (900, None, None), (901, "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html or ""] = min(i, first.get(html or "", i))
+    want = Counter((i, None if first.get(html or "") in (i, None) else first[html or ""]) for i, _, html in rows)
+    got = warc.round_trip(df).collect()
+    assert Counter((r["page_id"], r["refers_to"]) for r in got) == want
+    assert all((r["record_type"] == "revisit") == (r["refers_to"] is not None) for r in got)
+
+
 def test_warc_lookup(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     folder = warc.write(pages)
