@@ -79,9 +79,9 @@ def _once(spark: SparkSession, make, *what):
     return _KEPT[key]
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, source: str, vals, phrases: dict, words: dict) -> search.Index:
-    """The index of a corpus, written and opened once by an application, unless the table behind it changes."""
-    merged, state = tuple(words), _state(spark, sf_dir, source)
+def _stored(spark: SparkSession, sf_dir: str, name: str, source: tuple[str, ...], vals, phrases: dict, words: dict) -> search.Index:
+    """The index of a corpus, written and opened once by an application, unless a table behind it changes."""
+    merged, state = tuple(words), _state(spark, sf_dir, *source)
 
     def make() -> search.Index:
         folder = own_folder(spark, name)
@@ -103,15 +103,19 @@ def doc_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return _stored(spark, sf_dir, "docs", "documents", docs, DOC_PHRASES, DOC_WORDS)
+    return _stored(spark, sf_dir, "docs", ("documents",), docs, DOC_PHRASES, DOC_WORDS)
 
 
 def chat_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return _stored(spark, sf_dir, "chat", "conversations", chat, CHAT_PHRASES, CHAT_WORDS)
+    return _stored(spark, sf_dir, "chat", ("conversations",), chat, CHAT_PHRASES, CHAT_WORDS)
 
 
 def part_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return _stored(spark, sf_dir, "parts", "part", parts, PART_PHRASES, PART_WORDS)
+    return _stored(spark, sf_dir, "parts", ("part",), parts, PART_PHRASES, PART_WORDS)
+
+
+def order_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    return _stored(spark, sf_dir, "orders", ("orders", "lineitem"), orders, ORDER_PHRASES, {})
 
 
 def _wrapped(label: str, data, most: int):

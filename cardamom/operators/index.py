@@ -8,7 +8,9 @@ shard), so that a search reads only the folders that it names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
@@ -95,6 +97,25 @@ def open_index(spark, path: str, columns: str = "term string, ord long") -> Data
     return checks.loaded(spark, path, columns, "code string, shard string")
 
 
+def write_forward(phrases: DataFrame, path: str, buckets: int) -> None:
+    """The same postings by record: a folder per code, in it ``buckets`` buckets of ord, each sorted by ord and term.
+
+    What is grouped or joined by record, as sorting and ranking of sets are, reads a bucket per task and exchanges none of it.
+    """
+    table = f"forward_{uuid.uuid4().hex}"
+    dealt = phrases.select("ord", "term", "code").repartition(buckets, "ord")
+    dealt.write.partitionBy("code").bucketBy(buckets, "ord").sortBy("ord", "term").option("path", path).saveAsTable(table)
+    phrases.sparkSession.sql(f"DROP TABLE {table}")  # the files stay: the table is not the catalog's own
+
+
+def open_forward(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """(ord, term, code) as ``write_forward`` left it, bucketed by ord."""
+    table = f"forward_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} (ord BIGINT, term STRING, code STRING) USING parquet PARTITIONED BY (code) CLUSTERED BY (ord) SORTED BY (ord, term) INTO {buckets} BUCKETS LOCATION '{path}'")
+    spark.catalog.recoverPartitions(table)  # the folders by code
+    return spark.table(table)
+
+
 def write_terms(terms: DataFrame, path: str) -> None:
     terms.repartitionByRange("code", "term").sortWithinPartitions("code", "term").write.parquet(path)
 

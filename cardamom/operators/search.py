@@ -23,7 +23,10 @@ from cardamom.schema import PHRASE_TAGS, WORD_ALIASES, WORD_TAGS
 
 @dataclass(frozen=True)
 class Index:
-    """Postings with code and shard, posting lists of words, the lists of terms, and the codes that there are."""
+    """Postings with code and shard, posting lists of words, the lists of terms, the codes that there are, and phrases by record.
+
+    forward: (ord, term, code), the phrase postings for what is grouped by record; bucketed by ord in a written index.
+    """
 
     phrases: DataFrame
     words: DataFrame
@@ -34,6 +37,7 @@ class Index:
     phrase_terms: DataFrame | None = None
     word_terms: DataFrame | None = None
     folder: str | None = None
+    forward: DataFrame | None = None
 
     def codes(self, asked: tuple[str, ...], phrase: bool = False) -> tuple[str, ...]:
         """The word codes (or phrase codes) meant; one that the index lacks is refused, and a documented one said to be just that."""
@@ -54,28 +58,31 @@ def built(vals: DataFrame, phrases: dict[str, tuple[str, ...]], words: dict[str,
     """The index of a table of values, made anew by each search."""
     p, lists = index.phrase_postings(vals, phrases), index.posting_lists(vals, words)
     w = lists.select("code", "term", "ord")
-    return Index(index.sharded(p), index.sharded(w), index.sharded(lists), tuple(phrases), tuple(words), merged, index.term_list(p), index.term_list(w))
+    return Index(index.sharded(p), index.sharded(w), index.sharded(lists), tuple(phrases), tuple(words), merged, index.term_list(p), index.term_list(w), forward=p.select("ord", "term", "code"))
 
 
 #: Written last: what an index was made of. Without it, what lies in the folder is no index.
 MARKER = "made_of.json"
 
 
-def write(made: Index, folder: str, sources: tuple = ()) -> None:
+def write(made: Index, folder: str, sources: tuple = (), buckets: int | None = None) -> None:
     """Writes all parts of an index under folder; texts are cut into words once. The mark of completion, with the sources, comes last.
 
     Postings of words are the posting lists without their places, so they are not stored apart.
+    buckets: those of the phrases by record, as many as shuffle partitions if not given.
     """
     spark = made.phrases.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in ("phrases", "places"):
         # sorting in ranges looks at its rows twice
         index.write_index(scratch(getattr(made, name).drop("shard"), name), f"{folder}/{name}")
+    index.write_forward(opened_part(spark, folder, "phrases"), f"{folder}/forward", buckets)
     for name, part in (("phrase", "phrases"), ("word", "places")):
         browse.write_list(index.term_list(opened_part(spark, folder, part)), f"{folder}/{name}_terms")
     store = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = store.Path(f"{folder}/{MARKER}")
     out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-    out.write(bytearray(json.dumps(sources).encode()))
+    out.write(bytearray(json.dumps([sources, buckets]).encode()))
     out.close()
 
 
@@ -83,8 +90,8 @@ def opened_part(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return index.open_index(spark, f"{folder}/{name}", _PLACES if name == "places" else "term string, ord long")
 
 
-def sources_of(spark: SparkSession, folder: str) -> tuple | None:
-    """What a written index was made of; None where it is not complete."""
+def mark_of(spark: SparkSession, folder: str) -> tuple[tuple, int] | None:
+    """What a written index was made of, and its number of buckets; None where it is not complete."""
     store = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = store.Path(f"{folder}/{MARKER}")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
@@ -100,14 +107,15 @@ def opened(spark: SparkSession, folder: str, phrase_codes: tuple[str, ...], word
     An index that was not written to its end is refused, and so is one whose
     sources (paths, lengths and times of files) are not those given.
     """
-    made_of = sources_of(spark, folder)
-    if made_of is None:
+    mark = mark_of(spark, folder)
+    if mark is None:
         raise ValueError(f"{folder}: no complete index")
+    made_of, buckets = mark
     if sources is not None and made_of != sources:
         raise ValueError(f"{folder}: the sources have changed since the index was written")
     terms = [checks.loaded(spark, f"{folder}/{name}_terms", "code string, term string, items long") for name in ("phrase", "word")]
     places = opened_part(spark, folder, "places")
-    return Index(opened_part(spark, folder, "phrases"), places.select("code", "shard", "term", "ord"), places, phrase_codes, word_codes, merged, *terms, folder)
+    return Index(opened_part(spark, folder, "phrases"), places.select("code", "shard", "term", "ord"), places, phrase_codes, word_codes, merged, *terms, folder, index.open_forward(spark, f"{folder}/forward", buckets))
 
 
 @dataclass(frozen=True)

@@ -46,15 +46,21 @@ def first_keys(phrases: DataFrame, code: str) -> DataFrame:
 
 
 def sorted_set(current: DataFrame, phrases: DataFrame, keys: list[tuple[str, bool]], sortable: tuple[str, ...] = SORTABLE) -> DataFrame:
-    """(ord, rank) of (ord, rank) by [(code, descending), ...]; a record without a key sorts as empty, ties keep their order."""
+    """(ord, rank) of (ord, rank) by [(code, descending), ...]; a record without a key sorts as empty, ties keep their order.
+
+    phrases: (ord, term, code). All keys of a record come from one aggregation, and
+    from a table bucketed by ord without an exchange of it.
+    """
     for code, _ in keys:
         if code not in sortable:
             raise ValueError(f"not a sortable field: {code}")
     df, order = current.select("ord", F.col("rank").alias("_was")), []
-    for i, (code, descending) in enumerate(keys):
-        key = first_keys(phrases, code).select("ord", F.col("key").alias(f"_k{i}"))
-        df = df.join(key, "ord", "left").withColumn(f"_k{i}", F.coalesce(f"_k{i}", F.lit("")))
-        order.append(F.col(f"_k{i}").desc() if descending else F.col(f"_k{i}").asc())
+    if keys:
+        least = [F.min(F.when(F.col("code") == code, F.col("term"))).alias(f"_k{i}") for i, (code, _) in enumerate(keys)]
+        df = df.join(phrases.where(F.col("code").isin(*{c: None for c, _ in keys})).groupBy("ord").agg(*least), "ord", "left")
+    for i, (_, descending) in enumerate(keys):
+        key = F.coalesce(F.col(f"_k{i}"), F.lit(""))
+        order.append(key.desc() if descending else key.asc())
     return sorted_ranks(df, *order, F.col("_was").asc()).select("ord", "rank")
 
 

@@ -405,19 +405,18 @@ def g1_term_list(spark, d):
 @query
 def g2_values(spark, d):
     i = C.doc_index(spark, d)
-    return sets.value_counts(i.phrases, "SO", search.found(Term("LA", "EN"), i))
+    return sets.value_counts(i.forward, "SO", search.found(Term("LA", "EN"), i))
 
 
 @query
 def g3_top(spark, d):
-    v = C.orders(spark, d)
-    i = search.built(v, C.ORDER_PHRASES, {}, ())
-    return sets.top_values(sets.value_counts(i.phrases, "OP", search.found(Term("OS", "O"), i)))
+    i = C.order_index(spark, d)
+    return sets.top_values(sets.value_counts(i.forward, "OP", search.found(Term("OS", "O"), i)))
 
 
 @query
 def g5_first_key(spark, d):
-    return sets.first_keys(index.phrase_postings(C.orders(spark, d), C.ORDER_PHRASES), "RF")
+    return sets.first_keys(C.order_index(spark, d).forward, "RF")
 
 
 @query
@@ -519,9 +518,9 @@ def x5_wrapped(spark, d):
 
 @query
 def x6_sorted_set(spark, d):
-    p = index.phrase_postings(C.orders(spark, d), C.ORDER_PHRASES)
-    current = sets.result(p.where("code = 'OS' and term = 'O'").select("ord"))
-    return sets.sorted_set(current, p.where("not (code = 'OP' and ord % 5 = 0)"), [("OP", True), ("RF", False)], sortable=["OP", "RF"])
+    i = C.order_index(spark, d)
+    current = sets.result(search.found(Term("OS", "O"), i))
+    return sets.sorted_set(current, i.forward.where("not (code = 'OP' and ord % 5 = 0)"), [("OP", True), ("RF", False)], sortable=["OP", "RF"])
 
 
 @query

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardamom import corpora, queries
-from cardamom.operators import browse, checks, display, index, kwic, rules, search
-from cardamom.operators.search import Near, Prefix, Word
+from cardamom.operators import browse, checks, display, index, kwic, rules, search, sets
+from cardamom.operators.search import Near, Prefix, Term, Word
 from cardamom.plans.numbering import own_folder
 from cardamom.sources import cards, parse
 from tests.test_cards import folder, line
@@ -80,6 +80,34 @@ def test_browsing_reads_the_files_around_a_term(spark):
     assert len(whole) > 3 and len(near.inputFiles()) < len(whole)
 
 
+def test_sets_are_sorted_and_ranked_without_moving_the_phrases(spark, data, monkeypatch):
+    p = index.phrase_postings(corpora.orders(spark, data), corpora.ORDER_PHRASES)
+    own = corpora.order_index(spark, data)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(own.forward.select("code", "term", "ord")) == rows(p.select("code", "term", "ord"))
+    again = search.opened(spark, own.folder, own.phrase_codes, (), ())
+    found = search.found(Term("OS", "O"), own)
+    current = sets.result(found)
+    by = [("OP", True), ("RF", False), ("LS", False)]
+    sortable = ("OP", "RF", "LS")
+    for forward in (own.forward, again.forward):
+        assert rows(sets.sorted_set(current, forward, by, sortable)) == rows(sets.sorted_set(current, p, by, sortable))
+        assert rows(sets.first_keys(forward, "RF")) == rows(sets.first_keys(p, "RF"))
+        assert rows(sets.value_counts(forward, "OP", found)) == rows(sets.value_counts(p, "OP", found))
+    joined = []
+    monkeypatch.setattr(sets, "sorted_ranks", lambda df, *order: joined.append(df) or df.withColumn("rank", F.lit(1)))
+    moved = lambda df: len(re.findall(r"(?<!Broadcast)Exchange ", plan(df)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        written = spark.read.parquet(own.folder + "/phrase_terms").select(F.col("items").alias("ord"), F.col("items").alias("rank"))
+        sets.sorted_set(written, own.forward, by, sortable)
+        assert moved(joined[0]) == 1 and moved(written.select("ord")) == 0  # the set's own
+        assert moved(sets.first_keys(own.forward, "RF")) == 0
+        assert moved(sets.value_counts(own.forward, "OP", written)) == 2  # the set's own and that of the sums
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_windows_from_stored_places(spark, data):
     vals = corpora.docs(spark, data).where("tag = 'TX'")
     path = own_folder(spark, "contexts")
