@@ -23,6 +23,16 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
+def spaced(c: Column) -> Column:
+    """Words with one blank between them. Single blanks, as most are, are not touched."""
+    return F.btrim(F.regexp_replace(c, SPACE + "{2,}|" + SPACE.replace(" ", ""), " "), F.lit(" "))
+
+
+def reduced(c: Column) -> Column:
+    """Capitals, digits and blanks of a text, all else left out."""
+    return F.regexp_replace(F.upper(c), "[^A-Z0-9 ]+", "")
+
+
 def phrase_key(c: Column) -> Column:
     """A whole value as a term: trailing white space off, capitals, spacing inside kept."""
     return F.upper(trim_end(c))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
@@ -29,14 +29,19 @@ _STORED = "key string, ord long, field_seq int, value_seq long, n int, at array<
 
 
 def _words(raw: str = "raw") -> Column:
-    return F.array_remove(F.split(raw, text.SPACE + "+"), "")
+    """The words of a value as they are shown; a value without any has one empty word."""
+    return F.split(text.spaced(F.col(raw)), " ")
 
 
 def places(vals: DataFrame) -> DataFrame:
-    """(tag, key, ord, field_seq, value_seq, n, at): where the words of each value, cut at white space and reduced to letters and digits, stand in it; n: its words."""
-    v = vals.withColumn("words", _words()).withColumn("n", F.size("words"))  # before the explode: after it, each word would have it counted anew
-    v = v.select("ord", "tag", "field_seq", F.col("value_seq").cast("long").alias("value_seq"), "n", F.posexplode("words").alias("i", "w"))
-    v = v.withColumn("key", text.alnum(F.col("w"))).where("key <> ''")
+    """(tag, key, ord, field_seq, value_seq, n, at): where the words of each value, cut at white space and reduced to letters and digits, stand in it; n: its words.
+
+    Values are reduced whole and only then cut. They are dealt out first, so that gathering the places of a word shuffles nothing more.
+    """
+    v = vals.select("ord", "tag", "field_seq", F.col("value_seq").cast("long").alias("value_seq"), "raw").repartition("ord", "tag", "field_seq", "value_seq")
+    v = v.withColumn("words", F.split(text.reduced(text.spaced(F.col("raw"))), " ")).drop("raw")
+    v = v.withColumn("n", F.size("words"))  # before the explode: after it, each word would have it counted anew
+    v = v.select("ord", "tag", "field_seq", "value_seq", "n", F.posexplode("words").alias("i", "key")).where("key <> ''")
     return v.groupBy("tag", "key", "ord", "field_seq", "value_seq").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("i")).alias("at"))
 
 
@@ -60,6 +65,22 @@ def _meant(words: list[str], stems: list[str], sharded: bool) -> Column:
     return reduce(lambda a, b: a | b, hits, F.lit(False))
 
 
+def _span(i: Column, n: Column, before: int, after: int) -> Column:
+    """(start, stop) of the window around word i of n: moved back past the front, then forward past the end."""
+    low, end = i - before, n - 1
+    high = i + after + F.greatest(F.lit(0), -low)
+    start = F.greatest(F.lit(0), F.greatest(F.lit(0), low) - F.greatest(F.lit(0), high - end))
+    return F.struct(start.alias("start"), F.least(high, end).alias("stop"))
+
+
+def _merged(spans: str) -> Column:
+    """Windows that overlap or touch as one. Starts and stops both rise with the place, so only neighbours have to be looked at."""
+    apart = lambda a, b: F.coalesce(b["start"] > a["stop"] + 1, F.lit(True))  # none before the first, none behind the last
+    begins = F.filter(spans, lambda x, i: apart(F.get(F.col(spans), i - 1), x))
+    ends = F.filter(spans, lambda x, i: apart(x, F.get(F.col(spans), i + 1)))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(a["start"].alias("start"), b["stop"].alias("stop")))
+
+
 def windows(vals: DataFrame, words: list[str], stems: list[str] = (), size: int = SIZE, stored: DataFrame | None = None) -> DataFrame:
     """(ord, tag, field_seq, value_seq, start, window) of values (ord, tag, field_seq, value_seq, raw).
 
@@ -72,23 +93,15 @@ def windows(vals: DataFrame, words: list[str], stems: list[str] = (), size: int
         raise ValueError(f"a window has {LEAST} to {MOST} words")
     before, after = size // 2, (size - 1) // 2
     table = places(vals) if stored is None else stored
-    m = table.where(_meant(list(words), list(stems), stored is not None)).select(*_KEY, "n", F.explode("at").alias("i"))
-    low, high, end_of = F.col("i") - before, F.col("i") + after, F.col("n") - 1
-    # moved back past the front, then forward past the end
-    high = high + F.greatest(F.lit(0), -low)
-    start = F.greatest(F.lit(0), F.greatest(F.lit(0), low) - F.greatest(F.lit(0), high - end_of))
-    end = F.least(high, end_of)
-    m = m.select(*_KEY, start.alias("start"), end.alias("stop"))
-    by = Window.partitionBy(*_KEY).orderBy("start", "stop")
-    reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    m = m.withColumn("island", F.when(F.col("start") <= reach + 1, 0).otherwise(1))
-    m = m.withColumn("island", F.sum("island").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    m = m.groupBy(*_KEY, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    m = scratch(m.drop("island"), "windows") if stored is not None else m  # so small a side is joined as it is
+    m = table.where(_meant(list(words), list(stems), stored is not None))
+    m = m.groupBy(*_KEY).agg(F.first("n").alias("n"), F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    m = m.select(*_KEY, F.transform("at", lambda i: _span(i, F.col("n"), size // 2, (size - 1) // 2)).alias("each"))
+    m = m.select(*_KEY, _merged("each").alias("spans"))
+    m = scratch(m, "windows") if stored is not None else m  # so small a side is joined as it is
     out = m.join(vals.select("ord", "tag", "field_seq", F.col("value_seq").cast("long").alias("value_seq"), "raw"), _KEY)
-    out = out.withColumn("words", _words()).withColumn("n", F.size("words"))
-    shown = F.concat(F.when(F.col("start") > 0, "... ").otherwise(""), F.array_join(F.slice("words", F.col("start") + 1, F.col("stop") - F.col("start") + 1), " "), F.when(F.col("stop") < F.col("n") - 1, " ...").otherwise(""))
-    return out.select(*_KEY, "start", shown.alias("window"))
+    out = out.select(*_KEY, "spans", _words().alias("words"))  # once for a value, however many windows it has
+    shown = lambda x: F.concat(F.when(x["start"] > 0, "... ").otherwise(""), F.array_join(F.slice("words", x["start"] + 1, x["stop"] - x["start"] + 1), " "), F.when(x["stop"] < F.size("words") - 1, " ...").otherwise(""))
+    return out.select(*_KEY, F.inline(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), shown(x).alias("window")))))
 
 
 def of_set(vals: DataFrame, current: DataFrame, e, size: int = SIZE, fields: tuple[str, ...] = FIELDS, stored: DataFrame | None = None) -> DataFrame:
