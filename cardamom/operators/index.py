@@ -39,13 +39,14 @@ def positions(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
 
     Values are numbered over all tags of the code, so that two tags never share
     a field; words are numbered within a value, stop words included; the parts of
-    a hyphenated word have its place.
+    a hyphenated word have its place. The explodes are outer ones, whose nulls are no
+    terms: before others, Spark cuts each text once more to see whether it has words.
     """
     v = _coded(vals, codes)
     number = F.row_number().over(Window.partitionBy("code", "ord").orderBy("tag_seq", "field_seq", "value_seq")) - 1
     v = v.withColumn("field_ord", number)
-    words = v.select("code", "ord", "field_ord", F.posexplode(text.split_words(F.col("raw"))).alias("pos", "word"))
-    return words.select("code", F.explode(text.spellings(F.col("word"))).alias("term"), "ord", "field_ord", "pos").where(text.indexed(F.col("term")))
+    words = v.select("code", "ord", "field_ord", F.posexplode_outer(text.split_words(F.col("raw"))).alias("pos", "word"))
+    return words.select("code", F.explode_outer(text.spellings(F.col("word"))).alias("term"), "ord", "field_ord", "pos").where(text.indexed(F.col("term")))
 
 
 def posting_lists(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -68,8 +69,8 @@ def occurrences(lists: DataFrame) -> DataFrame:
 
 def word_postings(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
     """(code, term, ord), one row per record and term."""
-    words = _coded(vals, codes).select("code", "ord", F.explode(F.array_distinct(text.split_words(F.col("raw")))).alias("word"))
-    return words.select("code", F.explode(text.spellings(F.col("word"))).alias("term"), "ord").where(text.indexed(F.col("term"))).distinct()
+    words = _coded(vals, codes).select("code", "ord", F.explode_outer(F.array_distinct(text.split_words(F.col("raw")))).alias("word"))
+    return words.select("code", F.explode_outer(text.spellings(F.col("word"))).alias("term"), "ord").where(text.indexed(F.col("term"))).distinct()
 
 
 def term_list(postings: DataFrame) -> DataFrame:

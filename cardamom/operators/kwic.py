@@ -25,7 +25,7 @@ def terms_of(e) -> tuple[list[str], list[str]]:
 
 
 _KEY = ["ord", "tag", "field_seq", "value_seq"]
-_STORED = "key string, ord long, field_seq int, value_seq long, n int, at array<int>"
+_STORED = "key string, ord long, field_seq int, value_seq long, at array<int>"
 
 
 def _words(raw: str = "raw") -> Column:
@@ -34,15 +34,13 @@ def _words(raw: str = "raw") -> Column:
 
 
 def places(vals: DataFrame) -> DataFrame:
-    """(tag, key, ord, field_seq, value_seq, n, at): where the words of each value, cut at white space and reduced to letters and digits, stand in it; n: its words.
+    """(tag, key, ord, field_seq, value_seq, at): where the words of each value, cut at white space and reduced to letters and digits, stand in it.
 
     Values are reduced whole and only then cut. They are dealt out first, so that gathering the places of a word shuffles nothing more.
     """
     v = vals.select("ord", "tag", "field_seq", F.col("value_seq").cast("long").alias("value_seq"), "raw").repartition("ord", "tag", "field_seq", "value_seq")
-    v = v.withColumn("words", F.split(text.reduced(text.spaced(F.col("raw"))), " ")).drop("raw")
-    v = v.withColumn("n", F.size("words"))  # before the explode: after it, each word would have it counted anew
-    v = v.select("ord", "tag", "field_seq", "value_seq", "n", F.posexplode("words").alias("i", "key")).where("key <> ''")
-    return v.groupBy("tag", "key", "ord", "field_seq", "value_seq").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("i")).alias("at"))
+    v = v.select("ord", "tag", "field_seq", "value_seq", F.posexplode_outer(F.split(text.reduced(text.spaced(F.col("raw"))), " ")).alias("i", "key")).where("key <> ''")
+    return v.groupBy("tag", "key", "ord", "field_seq", "value_seq").agg(F.array_sort(F.collect_list("i")).alias("at"))
 
 
 def write(found: DataFrame, path: str) -> None:
@@ -94,13 +92,13 @@ def windows(vals: DataFrame, words: list[str], stems: list[str] = (), size: int
     before, after = size // 2, (size - 1) // 2
     table = places(vals) if stored is None else stored
     m = table.where(_meant(list(words), list(stems), stored is not None))
-    m = m.groupBy(*_KEY).agg(F.first("n").alias("n"), F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
-    m = m.select(*_KEY, F.transform("at", lambda i: _span(i, F.col("n"), size // 2, (size - 1) // 2)).alias("each"))
-    m = m.select(*_KEY, _merged("each").alias("spans"))
+    m = m.groupBy(*_KEY).agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
     m = scratch(m, "windows") if stored is not None else m  # so small a side is joined as it is
     out = m.join(vals.select("ord", "tag", "field_seq", F.col("value_seq").cast("long").alias("value_seq"), "raw"), _KEY)
-    out = out.select(*_KEY, "spans", _words().alias("words"))  # once for a value, however many windows it has
+    out = out.select(*_KEY, "at", _words().alias("words"))  # once for a value, however many windows it has
+    out = out.select(*_KEY, "words", F.transform("at", lambda i: _span(i, F.size("words"), size // 2, (size - 1) // 2)).alias("each"))
     shown = lambda x: F.concat(F.when(x["start"] > 0, "... ").otherwise(""), F.array_join(F.slice("words", x["start"] + 1, x["stop"] - x["start"] + 1), " "), F.when(x["stop"] < F.size("words") - 1, " ...").otherwise(""))
+    out = out.select(*_KEY, "words", _merged("each").alias("spans"))
     return out.select(*_KEY, F.inline(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), shown(x).alias("window")))))
 
 

@@ -9,9 +9,11 @@ that the index does not have is an error, not an empty set.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,12 +75,21 @@ def write(made: Index, folder: str, sources: tuple = (), buckets: int | None = N
     """
     spark = made.phrases.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for name in ("phrases", "places"):
+
+    def part(name: str, terms: str) -> None:
         # sorting in ranges looks at its rows twice
         index.write_index(scratch(getattr(made, name).drop("shard"), name), f"{folder}/{name}")
-    index.write_forward(opened_part(spark, folder, "phrases"), f"{folder}/forward", buckets)
-    for name, part in (("phrase", "phrases"), ("word", "places")):
-        browse.write_list(index.term_list(opened_part(spark, folder, part)), f"{folder}/{name}_terms")
+        browse.write_list(index.term_list(opened_part(spark, folder, name)), f"{folder}/{terms}")
+
+    def phrases() -> None:
+        part("phrases", "phrase_terms")
+        index.write_forward(opened_part(spark, folder, "phrases"), f"{folder}/forward", buckets)
+
+    # phrases and words share nothing, so the jobs of one fill what those of the other leave idle
+    with ThreadPoolExecutor(2) as both:
+        jobs = [both.submit(inheritable_thread_target(spark)(f)) for f in (phrases, lambda: part("places", "word_terms"))]
+        for job in jobs:
+            job.result()
     store = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = store.Path(f"{folder}/{MARKER}")
     out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
