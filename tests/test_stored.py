@@ -120,6 +120,13 @@ def test_windows_from_stored_places(spark, data):
     assert "(shard#" in plan(hits) and "= T)" in plan(hits)
 
 
+def test_windows_of_odd_values(spark):
+    texts = ["", " \u00a0\t", "-- that's, \u2003 a -- THATS  b\n", "thats", None, "\u00df thats \u0085 x" + " w" * 9]
+    vals = spark.createDataFrame([(i, "TX", 1, 0, x) for i, x in enumerate(texts)], "ord long, tag string, field_seq int, value_seq int, raw string")
+    got = [(r["ord"], r["start"], r["window"]) for r in kwic.windows(vals, ["THATS"], [], 3).orderBy("ord", "start").collect()]
+    assert got == [(2, 0, "-- that's, a -- THATS b"), (3, 0, "thats"), (5, 0, "\u00df thats \u0085 ...")]
+
+
 def test_records_are_fetched_from_the_files_that_hold_them(spark, monkeypatch):
     monkeypatch.setattr(parse, "RANGE", 40)
     names = [folder([x for i in range(300) for x in (line(b"$$"), line(b"AN", b"%07d" % (1000 * f + i)), line(b"TI", b"t"))]) for f in (1, 2)]
