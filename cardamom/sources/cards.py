@@ -240,12 +240,12 @@ def fixity(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     return manifest.join(own, "file", "left").select("file", F.coalesce(same, F.lit(False)).alias("ok"))
 
 
-def card(label: Column, data: Column) -> Column:
-    """One line without its CR LF, as bytes."""
-    return F.encode(F.rpad(F.concat(label, F.lit(" "), F.rpad(data, DATA_WIDTH, " ")), 80, " "), "ISO-8859-1")
+def line(label: str, data: Column) -> Column:
+    """One line without its CR LF."""
+    return F.rpad(F.substring(F.concat(F.lit(label + " "), data), 1, DATA_AT - 1 + DATA_WIDTH), WIDTH - 2, " ")
 
 
-def write(cards: DataFrame, path: str) -> None:
-    """Writes (ord, cards array of binary) of the records as files in order of ord; casting bytes to a string keeps them."""
-    rows = cards.repartitionByRange("ord").sortWithinPartitions("ord").select(F.explode("cards").alias("c"))
-    rows.select(F.col("c").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
+def write(records: DataFrame, path: str) -> None:
+    """Writes records (part, text), which come in order of both, as a folder of one file for each part; casting bytes to a string keeps them."""
+    rows = records.select("part", F.encode("text", "ISO-8859-1").cast("string").alias("value"))
+    rows.write.partitionBy("part").option("lineSep", "\r\n").text(path)

@@ -193,3 +193,12 @@ def test_sizes_of_folders_are_those_of_their_files(spark):
     got = {(r["part"], r["code"], r["shard"]): r["bytes"] for r in index.stored_sizes(spark, path).collect()}
     assert {k for k in got if k[0] == "places"} == {("places", "/TI", s) for s in "OT3"} and ("phrases", "TI", "O") in got
     assert all(n > 0 for n in got.values()) and ("word_terms", None, None) in got
+
+
+def test_card_files_hold_the_same_records_whenever_they_are_written(spark, data, monkeypatch):
+    monkeypatch.setattr(corpora, "FILE_RECORDS", 64, raising=False)
+    held = []
+    for edited in (False, True):
+        f = corpora.CardFiles(spark, data, marked=True, edited=edited)
+        held.append([(r["n"], r["low"], r["high"]) for r in f.spans.groupBy("file").agg(F.count("*").alias("n"), F.min("an").alias("low"), F.max("an").alias("high")).orderBy("file").collect()])
+    assert held[0] == held[1] and [n for n, _, _ in held[0]] == [64, 64, 64, 8]
