@@ -34,31 +34,35 @@ def phrase_postings(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataF
     return keyed.where("term <> ''").distinct()
 
 
-def positions(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
+def positions(vals: DataFrame, codes: dict[str, tuple[str, ...]], tasks: int | None = None) -> DataFrame:
     """(code, term, ord, field_ord, pos): every occurrence.
 
     Values are numbered over all tags of the code, so that two tags never share
     a field; words are numbered within a value, stop words included; the parts of
     a hyphenated word have its place. The explodes are outer ones, whose nulls are no
     terms: before others, Spark cuts each text once more to see whether it has words.
+    tasks: among how many records are dealt out; as Spark has it, if not given.
     """
     v = _coded(vals, codes)
+    v = v if tasks is None else v.repartition(tasks, "code", "ord")
     number = F.row_number().over(Window.partitionBy("code", "ord").orderBy("tag_seq", "field_seq", "value_seq")) - 1
     v = v.withColumn("field_ord", number)
     words = v.select("code", "ord", "field_ord", F.posexplode_outer(text.split_words(F.col("raw"))).alias("pos", "word"))
     return words.select("code", F.explode_outer(text.spellings(F.col("word"))).alias("term"), "ord", "field_ord", "pos").where(text.indexed(F.col("term")))
 
 
-def posting_lists(vals: DataFrame, codes: dict[str, tuple[str, ...]]) -> DataFrame:
+def posting_lists(vals: DataFrame, codes: dict[str, tuple[str, ...]], tasks: int | None = None) -> DataFrame:
     """(code, term, ord, fields, places): a row per record that has the term, with all of its occurrences in order.
 
     The two arrays go side by side: the value by its number and the word's place in
     it. Occurrences of a record lie together already when its values are numbered,
     so that gathering them shuffles nothing more. A row holds the occurrences of
-    one term in one record, however many.
+    one term in one record, however many. The occurrences of a task are sorted
+    before they are gathered, by record first, since numbers tell most of them apart
+    without a look at the strings; tasks (as in ``positions``) keeps them few enough for memory.
     """
-    at = F.array_sort(F.collect_list(F.struct("field_ord", "pos")))
-    own = positions(vals, codes).groupBy("code", "ord", "term").agg(at.alias("at"))
+    at = F.sort_array(F.collect_list(F.struct("field_ord", "pos")))
+    own = positions(vals, codes, tasks).groupBy("ord", "code", "term").agg(at.alias("at"))
     return own.select("code", "term", "ord", F.col("at.field_ord").alias("fields"), F.col("at.pos").alias("places"))
 
 
@@ -87,10 +91,10 @@ def sharded(postings: DataFrame) -> DataFrame:
     return postings.withColumn("shard", text.shard(F.col("term")))
 
 
-def write_index(postings: DataFrame, path: str) -> None:
-    """A folder per code and shard, sorted by term within its files; a prefix or term of very many postings takes several files."""
+def write_index(postings: DataFrame, path: str, tasks: int | None = None) -> None:
+    """A folder per code and shard, sorted by term within its files; a prefix or term of very many postings takes several files. tasks: how many sort them."""
     order = [c for c in ("code", "shard", "term", "ord") if c == "shard" or c in postings.columns]
-    sharded(postings).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("code", "shard").parquet(path)
+    sharded(postings).repartitionByRange(*([] if tasks is None else [tasks]), *order).sortWithinPartitions(*order).write.partitionBy("code", "shard").parquet(path)
 
 
 def open_index(spark, path: str, columns: str = "term string, ord long") -> DataFrame:

@@ -33,21 +33,22 @@ def _words(raw: str = "raw") -> Column:
     return F.split(text.spaced(F.col(raw)), " ")
 
 
-def places(vals: DataFrame) -> DataFrame:
+def places(vals: DataFrame, tasks: int | None = None) -> DataFrame:
     """(tag, key, ord, field_seq, value_seq, at): where the words of each value, cut at white space and reduced to letters and digits, stand in it.
 
     Values are reduced whole and only then cut. They are dealt out first, so that gathering the places of a word shuffles nothing more.
+    tasks: among how many values are dealt out, so that the words of one can be sorted in memory.
     """
-    v = vals.select("ord", "tag", "field_seq", F.col("value_seq").cast("long").alias("value_seq"), "raw").repartition("ord", "tag", "field_seq", "value_seq")
+    v = vals.select("ord", "tag", "field_seq", F.col("value_seq").cast("long").alias("value_seq"), "raw").repartition(*([] if tasks is None else [tasks]), "ord", "tag", "field_seq", "value_seq")
     v = v.select("ord", "tag", "field_seq", "value_seq", F.posexplode_outer(F.split(text.reduced(text.spaced(F.col("raw"))), " ")).alias("i", "key")).where("key <> ''")
-    return v.groupBy("tag", "key", "ord", "field_seq", "value_seq").agg(F.array_sort(F.collect_list("i")).alias("at"))
+    return v.groupBy("ord", "tag", "field_seq", "value_seq", "key").agg(F.sort_array(F.collect_list("i")).alias("at")).select("tag", "key", "ord", "field_seq", "value_seq", "at")
 
 
-def write(found: DataFrame, path: str) -> None:
-    """A folder per tag and first character of the key, sorted by key."""
+def write(found: DataFrame, path: str, tasks: int | None = None) -> None:
+    """A folder per tag and first character of the key, sorted by key. tasks: how many sort it."""
     rows = scratch(found.withColumn("shard", text.shard(F.col("key"))), "contexts")
     order = ["tag", "shard", "key", "ord"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("tag", "shard").parquet(path)
+    rows.repartitionByRange(*([] if tasks is None else [tasks]), *order).sortWithinPartitions(*order).write.partitionBy("tag", "shard").parquet(path)
 
 
 def opened(spark: SparkSession, path: str) -> DataFrame:

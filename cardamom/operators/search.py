@@ -56,9 +56,9 @@ class Index:
 _PLACES = "term string, ord long, fields array<int>, places array<int>"
 
 
-def built(vals: DataFrame, phrases: dict[str, tuple[str, ...]], words: dict[str, tuple[str, ...]], merged: tuple[str, ...]) -> Index:
-    """The index of a table of values, made anew by each search."""
-    p, lists = index.phrase_postings(vals, phrases), index.posting_lists(vals, words)
+def built(vals: DataFrame, phrases: dict[str, tuple[str, ...]], words: dict[str, tuple[str, ...]], merged: tuple[str, ...], tasks: int | None = None) -> Index:
+    """The index of a table of values, made anew by each search. tasks: among how many the records with words are dealt out."""
+    p, lists = index.phrase_postings(vals, phrases), index.posting_lists(vals, words, tasks)
     w = lists.select("code", "term", "ord")
     return Index(index.sharded(p), index.sharded(w), index.sharded(lists), tuple(phrases), tuple(words), merged, index.term_list(p), index.term_list(w), forward=p.select("ord", "term", "code"))
 
@@ -67,18 +67,19 @@ def built(vals: DataFrame, phrases: dict[str, tuple[str, ...]], words: dict[str,
 MARKER = "made_of.json"
 
 
-def write(made: Index, folder: str, sources: tuple = (), buckets: int | None = None) -> None:
+def write(made: Index, folder: str, sources: tuple = (), buckets: int | None = None, tasks: int | None = None) -> None:
     """Writes all parts of an index under folder; texts are cut into words once. The mark of completion, with the sources, comes last.
 
     Postings of words are the posting lists without their places, so they are not stored apart.
     buckets: those of the phrases by record, as many as shuffle partitions if not given.
+    tasks: how many sort the posting lists, as Spark has it if not given.
     """
     spark = made.phrases.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def part(name: str, terms: str) -> None:
+    def part(name: str, terms: str, tasks: int | None = None) -> None:
         # sorting in ranges looks at its rows twice
-        index.write_index(scratch(getattr(made, name).drop("shard"), name), f"{folder}/{name}")
+        index.write_index(scratch(getattr(made, name).drop("shard"), name), f"{folder}/{name}", tasks)
         browse.write_list(index.term_list(opened_part(spark, folder, name)), f"{folder}/{terms}")
 
     def phrases() -> None:
@@ -87,7 +88,7 @@ def write(made: Index, folder: str, sources: tuple = (), buckets: int | None = N
 
     # phrases and words share nothing, so the jobs of one fill what those of the other leave idle
     with ThreadPoolExecutor(2) as both:
-        jobs = [both.submit(inheritable_thread_target(spark)(f)) for f in (phrases, lambda: part("places", "word_terms"))]
+        jobs = [both.submit(inheritable_thread_target(spark)(f)) for f in (phrases, lambda: part("places", "word_terms", tasks))]
         for job in jobs:
             job.result()
     store = spark.sparkContext._jvm.org.apache.hadoop.fs

@@ -202,3 +202,13 @@ def test_card_files_hold_the_same_records_whenever_they_are_written(spark, data,
         f = corpora.CardFiles(spark, data, marked=True, edited=edited)
         held.append([(r["n"], r["low"], r["high"]) for r in f.spans.groupBy("file").agg(F.count("*").alias("n"), F.min("an").alias("low"), F.max("an").alias("high")).orderBy("file").collect()])
     assert held[0] == held[1] and [n for n, _, _ in held[0]] == [64, 64, 64, 8]
+
+
+def test_texts_are_dealt_out_by_their_size(spark, data, monkeypatch):
+    want = corpora._tasks(spark, (("a", corpora.TASK_BYTES * 6 + 1, 0),))
+    assert want == 7 and corpora._tasks(spark, (("a", 1, 0),)) is None  # four shuffle partitions
+    lists = index.posting_lists(corpora.docs(spark, data), corpora.DOC_WORDS, want)
+    assert len(re.findall(r"(?<!Broadcast)Exchange ", plan(lists))) == 1 and "hashpartitioning(code" in plan(lists) and ", 7), REPARTITION_BY_NUM" in plan(lists)
+    path = own_folder(spark, "sized")
+    index.write_index(lists, path, want)
+    assert len({f.rsplit("/", 1)[-1][:10] for f in spark.read.parquet(path).inputFiles()}) == 7
