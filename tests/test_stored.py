@@ -212,3 +212,9 @@ def test_texts_are_dealt_out_by_their_size(spark, data, monkeypatch):
     path = own_folder(spark, "sized")
     index.write_index(lists, path, want)
     assert len({f.rsplit("/", 1)[-1][:10] for f in spark.read.parquet(path).inputFiles()}) == 7
+
+
+def test_card_lines_are_made_after_rows_are_dealt_out(spark, data):
+    text = corpora.card_records(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = text.split("RepartitionByExpression", 1)
+    assert "LOST" in above and "LOST" not in below  # no exchange and no sample sees a line
