@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
@@ -74,18 +74,28 @@ def full_record(vals: DataFrame, grid: tuple[str, ...], pair: tuple[str, ...], s
     as narratives or supplementary data, each a map of the first values that the
     record has of them.
     """
-    own = vals.groupBy("ord").agg(*[first_value(t).alias(t) for t in scalars], *[F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == t, F.struct("field_seq", "value_seq", "raw")))), lambda x: x["raw"]).alias(t.lower() + "_all") for t in lists])
-    for name, tags in (("grid", grid), ("pairs", pair)):
-        rows = zipped(vals, tags).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("pos", *tags, "complete"))).alias(name))
-        own = own.join(rows, "ord", "left")
-    for t in headings:
-        heads = F.array_sort(F.collect_list(F.struct("field_seq", "value_seq", F.concat_ws(" ", "code", "label").alias("head"))))
-        rows = vals.where(F.col("tag") == t).groupBy("ord").agg(F.array_join(F.transform(heads, lambda x: x["head"]), "; ").alias(t.lower() + "_headings"))
-        own = own.join(rows, "ord", "left")
-    for name, tags in (parts or {}).items():
-        firsts = vals.where(F.col("tag").isin(*tags)).groupBy("ord", "tag").agg(F.min_by("raw", F.struct("field_seq", "value_seq")).alias("raw"))
-        own = own.join(firsts.groupBy("ord").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "raw")))).alias(name)), "ord", "left")
-    return own
+    shown = {t for tags in (grid, pair, scalars, lists, headings, *(parts or {}).values()) for t in tags}
+    head = F.concat_ws(" ", "code", "label") if headings else F.lit(None).cast("string")
+    value = F.struct("field_seq", "value_seq", "tag", "raw", head.alias("head"))
+    own = vals.groupBy("ord").agg(F.sort_array(F.collect_list(F.when(F.col("tag").isin(*sorted(shown)), value))).alias("_own"))  # once for all columns
+    of = lambda t, what="raw": F.transform(F.filter("_own", lambda x: x["tag"] == t), lambda x: x[what])
+    own = own.select("ord", *[of(t).alias(f"_{t}") for t in sorted(shown)], *[of(t, "head").alias(f"_{t}_heads") for t in headings])
+    all_of, some = lambda t: F.col(f"_{t}"), lambda c: F.when(F.size(c) > 0, c)
+
+    def side_by_side(tags: tuple[str, ...]) -> Column:
+        here = lambda x: reduce(lambda a, b: a & b, [x[t].isNotNull() for t in tags])
+        return F.transform(F.arrays_zip(*[all_of(t).alias(t) for t in tags]), lambda x, i: F.struct(i.alias("pos"), *[x[t].alias(t) for t in tags], here(x).alias("complete")))
+
+    def firsts(tags: tuple[str, ...]) -> Column:
+        return F.array_compact(F.array(*[F.when(F.size(all_of(t)) > 0, F.struct(F.lit(t).alias("tag"), F.get(all_of(t), F.lit(0)).alias("raw"))) for t in sorted({*tags})]))
+
+    own = own.select(
+        "ord", *[F.coalesce(F.get(all_of(t), F.lit(0)), F.lit("")).alias(t) for t in scalars], *[all_of(t).alias(t.lower() + "_all") for t in lists],
+        side_by_side(grid).alias("grid"), side_by_side(pair).alias("pairs"),
+        *[F.when(F.size(all_of(t)) > 0, F.array_join(F.col(f"_{t}_heads"), "; ")).alias(t.lower() + "_headings") for t in headings],
+        *[firsts(tags).alias(name) for name, tags in (parts or {}).items()],
+    )
+    return own.withColumns({"grid": some(F.col("grid")), "pairs": some(F.col("pairs")), **{name: F.when(F.size(name) > 0, F.map_from_entries(name)) for name in (parts or {})}})
 
 
 def lineage(shown: DataFrame, vals: DataFrame, records: DataFrame, evidence: DataFrame) -> DataFrame:

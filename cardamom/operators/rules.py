@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,72 +104,86 @@ def _present(*problems: Column) -> Column:
     return F.array_compact(F.array(*problems)).cast(_PROBLEM)
 
 
-def _of_value() -> Column:
-    """The problems of one value under the rule of its tag (columns of the rule, raw, raw_bytes, size)."""
+def _of_value() -> tuple[Column, Column]:
+    """Whether one value has problems under the rule of its tag (columns of the rule, raw, raw_bytes, size), and which; the second is dear and only for values of the first."""
     tag, size = F.col("tag"), F.col("size")
     absent = (F.col("most_values") == 1) & ~F.col("required") & (size == 0) & ~tag.isin(*YEARS)
     wrong = ~F.when(tag.isin(*YEARS), size.isin(2, 4)).otherwise(size.between(F.col("least"), F.col("most")))
     bounds = F.concat(F.lit("bytes: "), size.cast("string"), F.lit(", allowed "), F.col("least").cast("string"), F.lit("-"), F.col("most").cast("string"))
-    parts = F.split("raw", "\u0002", -1)
-    heads_end = F.forall(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.endswith(p, F.lit("\u00a0")))
-    heading = tag.isin(*HEADING_PARTS) & ~(F.size(parts).between(F.lit(2), F.when(tag == "SC", 3).otherwise(2)) & heads_end)
-    excerpt = text.excerpt(F.col("raw_bytes"))
-    found = _present(
-        F.when(wrong & ~absent & (tag != "AN"), _problem("length", bounds)),
-        F.when((tag == "AN") & ~text.is_accession(F.col("raw")), _problem("accession", excerpt)),
-        F.when(~F.is_valid_utf8(F.col("raw_bytes").cast("string")) & ~F.col("raw_is"), _problem("not_utf8", excerpt)),
-        F.when(heading, _problem("heading_parts", F.concat(F.lit("parts: "), F.size(parts).cast("string")))),
-    )
-    long_words = F.transform(text.long_words(F.col("raw"), KEYWORD_BYTES), lambda w: _problem("long_keyword", w)).cast(_PROBLEM)
-    return F.when(F.col("grp").isNull(), F.array().cast(_PROBLEM)).when(tag == "DE", F.concat(found, long_words)).otherwise(found)
+    # two parts, of SC also three, all but the last ending in U+00A0
+    head, last = "[^\\x02]*\\xA0\\x02", "[^\\x02]*\\z"
+    whole = F.when(tag == "SC", F.col("raw").rlike(rf"\A{head}(?:{head})?{last}")).otherwise(F.col("raw").rlike(rf"\A{head}{last}"))
+    excerpt, n_parts = text.excerpt(F.col("raw_bytes")), F.size(F.split("raw", "\u0002", -1))
+    faults = [
+        (wrong & ~absent & (tag != "AN"), _problem("length", bounds)),
+        ((tag == "AN") & ~text.is_accession(F.col("raw")), _problem("accession", excerpt)),
+        (~F.col("raw_is") & ~F.is_valid_utf8(F.col("raw_bytes").cast("string")), _problem("not_utf8", excerpt)),
+        (tag.isin(*HEADING_PARTS) & ~whole, _problem("heading_parts", F.concat(F.lit("parts: "), n_parts.cast("string")))),
+    ]
+    long_word = (tag == "DE") & F.col("raw").rlike(f"[^ ]{{{KEYWORD_BYTES + 1}}}")
+    words = F.when(tag == "DE", F.transform(text.long_words(F.col("raw"), KEYWORD_BYTES), lambda w: _problem("long_keyword", w))).otherwise(F.array()).cast(_PROBLEM)
+    some = reduce(lambda a, b: a | b, [F.coalesce(when, F.lit(False)) for when in (*[f[0] for f in faults], long_word)])
+    has = F.col("grp").isNotNull() & some
+    return has, F.when(has, F.concat(_present(*[F.when(when, p) for when, p in faults]), words)).otherwise(F.array().cast(_PROBLEM))
+
+
+def _single_values(vals: DataFrame, rule: DataFrame, vocabulary: DataFrame | None, year: int | None) -> DataFrame:
+    """(ord, found, percent, odd): the values that have something wrong, with their problems, and those of CT with their percent, or as they are if that is no number."""
+    v = vals.select("ord", "tag", "raw", "raw_bytes").join(rule, "tag", "left").withColumn("size", F.octet_length("raw_bytes"))
+    has, own = _of_value()
+    code = (F.col("tag") == "RP") & (F.col("size") >= 4) if vocabulary is not None and year is not None else F.lit(False)
+    v = v.where(has | code | (F.col("tag") == "CT"))  # most values need no more than this
+    missed = F.array().cast(_PROBLEM)
+    if vocabulary is not None and year is not None:
+        v = attested(v.withColumn("value", F.when(code, F.col("raw"))), vocabulary, F.lit(year))
+        missed = F.when(F.col("value").isNotNull() & (F.col("state") == "not_attested"), F.array(_problem(MISS, F.col("code"), F.lit("RP"), F.lit("classification")))).otherwise(missed).cast(_PROBLEM)
+    percent = F.when(F.col("tag") == "CT", text.percent(F.col("raw")))
+    odd = F.when((F.col("tag") == "CT") & percent.isNull(), F.col("raw"))
+    return v.select("ord", F.concat(own, missed).alias("found"), percent.alias("percent"), odd.alias("odd"))
 
 
 def audited(vals: DataFrame, ids: DataFrame, orphans: DataFrame | None = None, vocabulary: DataFrame | None = None, year: int | None = None) -> DataFrame:
     """(ord, problems, undocumented): a row per record of ids (ord) with all of its problems (kind, tag, grp, message).
 
-    vals: (ord, tag, field_seq, value_seq, raw, raw_bytes). Values are dealt out by
-    record once; they are aggregated by tag, then by record, where they lie: how
-    many there are of each tag, what is wrong with single ones, and sums. Rules that
-    compare fields look only at records in which each of these fields is sound by
-    itself. undocumented: whether a tag is there that is never checked.
+    vals: (ord, tag, field_seq, value_seq, raw, raw_bytes). Of all values only tag and
+    field are dealt out by record, and counted by field, tag and record where they
+    lie; no list is made of them. What is wrong with single values, tags and lines is
+    gathered by record apart from that. Rules that compare fields look only at records
+    in which each of these fields is sound by itself. undocumented: whether a tag is
+    there that is never checked.
     """
-    spark = vals.sparkSession
+    rule = rule_table(vals.sparkSession).withColumnRenamed("raw", "raw_is")
     none = F.array().cast(_PROBLEM)
-    v = vals.select("ord", "tag", "field_seq", "raw", "raw_bytes").repartition("ord")
-    v = v.join(rule_table(spark).withColumnRenamed("raw", "raw_is"), "tag", "left").withColumn("size", F.octet_length("raw_bytes"))
-    missed = none
-    if vocabulary is not None and year is not None:
-        v = v.withColumn("value", F.when((F.col("tag") == "RP") & (F.col("size") >= 4), F.col("raw")))
-        v = attested(v, vocabulary, F.lit(year))
-        missed = F.when(F.col("value").isNotNull() & (F.col("state") == "not_attested"), F.array(_problem(MISS, F.col("code"), F.lit("RP"), F.lit("classification")))).otherwise(none)
-    percent = F.when(F.col("tag") == "CT", text.percent(F.col("raw")))
-    v = v.select("ord", "tag", "grp", "most_values", "field_seq", _of_value().alias("own"), missed.cast(_PROBLEM).alias("missed"), percent.alias("percent"), F.when((F.col("tag") == "CT") & percent.isNull(), F.col("raw")).alias("odd"))
-    some = lambda c: F.flatten(F.collect_list(F.when(F.size(c) > 0, F.col(c))))
-    per = v.groupBy("ord", "tag").agg(
-        F.first("grp").alias("grp"), F.first("most_values").alias("most_values"), F.count("*").alias("n"), F.size(F.collect_set("field_seq")).alias("occurrences"),
-        some("own").alias("own"), some("missed").alias("missed"), F.sum("percent").alias("total"), F.min("odd").alias("odd"),
-    )
-    n, occurrences, single = F.col("n"), F.col("occurrences"), F.col("most_values") == 1
-    repeated = F.when(single & (occurrences > 1), _problem("repeated", F.concat(F.lit("occurrences: "), occurrences.cast("string"))))
-    too_many = F.when(~single & (n > F.col("most_values")), _problem("too_many", F.concat(F.lit("values: "), n.cast("string"))))
-    kind = F.when(text.not_ascii(F.col("tag")), "tag_not_ascii").otherwise(NOT_MODELED)
-    other = F.when(F.col("grp").isNull() & ~F.col("tag").isin(*UNCHECKED), F.array_repeat(_problem(kind, F.lit(""), "tag", F.lit("none")), occurrences)).otherwise(none)
-    per = per.select("ord", "tag", "n", "total", "odd", F.concat("own", _present(repeated, too_many)).alias("own"), other.cast(_PROBLEM).alias("other"), "missed")
-    count = lambda t: F.coalesce(F.max(F.when(F.col("tag") == t, F.col("n"))), F.lit(0)).alias(f"n_{t}")
-    rec = per.groupBy("ord").agg(
-        F.collect_set("tag").alias("tags"), some("own").alias("own"), some("other").alias("other"), some("missed").alias("missed"), F.max("total").alias("total"), F.min("odd").alias("odd"),
-        F.bool_or(F.col("tag").isin(*UNCHECKED)).alias("undocumented"), *[count(t) for t in (*FIVE, "SC", "SN")],
-    )
-    df = ids.select("ord").join(rec, "ord", "left")
+    # a record is there by a row without a tag
+    flat = vals.select("ord", "tag", F.col("field_seq").cast("int").alias("field_seq")).union(ids.select("ord", F.lit(None).cast("string"), F.lit(None).cast("int")))
+    flat = flat.where("ord is not null").repartition("ord")
+    per = flat.groupBy("ord", "tag", "field_seq").agg(F.count("*").alias("n")).groupBy("ord", "tag").agg(F.sum("n").alias("n"), F.count("*").alias("occurrences"))
+    per = per.join(rule.select("tag", "grp", "most_values"), "tag", "left")
+    tag, n, occurrences, single = F.col("tag"), F.col("n"), F.col("occurrences"), F.col("most_values") == 1
+    repeated, too_many = F.coalesce(single & (occurrences > 1), F.lit(False)), F.coalesce(~single & (n > F.col("most_values")), F.lit(False))
+    kind = F.when(text.not_ascii(tag), "tag_not_ascii").otherwise(NOT_MODELED)
+    of_tag = (
+        F.when(repeated, F.array(_problem("repeated", F.concat(F.lit("occurrences: "), occurrences.cast("string")))).cast(_PROBLEM))
+        .when(too_many, F.array(_problem("too_many", F.concat(F.lit("values: "), n.cast("string")))).cast(_PROBLEM))
+        .otherwise(F.array_repeat(_problem(kind, F.lit(""), "tag", F.lit("none")), occurrences.cast("int")).cast(_PROBLEM))
+    )
+    of_tags = per.where(repeated | too_many | (F.col("grp").isNull() & tag.isNotNull() & ~tag.isin(*UNCHECKED))).select("ord", of_tag)
+    here = lambda *tags: F.coalesce(F.bool_or(tag.isin(*tags)), F.lit(False))
+    count = lambda t: F.coalesce(F.max(F.when(tag == t, n)), F.lit(0)).alias(f"n_{t}")
+    rec = per.groupBy("ord").agg(F.bool_or(tag.isNull()).alias("asked"), here(*UNCHECKED).alias("undocumented"), *[here(t).alias(f"has_{t}") for t, _ in _REQUIRED], *[count(t) for t in (*FIVE, "SC", "SN")])
+
+    found = _single_values(vals, rule, vocabulary, year)
+    without = [F.lit(None).cast(found.schema[c].dataType) for c in ("percent", "odd")]
+    found = found.union(of_tags.select("*", *without))
     if orphans is not None:
-        lost = F.collect_list(_problem(NOT_MODELED, F.concat(F.lit("line "), F.col("line_no").cast("string")), F.lit("<unassigned>"), F.lit("none")))
-        df = df.join(orphans.groupBy("ord").agg(lost.cast(_PROBLEM).alias("lost")), "ord", "left")
-    else:
-        df = df.withColumn("lost", none)
-    needed = F.array(*[_problem("missing", F.lit("required"), F.lit(t), F.lit(g)) for t, g in _REQUIRED]).cast(_PROBLEM)
-    missing = F.filter(needed, lambda x: ~F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), x["tag"]))
-    df = df.withColumn("own", F.concat(F.coalesce("own", none), missing))
-    sound = lambda *tags: ~F.exists("own", lambda x: x["tag"].isin(*tags))
+        lost = _problem(NOT_MODELED, F.concat(F.lit("line "), F.col("line_no").cast("string")), F.lit("<unassigned>"), F.lit("none"))
+        found = found.union(orphans.select("ord", F.array(lost).cast(_PROBLEM), *without))
+    listed = F.flatten(F.collect_list(F.when(F.size("found") > 0, F.col("found"))))
+    found = found.groupBy("ord").agg(listed.alias("found"), F.sum("percent").alias("total"), F.min("odd").alias("odd"))
+    df = rec.where("asked").join(found, "ord", "left").withColumn("found", F.coalesce("found", none))
+    missing = _present(*[F.when(~F.col(f"has_{t}"), _problem("missing", F.lit("required"), F.lit(t), F.lit(g))) for t, g in _REQUIRED])
+    # not attested is no fault of the field itself
+    sound = lambda *tags: ~F.exists("found", lambda x: x["tag"].isin(*tags) & (x["grp"] != "none") & ~((x["kind"] == MISS) & (x["tag"] == "RP")))
     five, counted = [F.col(f"n_{t}") for t in FIVE], lambda *c: F.array_join(F.array(*[x.cast("string") for x in c]), ",")
     group = F.lit("classification")
     compared = _present(
@@ -178,8 +194,7 @@ def audited(vals: DataFrame, ids: DataFrame, orphans: DataFrame | None = None, v
             _problem(F.when(F.col("odd").isNotNull(), "percent_number").otherwise("percent_sum"), F.coalesce("odd", F.col("total").cast("string")), F.lit("CT"), group),
         ),
     )
-    every = F.concat("own", compared, *[F.coalesce(c, none) for c in ("other", "lost", "missed")])
-    return df.select("ord", every.alias("problems"), F.coalesce("undocumented", F.lit(False)).alias("undocumented"))
+    return df.select("ord", F.concat("found", missing, compared).alias("problems"), "undocumented")
 
 
 def listed(audit: DataFrame) -> DataFrame:
@@ -257,11 +272,14 @@ def histogram(found: DataFrame) -> DataFrame:
 
 def wide(spans: DataFrame, vals: DataFrame, found: DataFrame, tier: DataFrame) -> DataFrame:
     """One row per record with nested columns; a group with a problem is null in all of its columns, an unreadable record in all groups."""
-    one = lambda t: F.min_by(F.when(F.col("tag") == t, F.col("raw")), F.when(F.col("tag") == t, F.col("value_seq")))
-    many = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == t, F.struct("field_seq", "value_seq", "raw")))), lambda x: x["raw"])
+    of = lambda t: F.filter("own", lambda x: x["tag"] == t)
+    one = lambda t: F.array_min(F.transform(of(t), lambda x: F.struct(x["value_seq"], x["field_seq"], x["raw"].alias("raw"))))["raw"]
+    many = lambda t: F.transform(of(t), lambda x: x["raw"])
     single = {"accession": ("AN", "identity"), "project_number": ("PN", "identity"), "title": ("TI", "title"), "institution": ("PI", "institution"), "city": ("CY", "institution"), "state": ("ST", "institution")}
     lists = {"subfiles": ("SF", "title"), "performing": ("PF", "institution"), "investigators": ("IN", "investigators"), "rp_codes": ("RP", "classification"), "primary_headings": ("PH", "classification"), "subcommodities": ("SC", "classification")}
-    per = vals.groupBy("ord").agg(*[one(t).alias(c) for c, (t, _) in single.items()], *[many(t).alias(c) for c, (t, _) in lists.items()])
+    shown = F.col("tag").isin(*[t for t, _ in (*single.values(), *lists.values())])
+    per = vals.groupBy("ord").agg(F.sort_array(F.collect_list(F.when(shown, F.struct("field_seq", "value_seq", "tag", "raw")))).alias("own"))  # once for all columns
+    per = per.select("ord", *[one(t).alias(c) for c, (t, _) in single.items()], *[many(t).alias(c) for c, (t, _) in lists.items()])
     failed = found.groupBy("ord").agg(F.collect_set("grp").alias("bad"), F.array_sort(F.collect_list(F.struct("kind", "tag", "message"))).alias("problems"))
     df = spans.join(per, "ord", "left").join(failed, "ord", "left").join(tier, "ord")
     for c, (_, g) in {**single, **lists}.items():

@@ -218,3 +218,23 @@ def test_card_lines_are_made_after_rows_are_dealt_out(spark, data):
     text = corpora.card_records(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     above, below = text.split("RepartitionByExpression", 1)
     assert "LOST" in above and "LOST" not in below  # no exchange and no sample sees a line
+
+
+def test_an_audit_gathers_only_what_is_wrong(spark, data):
+    f = corpora.card_files(spark, data)
+    audit = rules.audited(f.values, f.spans.select("ord"), f.orphans, queries._rp_vocabulary(spark, data), 94)
+    text = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in text and text.count("collect_list") == 1  # counts and sums need no lists
+    # all values are dealt out by tag and field alone
+    assert "raw" not in text.split("RepartitionByExpression", 1)[1].split("Generate", 1)[0]
+
+
+def test_a_full_record_is_gathered_once(spark):
+    rows = [(1, "RP", 1, 0, "a"), (1, "RP", 3, 0, "c"), (1, "RP", 1, 1, "b"), (1, "AC", 2, 0, "x"), (1, "TI", 4, 0, "t"), (2, "TI", 5, 0, "late"), (2, "TI", 2, 1, "early"), (2, "ZZ", 1, 0, "z"), (3, "ZZ", 1, 0, "z")]
+    r = display.full_record(spark.createDataFrame(rows, VALS), ("RP", "AC"), ("RP", "ZZ"), ("TI",), ("RP",), parts={"more": ("ZZ", "AC")})
+    assert len(re.findall(r"(?<!Broadcast)Exchange ", plan(r))) == 1 and "Join" not in plan(r)
+    got = {x["ord"]: x.asDict(recursive=True) for x in r.collect()}
+    row = lambda i, a, b, tags=("RP", "AC"): {"pos": i, tags[0]: a, tags[1]: b, "complete": a is not None and b is not None}
+    assert got[1] == {"ord": 1, "TI": "t", "rp_all": ["a", "b", "c"], "grid": [row(0, "a", "x"), row(1, "b", None), row(2, "c", None)], "pairs": [row(i, x, None, ("RP", "ZZ")) for i, x in enumerate("abc")], "more": {"AC": "x"}}
+    assert got[2] == {"ord": 2, "TI": "early", "rp_all": [], "grid": None, "pairs": [row(0, None, "z", ("RP", "ZZ"))], "more": {"ZZ": "z"}}
+    assert got[3]["TI"] == "" and got[3]["grid"] is None
