@@ -9,7 +9,12 @@ shard), so that a search reads only the folders that it names.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,19 +56,91 @@ def positions(vals: DataFrame, codes: dict[str, tuple[str, ...]], tasks: int | N
     return words.select("code", F.explode_outer(text.spellings(F.col("word"))).alias("term"), "ord", "field_ord", "pos").where(text.indexed(F.col("term")))
 
 
+_VALUES = pa.schema([("code", pa.string()), ("ord", pa.int64()), ("raw", pa.string())])
+_LISTS = pa.schema([("code", pa.string()), ("term", pa.string()), ("ord", pa.int64()), ("fields", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
+_NO_TERMS = frozenset(("", *text.STOP_WORDS))
+#: Each byte as it stands in a word, or a blank.
+_IN_WORDS = np.array([b if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-" else 32 for b in range(256)], np.uint8)
+#: Characters of text that are cut at a time.
+CHUNK = 1 << 21
+
+
+def _spelled(word: str) -> list[str]:
+    """``text.spellings`` of a word at hand, terms only."""
+    t = word.strip("-")
+    return [x for x in ((t, *t.split("-")) if "-" in t else (t,)) if x not in _NO_TERMS]
+
+
+def _words(texts: pa.StringArray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The words of texts in capitals, in order, and the text that each stands in."""
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    plain = _IN_WORDS[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)]
+    cut = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(plain)))
+    row, words = pc.list_parent_indices(cut).to_numpy(), pc.list_flatten(cut)
+    some = pc.not_equal(words, "")
+    return row[some.to_numpy(zero_copy_only=False)], words.filter(some).dictionary_encode()
+
+
+def _lists(values: pa.Table, record: np.ndarray) -> pa.RecordBatch:
+    """Posting lists of whole records: values (``_VALUES``) with the number of each one's record."""
+    row, coded = _words(values["raw"].combine_chunks())
+    kind, spelled = coded.indices.to_numpy(), [_spelled(w) for w in coded.dictionary.to_pylist()]
+    numbers: dict[str, int] = {}
+    term_of = np.array([numbers.setdefault(t, len(numbers)) for own in spelled for t in own], np.int64)
+    n_of = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    first_of = np.cumsum(n_of) - n_of
+    before = np.concatenate([[0], np.flatnonzero(np.diff(record)) + 1]).astype(np.int64)  # the first value of each record
+    sizes = np.bincount(row, minlength=len(record))
+    place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+    # a row per occurrence of a term
+    each = n_of[kind]
+    at = np.repeat(np.arange(len(row)), each)
+    term = term_of[first_of[kind[at]] + np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)]
+    key = record[row[at]] * max(len(numbers), 1) + term
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    begins = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+    ends = pa.array(np.append(begins, len(key)).astype(np.int32))
+    value = before[record[row[at]]]
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (row[at] - value, place[at])]
+    own = pa.array(value[begins])
+    column = lambda c: values[c].combine_chunks().take(own)
+    return pa.RecordBatch.from_arrays([column("code"), pa.array(list(numbers), pa.string()).take(pa.array(term[order][begins])), column("ord"), *lists], schema=_LISTS)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists (``_LISTS``) of values (``_VALUES``), which come by code, record and place; a record may go on in the next batch."""
+    held = _VALUES.empty_table()
+    for last, batch in chain(((False, b) for b in batches), [(True, _VALUES.empty_table())]):
+        more = batch if last else pa.Table.from_batches([batch.cast(_VALUES)])
+        t = pa.concat_tables([held, more]).combine_chunks()
+        if not t.num_rows:
+            continue
+        code, own = t["code"].combine_chunks().dictionary_encode().indices.to_numpy(), t["ord"].to_numpy()
+        record = np.concatenate([[0], np.cumsum((code[1:] != code[:-1]) | (own[1:] != own[:-1]))])
+        size = np.cumsum(pc.utf8_length(t["raw"]).to_numpy()) // CHUNK
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(record)) + 1])
+        # cut before records that begin another chunk; the last record may go on
+        cuts = [0, *(starts[1:][size[starts[1:]] != size[starts[:-1]]]).tolist(), *([] if last else [int(starts[-1])])]
+        cuts = sorted({*cuts, *([t.num_rows] if last else [])})
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield _lists(t.slice(a, b - a), record[a:b] - record[a])
+        held = t.slice(cuts[-1])
+
+
 def posting_lists(vals: DataFrame, codes: dict[str, tuple[str, ...]], tasks: int | None = None) -> DataFrame:
-    """(code, term, ord, fields, places): a row per record that has the term, with all of its occurrences in order.
+    """(code, term, ord, fields, places): a row per record that has the term, with all of its occurrences (``positions``) in order.
 
     The two arrays go side by side: the value by its number and the word's place in
-    it. Occurrences of a record lie together already when its values are numbered,
-    so that gathering them shuffles nothing more. A row holds the occurrences of
-    one term in one record, however many. The occurrences of a task are sorted
-    before they are gathered, by record first, since numbers tell most of them apart
-    without a look at the strings; tasks (as in ``positions``) keeps them few enough for memory.
+    it. Values are dealt out by record, and a task gathers the words of one record
+    after the other, so no occurrence is shuffled or sorted. A row holds the
+    occurrences of one term in one record, however many.
+    tasks: among how many records are dealt out; as Spark has it, if not given.
     """
-    at = F.sort_array(F.collect_list(F.struct("field_ord", "pos")))
-    own = positions(vals, codes, tasks).groupBy("ord", "code", "term").agg(at.alias("at"))
-    return own.select("code", "term", "ord", F.col("at.field_ord").alias("fields"), F.col("at.pos").alias("places"))
+    v = _coded(vals, codes).select("code", "ord", "tag_seq", "field_seq", "value_seq", F.upper("raw").alias("raw"))
+    v = v.repartition(*([] if tasks is None else [tasks]), "code", "ord").sortWithinPartitions("code", "ord", "tag_seq", "field_seq", "value_seq")
+    return v.select("code", F.col("ord").cast("long").alias("ord"), F.coalesce("raw", F.lit("")).alias("raw")).mapInArrow(_gathered, "code string, term string, ord long, fields array<int>, places array<int>")
 
 
 def occurrences(lists: DataFrame) -> DataFrame:

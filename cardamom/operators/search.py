@@ -68,7 +68,7 @@ MARKER = "made_of.json"
 
 
 def write(made: Index, folder: str, sources: tuple = (), buckets: int | None = None, tasks: int | None = None) -> None:
-    """Writes all parts of an index under folder; texts are cut into words once. The mark of completion, with the sources, comes last.
+    """Writes all parts of an index under folder. The mark of completion, with the sources, comes last.
 
     Postings of words are the posting lists without their places, so they are not stored apart.
     buckets: those of the phrases by record, as many as shuffle partitions if not given.
@@ -78,8 +78,9 @@ def write(made: Index, folder: str, sources: tuple = (), buckets: int | None = N
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def part(name: str, terms: str, tasks: int | None = None) -> None:
-        # sorting in ranges looks at its rows twice
-        index.write_index(scratch(getattr(made, name).drop("shard"), name), f"{folder}/{name}", tasks)
+        # sorting in ranges looks at its rows twice; to gather words again costs less than to write and read them
+        rows = getattr(made, name).drop("shard")
+        index.write_index(scratch(rows, name) if name == "phrases" else rows, f"{folder}/{name}", tasks)
         browse.write_list(index.term_list(opened_part(spark, folder, name)), f"{folder}/{terms}")
 
     def phrases() -> None:

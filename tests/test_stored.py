@@ -238,3 +238,18 @@ def test_a_full_record_is_gathered_once(spark):
     assert got[1] == {"ord": 1, "TI": "t", "rp_all": ["a", "b", "c"], "grid": [row(0, "a", "x"), row(1, "b", None), row(2, "c", None)], "pairs": [row(i, x, None, ("RP", "ZZ")) for i, x in enumerate("abc")], "more": {"AC": "x"}}
     assert got[2] == {"ord": 2, "TI": "early", "rp_all": [], "grid": None, "pairs": [row(0, None, "z", ("RP", "ZZ"))], "more": {"ZZ": "z"}}
     assert got[3]["TI"] == "" and got[3]["grid"] is None
+
+
+def test_posting_lists_are_made_without_sorting_occurrences(spark, monkeypatch):
+    texts = ["", "the -- a-b-a ßıx", None, "X1 x1éx1 -the- AND-a", "ſt ﬁ -", "to"]
+    rows = [(i % 7, "US" if i % 3 else "AS", 1, i, texts[i % 6]) for i in range(80)]
+    vals, codes = spark.createDataFrame(rows, VALS), {"/US": ("US",), "/TX": ("US", "AS")}
+    want = sorted(map(tuple, index.positions(vals, codes).select("code", "term", "ord", "field_ord", "pos").collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # records go on in the next batch
+    try:
+        lists = index.posting_lists(vals, codes)
+        assert "Aggregate" not in plan(lists) and "Window" not in plan(lists)
+        assert sorted(map(tuple, index.occurrences(lists).collect())) == want
+        assert lists.count() == lists.select("code", "term", "ord").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
