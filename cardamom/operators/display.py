@@ -98,12 +98,14 @@ def full_record(vals: DataFrame, grid: tuple[str, ...], pair: tuple[str, ...], s
     return own.withColumns({"grid": some(F.col("grid")), "pairs": some(F.col("pairs")), **{name: F.when(F.size(name) > 0, F.map_from_entries(name)) for name in (parts or {})}})
 
 
-def lineage(shown: DataFrame, vals: DataFrame, records: DataFrame, evidence: DataFrame) -> DataFrame:
+def lineage(shown: DataFrame, vals: DataFrame, records: DataFrame, evidence: DataFrame, tags: tuple[str, ...] | None = None) -> DataFrame:
     """For shown (line_id, ord, sources array of (tag, value_index or null), keys array): each source value, its place and the cited evidence.
 
     evidence has key and status, and what else is known of a key, such as its
     name and gloss, which is carried along. A key that it lacks has nulls.
+    tags: all that sources name, where that is known; values of others are then dropped where they are read.
     """
+    vals = vals if tags is None else vals.where(F.col("tag").isin(*tags))
     src = shown.select("line_id", "ord", "keys", F.explode("sources").alias("s")).select("line_id", "ord", "keys", F.col("s.tag").alias("tag"), F.col("s.value_index").alias("value_index"))
     hit = src.join(vals.select("ord", "tag", "value_seq", "raw", "line", "offset"), ["ord", "tag"]).where("value_index is null or value_index = value_seq")
     hit = hit.join(records.select("ord", "first_line", "last_line"), "ord")

@@ -187,6 +187,17 @@ def test_lineage_names_the_file_and_its_digest(spark):
     assert got[7] == (recs.first()["file"], hashlib.sha256(b"".join(content)).hexdigest()) and got[8] == (None, None)
 
 
+def test_lineage_moves_only_values_of_its_sources(spark, data):
+    lines = queries.j10_card_lineage(spark, data)
+    text = lines._jdf.queryExecution().optimizedPlan().toString()
+    above = text.split("Generate inline", 1)[0].rsplit("Join ", 1)[1]
+    assert re.search(r"Filter \(*tag#\d+ IN \(TI,IN\)", above)  # dropped where they are read
+    assert text.count("Relation [ord#") == 4  # what is shown, values, records, and their files
+    got = {(r["an"], r["tag"]): r for r in lines.collect()}
+    assert len(got) == 2 * corpora.table(spark, data, "part").count() == lines.count()
+    assert got["0000007", "IN"]["raw"] == "SMITH 7" and all(r["same"] for r in got.values())
+
+
 def test_sizes_of_folders_are_those_of_their_files(spark):
     path = own_folder(spark, "sizes")
     search.write(search.built(spark.createDataFrame([(1, "TI", 1, 0, "one two 3 -")], VALS), {"TI": ("TI",)}, {"/TI": ("TI",)}, ("/TI",)), path)
