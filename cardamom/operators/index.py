@@ -237,10 +237,12 @@ def load_report(lists: DataFrame, vals: DataFrame, sets: dict[str, tuple[str, ..
 
 
 def count_mismatches(vals: DataFrame, sets: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(set_name, ord): records in which the tags of a set have different numbers of values; a missing tag has none."""
-    pairs = [(name, tag) for name, tags in sets.items() for tag in tags]
-    wanted = F.broadcast(vals.sparkSession.createDataFrame(pairs, "set_name string, tag string"))
-    counts = vals.join(wanted, "tag").groupBy("set_name", "ord", "tag").agg(F.count("*").alias("n"))
-    size = F.broadcast(vals.sparkSession.createDataFrame([(k, len(t)) for k, t in sets.items()], "set_name string, tags int"))
-    seen = counts.groupBy("set_name", "ord").agg(F.count("*").alias("seen"), F.min("n").alias("low"), F.max("n").alias("high"))
-    return seen.join(size, "set_name").where("seen < tags or low <> high").select("set_name", "ord")
+    """(set_name, ord): records in which the tags of a set have different numbers of values; a missing tag has none.
+
+    Values of the sets' tags are counted per record at once, a column for each tag, which is a constant of the schema.
+    """
+    every = list(dict.fromkeys(t for tags in sets.values() for t in tags))
+    counts = vals.where(F.col("tag").isin(*every)).groupBy("ord").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("tag") == t, 1)).alias(f"_{i}") for i, t in enumerate(every)])
+    of = lambda tags: F.array(*[F.col(f"_{every.index(t)}") for t in tags])
+    uneven = F.array_compact(F.array(*[F.when(F.array_min(of(tags)) != F.array_max(of(tags)), name) for name, tags in sets.items()]).cast("array<string>"))
+    return counts.select(F.explode(uneven).alias("set_name"), "ord")

@@ -266,6 +266,15 @@ def test_posting_lists_are_made_without_sorting_occurrences(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_numbers_of_values_are_compared_in_one_exchange(spark):
+    rows = [(1, "AC", 1, 0, "a"), (1, "AC", 1, 1, "b"), (1, "CM", 2, 0, "c"), (2, "AC", 1, 0, "a"), (2, "CM", 2, 0, "c"), (3, "CT", 1, 0, "x"), (3, "ZZ", 2, 0, "z"), (4, "ZZ", 1, 0, "z"), (4, None, 2, 0, "z")]
+    vals = spark.createDataFrame(rows, VALS)
+    own = index.count_mismatches(vals, {"columns": ("AC", "CM"), "three": ("CT", "AC", "CM"), "one": ("AC",)})
+    assert len(re.findall("Exchange ", plan(own))) == 1 and "Join" not in plan(own)
+    assert sorted(map(tuple, own.collect())) == [("columns", 1), ("three", 1), ("three", 2), ("three", 3)]
+    assert index.count_mismatches(vals, {}).collect() == []
+
+
 def test_searches_by_phrase_build_no_words(spark, data, monkeypatch):
     monkeypatch.setattr(corpora, "_KEPT", {})
     assert queries.b4_order(spark, data).count() > 0
