@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
-from cardamom.plans.numbering import carried, sorted_ranks
+from cardamom.plans.numbering import CHUNK, sorted_ranks
 from cardamom.schema import SINGLE_TAGS
 from cardamom.sources import store
 
@@ -34,8 +34,9 @@ SEPARATOR = "\u00a0\u0002"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, length) without reading any content."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length")
+    """(file, length) without reading any content, and so in no more tasks than a shuffle has, whatever the files' size."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length")
+    return every.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def misaligned(spark: SparkSession, path: str) -> DataFrame:
@@ -92,21 +93,25 @@ def structure(df: DataFrame) -> DataFrame:
     return own.groupBy("file").agg(pick("<<").alias("header"), pick(">>").alias("trailer"))
 
 
-def records(df: DataFrame) -> DataFrame:
+def records(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(file, line_no, bytes, ord) of the lines inside records; ord counts from 0 by file and line.
 
-    The last ``$$`` or ``>>`` at or before a line tells its record; both fills run in chunks.
+    The last ``$$`` or ``>>`` at or before a line tells whether it is in a record, the number of ``$$`` up to it in which.
+    Both run within chunks of a file first, then over a row per chunk, which is merged: lines are made by the thousand
+    of a row that Spark counts as one, so that by its sizes it would broadcast any number of them.
     """
-    marked = df.withColumn("mark", F.when(tag() == "$$", F.col("line_no")).when(tag() == ">>", F.lit(0)))
-    inside = carried(marked, "file", "line_no", "mark", "first").where("first > 0").drop("mark")
-    opens = inside.where("first = line_no").select("file", "first")
-    sizes = opens.withColumn("chunk", F.floor(F.col("first") / (1 << 20))).groupBy("file", "chunk").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per chunk
-    sizes = sizes.select("file", "chunk", before.alias("before"))
-    opens = opens.withColumn("chunk", F.floor(F.col("first") / (1 << 20)))
-    own = F.row_number().over(Window.partitionBy("file", "chunk").orderBy("first")) - 1
-    numbers = opens.withColumn("own", own).join(sizes, ["file", "chunk"]).select("file", "first", (F.col("before") + F.col("own")).cast("long").alias("ord"))
-    return inside.join(numbers, ["file", "first"]).select("file", "line_no", "bytes", "ord")
+    mark = F.when(tag() == "$$", 1).when(tag() == ">>", 0)
+    marked = df.withColumns({"mark": mark, "_chunk": F.floor(F.col("line_no") / chunk)})
+    opened = F.coalesce(F.sum("mark"), F.lit(0))
+    lasts = marked.groupBy("file", "_chunk").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("line_no"))).alias("_last"), opened.alias("_n"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("_last", ignorenulls=True).over(earlier(Window.partitionBy("file").orderBy("_chunk")))
+    numbers = F.coalesce(F.sum("_n").over(earlier(Window.orderBy("file", "_chunk"))), F.lit(0))  # a row per chunk
+    chunks = lasts.select("file", "_chunk", before.alias("_before"), numbers.alias("_numbers"))
+    run = Window.partitionBy("file", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    own = marked.withColumns({"_own": F.last("mark", ignorenulls=True).over(run), "_up_to": F.coalesce(F.sum("mark").over(run), F.lit(0))})
+    inside = own.join(chunks.hint("merge"), ["file", "_chunk"]).where(F.coalesce("_own", "_before") == 1)
+    return inside.select("file", "line_no", "bytes", (F.col("_numbers") + F.col("_up_to") - 1).cast("long").alias("ord"))
 
 
 def spans(recs: DataFrame) -> DataFrame:

@@ -48,6 +48,35 @@ def test_both_readers_agree(spark, monkeypatch, size, files):
     assert (found.agg(F.sum("bad_lines")).first()[0] or 0) == cards.bad_lines(lines).first()[0]
 
 
+def test_records_are_numbered_alike_over_any_chunks(spark):
+    path = folder(noise(1, 160), [line(b">>")] * 5, noise(2, 91), FILE)
+    lines = cards.lines(spark, path)
+    whole = rows(cards.records(lines))
+    assert {r[3] for r in whole} == {r["ord"] for r in parse.parsed(spark, path).collect()}
+    assert rows(cards.records(lines, 1)) == whole and rows(cards.records(lines, 7)) == whole
+
+
+def test_records_are_not_numbered_by_broadcasts(spark):
+    """Spark counts ranges of lines where it plans joins; of 3 of them come 40,000 records here."""
+    lines = cards.lines(spark, folder([line(b"$$"), line(b"AN", b"1")] * 40_000))
+    n = cards.records(lines).agg(F.count("*").alias("n"), F.countDistinct("ord").alias("records"))
+    assert tuple(n.collect()[0]) == (80_000, 40_000)
+    text = n._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in text and "Broadcast" not in text
+
+
+def test_files_are_listed_in_few_tasks(spark):
+    path = folder(*[[line(b"$$")]] * 9)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "82b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0b")
+    try:
+        assert cards.files(spark, path).rdd.getNumPartitions() <= 4  # shuffle partitions
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert cards.files(spark, path).count() == 9
+
+
 def test_other_markers_and_tags(spark):
     path = folder([line(b"$$"), line(b"TI", b"one"), line(b"  ", b"\xactwo"), line(b"SF", b"x"), line(b"  ", b"#y")])
     texts = lambda recs: [(r["tag"], r["raw"]) for r in parse.values(recs).orderBy("line", "value_seq").collect()]

@@ -231,6 +231,11 @@ def test_card_lines_are_made_after_rows_are_dealt_out(spark, data):
     assert "LOST" in above and "LOST" not in below  # no exchange and no sample sees a line
 
 
+def test_card_files_are_dealt_out_without_a_sample(spark, data, monkeypatch):
+    monkeypatch.setattr(corpora, "FILE_RECORDS", 64)  # of 200
+    assert "rangepartitioning(part" not in plan(corpora.card_records(spark, data))
+
+
 def test_an_audit_gathers_only_what_is_wrong(spark, data):
     f = corpora.card_files(spark, data)
     audit = rules.audited(f.values, f.spans.select("ord"), f.orphans, queries._rp_vocabulary(spark, data), 94)
